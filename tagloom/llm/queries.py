@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm.minhash import fingerprint_documents
+from tagloom.llm.mixing import mix_sources
 from tagloom.llm.packing import pack_documents
+from tagloom.llm.secrets import find_secrets
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,12 +23,21 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op7_packing]
+    found = [op1_fingerprints, op2_secrets, op7_packing, op8_mixing]
     return {f.__name__: f for f in found}
 
 
