@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tagloom.llm import langid, quality, toxicity
 from tagloom.llm.minhash import fingerprint_documents
 from tagloom.llm.mixing import mix_sources
 from tagloom.llm.packing import pack_documents
 from tagloom.llm.secrets import find_secrets
+from tagloom.llm.textlinear import fold
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +30,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, toxicity.train(toxicity.learnt_from(docs, labels, "toxic", 4, 2)))
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs.where(fold(F.col("doc_id"), 3) != 1)))
+    return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -36,8 +51,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = quality.rate(docs, quality.train(toxicity.learnt_from(docs, labels, "quality", 4, 2)))
+    return rated.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_secrets, op7_packing, op8_mixing]
+    found = [op1_fingerprints, op2_secrets, op4_toxicity, op5_language, op7_packing, op8_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
