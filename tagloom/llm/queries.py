@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tagloom.llm import langid, quality, toxicity
 from tagloom.llm.minhash import fingerprint_documents
 from tagloom.llm.mixing import mix_sources
+from tagloom.llm.ngram_join import jaccard_components
 from tagloom.llm.packing import pack_documents
 from tagloom.llm.secrets import find_secrets
 from tagloom.llm.textlinear import fold
@@ -30,6 +31,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, toxicity.train(toxicity.learnt_from(docs, labels, "toxic", 4, 2)))
@@ -58,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_secrets, op4_toxicity, op5_language, op7_packing, op8_mixing, op10_quality]
+    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op7_packing, op8_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
