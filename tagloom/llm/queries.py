@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import langid, quality, toxicity
+from tagloom.llm.lattice import near_duplicates
 from tagloom.llm.minhash import fingerprint_documents
 from tagloom.llm.mixing import mix_sources
 from tagloom.llm.ngram_join import jaccard_components
@@ -47,6 +48,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -63,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op7_packing, op8_mixing, op10_quality]
+    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op6_lattice, op7_packing, op8_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
