@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import langid, quality, toxicity
+from tagloom.llm.html_layout import extract_pages
 from tagloom.llm.lattice import near_duplicates
 from tagloom.llm.minhash import fingerprint_documents
 from tagloom.llm.mixing import mix_sources
@@ -61,6 +62,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rated = quality.rate(docs, quality.train(toxicity.learnt_from(docs, labels, "quality", 4, 2)))
@@ -68,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op6_lattice, op7_packing, op8_mixing, op10_quality]
+    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op6_lattice, op7_packing, op8_mixing, op9_html, op10_quality]
     return {f.__name__: f for f in found}
 
 
