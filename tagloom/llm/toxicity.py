@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,14 +168,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = THRESHOL
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns of ``docs`` whose text scores below the threshold."""
-    from pyspark.sql.functions import arrow_udf
-
-    import pyarrow as pa
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: list[Scorer] = []
 
-    @arrow_udf("double")
+    @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         if not cache:
             cache.append(shared.value.scorer())
