@@ -42,7 +42,7 @@ def _checked(files: DataFrame) -> DataFrame:
     widest = F.array_max(F.transform("records", lambda r: F.size(r)))
     broken = F.exists("records", lambda r: F.exists(r, lambda f: f.rlike(r'(?s)^"[^"]*+(?:""[^"]*+)*+$')))
     reason = (
-        F.when(~F.col("valid"), "not UTF-8").when(F.size("records") <= 0, "empty").when(widest > width, "a row wider than the first").when(broken, "open quote")
+        F.when(~F.col("valid"), "not UTF-8").when(F.coalesce(F.size("records"), F.lit(0)) <= 0, "empty").when(widest > width, "a row wider than the first").when(broken, "open quote")
     )
     return rows.select("source_file", "records", width.alias("width"), reason.alias("reason"))
 
