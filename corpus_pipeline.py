@@ -12,14 +12,15 @@ from tagloom.llm.packing import pack_documents
 from tagloom.llm.queries import TOKENIZER, table
 from tagloom.llm.secrets import redacted
 from tagloom.llm.storage import staged
-from tagloom.llm.toxicity import learnt_from, train, without_toxic
+from tagloom.llm.textlinear import labels_without
+from tagloom.llm.toxicity import train, without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learnt from the labelled ones among them, does not reject."""
-    return without_toxic(docs, train(learnt_from(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2)))
+    return without_toxic(docs, train(docs, labels_without(table(spark, sf_dir, "labels"), "toxic", 4, 2)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.textlinear import Scorer, bounded_sample, descend, mapped, matrix
+from tagloom.llm.textlinear import Scorer, descend, labelled_sample, mapped, matrix
 
 SIZES, WIDTH = (1, 2, 3), 1 << 12
 SAMPLE = 2000
@@ -78,13 +78,11 @@ def fit(texts: list[str | None], ratings: list[int], weights: list[float]) -> Mo
     return Model((b[:WIDTH] * scale)[:, None].astype(np.float32), _thresholds(b[WIDTH:]), grades)
 
 
-def train(labelled: DataFrame, *, label: str = "quality", sample: int = SAMPLE, most_rows: int = MOST_ROWS) -> Model:
-    """Fit on about ``sample`` rows of each grade, fewer if that is over ``most_rows``."""
-    rows = labelled.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("int").alias("y"))
-    kinds = max(1, rows.select("y").distinct().count())
-    got = bounded_sample(rows, "y", max(1, min(sample, most_rows // kinds))).select("doc_id", "text", "y", "share").collect()
-    got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
-    return fit([r.text for r in got], [r.y for r in got], [1 / r.share for r in got])
+def train(docs: DataFrame, known: DataFrame, *, sample: int = SAMPLE, most_rows: int = MOST_ROWS) -> Model:
+    """Fit on about ``sample`` documents of each grade (``known``: ``doc_id``, ``y``), fewer if that is over ``most_rows``."""
+    kinds = max(1, known.select("y").distinct().count())
+    got = labelled_sample(docs, known, max(1, min(sample, most_rows // kinds)))
+    return fit([r.t for r in got], [r.y for r in got], [1 / r.share for r in got])
 
 
 def rate(docs: DataFrame, model: Model, *, select: float = SELECT) -> DataFrame:

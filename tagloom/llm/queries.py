@@ -16,7 +16,7 @@ from tagloom.llm.mixing import mix_sources
 from tagloom.llm.ngram_join import jaccard_components
 from tagloom.llm.packing import pack_documents
 from tagloom.llm.secrets import find_secrets
-from tagloom.llm.textlinear import fold
+from tagloom.llm.textlinear import fold, labels_without
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,7 +39,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = toxicity.score_toxicity(docs, toxicity.train(toxicity.learnt_from(docs, labels, "toxic", 4, 2)))
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels_without(labels, "toxic", 4, 2)))
     return scored.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
 
 
@@ -68,7 +68,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated = quality.rate(docs, quality.train(toxicity.learnt_from(docs, labels, "quality", 4, 2)))
+    rated = quality.rate(docs, quality.train(docs, labels_without(labels, "quality", 4, 2)))
     return rated.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
 
 

@@ -35,6 +35,23 @@ def bounded_sample(rows: DataFrame, label: str, most_per_label: int, seed: int =
     return rows.withColumn("share", F.try_element_at(shares, F.col(label))).where(place < F.col("share"))
 
 
+def labels_without(labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
+    """``doc_id`` and ``y``, the greatest label of the id, of the ids outside the held-out fold."""
+    rows = labels.where(fold(F.col("doc_id"), parts) != held)
+    return rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where("y is not null")
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, most_per_label: int, seed: int = 7) -> list:
+    """About ``most_per_label`` rows (``t``, ``y``, ``share``) of each label, in a fixed order.
+
+    Ids are drawn first, so the join broadcasts a table whose size the parameter bounds, and no text is shuffled.
+    """
+    ids = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    drawn = bounded_sample(ids, "y", most_per_label, seed).select(F.col("doc_id").alias("drawn"), "y", "share")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("t")).join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn"))
+    return sorted(rows.select("doc_id", "t", "y", "share").collect(), key=lambda r: (r.doc_id, r.t or ""))
+
+
 def grams(chunk: str, sizes: tuple[int, ...]) -> list[bytes]:
     body = b"\x02" + chunk.encode("utf-8", "replace") + b"\x03"
     return [body[i : i + n] for n in sizes for i in range(len(body) - n + 1)]
