@@ -61,38 +61,43 @@ def _chi_tail(x2: Column, df: Column) -> Column:
     return _tail((F.pow(x2 / df, 1 / 3) - (1 - c)) / F.sqrt(c))
 
 
-def _battery(body: Column, classes: tuple[str, ...]) -> Column:
-    """P-value of a uniform draw from the alphabet, for a string of its symbols."""
-    alphabet, size = "".join(classes), sum(map(len, classes))
-    n = F.length(body)
-    places = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-
-    def tests(x: Column) -> Column:
-        def between(a: int | Column, b: int | Column) -> Column:
-            return F.size(F.filter(x, lambda v: (v >= a) & (v < b)))
-
-        starts = [sum(map(len, classes[:i])) for i in range(len(classes) + 1)]
-        by_class = sum(F.pow(between(a, b), 2) / (n * (b - a) / size) for a, b in zip(starts, starts[1:], strict=False)) - n
-        cells = F.least(F.lit(size), F.greatest(F.lit(2), F.floor(n / 5).cast("int")))
-
-        def cell(i: Column) -> Column:
-            width = F.floor((i + 1) * size / cells) - F.floor(i * size / cells)
-            return F.pow(between(F.floor(i * size / cells), F.floor((i + 1) * size / cells)), 2) / (n * width / size)
-
-        by_cell = F.aggregate(F.transform(F.sequence(F.lit(0), cells - 1), cell), F.lit(0.0), lambda s, v: s + v) - n
-        pairs = F.arrays_zip(F.slice(x, 1, n - 1).alias("a"), F.slice(x, 2, n - 1).alias("b"))
-        changes = F.size(F.filter(pairs, lambda p: (p["a"] >= size // 2) != (p["b"] >= size // 2)))
+def _encoding(body: Column) -> Column:
+    """Number of the first encoding that has all symbols; null if none has, and for numbers, which are no keys."""
+    out = F.when(body.rlike("^[0-9]+$"), F.lit(None).cast("int"))
+    for i, classes in enumerate(ENCODINGS):
+        out = out.when(body.rlike("^[" + "".join(classes).replace("-", r"\-") + "]+$"), F.lit(i))
+    return out
+
+
+def _battery(body: Column, encoding: Column) -> Column:
+    """P-value of a uniform draw from the encoding's alphabet; one expression for all encodings."""
+    alphabet = F.element_at(F.array(*(F.lit("".join(c)) for c in ENCODINGS)), encoding + 1)
+    bounds = F.element_at(F.array(*(F.array(*(F.lit(sum(map(len, c[:i]))) for i in range(len(c) + 1))) for c in ENCODINGS)), encoding + 1)
+    places = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
+
+    def tests(d: Column) -> Column:
+        x, bound, size = d["x"], d["bounds"], d["size"]
+        n = F.size(x)
+
+        def squares(starts: Column) -> Column:
+            """Chi-squared of the cells between neighbouring starts."""
+            cell = lambda a, b: F.pow(F.size(F.filter(x, lambda v: (v >= a) & (v < b))), 2) / (n * (b - a) / size)
+            cells = F.zip_with(F.slice(starts, 1, F.size(starts) - 1), F.slice(starts, 2, F.size(starts) - 1), cell)
+            return F.greatest(F.aggregate(cells, F.lit(0.0), lambda s, v: s + v) - n, F.lit(0.0))
+
+        cells = F.least(size, F.greatest(F.lit(2), F.floor(n / 5).cast("int")))
+        even = F.transform(F.sequence(F.lit(0), cells), lambda i: F.floor(i * size / cells).cast("int"))
+        pairs = F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        changes = F.size(F.filter(pairs, lambda p: (p["a"] >= size / 2) != (p["b"] >= size / 2)))
         runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         middle, spread = (size - 1) / 2, (size * size - 1) / 12
         serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - middle) * (p["b"] - middle)) / spread / F.sqrt(n - 1)
         return 4 * F.least(
-            _chi_tail(F.greatest(by_class, F.lit(0.0)), F.lit(len(classes) - 1)),
-            _chi_tail(F.greatest(by_cell, F.lit(0.0)), cells - 1),
-            2 * _tail(F.abs(runs)),
-            2 * _tail(F.abs(serial)),
+            _chi_tail(squares(bound), F.size(bound) - 2), _chi_tail(squares(even), cells - 1), 2 * _tail(F.abs(runs)), 2 * _tail(F.abs(serial))
         )
 
-    return F.element_at(F.transform(F.array(places), tests), 1)
+    given = F.struct(places.alias("x"), bounds.alias("bounds"), F.length(alphabet).alias("size"))
+    return F.element_at(F.transform(F.array(given), tests), 1)
 
 
 def _spans(text: Column, pattern: str, keep, value) -> Column:
@@ -144,18 +149,16 @@ def candidates(text: Column) -> Column:
 
     def tested(x: Column) -> Column:
         body = F.regexp_replace(x["body"], "=+$", "")
-        which = p = None
-        for i, classes in reversed(list(enumerate(ENCODINGS))):
-            fits = body.rlike("^[" + "".join(classes).replace("-", r"\-") + "]+$")
-            number, value = F.lit(i), _battery(body, classes)
-            which = F.when(fits, number).otherwise(which) if which is not None else F.when(fits, number)
-            p = F.when(fits, value).otherwise(p) if p is not None else F.when(fits, value)
-        which = F.when(body.rlike("^[0-9]+$"), F.lit(None)).otherwise(which)  # numbers are no encoding of a key
-        length = F.least(F.floor(F.log2(F.length(body))), F.lit(_LENGTHS - 1)).cast("int")
-        bin_ = F.least(F.floor(-F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) * _PER_TEN), F.lit(_BINS)).cast("int")
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), (which * _LENGTHS + length).alias("stratum"), bin_.alias("bin"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), body.alias("body"), _encoding(body).alias("encoding"))
 
-    return F.filter(_spans(text, _RUN, lambda m: F.lit(True), tested), lambda x: x["stratum"].isNotNull())
+    def placed(x: Column) -> Column:
+        length = F.least(F.floor(F.log2(F.length(x["body"]))), F.lit(_LENGTHS - 1)).cast("int")
+        p = F.greatest(F.least(_battery(x["body"], x["encoding"]), F.lit(1.0)), F.lit(1e-12))
+        bin_ = F.least(F.floor(-F.log10(p) * _PER_TEN), F.lit(_BINS)).cast("int")
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["encoding"] * _LENGTHS + length).alias("stratum"), bin_.alias("bin"))
+
+    known = F.filter(_spans(text, _RUN, lambda m: F.lit(True), tested), lambda x: x["encoding"].isNotNull())
+    return F.transform(known, placed)
 
 
 def rejection_bins(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int, int]:
@@ -221,25 +224,27 @@ def redacted(docs: DataFrame, *, text: str = "text", rate: float = RATE, mask: s
 
     Overlapping spans make one stretch. A null text stays null.
     """
-    body = F.col(text).cast("string")
-    all_spans = _ordered(*secret_spans(body, rejection_bins(docs, text, rate)).values())
+    given = F.col(text).cast("string")
+    rejected = rejection_bins(docs, text, rate)
+    rows = docs.select(F.struct("*").alias("row"), given.alias("body"), _ordered(*secret_spans(given, rejected).values()).alias("spans"))
+    body, spans = F.col("body"), F.col("spans")
 
     def step(state: Column, x: Column) -> Column:
         s, e = x["s"], x["e"]
-        fresh = s >= state["at"]
         gap = F.substring(body, state["at"] + 1, s - state["at"])
         return F.struct(
             F.greatest(state["at"], e).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
+            F.when(s >= state["at"], F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
         )
 
     clean = F.aggregate(
-        all_spans,
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda st: F.concat(st["out"], F.substring(body, st["at"] + 1, F.length(body))),
     )
-    out = docs.withColumn(text, F.when(body.isNull(), body).when(F.size(all_spans) > 0, clean).otherwise(body))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.col(text)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = rows.select("row", F.when(F.size(spans) > 0, clean).otherwise(body).alias("clean"))
+    changed = {text: F.col("clean"), "n_chars": F.length("clean")}
+    return rows.select(
+        *(changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col("row")[f.name].alias(f.name) for f in docs.schema)
+    )
