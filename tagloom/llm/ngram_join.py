@@ -3,15 +3,18 @@
 Points: shingles are hashed into ``GROUPS`` groups, and a document is the vector of its counts by group. Two documents
 share at most the sum over groups of the smaller count; where that is below the overlap they would need, no set is
 looked at. Points that share a block are held in an R-tree (boxes: greatest counts, range of sizes, cluster if one), and
-the tree is joined with itself by the same bound.
+the tree is joined with itself by the same bound. Pairs that it leaves meet the bound once more with ``FINE`` groups, as
+long documents fill few groups evenly.
 
 Blocks make the join distributed and lose nothing: under one fixed order of all shingles, linked sets share one of their
 first ``n - ceil(0.8 n) + 1`` shingles. The order is by hash, but shingles that very many documents share come last, so
-a passage that is common does not make a block. Those are counted over all documents.
+a passage that is common does not make a block. Those are counted over all documents. A block is cut where its sizes
+leave a gap that no linked pair spans.
 
 Work does not grow with the square of a group of copies. Equal sets are one node. In a block every node is first tried
-against the block's least node alone; what these links connect is a cluster, and the tree joins only nodes of different
-clusters. Every pair that could still connect two clusters is tried, so the components are exact.
+against the block's least node alone, and then, in blocks whose nodes these links do not connect, against the node next
+to it in an order by hash; what the links connect is a cluster, and the tree joins only nodes of different clusters.
+Every pair that could still connect two clusters is tried, so the components are exact.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
@@ -30,8 +33,10 @@ from tagloom.llm.storage import staged
 from tagloom.llm.words import mixed, shingle_hashes
 
 GROUPS = 64
-#: A shingle is common if at least this share of all documents (and ``COMMON_LEAST``) has it.
-COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 5e-4, 32, 1_000_000
+FINE = 512
+#: A shingle is common if so many documents have it, counted over stretches that it is in at least three times; of more
+#: than ``COMMON_MOST`` the most frequent (8 bytes each). Which are does not change the result, only the work.
+COMMON_LEAST, COMMON_MOST = 32, 1_000_000
 _CHUNK = 3_000_000
 #: Up to so many ids (8 bytes each) are broadcast; above, tables are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -55,6 +60,13 @@ def counts_of(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def fine_counts(hashes: np.ndarray) -> bytes | None:
+    """The point by ``FINE`` groups; none for a document too large for two bytes a count."""
+    if len(hashes) > 65_535:
+        return None
+    return np.bincount((hashes & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE).astype(np.uint16).tobytes()
+
+
 def digest(hashes: np.ndarray) -> tuple[int, int]:
     raw = hashes.tobytes()
     return tuple(xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63) for seed in (1, 2))
@@ -117,8 +129,9 @@ def tree_pairs(left: CountTree, right: CountTree) -> Iterator[tuple[np.ndarray,
 
 def _profiles(rows: DataFrame) -> DataFrame:
     """Documents with size, digest and point; and, with a null size, shingles that a stretch of documents often has."""
-    schema = "doc_id long, n long, d1 long, d2 long, counts binary, token long, seen long"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("counts", pa.binary()), ("token", pa.int64()), ("seen", pa.int64())])
+    schema = "doc_id long, n long, d1 long, d2 long, counts binary, fine binary, token long, seen long"
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    arrow = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: list[np.ndarray] = []
@@ -126,10 +139,10 @@ def _profiles(rows: DataFrame) -> DataFrame:
 
         def frequent() -> Iterator[pa.RecordBatch]:
             tokens, seen = np.unique(np.concatenate(chunk), return_counts=True)
-            keep = seen >= max(3, COMMON_SHARE * len(chunk))
+            keep = seen >= 3
             k = int(keep.sum())
             if k:
-                none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                none = [pa.nulls(k, t) for t in arrow.types[:6]]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(tokens[keep].view(np.int64)), pa.array(seen[keep])], schema=arrow)
 
         for batch in batches:
@@ -139,11 +152,11 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 for key, text in zip(ids[at : at + 500], batch.column(1).slice(at, 500), strict=True):
                     h = shingle_hashes(text.as_py())
                     if len(h):
-                        out.append((key, len(h), *digest(h), counts_of(h).tobytes(), None, None))
+                        out.append((key, len(h), *digest(h), counts_of(h).tobytes(), fine_counts(h), None, None))
                         chunk.append(h)
                         held += len(h)
                     else:
-                        out.append((key, 0, 0 if key is None else key, -1, None, None, None))
+                        out.append((key, 0, 0 if key is None else key, -1, None, None, None, None))
                     if held >= _CHUNK:
                         yield from frequent()
                         chunk.clear()
@@ -166,19 +179,20 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
     """
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((common, skipped))
-    arrow = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64())])
+    arrow = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, copies = shared.value
         tokens: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []
+        owners: list[tuple[int, int, int]] = []
         held = 0
 
         def flat() -> pa.RecordBatch:
-            ids = np.repeat([k for k, _ in owners], [n for _, n in owners])
+            key, n, rows = np.array(owners, np.int64).T
+            ids, size = np.repeat(key, rows), np.repeat(n, rows).astype(np.int32)
             token = np.concatenate(tokens)
             salt = np.where(among(late, token), ids % SALTS, -1) if len(late) else np.full(len(token), -1)
-            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids)], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(size), pa.array(ids)], schema=arrow)
 
         def among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
@@ -193,14 +207,15 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
                     mark = _mark(np.array([key]), np.array([digest(h)[0]]))
                     if among(copies, mark)[0]:
                         continue
-                k = prefix_length(len(h))
+                n = len(h)
+                k = prefix_length(n)
                 if len(late):
                     is_late = among(late, h)
                     h = h[~is_late][:k] if (~is_late).sum() >= k else np.concatenate([h[~is_late], h[is_late]])[:k]
                 else:
                     h = h[:k]
                 tokens.append(h)
-                owners.append((key, len(h)))
+                owners.append((key, n, len(h)))
                 held += len(h)
                 if held >= 100_000:
                     yield flat()
@@ -210,7 +225,7 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
         if owners:
             yield flat()
 
-    return rows.mapInArrow(task, "token long, salt int, doc_id long")
+    return rows.mapInArrow(task, "token long, salt int, n int, doc_id long")
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -225,7 +240,7 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 def _shared(blocks: DataFrame, tasks: int) -> DataFrame:
     """Rows of blocks with two documents or more, with the least document of the block, or of the salt's part of it.
 
-    Parts of a common shingle's block keep their rows even if there is one.
+    A block is cut by size and ``token`` renamed so; parts of a common shingle's block keep all rows.
     """
     arrow = pa.schema([("token", pa.int64()), ("late", pa.bool_()), ("leader", pa.int64()), ("doc_id", pa.int64())])
 
@@ -233,17 +248,19 @@ def _shared(blocks: DataFrame, tasks: int) -> DataFrame:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not sum(len(x[0]) for x in got):
             return
-        token, salt, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+        token, salt, n, doc = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
-        order = np.lexsort((doc, salt, token))
-        token, salt, doc = token[order], salt[order], doc[order]
-        starts = _starts(token, salt)
+        order = np.lexsort((n, salt, token))
+        token, salt, n, doc = token[order], salt[order], n[order].astype(np.int64), doc[order]
+        starts = _starts(token, salt, np.append(0, np.cumsum((5 * n[:-1] < 4 * n[1:]) & (salt[1:] < 0))))
         size = np.diff(starts, append=len(token))
-        leader = np.repeat(doc[starts], size)
+        leader = np.repeat(np.minimum.reduceat(doc, starts), size)
+        low = np.where(salt[starts] < 0, n[starts], 0).view(np.uint64)
+        name = np.repeat(mixed(token[starts].view(np.uint64) + low * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), size)
         rows = np.flatnonzero(np.repeat((size > 1) | (salt[starts] >= 0), size))
         for i in range(0, len(rows), 100_000):
             r = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(token[r]), pa.array(salt[r] >= 0), pa.array(leader[r]), pa.array(doc[r])], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(name[r]), pa.array(salt[r] >= 0), pa.array(leader[r]), pa.array(doc[r])], schema=arrow)
 
     return blocks.repartition(tasks, "token", "salt").mapInArrow(task, "token long, late boolean, leader long, doc_id long")
 
@@ -256,6 +273,24 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
     return shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).union(across).where("a <> b").distinct()
 
 
+def _open_blocks(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (``token``, ``doc_id``, ``cluster``), and ``token`` and ``rows`` of blocks with more than one cluster."""
+    cluster = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    placed = shared.select("token", "doc_id").join(staged(cluster, "clusters"), "doc_id", "left")
+    placed = staged(placed.select("token", "doc_id", F.coalesce("cluster", "doc_id").alias("cluster")), "placed")
+    several = placed.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("rows"))
+    return placed, staged(several.where("low <> high").select("token", "rows"), "open-blocks")
+
+
+def _beside(placed: DataFrame, several: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of different clusters that are neighbours in an open block's order by hash."""
+    parts = F.ceil(F.col("rows") / CELL_ROWS)
+    rows = placed.join(several, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
+    order = Window.partitionBy("token", "part").orderBy(F.xxhash64("doc_id", "token"), "doc_id")
+    rows = rows.withColumn("other", F.lead("doc_id").over(order)).withColumn("beyond", F.lead("cluster").over(order))
+    return rows.where("cluster <> beyond").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def _cells(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows by block and cell. A block of over ``CELL_ROWS`` rows is cut into parts, and each two parts meet in a cell."""
     parts = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
@@ -307,20 +342,27 @@ def _tree_pairs(cells: DataFrame, tasks: int) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs that the bound leaves."""
+    """The pairs that the bound by fine groups leaves."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32).reshape(-1, GROUPS) for c in (4, 5))
-            keep = np.flatnonzero(linked(np.minimum(x, y).sum(axis=1), b.column(2).to_numpy(), b.column(3).to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], schema=arrow)
-
-    ends = {x: points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}")) for x in "ab"}
-    joined = pairs.join(ends["b"], "b").where("n_b is not null").join(ends["a"], "a").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
-    return joined.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(task, "a long, b long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                x, y = (b.column(c) for c in (4, 5))
+                known = np.flatnonzero(~(x.is_null().to_numpy(zero_copy_only=False) | y.is_null().to_numpy(zero_copy_only=False)))
+                keep = np.ones(b.num_rows, bool)
+                if len(known):
+                    u, v = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint16).reshape(-1, FINE) for c in (x, y))
+                    most = np.minimum(u, v).sum(axis=1, dtype=np.int64)
+                    keep[known] = linked(most, b.column(2).to_numpy()[known], b.column(3).to_numpy()[known])
+                kept = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], schema=arrow)
+
+    ends = {x: points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}")) for x in "ab"}
+    sized = pairs.join(ends["b"].drop("f_b"), "b").join(ends["a"].drop("f_a"), "a").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    joined = sized.join(ends["b"].drop("n_b"), "b").join(ends["a"].drop("n_a"), "a")
+    return joined.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(task, "a long, b long")
 
 
 def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -353,17 +395,17 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
     A text with fewer than five words has one shingle, all of it; one without words (null, empty) has none and is linked
-    with nothing. Rows of equal text are linked if they have a word. Rows that repeat an id count as one document. A row
-    with a null id gets a null component and links nothing. Extra columns are ignored. An empty table gives no rows.
+    with nothing. Rows of equal text are linked if they have a word. Of rows that repeat an id each gets the component of
+    its own text. A row with a null id gets a null component and links nothing. Extra columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     profiles = staged(_profiles(rows), "profiles")
-    own = profiles.where("n is not null").select("doc_id", "n", "d1", "d2", "counts")
-    seen = own.agg(F.count("*").alias("rows"), F.sum(F.expr("n - ceil(0.8 * n) + 1")).alias("tokens")).first()
+    own = profiles.where("n is not null").select("doc_id", "n", "d1", "d2", "counts", "fine")
+    seen = own.agg(F.sum(F.expr("n - ceil(0.8 * n) + 1")).alias("tokens")).first()
     often = profiles.where("n is null").groupBy("token").agg(F.sum("seen").alias("seen"))
-    often = often.where(F.col("seen") >= max(COMMON_LEAST, COMMON_SHARE * seen.rows)).orderBy(F.desc("seen"), "token").limit(COMMON_MOST)
-    common = np.sort(np.array([r.token for r in often.select("token").collect()], np.int64).view(np.uint64))
+    often = often.where(F.col("seen") >= COMMON_LEAST).orderBy(F.desc("seen"), "token").limit(COMMON_MOST)
+    common = np.sort(often.select("token").toArrow().column(0).to_numpy().view(np.uint64))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((seen.tokens or 0) / ROWS_A_TASK))
 
     classes = staged(
@@ -378,20 +420,20 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         skipped = np.sort(_mark(marks.column(0).to_numpy(), marks.column(1).to_numpy()))
     blocks = _blocks(rows, common, skipped)
     if skipped is None:
-        blocks = blocks.join(doubles.select("doc_id"), "doc_id", "left_anti").select("token", "salt", "doc_id")
+        blocks = blocks.join(doubles.select("doc_id"), "doc_id", "left_anti").select("token", "salt", "n", "doc_id")
 
     shared = staged(_shared(blocks, tasks), "blocks")
-    points = own.where("n > 0 and doc_id is not null").select("doc_id", "n", "counts")
+    points = own.where("n > 0 and doc_id is not null").select("doc_id", "n", "counts", "fine")
     tried = staged(_star_pairs(shared), "star-pairs")
     star = staged(_links(rows, staged(_bounded(tried, points).distinct(), "star-bounded")).distinct(), "star-links")
-    cluster = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    placed = shared.select("token", "doc_id").join(staged(cluster, "clusters"), "doc_id", "left")
-    placed = staged(placed.select("token", "doc_id", F.coalesce("cluster", "doc_id").alias("cluster")), "placed")
-    several = placed.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("rows"))
-    several = staged(several.where("low <> high").select("token", "rows"), "open-blocks")
-    open_rows = placed.join(several.select("token"), "token", "left_semi").join(points, "doc_id")
+    placed, several = _open_blocks(shared, star)
+    beside = staged(_beside(placed, several).join(tried, ["a", "b"], "left_anti"), "beside-pairs")
+    star = staged(star.union(_links(rows, staged(_bounded(beside, points).distinct(), "beside-bounded"))).distinct(), "beside-links")
+    tried = tried.union(beside)
+    placed, several = _open_blocks(shared, star)
+    open_rows = placed.join(several.select("token"), "token", "left_semi").join(points.drop("fine"), "doc_id")
     left = _tree_pairs(_cells(open_rows, several), tasks).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(rows, staged(left, "tree-pairs")).distinct()
+    more = _links(rows, staged(_bounded(staged(left, "tree-pairs"), points).distinct(), "tree-bounded")).distinct()
     found = components(staged(star.union(more), "all-links"))
     return (
         nodes.join(found.select("node", "component"), "node", "left")
@@ -400,9 +442,14 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` without those that are in the component of a lesser id.
+    """The rows and columns of ``docs`` without documents that are in the component of a lesser id.
 
-    Of rows that repeat an id one stays. Rows with a null id and without words stay.
+    An id that several rows have goes if all of them would, and one of them stays if not. Rows with a null id and without
+    words stay.
     """
-    found = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti")
+    found = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id")
+    ids = staged(found.agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows")).where("gone or rows > 1"), "gone-ids")
+    ids = ids.select(F.col("doc_id").alias("gone_id"), "gone")
+    same = F.col("doc_id") == F.col("gone_id")
+    once = docs.join(ids.where("not gone"), same, "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(ids, same, "left_anti").unionByName(once)

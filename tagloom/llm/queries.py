@@ -77,5 +77,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_REACHED = """reached(k, c) AS (SELECT k, k FROM nodes UNION SELECT r.k, l.b FROM reached r JOIN links l ON r.c = l.a),
+component AS (SELECT k, min(c) AS component_id FROM reached GROUP BY k)"""
+
+#: The exact operators; the others hash, learn or tokenize, and are held against brute force in tests.
+ORACLES = {
+    "op3_ngram_join": f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+nodes AS (SELECT doc_id AS k, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id AS k, unnest(s) AS t FROM sets),
+shared AS (SELECT x.k AS a, y.k AS b, count(*) AS i FROM shingles x JOIN shingles y ON x.t = y.t AND x.k <> y.k GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN nodes x ON x.k = a JOIN nodes y ON y.k = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+{_REACHED}
+SELECT k AS doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM nodes JOIN component USING (k)""",
+    "op6_lattice": f"""WITH RECURSIVE vectors AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nodes AS (SELECT k FROM vectors),
+sized AS (SELECT k, e, sqrt(list_dot_product(e, e)) AS size FROM vectors),
+links AS (SELECT x.k AS a, y.k AS b FROM sized x JOIN sized y ON x.k <> y.k AND x.size > 0 AND y.size > 0
+  WHERE list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.9),
+{_REACHED}
+SELECT k AS vec_id, CAST((SELECT count(*) FROM links WHERE a = k) AS BIGINT) AS n_links, component_id, k = component_id AS kept
+FROM nodes JOIN component USING (k)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
