@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tagloom.config import VocabConfig
 from tagloom.functions.text import is_upper
 
-_TOKEN = F.col
-
 
 def is_io_type(token: Column, config: VocabConfig = VocabConfig()) -> Column:
     return token.isin(*config.io_types)
