@@ -32,8 +32,9 @@ from tagloom.llm.components import components
 from tagloom.llm.storage import staged
 from tagloom.llm.words import mixed, shingle_hashes
 
-GROUPS = 64
+GROUPS = 256
 FINE = 512
+_FULL, _LARGE = 65_535, 8_000_000
 #: A shingle is common if so many documents have it, counted over stretches that it is in at least three times; of more
 #: than ``COMMON_MOST`` the most frequent (8 bytes each). Which are does not change the result, only the work.
 COMMON_LEAST, COMMON_MOST = 32, 1_000_000
@@ -56,8 +57,12 @@ def prefix_length(n: int) -> int:
 
 
 def counts_of(hashes: np.ndarray) -> np.ndarray:
-    """The point: shingles by group (bits that do not order the hashes)."""
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """The point: shingles by group (bits that do not order the hashes), in two bytes; of a group too large all are full.
+
+    With sizes taken as ``_LARGE`` at most, full points are never ruled out.
+    """
+    counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max(initial=0) <= _FULL else np.full(GROUPS, _FULL)).astype(np.uint16)
 
 
 def fine_counts(hashes: np.ndarray) -> bytes | None:
@@ -122,7 +127,7 @@ def tree_pairs(left: CountTree, right: CountTree) -> Iterator[tuple[np.ndarray,
                 y = ids_j[n + 1 :] if own else ids_j
                 y = y[right.clusters[y] != left.clusters[x]]
                 if len(y):
-                    y = y[linked(np.minimum(left.counts[x], right.counts[y]).sum(axis=1), left.sizes[x], right.sizes[y])]
+                    y = y[linked(np.minimum(left.counts[x], right.counts[y]).sum(axis=1, dtype=np.int64), left.sizes[x], right.sizes[y])]
                     if len(y):
                         yield np.full(len(y), x), y
 
@@ -308,13 +313,14 @@ def _tree_pairs(cells: DataFrame, tasks: int) -> DataFrame:
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[*(c.to_numpy() for c in b.columns[:7]), np.frombuffer(b"".join(b.column(7).to_pylist()), np.int32).reshape(-1, GROUPS)] for b in batches if b.num_rows]
+        got = [[*(c.to_numpy() for c in b.columns[:7]), np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)] for b in batches if b.num_rows]
         if not got:
             return
         columns = [np.concatenate(x) for x in zip(*got, strict=True)]
         got.clear()
         order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
         token, i, j, part, doc, n, cluster, counts = (x[order] for x in columns)
+        n = np.minimum(n, _LARGE)
         found: set[tuple[int, int]] = set()
 
         def batch() -> pa.RecordBatch:
