@@ -32,7 +32,7 @@ _STRIP = "'\"()[]{},;:*#$%&|<>_-+/\\=~^`¿¡«»“”‘’…"
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in _ENDS.split(text.lower()) if s]
+    return [s for s in _ENDS.split(text.lower()) if s and not s.isspace()]
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def train(docs: DataFrame, known: DataFrame, *, sample: int = SAMPLE) -> Model:
 def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
     """Each row's ``doc_id``, score, decision and the bounds and score of its worst sentence if it is rejected.
 
-    Null and empty texts score 0. Repeated rows give repeated rows. Extra columns are ignored. An empty table gives no
+    Null, empty and blank texts score 0. Repeated rows give repeated rows. Extra columns are ignored. An empty table gives no
     rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH numbers, whatever the corpus
