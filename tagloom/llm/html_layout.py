@@ -61,6 +61,8 @@ IMPLIED = {
 }
 _SCOPE = _set("table td th caption body html button object template")
 _NESTED_TABLES = 8
+#: Deeper elements become siblings, as in browsers, so that a page takes time in proportion to its length.
+MOST_OPEN = 512
 
 
 @dataclass(slots=True)
@@ -128,7 +130,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
             if tag == "style":
                 styles.append(body)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "math")):
-            stack.append(node)
+            if len(stack) < MOST_OPEN:
+                stack.append(node)
     return root, styles
 
 
