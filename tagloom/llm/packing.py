@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 END_ID = 2
 WINDOW_TOKENS = 4_000_000
-#: Sequences of lowest cost that are tried for a whole piece before it is cut.
-TRIES = 8
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_length long"
@@ -134,11 +132,15 @@ def pack_lengths(
     total = sum(n for n, _, _ in rest)
     first = len(rooms)
     rooms += [capacity] * (total // capacity)
-    heap = [(0.0, s) for s in range(first, len(rooms))]
     tail = total % capacity
     rooms += [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if tail >> b & 1]
     used = [0] * len(rooms)
     spent = [0.0] * len(rooms)
+    # Pieces descend, so a sequence with room for one piece has room for the next: the heap holds those with room, by cost,
+    # and the others wait, by room, until a piece is small enough.
+    heap = [(0.0, s) for s in range(first, len(rooms)) if rooms[s] == capacity]
+    waiting = [(-rooms[s], s) for s in range(first, len(rooms)) if rooms[s] < capacity]
+    heapq.heapify(waiting)
 
     def put(d: int, start: int, n: int, s: int) -> None:
         pieces.append((d, start, n, s, used[s]))
@@ -147,21 +149,22 @@ def pack_lengths(
 
     homeless = []
     for n, d, start in sorted(rest, key=lambda x: (-x[0], x[1])):
-        aside = []
-        while heap and len(aside) < TRIES and rooms[heap[0][1]] - used[heap[0][1]] < n:
-            aside.append(heapq.heappop(heap))
-        if heap and len(aside) < TRIES:
-            s = heapq.heappop(heap)[1]
-            put(d, start, n, s)
-            if used[s] < rooms[s]:
-                heapq.heappush(heap, (spent[s], s))
-        else:
+        while waiting and -waiting[0][0] >= n:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(heap, (spent[s], s))
+        if not heap:
             homeless.append((n, d, start))
-        for x in aside:
-            heapq.heappush(heap, x)
+            continue
+        s = heapq.heappop(heap)[1]
+        put(d, start, n, s)
+        room = rooms[s] - used[s]
+        if room >= n:
+            heapq.heappush(heap, (spent[s], s))
+        elif room:
+            heapq.heappush(waiting, (-room, s))
     heap = [(spent[s], s) for s in range(first, len(rooms)) if used[s] < rooms[s]]
     heapq.heapify(heap)
-    for n, d, start in homeless:  # cut over what room is left
+    for n, d, start in homeless:  # no sequence had room: cut over what is left
         while n:
             s = heapq.heappop(heap)[1]
             k = min(n, rooms[s] - used[s])

@@ -84,3 +84,26 @@ def test_round_trip(spark):
     assert all(used[r.sequence_id] == r.sequence_length for r in rows)
     assert pack_documents(df.limit(0), PATH).count() == 0
     assert pack_documents(df.union(df), PATH).count() >= 2 * len(TEXTS)
+
+
+def test_lowest_cost_of_all_sequences_with_room():
+    lengths = [int(x) for x in np.random.default_rng(2).lognormal(4.5, 1.2, 3000)] + [3000] * 40
+    pieces, rooms = pack_lengths(lengths)
+    left, spent, whole = list(rooms), [0.0] * len(rooms), {}
+    by_document = defaultdict(list)
+    for d, start, n, s, _ in pieces:
+        by_document[d].append((start, n, s))
+        if n == 4096:
+            left[s] = 0
+    for d, p in by_document.items():
+        rest = lengths[d] % 4096
+        whole[d] = next((s for start, n, s in p if n == rest and start == lengths[d] - rest), None)
+    for d in sorted(range(len(lengths)), key=lambda d: (-(lengths[d] % 4096), d)):
+        n = lengths[d] % 4096
+        open_ = [(spent[s], s) for s in range(len(rooms)) if left[s] >= n]
+        assert (whole[d] is None) == (not open_) or not n
+        if open_ and n:
+            s = min(open_)[1]
+            assert whole[d] == s
+            left[s] -= n
+            spent[s] += n + n * n / 4096
