@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -61,8 +62,8 @@ IMPLIED = {
 }
 _SCOPE = _set("table td th caption body html button object template")
 _NESTED_TABLES = 8
-#: Deeper elements become siblings, as in browsers, so that a page takes time in proportion to its length.
-MOST_OPEN = 512
+#: Columns of indentation; text at any depth is kept, but not pushed further to the right.
+_MOST_INDENT = 1024
 
 
 @dataclass(slots=True)
@@ -83,15 +84,22 @@ def parse(page: str) -> tuple[Node, list[str]]:
     """The tree and the bodies of the page's style elements."""
     root = Node("#root")
     stack, styles, at = [root], [], 0
+    places: dict[str, list[int]] = {}  # of the open elements in the stack, by tag
+
+    def innermost(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            places[n.tag].pop()
+        del stack[i:]
 
     def close(tags: frozenset[str], bounds: frozenset[str]) -> None:
         """Close the outermost open element of ``tags`` that no element of ``bounds`` shields."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                return
-            if stack[i].tag in tags and not any(n.tag in tags for n in stack[max(1, i - 3) : i]):
-                del stack[i:]
-                return
+        bound = innermost(bounds)
+        inside = [p[bisect_right(p, bound)] for t in tags if (p := places.get(t)) and p[-1] > bound]
+        if inside:
+            cut(min(inside))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -104,17 +112,14 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
             else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _SCOPE and tag not in BLOCKS:
-                        break
+                i = innermost(frozenset((tag,)))
+                if i and (tag in BLOCKS or i >= innermost(_SCOPE)):
+                    cut(i)
             continue
         if tag in IMPLIED:
             close(*IMPLIED[tag])
@@ -130,8 +135,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
             if tag == "style":
                 styles.append(body)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "math")):
-            if len(stack) < MOST_OPEN:
-                stack.append(node)
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
     return root, styles
 
 
@@ -163,7 +168,7 @@ class _Page:
         self.lines: list[str] = []
         self.text = ""
         self.gap = 0
-        self.indent = ""
+        self.indent = 0
         self.marker = ""
 
     def add(self, text: str, keep: bool = False) -> None:
@@ -172,7 +177,7 @@ class _Page:
             for i, part in enumerate(parts):
                 if i:
                     self.line()
-                    self.lines.append(self.indent) if not part and i < len(parts) - 1 else None
+                    self.lines.append(" " * min(self.indent, _MOST_INDENT)) if not part and i < len(parts) - 1 else None
                 self.text += part
             return
         text = _SPACE.sub(" ", text)
@@ -186,7 +191,7 @@ class _Page:
         if self.lines and self.gap > 1:
             self.lines.append("")
         self.gap = 0
-        head = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+        head = " " * (min(self.indent, _MOST_INDENT) - len(self.marker)) + self.marker
         self.marker = ""
         self.lines.append(head + body)
 
@@ -280,9 +285,9 @@ def _rendered(root: Node, selectors: set[str], depth: int = 0) -> str:
                 counters[-1] += 1
             else:
                 page.marker = "- "
-            page.indent += " " * len(page.marker)
+            page.indent += len(page.marker)
         elif tag in ("dd", "blockquote"):
-            page.indent += "  "
+            page.indent += 2
         plain += tag == "pre"
         waiting.append(("close", (item, before)))
         waiting += [("open", c) for c in reversed(item.children)]

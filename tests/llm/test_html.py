@@ -51,3 +51,17 @@ def test_pages(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in extract_pages(df).collect())
     assert got == [("1", "a", 1), ("1", "a", 1), ("2", "", 0), ("3", "", 0), ("None", "é😀", 2)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [510, 600, 20_000])
+@pytest.mark.parametrize("tag", ["div", "b"])
+def test_below_many_open_elements(depth, tag):
+    deep = f"<{tag}>" * depth
+    assert visible_text(deep + "<table><tr><td>cell<td>2</td></tr></table>") == "cell | 2"
+    assert visible_text(deep + "<div hidden>x<div>y</div>z</div>w") == "w"
+    assert visible_text(f"<div hidden>{deep}<div>x</div></div>" + f"</{tag}>" * depth + "</div>y") == "y"
+
+
+def test_items_without_end_tags_in_nested_lists():
+    assert visible_text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "- a\n  - b\n  - c\n- d"
+    assert visible_text("<table><tr><td><table><tr><td>a<tr><td>b</table></table>") == "a\nb"
