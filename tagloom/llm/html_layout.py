@@ -1,7 +1,8 @@
 """Visible text of web pages, laid out: a tree builder with implied tags, visibility rules, and a renderer for blocks.
 
 The tree builder closes elements as browsers do where an end tag may be left out (p, li, dt, dd, options, table parts),
-ignores stray end tags and closes what is open at the end. Hidden are elements that are never shown (head, script,
+ignores stray end tags and closes what is open at the end. What stands in a table but in no cell or caption goes before
+the table, and a table directly in a table ends the outer one. Hidden are elements that are never shown (head, script,
 style, template ...), the ``hidden`` attribute, hidden inputs, closed dialogs, inline ``display:none`` and
 ``visibility:hidden``, and elements that a page's own style rules hide by tag, class or id.
 
@@ -61,6 +62,18 @@ IMPLIED = {
     "body": (_set("head"), _set("")),
 }
 _SCOPE = _set("table td th caption body html button object template")
+#: Parts of a table, and the open elements that each goes into.
+_PARTS = {
+    **dict.fromkeys(("caption", "colgroup", "thead", "tbody", "tfoot"), _set("table")),
+    "col": _set("table colgroup"),
+    "tr": _set("table thead tbody tfoot"),
+    "td": _set("table thead tbody tfoot tr"),
+    "th": _set("table thead tbody tfoot tr"),
+}
+_PART_HOLDERS = _set("table thead tbody tfoot tr colgroup")
+_OWN_CONTENT = _set("template noscript svg math")
+#: If the innermost of these is a table, the place is in a table but in no cell.
+_TABLE_MODE = _OWN_CONTENT | _set("table td th caption")
 _NESTED_TABLES = 8
 #: Columns of indentation; text at any depth is kept, but not pushed further to the right.
 _MOST_INDENT = 1024
@@ -101,10 +114,25 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if inside:
             cut(min(inside))
 
+    def in_table() -> int:
+        """The place of the table that has what comes next in no cell, else 0."""
+        i = innermost(_TABLE_MODE) if places.get("table") else 0
+        return i if stack[i].tag == "table" else 0
+
+    def put(child: Node | str) -> None:
+        """Into the open element, or before the table; an open table is the last child of its parent."""
+        i = in_table() if stack[-1].tag in _PART_HOLDERS else 0
+        if not i or isinstance(child, Node) and child.tag in _PARTS or isinstance(child, str) and not child.strip(" \t\n\r\f"):
+            stack[-1].children.append(child)
+            return
+        if stack[-1].tag == "colgroup":
+            cut(len(stack) - 1)
+        stack[i - 1].children.insert(-1, child)
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start() if m else len(page)]))
+            put(html.unescape(page[at : m.start() if m else len(page)]))
         if m is None:
             break
         at = m.end()
@@ -113,9 +141,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
         tag = m[2].lower()
         if m[1]:
             if tag == "p" and not places.get("p"):
-                stack[-1].children.append(Node("p"))
+                put(Node("p"))
             elif tag == "br":
-                stack[-1].children.append(Node("br"))
+                put(Node("br"))
             else:
                 i = innermost(frozenset((tag,)))
                 if i and (tag in BLOCKS or i >= innermost(_SCOPE)):
@@ -125,8 +153,13 @@ def parse(page: str) -> tuple[Node, list[str]]:
             close(*IMPLIED[tag])
         if tag in ENDS_P:
             close(_set("p"), _SCOPE)
+        if tag in _PARTS or tag == "table":
+            if tag in _PARTS:
+                close(_set("caption"), _OWN_CONTENT | {"table"})
+            if i := in_table():
+                cut(max(i, innermost(_PARTS[tag])) + 1 if tag in _PARTS else i)
         node = Node(tag, _attributes(m[3]) if m[3].strip() else {})
-        stack[-1].children.append(node)
+        put(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             body = page[at : end.start() if end else len(page)]

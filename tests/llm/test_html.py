@@ -65,3 +65,33 @@ def test_below_many_open_elements(depth, tag):
 def test_items_without_end_tags_in_nested_lists():
     assert visible_text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "- a\n  - b\n  - c\n- d"
     assert visible_text("<table><tr><td><table><tr><td>a<tr><td>b</table></table>") == "a\nb"
+
+
+TABLE_CASES = {
+    "<table><tr><td>a</td></tr><p>rest<p>of the page": "rest\n\nof the page\n\na",
+    "x<table>intro<tr>text<td>a<td>b</table>y": "xintrotext\n\na | b\n\ny",
+    "<table><tbody><b>bold</b> <tr><td>a</tr>mid<tr><td>b</table>": "boldmid\n\na\nb",
+    "<table><tr><td>a<table><table><tr><td>b</table>c</table>d": "a\nb\nc\n\nd",
+    "<table>1<table>2<tr><td>3</table>4": "1\n\n2\n\n3\n\n4",
+    "<table><colgroup><col>c<tr><td>a</table>": "c\n\na",
+    "<table><form><tr><td>a</form><td>b</table>": "a | b",
+    "<table><div>d<tr><td>a<tr><div>e<td>b</table>": "d\ne\n\na\nb",
+    "<table><caption>c<tr><td>a<td>b</table>": "c\na | b",
+    "<table><template><tr>x<td>y</td></tr></template><noscript><tr><td>n</td></tr></noscript><svg><tr>s</svg><tr><td>a</table>": "a",
+    "<table><input type=submit value=Go><tr><td>a</table>": "Go\n\na",
+}
+
+
+@pytest.mark.parametrize("page", TABLE_CASES)
+def test_content_in_tables_but_in_no_cell(page):
+    assert visible_text(page) == TABLE_CASES[page]
+
+
+PARTS = "<table> <tr> <td> <tbody> <thead> <caption> <colgroup> <col> </td> </tr> </tbody> </table> <b> </b> <div> </div> <p> <form> </form> <br> <li> <ul> </ul> <button> </p>".split()
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "w1 ", "w2 "]), max_size=30))
+def test_no_word_is_lost_in_parts_of_tables(parts):
+    words = sum(p.startswith("w") for p in parts)
+    assert sum(visible_text("".join(parts)).count(w) for w in ("w1", "w2")) == words
