@@ -4,7 +4,8 @@ The tree builder closes elements as browsers do where an end tag may be left out
 ignores stray end tags and closes what is open at the end. What stands in a table but in no cell or caption goes before
 the table, and a table directly in a table ends the outer one. Hidden are elements that are never shown (head, script,
 style, template ...), the ``hidden`` attribute, hidden inputs, closed dialogs, inline ``display:none`` and
-``visibility:hidden``, and elements that a page's own style rules hide by tag, class or id.
+``visibility:hidden``, and elements that a page's own style rules hide by tag, class or id. Rules
+that hold under a condition (media queries with features, print, supports, containers) hide nothing.
 
 Blocks are separated by a blank line where they have margins, else by a new line. List items get a dash or a number and
 are indented with their list; table cells are padded to columns. White space collapses outside ``pre``.
@@ -25,7 +26,10 @@ from tagloom.llm.textlinear import mapped
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Comments, strings and addresses of a style sheet, or a sign that ends something.
+_CSS = re.compile(r"(/\*.*?(?:\*/|\Z))|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|\burl\([^)]*\)?|([{};])", re.S | re.I)
+_AT_RULE = re.compile(r"@([\w-]+)(.*)", re.S)
+_NOT_A_SCREEN = re.compile(r"not\s+(?!(?:all|screen)\Z)[\w-]+")
 _SELECTOR = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -94,7 +98,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree and the bodies of the page's style elements."""
+    """The tree and the bodies of the page's style elements for screens."""
     root = Node("#root")
     stack, styles, at = [root], [], 0
     places: dict[str, list[int]] = {}  # of the open elements in the stack, by tag
@@ -165,7 +169,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
             body = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            if tag == "style":
+            if tag == "style" and on_screen(node.attributes.get("media", "")):
                 styles.append(body)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "math")):
             places.setdefault(tag, []).append(len(stack))
@@ -173,13 +177,39 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
+def on_screen(media: str) -> bool:
+    """Whether one of the media queries holds on every screen; one with features does not."""
+    queries = [re.sub(r"^only\s+", "", q.strip()) for q in media.lower().split(",")]
+    return queries == [""] or any(q in ("all", "screen") or _NOT_A_SCREEN.fullmatch(q) for q in queries)
+
+
 def hiding_selectors(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) whose rules hide."""
+    """Simple selectors (tag, .class, #id) whose rules hide, but for rules in at-rules that hold under a condition."""
     out: set[str] = set()
     for sheet in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _HIDING.search(body):
-                out.update(s for x in selectors.split(",") if _SELECTOR.fullmatch(s := x.strip()))
+        blocks: list[str | None] = []  # open ones: a rule's selectors, "" where rules count, None where nothing counts
+        parts, at = [], 0
+        for m in _CSS.finditer(sheet):
+            sign = m[2]
+            parts.append(sheet[at : m.start() if m[1] or sign else m.end()])
+            at = m.end()
+            if not sign:
+                continue
+            text, parts = "".join(parts).strip(), []
+            if sign == "{":
+                rule = _AT_RULE.fullmatch(text)
+                if blocks and blocks[-1] != "":
+                    blocks.append(None)
+                elif rule:
+                    name = rule[1].lower()
+                    blocks.append("" if name == "layer" or name == "media" and on_screen(rule[2]) else None)
+                else:
+                    blocks.append(text or None)
+                continue
+            if blocks and blocks[-1] and _HIDING.search(text):
+                out.update(s for x in blocks[-1].split(",") if _SELECTOR.fullmatch(s := x.strip()))
+            if sign == "}" and blocks:
+                blocks.pop()
     return out
 
 

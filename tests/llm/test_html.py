@@ -95,3 +95,26 @@ PARTS = "<table> <tr> <td> <tbody> <thead> <caption> <colgroup> <col> </td> </tr
 def test_no_word_is_lost_in_parts_of_tables(parts):
     words = sum(p.startswith("w") for p in parts)
     assert sum(visible_text("".join(parts)).count(w) for w in ("w1", "w2")) == words
+
+
+@pytest.mark.parametrize(
+    ("style", "hides"),
+    [
+        ("<style>@media print{nav,.menu{display:none}}</style>", False),
+        ("<style>@media (max-width:600px){p{color:red}.menu{display:none}}</style>", False),
+        ("<style>@media screen and (max-width:600px){@layer a{.menu{display:none}}}</style>", False),
+        ("<style>@supports (display:grid){.menu{display:none}}</style>", False),
+        ("<style media=print>.menu{display:none}</style>", False),
+        ("<style media='(max-width: 9px)'>.menu{display:none}</style>", False),
+        ("<style>.a{color:red;.menu{display:none}}</style>", False),
+        ("<style>@media print{nav{color:red}}.menu{display:none}</style>", True),
+        ("<style>@media print{/* } */a:after{content:'}'}.menu{display:none}}</style>", False),
+        ("<style>@media print, screen{nav{color:red}.menu{display:none}}</style>", True),
+        ("<style>@media only screen{.menu{display:none;color:red}}</style>", True),
+        ("<style>@layer x{@media not print{.menu{color:red;display:none}}}</style>", True),
+        ("<style media='ALL'>@import 'x.css';.a,.menu{background:url(data:x;y);display:none}</style>", True),
+        ("<style media=screen>.menu{visibility:hidden}</style>", True),
+    ],
+)
+def test_rules_under_a_condition_hide_nothing(style, hides):
+    assert visible_text(style + "<nav class=menu>m</nav>t") == ("t" if hides else "m\nt")
