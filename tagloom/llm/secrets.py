@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long strings. DataFrame functions only.
 
 Patterns give spans of the kinds assign, access and hex. Every other run of 20 and more letters, digits and ``+/_-`` is
-held to be a string in the smallest encoding that has all its symbols. Four tests ask whether it can be a uniform draw
+held to be a string in the smallest encoding that has all its symbols; one that has signs both of ``+/`` and of ``_-`` is
+cut into its longest runs without the ones and without the others. Four tests ask whether it can be a uniform draw
 from that alphabet: chi-squared over the classes of symbols and over equal cells of the alphabet, the number of runs
 above and below the middle, and serial correlation. The smallest p counts four times (Bonferroni).
 
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = 20
 RATE = 0.1
 _RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
+#: Runs inside one that no encoding has, as it mixes the signs of two.
+_PARTS = tuple(rf"(?<![{x}])[{x}]{{{LEAST},}}={{0,2}}" for x in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings in the order in which they are tried: symbols in classes.
 ENCODINGS: tuple[tuple[str, ...], ...] = (
@@ -147,6 +150,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """Long runs with their stratum (encoding and length) and the bin of their p-value."""
 
+    def parted(x: Column) -> Column:
+        shifted = lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["body"].alias("body"))
+        parts = F.concat(*(_spans(x["body"], p, lambda m: F.lit(True), shifted) for p in _PARTS))
+        return F.when(x["body"].rlike("[+/]") & x["body"].rlike("[_-]"), parts).otherwise(F.array(x))
+
     def tested(x: Column) -> Column:
         body = F.regexp_replace(x["body"], "=+$", "")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), body.alias("body"), _encoding(body).alias("encoding"))
@@ -157,7 +165,8 @@ def candidates(text: Column) -> Column:
         bin_ = F.least(F.floor(-F.log10(p) * _PER_TEN), F.lit(_BINS)).cast("int")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), (x["encoding"] * _LENGTHS + length).alias("stratum"), bin_.alias("bin"))
 
-    known = F.filter(_spans(text, _RUN, lambda m: F.lit(True), tested), lambda x: x["encoding"].isNotNull())
+    runs = F.flatten(F.transform(_spans(text, _RUN, lambda m: F.lit(True), lambda x: x), parted))
+    known = F.filter(F.transform(runs, tested), lambda x: x["encoding"].isNotNull())
     return F.transform(known, placed)
 
 

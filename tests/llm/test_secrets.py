@@ -79,3 +79,20 @@ def test_empty_and_repeated(spark):
 def test_no_python_in_the_plan(spark):
     plan = find_secrets(frame(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_keys_in_runs_that_mix_the_signs_of_two_encodings(spark):
+    rng = np.random.default_rng(8)
+    key = lambda signs: "".join(rng.choice(list(B64[:62] + signs), 60)) + signs
+    keys = [(f"a/b_c/{key('+/')}", 4) for _ in range(30)] + [(f"x-y/{key('-_')}", 4) for _ in range(30)]
+    rows = find_secrets(frame(spark, [f"see {text} now" for text, _ in keys] + ["see some/long-path/of_words/and-more_words/here now"] * 3)).collect()
+    found = 0
+    for r in rows:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")]
+        if r.doc_id < len(keys):
+            text, at = keys[r.doc_id]
+            begin = at + (len("a/b_") if text.startswith("a") else len("x-y/"))
+            found += (begin, at + len(text)) in spans
+        else:
+            assert r.n_random == 0
+    assert found >= 0.85 * len(keys)
