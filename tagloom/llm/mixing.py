@@ -157,7 +157,7 @@ def mix_sources(
     placed = (
         _running(sized, "group", ["h", "doc_id", "size"], F.col("size"), "start")
         .join(_spread(sized, shares), ["source_key", "group"])
-        .withColumn("passes", F.filter(F.transform(F.array(F.lit(0), F.lit(1)), _span), lambda x: x["b"] > x["a"]))
+        .withColumn("passes", F.filter(F.transform(F.sequence(F.lit(0), F.lit(max(most, 1) - 1)), _span), lambda x: x["b"] > x["a"]))
     )
     blocks = (
         placed.withColumn("p", F.explode_outer("passes"))

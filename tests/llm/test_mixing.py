@@ -112,3 +112,19 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = mix_sources(frame(spark, corpus())).taken._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_as_many_passes_as_most_allows(spark, most):
+    rows = [(i, f"a b c d {i}", "large") for i in range(200)] + [(1000 + i, f"x y z {i}", "small") for i in range(10)]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    weights, share = (1, 4), 0.75 if most == 1 else 1.0
+    want = targets(sizes, weights * 2, share, most)
+    taken = mix_sources(frame(spark, rows), weights=weights, share=share, most=most).taken.collect()
+    got = Counter()
+    for r in taken:
+        assert 0 <= r.taken <= most * r.size
+        got[r.source_key[1:]] += r.taken
+    assert all(abs(got[s] - want[s]) <= 1 for s in sizes) and got["small"] == most * sizes["small"]
