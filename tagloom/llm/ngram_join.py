@@ -448,14 +448,31 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` without documents that are in the component of a lesser id.
+    """The rows and columns of ``docs`` without documents that are in the component of a lesser one, by id, then text.
 
-    An id that several rows have goes if all of them would, and one of them stays if not. Rows with a null id and without
-    words stay.
+    Texts that differ under one id are documents of their own; of rows that repeat id and text one stays. Rows with a
+    null id and without words stay.
     """
-    found = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id")
-    ids = staged(found.agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows")).where("gone or rows > 1"), "gone-ids")
-    ids = ids.select(F.col("doc_id").alias("gone_id"), "gone")
-    same = F.col("doc_id") == F.col("gone_id")
-    once = docs.join(ids.where("not gone"), same, "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(ids, same, "left_anti").unionByName(once)
+    text = F.coalesce(F.md5(F.col("text").cast("string")), F.lit(""))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("own_id"), text.alias("digest"))
+    repeated = rows.groupBy("own_id").agg(F.count("*").alias("rows"), F.min("digest").alias("first"), F.max("digest").alias("last"))
+    repeated = staged(repeated.where("rows > 1"), "repeated-ids")
+    if repeated.isEmpty():
+        found = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+        return docs.join(staged(found, "gone-ids"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+    # further texts of an id get ids of their own for the join, by hash
+    several = F.col("first").isNotNull() & (F.col("digest") != F.col("first"))
+    node = F.when(several, F.xxhash64("own_id", "digest")).otherwise(F.col("own_id"))
+    further = staged(rows.join(repeated, "own_id").where(several).select(node.alias("node"), "own_id", "digest").distinct(), "further-texts")
+    wide = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), text.alias("digest"), F.col("text").alias("t"))
+    nodes = wide.join(repeated, "own_id", "left").withColumn("node", node)
+    found = jaccard_components(nodes.select("node", "t"), doc_id="node", text="t").where("doc_id is not null").distinct()
+    named = found.select(F.col("doc_id").alias("node"), "component_id").join(further, "node", "left")
+    order = F.struct(F.coalesce("own_id", "node").alias("id"), F.coalesce("digest", F.lit("")).alias("digest"), "node")
+    least = named.groupBy("component_id").agg(F.min(order)["node"].alias("least"))
+    gone = staged(named.join(least, "component_id").where("node <> least").select(F.col("node").alias("gone_id")), "gone-ids")
+    left = nodes.join(gone, F.col("node") == F.col("gone_id"), "left_anti").select("row", "rows", "own_id", "digest")
+    twins = Window.partitionBy("own_id", "digest").orderBy(F.xxhash64("row"))
+    once = left.where("rows > 1").withColumn("twin", F.row_number().over(twins)).where("twin = 1")
+    return left.where("rows is null").select("row.*").unionByName(once.select("row.*"))

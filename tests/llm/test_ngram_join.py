@@ -142,3 +142,15 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {k: v for k, v in want.items() if k != 7} == {k: v for k, v in got.items() if k != 7}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_that_repeat_an_id_are_documents_of_their_own(spark):
+    far, copy = "a b c d e f g", " ".join(f"w{i}" for i in range(100))
+    near = copy + " z"
+    rows = [(3, near), (7, far), (7, copy), (7, far), (8, "h i j k l m"), (8, "n o p q r s"), (9, "n o p q r s"), (10, None), (10, "t u v w x y"), (None, far), (None, far)]
+    kept = without_near_copies(frame(spark, rows))
+    want = [(3, near), (7, far), (8, "h i j k l m"), (8, "n o p q r s"), (10, None), (10, "t u v w x y"), (None, far), (None, far)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want) and kept.columns == ["doc_id", "text", "token", "n"]
+    both = [(5, near), (5, copy), (6, copy)]  # near copies under one id: one of them stays
+    first = {tuple(r) for r in without_near_copies(frame(spark, both)).collect()}
+    assert len(first) == 1 and first == {tuple(r) for r in without_near_copies(frame(spark, both[::-1])).collect()}
