@@ -3,6 +3,7 @@
 A document's cost is linear in its tokens plus quadratic for attention. Documents, in descending order of cost, go to
 the sequence of lowest cost so far that still has room. Tokens are counted whole, and the sequences of a window have
 exactly as much room as the window has tokens: full sequences, then a tail cut at powers of two, which need no padding.
+What a window puts into its tail goes on to the next window, so a task has one tail.
 
 Each task packs the documents of its own input split, window by window, so nothing is shuffled, no source or long
 document makes a hot task, and a lost task is redone alone. Memory holds one window of token ids.
@@ -16,7 +17,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -39,27 +39,37 @@ _SPELT = {
 }
 
 
+class _Doubted(dict):
+    """Whether a character's class or lower case may depend on the version of Unicode, or on its neighbours."""
+
+    def __missing__(self, c: str) -> bool:
+        old = unicodedata.ucd_3_2_0.category
+        out = c in "Σİ" or any(old(x) == "Cn" or old(x) != unicodedata.category(x) for x in {c, *c.lower()})
+        self[c] = out
+        return out
+
+
 class WordEncoder:
     """Ids of a word-wise BPE tokenizer: white space only separates, so each chunk between blanks is encoded alone.
 
     Chunks and their letter, digit and sign runs are remembered (bounded); the model itself sees each new run once.
-    Strings of special tokens in a text are ordinary text.
+    The ids are those of ``Tokenizer.encode`` without added special tokens: a text that spells a special token out is
+    encoded by the tokenizer whole, and a chunk with a character that Unicode versions may read differently, alone.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
         model = tokenizer.model
+        self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
         def encode(text: str) -> bytes:
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
         def merged(run: str) -> bytes:
             """The ids of one run by the model alone, which wants bytes spelt as letters."""
-            spelt = run if run.isascii() else run.encode().decode("latin-1").translate(_SPELT)
+            spelt = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(_SPELT)
             return array("I", [token.id for token in model.tokenize(spelt)]).tobytes()
 
         suffix = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -77,7 +87,7 @@ class WordEncoder:
             def __missing__(self, chunk: str) -> bytes:
                 if chunk.isascii():
                     out = b"".join(map(known.__getitem__, ascii_runs(chunk.lower())))
-                elif unicodedata.is_normalized("NFC", chunk) and not {"Σ", "İ"} & set(chunk):
+                elif unicodedata.is_normalized("NFC", chunk) and not any(map(doubted.__getitem__, chunk)):
                     out = b"".join(map(known.__getitem__, runs(chunk.lower())))
                 else:
                     out = encode(chunk)
@@ -85,14 +95,7 @@ class WordEncoder:
                     self[chunk] = out
                 return out
 
-        known, self._chunks, self._encode = Runs(), Chunks(), encode
-        self._known = known
-
-    def begin(self) -> None:
-        """At the start of a task: what is remembered goes once it is full, as another split may have other words."""
-        for kept, most in ((self._known, _KEPT_RUNS), (self._chunks, _KEPT_CHUNKS)):
-            if len(kept) >= most:
-                kept.clear()
+        known, doubted, self._chunks, self._encode = Runs(), _Doubted(), Chunks(), encode
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -100,14 +103,11 @@ class WordEncoder:
             return b""
         if any(x in text for x in "\x1c\x1d\x1e\x1f"):  # blanks for str.split, signs for the tokenizer
             return self._encode(text)
+        if any(x in text for x in self._special):
+            return self._encode(text)
         return b"".join(map(self._chunks.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def cost(length: int, linear: float, quadratic: float) -> float:
     return linear * length + quadratic * length * length
 
@@ -191,7 +191,8 @@ def pack_documents(
 
     ``tokenizer`` is the path of a ``tokenizers`` file that every node has. Null and empty texts give the end id alone.
     Repeated rows are packed once each. Extra columns are ignored. An empty table gives no pieces. ``window_tokens``
-    bounds a task's memory; a longer document makes a window of its own.
+    bounds a task's memory; a longer document makes a window of its own. Ties in cost go to the first sequence, in length
+    to the first row.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -201,20 +202,24 @@ def pack_documents(
     schema = pa.schema([(x, pa.int64()) for x in names])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base = encoder(tokenizer), TaskContext.get().partitionId() << 32
-        words.begin()
-        window: list[tuple[int | None, bytes]] = []
+        words, base = WordEncoder(tokenizer), TaskContext.get().partitionId() << 32
+        window: list[tuple[int | None, bytes, int, int]] = []  # id, the document's ids, the first to pack and how many
         held = 0
 
-        def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal base
-            pieces, rooms = pack_lengths([len(ids) // 4 for _, ids in window], capacity, linear, square)
-            rows = [
-                (window[d][0], start, n, zlib.crc32(window[d][1][4 * start : 4 * (start + n)]),
-                 len(window[d][1]) // 4, base + s, offset, rooms[s])
-                for d, start, n, s, offset in pieces
-            ]
+        def packed(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal base, held
+            pieces, rooms = pack_lengths([n for *_, n in window], capacity, linear, square)
+            rows, rest = [], []
+            for d, start, n, s, offset in pieces:
+                key, ids, first, _ = window[d]
+                start += first
+                if last or rooms[s] == capacity:
+                    rows.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, base + s, offset, rooms[s]))
+                else:
+                    rest.append((key, ids, start, n))
             base += len(rooms)
+            window[:] = rest
+            held = sum(n for *_, n in rest)
             for i in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, pa.int64()) for x in zip(*rows[i : i + 50_000], strict=True)], schema=schema
@@ -223,14 +228,12 @@ def pack_documents(
         for batch in batches:
             for key, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.ids(text_.as_py()) + ends
-                window.append((key, ids))
+                window.append((key, ids, 0, len(ids) // 4))
                 held += len(ids) // 4
                 if held >= window_tokens:
-                    yield from packed()
-                    window.clear()
-                    held = 0
+                    yield from packed(False)
         if window:
-            yield from packed()
+            yield from packed(True)
 
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     body = F.col(text) if isinstance(text, str) else text

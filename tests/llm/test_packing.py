@@ -18,9 +18,7 @@ TEXTS = [
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_encoder_against_the_tokenizer():
@@ -30,6 +28,19 @@ def test_encoder_against_the_tokenizer():
         assert e.ids(text) == want == e.ids(text), text
 
 
+def test_every_code_point():
+    e, t = WordEncoder(PATH), tokenizer()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)} {chr(c)}1" for c in points[i : i + 1000]) for i in range(0, len(points), 1000)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        if e.ids(text) != array("I", want.ids).tobytes():
+            wrong = [x for x in text.split(" ") if e.ids(x) != array("I", t.encode(x, add_special_tokens=False).ids).tobytes()]
+            assert not wrong, [hex(ord(c)) for x in wrong[:9] for c in x]
+            raise AssertionError(text[:9])
+    for text in ("a\x01", "\x7f", "x<|startoftext|>y", "<|ENDOFTEXT|>"):
+        assert e.ids(text) == array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [4096], [4097, 1], [1] * 5000, [3000] * 50, list(np.random.default_rng(0).integers(1, 20_000, 400))])
 def test_pack_lengths(lengths):
     pieces, rooms = pack_lengths([int(x) for x in lengths])
@@ -82,6 +93,11 @@ def test_round_trip(spark):
         assert r.offset == used[r.sequence_id]
         used[r.sequence_id] += r.length
     assert all(used[r.sequence_id] == r.sequence_length for r in rows)
+    shorter = defaultdict(set)
+    for r in rows:
+        if r.sequence_length < 4096:
+            shorter[r.sequence_id >> 32].add(r.sequence_id)
+    assert all(len(x) <= 12 for x in shorter.values())  # one tail for each task, whatever its windows
     assert pack_documents(df.limit(0), PATH).count() == 0
     assert pack_documents(df.union(df), PATH).count() >= 2 * len(TEXTS)
 
