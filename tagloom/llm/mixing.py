@@ -28,13 +28,16 @@ MOST = 2
 BLOCK_WORDS = 1024
 GROUP_BITS = 10
 SEED = 17
+#: Points are made so many at a time.
+_POINTS = 4096
 
 
 @dataclass(frozen=True)
 class Mix:
     """``sources``: targets. ``schedule``: slot, source and block. ``pieces``: which words of which row a slot takes.
 
-    ``taken``: each row of the documents with the words taken from it.
+    ``taken``: each row of the documents with the words taken from it, the first slot that takes some, and for each pass
+    over its source the first slot and the words.
     """
 
     sources: DataFrame
@@ -48,6 +51,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("a"), source.cast("string")), F.lit("b"))
 
 
+def row_hash(seed: int, doc_id: Column, text: Column, source: Column) -> Column:
+    """Shuffles documents; rows that agree in all three are alike."""
+    return F.xxhash64(F.lit(seed), doc_id, text, source_key(source))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -79,7 +87,7 @@ def _shares(targets: DataFrame, block_words: int) -> DataFrame:
     before = everything.orderBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
     bits = F.ceil(F.log2(F.greatest(F.col("wanted") / block_words, F.lit(1.0)))).cast("int")
     return (
-        targets.withColumn("bits", F.least(F.greatest(bits, F.lit(GROUP_BITS)), F.lit(30)))
+        targets.withColumn("bits", F.greatest(bits, F.lit(GROUP_BITS)))
         .withColumn("grid", F.expr("shiftleft(1L, bits)"))
         .withColumn("all", F.greatest(F.sum("target").over(everything), F.lit(1.0)))
         .withColumn("end", F.sum("target").over(before))
@@ -126,14 +134,15 @@ def mix_sources(
 
     Null texts have no words, rows without words are never taken, a null source is a source of its own and comes last.
     Repeated rows are rows of their own. Extra columns are ignored. An empty table gives empty tables. Runs agree: the
-    shuffle is a hash of id and text. The sizes are staged, so texts are read once.
+    shuffle is a hash of id, text and source. The sizes are staged, so texts are read once. Documents and slots, which
+    grow, are joined by shuffle.
     """
     sized = staged(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             source_key(F.col(source)).alias("source_key"),
             word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"),
+            row_hash(seed, F.col(doc_id), F.col(text), F.col(source)).alias("h"),
         ).withColumn("group", F.shiftright("h", 64 - GROUP_BITS)),
         "mix-sizes",
     )
@@ -147,7 +156,8 @@ def mix_sources(
         .select("source_key", "bits", F.greatest("lo", F.expr("c * cell")).alias("a"), F.least("hi", F.expr("(c + 1) * cell")).alias("b"))
         .repartition("source_key", "a")
     )
-    slots = cells.withColumn("point", F.explode(F.expr("sequence(a, b - 1)"))).select(
+    some = cells.withColumn("a", F.explode(F.expr(f"sequence(a, b - 1, {_POINTS})"))).withColumn("b", F.least("b", F.col("a") + _POINTS))
+    slots = some.withColumn("point", F.explode(F.expr("sequence(a, b - 1)"))).select(
         "source_key",
         F.expr("cast(conv(reverse(lpad(bin(point), bits, '0')), 2, 10) as bigint)").alias("slot"),
         F.expr(f"shiftright(cast(conv(reverse(lpad(bin(point), bits, '0')), 2, 10) as bigint), bits - {GROUP_BITS})").alias("part"),
@@ -166,15 +176,18 @@ def mix_sources(
         .withColumn("b", F.least(F.col("p.b"), F.expr("(r + 1) * block")))
         .withColumn("r", F.coalesce("r", -1 - F.pmod("h", F.lit(1 << 40))))  # rows that are not taken meet no slot
     )
-    joined = blocks.join(schedule, ["source_key", "r"], "left")
+    joined = blocks.join(schedule.hint("merge"), ["source_key", "r"], "left")
     row = ["source_key", "group", "nr", "doc_id", "h", "size", "source_size", "target"]
     pieces = joined.where("slot is not null").select(
         "slot", "source_key", "doc_id", "h", "p.turn", (F.col("a") - F.col("p.start")).alias("first_word"), (F.col("b") - F.col("a")).alias("words")
     )
+    used = F.when(F.col("slot").isNotNull(), F.col("b") - F.col("a"))
+    by_pass = joined.groupBy(*row, F.col("p.turn").alias("turn")).agg(F.sum(used).alias("words"), F.min(F.when(used > 0, F.col("slot"))).alias("slot"))
+    passes = F.collect_list(F.when(F.col("words") > 0, F.struct("turn", "slot", "words")))  # at most ``most``
     taken = (
-        joined.groupBy(*row)
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("b") - F.col("a"))), F.lit(0)).alias("taken"))
-        .select("doc_id", "source_key", "h", "size", "source_size", "target", "taken")
+        by_pass.groupBy(*row)
+        .agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"), F.array_sort(passes).alias("passes"))
+        .select("doc_id", "source_key", "h", "size", "source_size", "target", "taken", "first_slot", "passes")
     )
     return Mix(shares, schedule, pieces, taken)
 
@@ -194,23 +207,26 @@ def _spread(sized: DataFrame, shares: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them; one that it cuts off ends after the words taken (blanks as spaces).
 
-    ``n_chars``, if there, follows the text. Identical rows are told apart by a running number.
+    Each partition is in the order of the schedule's slots, so any stretch of it holds the sources near their weights.
+    ``n_chars``, if there, follows the text. Null and empty texts have no words and are not taken. Rows alike in id, text
+    and source are told apart by a running number in the order of a hash of the whole row. An empty table gives no rows.
     """
     names = {x: options.get(x, x) for x in ("doc_id", "text", "source")}
-    key, text = F.col(names["doc_id"]), F.col(names["text"])
-    mark = F.xxhash64(F.lit(options.get("seed", SEED)), key, text)
-    twin = F.row_number().over(Window.partitionBy("h").orderBy(F.lit(1)))
-    taken = mix_sources(docs, **options).taken.where("taken > 0").select("h", "taken", "size").withColumn("twin", twin)
-    rows = docs.select(F.struct("*").alias("row"), mark.alias("h")).withColumn("same", twin)
-    copies = F.expr("sequence(1, cast((taken + size - 1) div size as int))")
-    words = F.expr("taken - (copy - 1) * size")
+    text = F.col(names["text"])
+    mark = row_hash(options.get("seed", SEED), F.col(names["doc_id"]), text, F.col(names["source"]))
+    twin = lambda order: F.row_number().over(Window.partitionBy("h").orderBy(order))
+    taken = mix_sources(docs, **options).taken.select("h", "passes", "size", "first_slot").withColumn("twin", twin(F.struct("first_slot", "passes")))
+    taken = taken.where("first_slot is not null").drop("first_slot")
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("h")).withColumn("same", twin(F.xxhash64("row")))
     text = F.col("row")[names["text"]]
+    words = F.col("pass.words")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, words.cast("int")), " ")
     out = (
-        rows.join(taken, "h")
+        rows.join(taken.hint("merge"), "h")
         .where("same = twin")
-        .withColumn("copy", F.explode(copies))
+        .withColumn("pass", F.explode("passes"))
         .withColumn("body", F.when(words >= F.col("size"), text).otherwise(cut))
+        .sortWithinPartitions("pass.slot", "h", "pass.turn")
     )
     changed = {names["text"]: F.col("body"), "n_chars": F.length("body")}
     return out.select(

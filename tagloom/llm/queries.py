@@ -59,7 +59,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
-    return mix.taken.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot", F.col("passes.slot").alias("slots"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

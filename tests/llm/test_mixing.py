@@ -87,6 +87,46 @@ def test_schedule_is_even(spark):
     assert all(max(v) - sorted(v)[min(1, len(v) - 1)] <= 1 for v in by_source.values())  # equal blocks but for the last
 
 
+def schedule_of(sources, block_words=1024):
+    """Slots in order of rank by source, and the words of a block: ``sources`` maps a source to its size."""
+    want = targets(sources)
+    order = sorted(sources, key=lambda s: (s is None, (s or "").encode()))
+    bits = max(10, int(np.ceil(np.log2(max(1.0, 1.5 * sum(sources.values()) / block_words)))))
+    ends = np.cumsum([want[s] for s in order])
+    edges = np.ceil(ends / ends[-1] * 2**bits)
+    slots = defaultdict(list)
+    for k in range(2**bits):
+        point = int(bin(k)[2:].zfill(bits)[::-1], 2)
+        slots[order[int(np.searchsorted(edges, point, side="right"))]].append(k)
+    return slots, {s: -(-round(want[s]) // len(slots[s])) for s in order if slots[s]}
+
+
+def test_results_follow_the_schedule(spark):
+    rows = [r for r in corpus(2, ("a", "b", "c", "d")) if r[2] in list("abcd") and r[0] is not None and r[0] != 9004]
+    mix = mix_sources(frame(spark, rows))
+    taken = mix.taken.collect()
+    sizes = Counter()
+    for r in taken:
+        sizes[r.source_key[1:]] += r.size
+    slots, block = schedule_of(sizes)
+    for s in sizes:
+        at = 0
+        for r in sorted((r for r in taken if r.source_key[1:] == s), key=lambda r: (r.h, r.doc_id, r.size)):
+            for p in r.passes:
+                assert p.slot == slots[s][(p.turn * sizes[s] + at) // block[s]]
+            assert r.first_slot == min((p.slot for p in r.passes), default=None) and r.taken == sum(p.words for p in r.passes)
+            at += r.size
+    # documents come out in the order of their slots
+    kept = {(r.doc_id, p.turn): p.slot for r in taken for p in r.passes}
+    for part in mixed_documents(frame(spark, rows)).select("doc_id").rdd.glom().collect():
+        seen, last = Counter(), -1
+        for (key,) in part:
+            slot = kept[key, seen[key]]
+            assert slot >= last
+            seen[key] += 1
+            last = slot
+
+
 def test_mixed_documents(spark):
     rows = corpus()
     df = frame(spark, rows)
