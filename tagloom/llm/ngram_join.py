@@ -3,18 +3,19 @@
 Points: shingles are hashed into ``GROUPS`` groups, and a document is the vector of its counts by group. Two documents
 share at most the sum over groups of the smaller count; where that is below the overlap they would need, no set is
 looked at. Points that share a block are held in an R-tree (boxes: greatest counts, range of sizes, cluster if one), and
-the tree is joined with itself by the same bound. Pairs that it leaves meet the bound once more with ``FINE`` groups, as
-long documents fill few groups evenly.
+every pair whose sets are compared comes from such a tree.
 
 Blocks make the join distributed and lose nothing: under one fixed order of all shingles, linked sets share one of their
 first ``n - ceil(0.8 n) + 1`` shingles. The order is by hash, but shingles that very many documents share come last, so
 a passage that is common does not make a block. Those are counted over all documents. A block is cut where its sizes
-leave a gap that no linked pair spans.
-
-Work does not grow with the square of a group of copies. Equal sets are one node. In a block every node is first tried
-against the block's least node alone, and then, in blocks whose nodes these links do not connect, against the node next
-to it in an order by hash; what the links connect is a cluster, and the tree joins only nodes of different clusters.
-Every pair that could still connect two clusters is tried, so the components are exact.
+leave a gap that no linked pair spans, and blocks of the same documents are one block.
+
+Work does not grow with the square of a group of copies. Equal sets are one node. In rounds, every node takes part in the
+tree of one of its blocks, and the tree proposes as many pairs as it has points: in each leaf the point nearest to the
+leaf's mean with the others, in each inner node the two of its halves. What is linked becomes a cluster, and rounds go on,
+over blocks that hold several clusters, while they find much. Then the trees of all blocks that still hold several
+clusters are joined with themselves by the bound, but for nodes of one cluster. Every pair that could still connect two
+clusters is tried, so the components are exact.
 """
 
 from __future__ import annotations
@@ -32,9 +33,7 @@ from tagloom.llm.components import components
 from tagloom.llm.storage import staged
 from tagloom.llm.words import mixed, shingle_hashes
 
-GROUPS = 256
-FINE = 512
-_FULL, _LARGE = 65_535, 8_000_000
+GROUPS = 512
 #: A shingle is common if so many documents have it, counted over stretches that it is in at least three times; of more
 #: than ``COMMON_MOST`` the most frequent (8 bytes each). Which are does not change the result, only the work.
 COMMON_LEAST, COMMON_MOST = 32, 1_000_000
@@ -42,9 +41,12 @@ _CHUNK = 3_000_000
 #: Up to so many ids (8 bytes each) are broadcast; above, tables are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 ROWS_A_TASK = 2_000_000
-CELL_ROWS = 100_000
+CELL_ROWS = 50_000
 SALTS = 64
 LEAF = 32
+#: Rounds go on while the links that one finds are at least such a share of the documents that took part.
+FRUITFUL = 0.05
+_PARTNERS = 1000
 
 
 def linked(overlap: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -56,20 +58,13 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def counts_of(hashes: np.ndarray) -> np.ndarray:
-    """The point: shingles by group (bits that do not order the hashes), in two bytes; of a group too large all are full.
+def counts_of(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The point: shingles by group (bits that do not order the hashes), in a byte each, and the sum of what goes beyond.
 
-    With sizes taken as ``_LARGE`` at most, full points are never ruled out.
+    Smaller counts and the smaller excess together bound the overlap for documents of any size.
     """
     counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return (counts if counts.max(initial=0) <= _FULL else np.full(GROUPS, _FULL)).astype(np.uint16)
-
-
-def fine_counts(hashes: np.ndarray) -> bytes | None:
-    """The point by ``FINE`` groups; none for a document too large for two bytes a count."""
-    if len(hashes) > 65_535:
-        return None
-    return np.bincount((hashes & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE).astype(np.uint16).tobytes()
+    return np.minimum(counts, 255).astype(np.uint8), int(np.maximum(counts - 255, 0).sum())
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -80,8 +75,8 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
 class CountTree:
     """Points bulk-loaded into a binary R-tree by halving along the widest coordinate."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, clusters: np.ndarray) -> None:
-        self.counts, self.sizes, self.clusters = counts, sizes, clusters
+    def __init__(self, counts: np.ndarray, excess: np.ndarray, sizes: np.ndarray, clusters: np.ndarray) -> None:
+        self.counts, self.excess, self.sizes, self.clusters = counts, excess, sizes, clusters
         self.nodes: list[tuple] = []
         self._build(np.arange(len(sizes)))
 
@@ -91,17 +86,43 @@ class CountTree:
             ids, parent = waiting.pop()
             own = len(self.nodes)
             if parent is not None:
-                self.nodes[parent][4].append(own)
+                self.nodes[parent][5].append(own)
             c, k = self.counts[ids], self.clusters[ids]
             same = k[0] if (k == k[0]).all() else None
-            self.nodes.append((c.max(axis=0), int(self.sizes[ids].min()), int(self.sizes[ids].max()), same, [], ids))
+            top = c.max(axis=0)
+            self.nodes.append((top, int(self.excess[ids].max()), int(self.sizes[ids].min()), int(self.sizes[ids].max()), same, [], ids))
             if len(ids) > LEAF:
-                spread = np.append(np.ptp(c, axis=0), np.ptp(self.sizes[ids]))
+                spread = np.append((top - c.min(axis=0)).astype(np.int64), np.ptp(self.sizes[ids]))
                 by = int(spread.argmax())
                 order = np.argsort(self.sizes[ids] if by == GROUPS else c[:, by], kind="stable")
                 half = len(ids) // 2
                 waiting += [(ids[order[half:]], own), (ids[order[:half]], own)]
 
+    def may_link(self, x: int | np.ndarray, other: CountTree, y: np.ndarray) -> np.ndarray:
+        """Whether the bound leaves the pairs of points."""
+        most = np.minimum(self.counts[x], other.counts[y]).sum(axis=-1, dtype=np.int64) + np.minimum(self.excess[x], other.excess[y])
+        return linked(most, self.sizes[x], other.sizes[y])
+
+    def spanning(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs, fewer than points, that would connect all points: those of different clusters that the bound leaves."""
+        middle: dict[int, int] = {}
+        x, y = [], []
+        for own in range(len(self.nodes) - 1, -1, -1):  # children come after their parents
+            *_, kids, ids = self.nodes[own]
+            among = np.array([middle[k] for k in kids]) if kids else ids
+            mean = self.counts[ids].mean(axis=0)
+            best = int(among[np.abs(self.counts[among] - mean).sum(axis=1).argmin()])
+            middle[own] = best
+            others = among[among != best]
+            x.append(np.full(len(others), best))
+            y.append(others)
+        x, y = np.concatenate(x), np.concatenate(y)
+        keep = self.clusters[x] != self.clusters[y]
+        x, y = x[keep], y[keep]
+        left = [self.may_link(x[i : i + 4096], self, y[i : i + 4096]) for i in range(0, len(x), 4096)]
+        left = np.concatenate(left) if left else np.zeros(0, bool)
+        return x[left], y[left]
+
 
 def tree_pairs(left: CountTree, right: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points, of different clusters, that the bound cannot rule out; each once if the trees are one."""
@@ -109,12 +130,12 @@ def tree_pairs(left: CountTree, right: CountTree) -> Iterator[tuple[np.ndarray,
     waiting = [(0, 0)]
     while waiting:
         i, j = waiting.pop()
-        top_i, low_i, high_i, same_i, kids_i, ids_i = left.nodes[i]
-        top_j, low_j, high_j, same_j, kids_j, ids_j = right.nodes[j]
+        top_i, more_i, low_i, high_i, same_i, kids_i, ids_i = left.nodes[i]
+        top_j, more_j, low_j, high_j, same_j, kids_j, ids_j = right.nodes[j]
         if same_i is not None and same_i == same_j or 5 * high_i < 4 * low_j or 5 * high_j < 4 * low_i:
             continue
         own = one and i == j
-        if not own and not linked(int(np.minimum(top_i, top_j).sum()), low_i, low_j):
+        if not own and not linked(int(np.minimum(top_i, top_j).sum(dtype=np.int64)) + min(more_i, more_j), low_i, low_j):
             continue
         if own and kids_i:
             waiting += [(kids_i[0], kids_i[0]), (kids_i[0], kids_i[1]), (kids_i[1], kids_i[1])]
@@ -127,14 +148,14 @@ def tree_pairs(left: CountTree, right: CountTree) -> Iterator[tuple[np.ndarray,
                 y = ids_j[n + 1 :] if own else ids_j
                 y = y[right.clusters[y] != left.clusters[x]]
                 if len(y):
-                    y = y[linked(np.minimum(left.counts[x], right.counts[y]).sum(axis=1, dtype=np.int64), left.sizes[x], right.sizes[y])]
+                    y = y[left.may_link(x, right, y)]
                     if len(y):
                         yield np.full(len(y), x), y
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
     """Documents with size, digest and point; and, with a null size, shingles that a stretch of documents often has."""
-    schema = "doc_id long, n long, d1 long, d2 long, counts binary, fine binary, token long, seen long"
+    schema = "doc_id long, n long, d1 long, d2 long, counts binary, excess long, token long, seen long"
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
@@ -157,7 +178,8 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 for key, text in zip(ids[at : at + 500], batch.column(1).slice(at, 500), strict=True):
                     h = shingle_hashes(text.as_py())
                     if len(h):
-                        out.append((key, len(h), *digest(h), counts_of(h).tobytes(), fine_counts(h), None, None))
+                        counts, excess = counts_of(h)
+                        out.append((key, len(h), *digest(h), counts.tobytes(), excess, None, None))
                         chunk.append(h)
                         held += len(h)
                     else:
@@ -184,7 +206,7 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
     """
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((common, skipped))
-    arrow = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64())])
+    arrow = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("rank", pa.int32()), ("doc_id", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, copies = shared.value
@@ -197,7 +219,9 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
             ids, size = np.repeat(key, rows), np.repeat(n, rows).astype(np.int32)
             token = np.concatenate(tokens)
             salt = np.where(among(late, token), ids % SALTS, -1) if len(late) else np.full(len(token), -1)
-            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(size), pa.array(ids)], schema=arrow)
+            rank = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(rows) - rows).astype(np.int32), rows)
+            columns = [token.view(np.int64), salt.astype(np.int32), size, rank, ids]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
         def among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
@@ -230,7 +254,7 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
         if owners:
             yield flat()
 
-    return rows.mapInArrow(task, "token long, salt int, n int, doc_id long")
+    return rows.mapInArrow(task, "token long, salt int, n int, rank int, doc_id long")
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -243,100 +267,106 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 
 
 def _shared(blocks: DataFrame, tasks: int) -> DataFrame:
-    """Rows of blocks with two documents or more, with the least document of the block, or of the salt's part of it.
+    """``block``, ``doc_id`` and ``rank`` (of the shingle in the document) for blocks with two documents or more.
 
-    A block is cut by size and ``token`` renamed so; parts of a common shingle's block keep all rows.
+    A shingle's documents are cut by size. A block is named by its documents, so blocks of the same ones fall together; one
+    of a common shingle, whose rows are spread, by the shingle.
     """
-    arrow = pa.schema([("token", pa.int64()), ("late", pa.bool_()), ("leader", pa.int64()), ("doc_id", pa.int64())])
+    arrow = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("rank", pa.int32())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not sum(len(x[0]) for x in got):
             return
-        token, salt, n, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+        token, salt, n, rank, doc = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
         order = np.lexsort((n, salt, token))
-        token, salt, n, doc = token[order], salt[order], n[order].astype(np.int64), doc[order]
+        token, salt, n, rank, doc = token[order], salt[order], n[order].astype(np.int64), rank[order], doc[order]
         starts = _starts(token, salt, np.append(0, np.cumsum((5 * n[:-1] < 4 * n[1:]) & (salt[1:] < 0))))
-        size = np.diff(starts, append=len(token))
-        leader = np.repeat(np.minimum.reduceat(doc, starts), size)
-        low = np.where(salt[starts] < 0, n[starts], 0).view(np.uint64)
-        name = np.repeat(mixed(token[starts].view(np.uint64) + low * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), size)
-        rows = np.flatnonzero(np.repeat((size > 1) | (salt[starts] >= 0), size))
+        size, late = np.diff(starts, append=len(token)), salt[starts] >= 0
+        members = np.add.reduceat(mixed(doc.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)), starts)
+        name = mixed(np.where(late, token[starts].view(np.uint64), members)).view(np.int64)
+        first = np.zeros(len(starts), bool)
+        first[np.unique(name, return_index=True)[1]] = True
+        rows = np.flatnonzero(np.repeat((size > 1) & first | late, size))
+        name = np.repeat(name, size)
         for i in range(0, len(rows), 100_000):
             r = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(name[r]), pa.array(salt[r] >= 0), pa.array(leader[r]), pa.array(doc[r])], schema=arrow)
-
-    return blocks.repartition(tasks, "token", "salt").mapInArrow(task, "token long, late boolean, leader long, doc_id long")
+            yield pa.RecordBatch.from_arrays([pa.array(name[r]), pa.array(doc[r]), pa.array(rank[r])], schema=arrow)
 
+    found = blocks.repartition(tasks, "token", "salt").mapInArrow(task, "block long, doc_id long, rank int")
+    return found.groupBy("block", "doc_id").agg(F.min("rank").alias("rank"))
 
-def _star_pairs(shared: DataFrame) -> DataFrame:
-    """Every document with its block's least one; the parts' least ones with the least of all."""
-    parts = shared.where("late").groupBy("token", "leader").agg(F.count("*").alias("rows")).drop("rows")
-    whole = parts.groupBy("token").agg(F.min("leader").alias("a"))
-    across = parts.join(whole, "token").select("a", F.col("leader").alias("b"))
-    return shared.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).union(across).where("a <> b").distinct()
 
+def _open_blocks(shared: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (``block``, ``doc_id``, ``rank``, ``cluster``), and ``block`` and ``rows`` of blocks with more than one cluster."""
+    if links is None:
+        placed = shared.withColumn("cluster", F.col("doc_id"))
+    else:
+        cluster = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+        placed = shared.select("block", "doc_id", "rank").join(staged(cluster, "clusters"), "doc_id", "left")
+        placed = staged(placed.select("block", "doc_id", "rank", F.coalesce("cluster", "doc_id").alias("cluster")), "placed")
+    several = placed.groupBy("block").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("rows"))
+    return placed, staged(several.where("low <> high").select("block", "rows"), "open-blocks")
 
-def _open_blocks(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (``token``, ``doc_id``, ``cluster``), and ``token`` and ``rows`` of blocks with more than one cluster."""
-    cluster = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    placed = shared.select("token", "doc_id").join(staged(cluster, "clusters"), "doc_id", "left")
-    placed = staged(placed.select("token", "doc_id", F.coalesce("cluster", "doc_id").alias("cluster")), "placed")
-    several = placed.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("rows"))
-    return placed, staged(several.where("low <> high").select("token", "rows"), "open-blocks")
 
+def _one_block(placed: DataFrame, several: DataFrame, turn: int) -> DataFrame:
+    """Each document in one of its open blocks: by the order of shingles first, then by a hash that all agree on.
 
-def _beside(placed: DataFrame, several: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of different clusters that are neighbours in an open block's order by hash."""
-    parts = F.ceil(F.col("rows") / CELL_ROWS)
-    rows = placed.join(several, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
-    order = Window.partitionBy("token", "part").orderBy(F.xxhash64("doc_id", "token"), "doc_id")
-    rows = rows.withColumn("other", F.lead("doc_id").over(order)).withColumn("beyond", F.lead("cluster").over(order))
-    return rows.where("cluster <> beyond").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    ``i`` numbers the parts of a block of over ``CELL_ROWS`` documents; each turn deals them anew.
+    """
+    order = F.col("rank").cast("long") if turn == 0 else F.xxhash64("block", F.lit(turn))
+    rows = placed.join(several.select("block"), "block", "left_semi")
+    chosen = rows.groupBy("doc_id").agg(F.min(F.struct(order.alias("o"), "block", "cluster")).alias("x")).select("doc_id", "x.block", "x.cluster")
+    parts = several.where(F.col("rows") > CELL_ROWS).select("block", F.ceil(F.col("rows") / CELL_ROWS).alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.coalesce("parts", F.lit(1))).cast("int")
+    return chosen.join(parts, "block", "left").select("block", part.alias("i"), part.alias("j"), part.alias("part"), "doc_id", "cluster")
 
 
-def _cells(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows by block and cell. A block of over ``CELL_ROWS`` rows is cut into parts, and each two parts meet in a cell."""
+def _cells(placed: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows of open blocks by block and cell. A block of over ``CELL_ROWS`` rows is cut into parts, and each two meet in a cell."""
     parts = F.ceil(F.col("rows") / CELL_ROWS).cast("int")
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     return (
-        rows.join(blocks.select("token", parts.alias("parts")), "token")
+        placed.join(several.select("block", parts.alias("parts")), "block")
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "n", "cluster", "counts")
+        .select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "cluster")
     )
 
 
-def _tree_pairs(cells: DataFrame, tasks: int) -> DataFrame:
-    """Pairs ``a < b`` of different clusters in one block that the bound leaves."""
+def _tree_pairs(cells: DataFrame, points: DataFrame, tasks: int, spanning: bool) -> DataFrame:
+    """Pairs ``a < b`` of different clusters in one block that the bound leaves: those that span its tree, or all."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    wanted = cells.join(points, "doc_id").select("block", "i", "j", "part", "doc_id", "n", "cluster", "excess", "counts")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[*(c.to_numpy() for c in b.columns[:7]), np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)] for b in batches if b.num_rows]
+        got = [[*(c.to_numpy() for c in b.columns[:8]), np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, GROUPS)] for b in batches if b.num_rows]
         if not got:
             return
-        columns = [np.concatenate(x) for x in zip(*got, strict=True)]
+        *columns, counts = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
         order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
-        token, i, j, part, doc, n, cluster, counts = (x[order] for x in columns)
-        n = np.minimum(n, _LARGE)
+        block, i, j, part, doc, n, cluster, excess = (x[order] for x in columns)
         found: set[tuple[int, int]] = set()
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=arrow)
 
-        starts = _starts(token, i, j)
-        for s, e in zip(starts, np.append(starts[1:], len(token)), strict=True):
-            if e - s < 2:
+        def tree(s: int, e: int) -> CountTree:
+            return CountTree(counts[order[s:e]], excess[s:e], n[s:e], cluster[s:e])
+
+        starts = _starts(block, i, j)
+        for s, e in zip(starts, np.append(starts[1:], len(block)), strict=True):
+            if e - s < 2 or (cluster[s:e] == cluster[s]).all():
                 continue
             cut = s + int(np.searchsorted(part[s:e], j[s])) if i[s] != j[s] else s
             if cut == e or i[s] != j[s] and cut == s:
                 continue
-            right = CountTree(counts[cut:e], n[cut:e], cluster[cut:e])
-            left = right if cut == s else CountTree(counts[s:cut], n[s:cut], cluster[s:cut])
+            right = tree(cut, e)
+            left = right if cut == s else tree(s, cut)
             base = cut if left is right else s
-            for x, y in tree_pairs(left, right):
+            for x, y in [right.spanning()] if spanning else tree_pairs(left, right):
                 found.update((min(p, q), max(p, q)) for p, q in zip(doc[base + x].tolist(), doc[cut + y].tolist(), strict=True) if p != q)
                 if len(found) >= 200_000:
                     yield batch()
@@ -344,57 +374,38 @@ def _tree_pairs(cells: DataFrame, tasks: int) -> DataFrame:
         if found:
             yield batch()
 
-    return cells.repartition(tasks, "token", "i", "j").mapInArrow(task, "a long, b long")
-
+    return wanted.repartition(tasks, "block", "i", "j").mapInArrow(task, "a long, b long")
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs that the bound by fine groups leaves."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                x, y = (b.column(c) for c in (4, 5))
-                known = np.flatnonzero(~(x.is_null().to_numpy(zero_copy_only=False) | y.is_null().to_numpy(zero_copy_only=False)))
-                keep = np.ones(b.num_rows, bool)
-                if len(known):
-                    u, v = (np.frombuffer(b"".join(c.take(pa.array(known)).to_pylist()), np.uint16).reshape(-1, FINE) for c in (x, y))
-                    most = np.minimum(u, v).sum(axis=1, dtype=np.int64)
-                    keep[known] = linked(most, b.column(2).to_numpy()[known], b.column(3).to_numpy()[known])
-                kept = pa.array(np.flatnonzero(keep))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], schema=arrow)
-
-    ends = {x: points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}")) for x in "ab"}
-    sized = pairs.join(ends["b"].drop("f_b"), "b").join(ends["a"].drop("f_a"), "a").where("5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
-    joined = sized.join(ends["b"].drop("n_b"), "b").join(ends["a"].drop("n_a"), "a")
-    return joined.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(task, "a long, b long")
-
-
-def _links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets are linked, looked up in the texts."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "pair-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = rows.join(few, F.col("k") == F.col("doc_id"), "left_semi")
+def _links(rows: DataFrame, pairs: DataFrame, tasks: int) -> DataFrame:
+    """The pairs whose sets are linked, by the texts: the partners of a document come to it, many in parts."""
+    several = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > _PARTNERS).select("a", F.ceil(F.col("k") / _PARTNERS).alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(several, "a", "left").select("a", "b", part.alias("part"))
+    wanted = dealt.select("a", "part", F.lit(True).alias("partner"), F.col("b").alias("k")).union(
+        dealt.select("a", "part", F.lit(False), F.col("a")).distinct()
+    )
+    wanted = staged(wanted, "wanted-texts")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None)
+        group, own = (None, None), []
         for batch in batches:
             out = []
-            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                body = text_a.as_py()
-                if last[0] != a or last[1] != body:
-                    last = (a, body, shingle_hashes(body))
-                x, y = last[2], shingle_hashes(text_b.as_py())
-                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                    out.append((a, b))
+            for a, part, partner, k, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if (a, part) != group:
+                    group, own = (a, part), []
+                h = shingle_hashes(text.as_py())
+                if not partner:
+                    own.append(h)
+                elif any(linked(len(np.intersect1d(x, h, assume_unique=True)), len(x), len(h)) for x in own):
+                    out.append((a, k))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
 
-    sides = {x: texts.select(F.col("doc_id").alias(x), F.col("t").alias(f"t_{x}")) for x in "ab"}
-    met = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "t_a", "t_b")
-    return met.mapInArrow(task, "a long, b long")
+    met = rows.join(few, F.col("k") == F.col("doc_id")).select("a", "part", "partner", "k", "t").repartition(tasks, "a", "part")
+    return met.sortWithinPartitions("a", "part", "partner").mapInArrow(task, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -407,7 +418,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     profiles = staged(_profiles(rows), "profiles")
-    own = profiles.where("n is not null").select("doc_id", "n", "d1", "d2", "counts", "fine")
+    own = profiles.where("n is not null").select("doc_id", "n", "d1", "d2", "counts", "excess")
     seen = own.agg(F.sum(F.expr("n - ceil(0.8 * n) + 1")).alias("tokens")).first()
     often = profiles.where("n is null").groupBy("token").agg(F.sum("seen").alias("seen"))
     often = often.where(F.col("seen") >= COMMON_LEAST).orderBy(F.desc("seen"), "token").limit(COMMON_MOST)
@@ -426,21 +437,27 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         skipped = np.sort(_mark(marks.column(0).to_numpy(), marks.column(1).to_numpy()))
     blocks = _blocks(rows, common, skipped)
     if skipped is None:
-        blocks = blocks.join(doubles.select("doc_id"), "doc_id", "left_anti").select("token", "salt", "n", "doc_id")
+        blocks = blocks.join(doubles.select("doc_id"), "doc_id", "left_anti").select("token", "salt", "n", "rank", "doc_id")
 
     shared = staged(_shared(blocks, tasks), "blocks")
-    points = own.where("n > 0 and doc_id is not null").select("doc_id", "n", "counts", "fine")
-    tried = staged(_star_pairs(shared), "star-pairs")
-    star = staged(_links(rows, staged(_bounded(tried, points).distinct(), "star-bounded")).distinct(), "star-links")
-    placed, several = _open_blocks(shared, star)
-    beside = staged(_beside(placed, several).join(tried, ["a", "b"], "left_anti"), "beside-pairs")
-    star = staged(star.union(_links(rows, staged(_bounded(beside, points).distinct(), "beside-bounded"))).distinct(), "beside-links")
-    tried = tried.union(beside)
-    placed, several = _open_blocks(shared, star)
-    open_rows = placed.join(several.select("token"), "token", "left_semi").join(points.drop("fine"), "doc_id")
-    left = _tree_pairs(_cells(open_rows, several), tasks).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(rows, staged(_bounded(staged(left, "tree-pairs"), points).distinct(), "tree-bounded")).distinct()
-    found = components(staged(star.union(more), "all-links"))
+    points = own.where("n > 0 and doc_id is not null").select("doc_id", "n", "counts", "excess")
+    links = tried = None
+    turn = 0
+    while True:
+        placed, several = _open_blocks(shared, links)
+        chosen = staged(_one_block(placed, several, turn), "one-block")
+        pairs = _tree_pairs(chosen, points, tasks, True).distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "spanning-pairs")
+        more = staged(_links(rows, pairs, tasks), "spanning-links")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = more if links is None else links.union(more)
+        turn += 1
+        if more.count() <= FRUITFUL * chosen.count():
+            break
+    placed, several = _open_blocks(shared, links)
+    left = _tree_pairs(_cells(placed, several), points, tasks, False).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _links(rows, staged(left, "tree-pairs"), tasks)
+    found = components(links.union(staged(more, "tree-links")))
     return (
         nodes.join(found.select("node", "component"), "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

@@ -106,11 +106,38 @@ def test_defined_cases(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == ["doc_id", "text", "token", "n"]
 
 
+def tree_of(sets):
+    points = [counts_of(s) for s in sets]
+    return CountTree(np.stack([c for c, _ in points]), np.array([e for _, e in points]), np.array([len(s) for s in sets]), np.arange(len(sets)))
+
+
+def test_tree_of_very_large_sets():
+    """Counts beyond a byte rule no linked pair out."""
+    draw = np.random.default_rng(5)
+    base = [draw.integers(0, 1 << 63, 200_000, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[: 200_000 - cut], draw.integers(0, 1 << 63, cut, dtype=np.uint64)])) for b in base for cut in (0, 9000)]
+    tree = tree_of(sets)
+    assert (tree.excess > 0).all()
+    found = {tuple(sorted(p)) for x, y in tree_pairs(tree, tree) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert {(0, 1), (2, 3), (4, 5)} <= found
+
+
+def test_spanning_pairs_connect_near_copies():
+    draw = np.random.default_rng(6)
+    sets = []
+    for _ in range(4):
+        base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[draw.permutation(300)[:290]], draw.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(100)]
+    x, y = tree_of(sets).spanning()
+    assert len(x) < len(sets)
+    assert sum(i // 100 == j // 100 for i, j in zip(x.tolist(), y.tolist(), strict=True)) > 300
+
+
 def test_tree_leaves_no_linked_pair_out():
     draw = np.random.default_rng(2)
     base = [draw.integers(0, 1 << 63, 80, dtype=np.uint64) for _ in range(12)]
     sets = [np.unique(np.concatenate([draw.choice(b, int(draw.integers(60, 81)), replace=False), draw.integers(0, 1 << 63, 5, dtype=np.uint64)])) for b in base for _ in range(20)]
-    tree = CountTree(np.stack([counts_of(s) for s in sets]), np.array([len(s) for s in sets]), np.arange(len(sets)))
+    tree = tree_of(sets)
     found = Counter()
     for x, y in tree_pairs(tree, tree):
         found.update(tuple(sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True))
