@@ -9,7 +9,9 @@ above and below the middle, and serial correlation. The smallest p counts four t
 Which strings are no draw is decided for all documents at once, by Benjamini and Hochberg in each stratum of encoding
 and length (powers of two), since a short string's tests can show less. A string that is not rejected is a span of kind
 random. P-values are kept in bins of a twentieth of a power of ten, each at its upper edge, so what the decision needs
-of the corpus is one bounded table of counts.
+of the corpus is one bounded table of counts. As a random draw is the null hypothesis, the rate that is controlled is
+that of keys among the strings set aside: at most ``RATE`` of what is rejected as text is expected to be a key. How many
+strings that are no keys pass for one depends on their length, and is measured in the tests.
 
 A span is the whole match, in code points, end exclusive.
 """
@@ -103,32 +105,54 @@ def _battery(body: Column, encoding: Column) -> Column:
     return F.element_at(F.transform(F.array(given), tests), 1)
 
 
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _root(n: Column) -> Column:
+    return F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+
+
+def _folded(items: Column, start: Column, total, step, joined) -> Column:
+    """All that ``step`` puts out over the items, in time n to the power 1.5: in chunks, as appending copies an array.
+
+    A state is what came before (``at``) and what a chunk has put out. ``total``: the state after a chunk from that before.
+    """
+
+    def whole(d: Column) -> Column:
+        chunk = lambda s: F.slice(d["items"], s + 1, d["c"])
+        starts = F.sequence(F.lit(0), F.greatest(F.size(d["items"]) - 1, F.lit(0)), d["c"])
+        before = F.aggregate(
+            starts,
+            F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda st, s: F.struct(total(st["at"], chunk(s)).alias("at"), F.array_append(st["out"], st["at"]).alias("out")),
+            lambda st: st["out"],
+        )
+        return F.flatten(F.zip_with(starts, before, lambda s, at: F.aggregate(chunk(s), joined(at), step, lambda st: st["out"])))
+
+    return _with(F.struct(items.alias("items"), _root(F.size(items)).alias("c")), whole)
+
+
 def _spans(text: Column, pattern: str, keep, value) -> Column:
     """Spans of the pattern's matches: ``value(start, end, match, groups)`` where ``keep``; none without a match."""
     bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), bodies.alias("body"))
     empty = F.array().cast("array<struct<s:int,e:int,body:string>>")
-    found = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda state, x: F.struct(
-            (state["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["body"]), F.lit(0))).alias("at"),
-            F.when(x["body"].isNull() | ~keep(x["body"]), state["out"])
-            .otherwise(
-                F.array_append(
-                    state["out"],
-                    F.struct(
-                        (state["at"] + F.length(x["gap"])).alias("s"),
-                        (state["at"] + F.length(x["gap"]) + F.length(x["body"])).alias("e"),
-                        x["body"].alias("body"),
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda state: state["out"],
-    )
+
+    def step(state: Column, x: Column) -> Column:
+        s, body = state["at"] + F.length(x["gap"]), x["body"]
+        span = F.struct(s.alias("s"), (s + F.length(body)).alias("e"), body.alias("body"))
+        return F.struct(
+            (s + F.coalesce(F.length(body), F.lit(0))).alias("at"),
+            F.when(body.isNull() | ~keep(body), state["out"]).otherwise(F.array_append(state["out"], span)).alias("out"),
+        )
+
+    def total(at: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, at, lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["body"]), F.lit(0)))
+
+    found = _folded(pairs, F.lit(0), total, step, lambda at: F.struct(at.alias("at"), empty.alias("out")))
     return F.when(text.rlike(pattern), F.transform(found, value)).otherwise(F.array())
 
 
@@ -231,27 +255,45 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def redacted(docs: DataFrame, *, text: str = "text", rate: float = RATE, mask: str = "[secret]") -> DataFrame:
     """All rows and columns, each stretch of secrets in the text replaced by ``mask``; ``n_chars``, if there, follows.
 
-    Overlapping spans make one stretch. A null text stays null.
+    Overlapping spans make one stretch. A null text stays null, an empty one empty. Repeated rows stay repeated and equal
+    texts are masked alike. An empty table gives no rows.
     """
     given = F.col(text).cast("string")
     rejected = rejection_bins(docs, text, rate)
     rows = docs.select(F.struct("*").alias("row"), given.alias("body"), _ordered(*secret_spans(given, rejected).values()).alias("spans"))
     body, spans = F.col("body"), F.col("spans")
 
+    # Stretches of overlapping spans: a span that begins before the end of an earlier one belongs to its stretch. Chunks
+    # take their own part of the text first, as finding a place in a text means reading up to it.
+    empty = F.array().cast("array<struct<gap:int,s:int,e:int>>")
+
     def step(state: Column, x: Column) -> Column:
-        s, e = x["s"], x["e"]
-        gap = F.substring(body, state["at"] + 1, s - state["at"])
+        own = F.struct(state["at"].alias("gap"), x["s"].alias("s"), x["e"].alias("e"))
         return F.struct(
-            F.greatest(state["at"], e).alias("at"),
-            F.when(s >= state["at"], F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
+            F.greatest(state["at"], x["e"]).alias("at"),
+            F.when(x["s"] >= state["at"], F.array_append(state["out"], own)).otherwise(state["out"]).alias("out"),
         )
 
-    clean = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda st: F.concat(st["out"], F.substring(body, st["at"] + 1, F.length(body))),
-    )
+    latest = lambda at, chunk: F.greatest(at, F.array_max(F.transform(chunk, lambda x: x["e"])))
+    stretches = _folded(spans, F.lit(0), latest, step, lambda at: F.struct(at.alias("at"), empty.alias("out")))
+
+    def written(d: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(d["x"]) - 1, d["c"])
+
+        def part(k: Column) -> Column:
+            own = F.slice(d["x"], k + 1, d["c"])
+            first, last = F.get(own, F.lit(0))["gap"], F.element_at(own, -1)["s"]
+            given = F.struct(own.alias("own"), F.substring(d["body"], first + 1, last - first).alias("text"), first.alias("first"))
+            gap = lambda g: lambda x: F.concat(F.substring(g["text"], x["gap"] - g["first"] + 1, x["s"] - x["gap"]), F.lit(mask))
+            return F.array_join(_with(given, lambda g: F.transform(g["own"], gap(g))), "")
+
+        end = d["end"]
+        return F.concat(F.array_join(F.transform(starts, part), ""), F.substring(d["body"], end + 1, F.length(d["body"])))
+
+    end = F.array_max(F.transform(spans, lambda x: x["e"]))
+    bound = F.struct(body.alias("body"), F.col("stretches").alias("x"), _root(F.size("stretches")).alias("c"), end.alias("end"))
+    rows = rows.withColumn("stretches", F.when(F.size(spans) > 0, stretches))
+    clean = _with(bound, written)
     rows = rows.select("row", F.when(F.size(spans) > 0, clean).otherwise(body).alias("clean"))
     changed = {text: F.col("clean"), "n_chars": F.length("clean")}
     return rows.select(

@@ -1,10 +1,13 @@
 import hashlib
+import math
 import re
 
 import numpy as np
 import pytest
 
-from tagloom.llm.secrets import find_secrets, redacted
+from pyspark.sql import functions as F
+
+from tagloom.llm.secrets import ENCODINGS, candidates, find_secrets, redacted, rejection_bins
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 DRAW = np.random.default_rng(5)
@@ -96,3 +99,70 @@ def test_keys_in_runs_that_mix_the_signs_of_two_encodings(spark):
         else:
             assert r.n_random == 0
     assert found >= 0.85 * len(keys)
+
+
+def test_many_matches_in_one_text(spark):
+    """Time does not grow with the square of a text's matches."""
+    text = " ".join(f"token=abcdef{i:06d} é" for i in range(30_000))
+    row = find_secrets(frame(spark, [text])).first()
+    want = base(text)
+    assert row.n_assign == len(want) == 30_000 and row.base_sha256 == hashlib.sha256(written(want).encode()).hexdigest()
+    assert redacted(frame(spark, [text])).first().text == re.sub("token=abcdef[0-9]+", "[secret]", text)
+
+
+def battery(body, classes):
+    """The four tests by their textbook formulas; the tails as the module approximates them."""
+    alphabet = "".join(classes)
+    x, size, n = np.array([alphabet.index(c) for c in body]), len(alphabet), len(body)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = lambda v, df: tail(((v / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+    def squares(edges):
+        counts, want = np.histogram(x, np.append(edges[:-1], size) - 0.5)[0], np.diff(edges) / size * n
+        return max(0.0, float(((counts - want) ** 2 / want).sum()))
+
+    bounds = np.cumsum([0, *map(len, classes)])
+    cells = min(size, max(2, n // 5))
+    even = np.array([i * size // cells for i in range(cells + 1)])
+    high = x >= size / 2
+    runs = ((high[1:] != high[:-1]).sum() - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    centred = x - (size - 1) / 2
+    serial = (centred[1:] * centred[:-1]).sum() / ((size**2 - 1) / 12) / math.sqrt(n - 1)
+    return 4 * min(chi(squares(bounds), len(classes) - 1), chi(squares(even), cells - 1), 2 * tail(abs(runs)), 2 * tail(abs(serial)))
+
+
+def test_battery_against_brute_force(spark):
+    bodies = [draw("".join(ENCODINGS[i % 8]), 20 + i) for i in range(80)] + [("verylongwordwithoutend" * 3)[: 20 + i] for i in range(40)]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, t string").select("i", F.explode(candidates(F.col("t"))).alias("c")).collect()
+    assert len(rows) >= 110
+    for r in rows:
+        body, classes = bodies[r.i], ENCODINGS[r.c.stratum // 24]
+        assert next(c for c in ENCODINGS if set(body) <= set("".join(c))) == classes and r.c.stratum % 24 == int(math.log2(len(body)))
+        assert abs(min(240, math.floor(-20 * math.log10(min(1.0, max(1e-12, battery(body, classes)))))) - r.c.bin) <= 1, body
+
+
+def test_decision_and_both_error_rates(spark):
+    """Benjamini and Hochberg by stratum against brute force; keys lost and words taken for keys, by length."""
+    import random
+
+    pick = random.Random(3)
+    words = ["".join(pick.choice("bcdfghklmnprstvw") + pick.choice("aeiou") for _ in range(n // 2)) for n in (20, 32, 64) for _ in range(150)]
+    keys = [draw(B64[:62], n) for n in (20, 32, 64) for _ in range(150)]
+    df = frame(spark, words + keys)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(words + keys)], "i int, text string")
+    found = got.select("i", F.explode(candidates(F.col("text"))).alias("c")).collect()
+    strata = {}
+    for r in found:
+        strata.setdefault(r.c.stratum, []).append(r.c.bin)
+    want = {}
+    for k, bins in strata.items():
+        passed = [b for b in set(bins) if 10 ** (-b / 20) * len(bins) / sum(x >= b for x in bins) <= 0.1]
+        if passed:
+            want[k] = min(passed)
+    assert rejection_bins(df) == want
+    kept = {r.doc_id for r in find_secrets(df).collect() if r.n_random}
+    for at, n in enumerate((20, 32, 64)):
+        lost = sum(450 + 150 * at + i not in kept for i in range(150)) / 150
+        wrong = sum(150 * at + i in kept for i in range(150)) / 150
+        assert lost <= 0.12, (n, lost)
+        assert wrong <= {20: 0.5, 32: 0.1, 64: 0.02}[n], (n, wrong)
