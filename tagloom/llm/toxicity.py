@@ -1,9 +1,9 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learnt from document labels.
 
 A sentence's logit is a bias plus the weights of its distinct words; a word's weight is the sum over its hashed
-character n-grams, none negative, so that harmless words around an insult do not excuse it. A document is clean if all its sentences are: P(toxic) = 1 - prod(1 - p). The loss on document labels
-goes back through the noisy-or to the sentences, so only sentences that explain a label gain weight, and the same scores
-say which sentences offend.
+character n-grams, none negative, so that harmless words around an insult do not excuse it. A document is clean if all
+its sentences are: P(toxic) = 1 - prod(1 - p). The loss on document labels goes back through the noisy-or to the
+sentences, so only sentences that explain a label gain weight, and the same scores say which sentences offend.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,14 +165,22 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = THRESHOL
 
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows and columns of ``docs`` whose text scores below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    cache: list[Scorer] = []
-
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        if not cache:
-            cache.append(shared.value.scorer())
-        return pa.array([cache[0].score(t.as_py()) for t in texts], pa.float64())
+    """The rows and columns of ``docs`` whose text scores below the threshold.
 
-    return docs.where(score(F.col("text").cast("string")) < threshold)
+    Null, empty and blank texts score 0 and stay, unless the threshold is 0. Equal texts, and so repeated rows, have one
+    fate; a score at the threshold is rejected. Columns are passed on as they are. An empty table gives no rows. Rows go
+    through in small batches and the scorer ends with its task, so a worker keeps nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = None
+        for batch in batches:
+            scorer = scorer or shared.value.scorer()
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                kept = pa.array([scorer.score(t.as_py()) < threshold for t in part.column(place).cast(pa.string())], pa.bool_())
+                yield part.filter(kept)
+
+    return docs.mapInArrow(task, docs.schema)
