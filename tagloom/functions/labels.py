@@ -16,22 +16,23 @@ PATTERNS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("EQUIP_ID", (r"\p{Nd}+", r"[A-Z]?\p{Nd}{2,3}[A-Z]?")),
     ("BLDG", (r"[Bb][Ll][Dd][Gg]\p{Nd}+",)),
 )
+#: Tokens without a digit are MISC but for the word, so most meet one pattern only.
+_ANY = r"(?d)\p{Nd}|^[Ff][Ll][Oo][Oo][Rr]$"
 FIRST = {"bldg": "BLDG", "floor": "FLOOR", "equip": "EQUIP", "equip_id": "EQUIP_ID"}
 LAST = {"subcomp": "SUBCOMP", "point_func": "POINT_FUNC", "io_type": "IO_TYPE", "vendor": "VENDOR_TAG"}
 FIELDS = ("bldg", "floor", "zone", "equip", "equip_id", "subcomp", "point_func", "io_type", "vendor")
 
 
 def by_pattern(token: Column) -> Column:
-    out = None
+    out = F.when(~token.rlike(_ANY), "MISC")
     for category, patterns in PATTERNS:
-        hit = token.rlike("(?d)^(?:" + "|".join(patterns) + ")$")
-        out = F.when(hit, category) if out is None else out.when(hit, category)
+        out = out.when(token.rlike("(?d)^(?:" + "|".join(patterns) + ")$"), category)
     return out.otherwise("MISC")
 
 
-def label_token(token: Column, vocabulary: Vocabulary) -> Column:
+def label_token(token: Column, vocabulary: Vocabulary, upper: Column | None = None) -> Column:
     """The first category whose terms hold the upper-cased token, else the first whose pattern fits, else MISC."""
-    upper, out = F.upper(token), None
+    upper, out = F.upper(token) if upper is None else upper, None
     for category, terms in vocabulary.in_lookup_order():
         if terms:
             hit = upper.isin(*sorted(terms))
@@ -40,7 +41,8 @@ def label_token(token: Column, vocabulary: Vocabulary) -> Column:
 
 
 def label_tokens(tokens: Column, vocabulary: Vocabulary) -> Column:
-    return F.transform(tokens, lambda t: label_token(t, vocabulary))
+    both = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.upper(t).alias("u")))
+    return F.transform(both, lambda x: label_token(x["t"], vocabulary, x["u"]))
 
 
 def bio_tags(categories: Column) -> Column:

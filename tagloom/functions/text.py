@@ -31,6 +31,11 @@ def is_digits(token: Column) -> Column:
     return token.rlike(f"^[{DIGIT}]+$")
 
 
+def is_number_token(token: Column) -> Column:
+    """``is_digits`` of a token of :func:`tokenize`: its first character tells, and ASCII ones by comparison alone."""
+    return F.when(token < "0", False).when(token < ":", True).when(token < "\x80", False).otherwise(is_digits(token))
+
+
 def is_upper(token: Column) -> Column:
     """Some letter is upper case, and none is lower or title case."""
     return token.rlike(r"\p{IsUppercase}") & ~token.rlike(r"[\p{IsLowercase}\p{Lt}]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig
@@ -12,80 +12,124 @@ from tagloom.functions.text import building_id, is_point_like
 from tagloom.operators.sample import positions_column
 from tagloom.sources.cells import cell_table, read_files, rejected_files
 
+_FILE_ROWS = 1 << 24
 POINT_COLUMNS = ("building_id", "source_file", "point_label", "point_label_col")
 
 
-def detect_headers(cells: DataFrame) -> DataFrame:
-    """``source_file``, ``has_header``.
+def file_facts(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """One row per file: ``source_file``, ``has_header`` and ``columns``, from one scan and two aggregations.
 
-    With three rows and more: a column whose first cell is not point-like while the next two are. Else, and if none is:
-    two rows and more, no point-like cell in the first and some in the second.
+    Header: with three rows and more, a column whose first cell is not point-like while the next two are. Else, and if none
+    is: two rows and more, no point-like cell in the first and some in the second. A column is a struct: ``col_no``,
+    ``col_name`` (the header's cell, or ``col_`` and the number), ``filled`` and ``likes`` (data cells that are not null,
+    and that are point-like), ``same`` (columns of its name in the file).
     """
-    like = is_point_like(F.col("cell"))
+    like, cell = is_point_like(F.col("cell")), F.col("cell")
     first = [F.coalesce(F.max(F.when(F.col("row_no") == i, like)), F.lit(False)).alias(f"b{i}") for i in range(3)]
-    by_column = cells.groupBy("source_file", "col_no").agg(*first, (F.max("row_no") + 1).alias("n"))
-    files = by_column.groupBy("source_file").agg(
-        F.max("n").alias("n"), F.bool_or(F.expr("not b0 and b1 and b2")).alias("column"), F.count_if("b0").alias("c0"), F.count_if("b1").alias("c1")
-    )
-    return files.select("source_file", F.expr("n >= 3 and column or n >= 2 and c0 = 0 and c1 > 0").alias("has_header"))
+    below = F.col("row_no") > 0
+    by_column = cells.groupBy("source_file", "col_no").agg(
+        *first, F.max(F.when(~below, cell)).alias("top"), (F.max("row_no") + 1).alias("n"), F.count(cell).alias("all"),
+        F.count_if(like).alias("all_likes"), F.count(F.when(below, cell)).alias("below"), F.count_if(below & like).alias("below_likes"),
+    )
+    header = F.expr("max(n) >= 3 and bool_or(not b0 and b1 and b2) or max(n) >= 2 and count_if(b0) = 0 and count_if(b1) > 0")
+    facts = ("col_no", "top", "all", "all_likes", "below", "below_likes")
+    files = by_column.groupBy("source_file").agg(header.alias("has_header"), F.array_sort(F.collect_list(F.struct(*facts))).alias("raw"))
+
+    def column(x: Column) -> Column:
+        has = F.col("has_header")
+        name = F.when(has, F.coalesce(x["top"], F.lit(config.null_label))).otherwise(F.concat(F.lit("col_"), x["col_no"]))
+        filled, likes = (F.when(has, x[b]).otherwise(x[a]) for a, b in (("all", "below"), ("all_likes", "below_likes")))
+        return F.struct(x["col_no"].alias("col_no"), name.alias("col_name"), filled.alias("filled"), likes.alias("likes"))
+
+    named = files.select("source_file", "has_header", F.transform("raw", column).alias("c"))
+    names = named.withColumn("names", F.transform("c", lambda x: x["col_name"]))
+    same = lambda x: F.size(F.filter("names", lambda n: n == x["col_name"]))
+    columns = F.transform("c", lambda x: F.struct(x["col_no"], x["col_name"], x["filled"], x["likes"], same(x).alias("same")))
+    return names.select("source_file", "has_header", columns.alias("columns"))
+
+
+def detect_headers(cells: DataFrame) -> DataFrame:
+    """``source_file``, ``has_header``."""
+    return file_facts(cells).select("source_file", "has_header")
+
+
+def _preferred(config: ExtractConfig) -> Column:
+    """Structs of rank, negative number and column for columns of a preferred name; the least is the one to take."""
+    order = F.array(*map(F.lit, config.preferred))
+    ranked = F.transform("columns", lambda x: F.struct(F.array_position(order, F.lower(x["col_name"])).alias("rank"), (-x["col_no"]).alias("last"), x.alias("x")))
+    return F.array_min(F.filter(ranked, lambda r: r["rank"] > 0))
 
 
-def named_cells(cells: DataFrame, headers: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """Data cells with ``col_name``: the promoted header's cell, or ``col_`` and the number."""
-    rows = cells.join(headers, "source_file")
-    top = rows.where("has_header and row_no = 0").select("source_file", "col_no", F.coalesce("cell", F.lit(config.null_label)).alias("header"))
-    data = rows.where("row_no >= cast(has_header as int)").join(top, ["source_file", "col_no"], "left")
-    return data.select("source_file", "row_no", "col_no", "cell", F.coalesce("header", F.concat(F.lit("col_"), F.col("col_no"))).alias("col_name"))
+def _sampled(cells: DataFrame, facts: DataFrame, config: ExtractConfig) -> DataFrame:
+    """``source_file``, ``col_no`` and ``hits``: point-like cells at the seeded positions, of columns with more cells than those."""
+    long = facts.select("source_file", F.col("has_header").cast("int").alias("skip"), F.inline("columns")).where(F.col("filled") > config.sample)
+    long = long.where("same = 1").select("source_file", "col_no", "skip", "filled")
+    own = Window.partitionBy("source_file", "col_no").orderBy("row_no")
+    rows = cells.where("cell is not null").join(long, ["source_file", "col_no"]).where("row_no >= skip").withColumn("at", F.row_number().over(own) - 1)
+    chosen = long.select("filled").distinct().select("filled", F.explode(positions_column(F.col("filled"), config.sample, config.seed)).alias("at"))
+    hit = F.count_if(is_point_like(F.col("cell"))).alias("hits")
+    return rows.join(chosen, ["filled", "at"]).groupBy("source_file", "col_no").agg(hit)
 
 
-def column_scores(named: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+def _scored(cells: DataFrame, facts: DataFrame, config: ExtractConfig) -> DataFrame:
+    """``source_file``, ``col_no``, ``col_name``, ``score`` of the columns of ``facts``."""
+    found = facts.select("source_file", F.inline("columns")).where("same = 1 and filled > 0")
+    if not config.exact_sample:
+        return found.select("source_file", "col_no", "col_name", (F.col("likes") / F.col("filled")).alias("score"))
+    found = found.join(_sampled(cells, facts, config), ["source_file", "col_no"], "left")
+    of = F.least("filled", F.lit(config.sample))
+    return found.select("source_file", "col_no", "col_name", (F.coalesce("hits", F.when(F.col("filled") <= config.sample, F.col("likes")), F.lit(0)) / of).alias("score"))
+
+
+def column_scores(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
     """``source_file``, ``col_no``, ``col_name``, ``score``: the point-like share of sampled cells that are not null.
 
     Columns without such cells, and columns that share their name with another of the file, have no row.
     """
-    names = named.groupBy("source_file", "col_no").agg(F.min("col_name").alias("col_name"))
-    single = names.groupBy("source_file", "col_name").agg(F.count("*").alias("k"), F.min("col_no").alias("col_no")).where("k = 1").drop("k", "col_name")
-    cells = named.where("cell is not null").join(single, ["source_file", "col_no"])
-    if config.exact_sample:
-        own = Window.partitionBy("source_file", "col_no")
-        cells = cells.withColumn("n", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("row_no")) - 1)
-        sizes = cells.where(F.col("n") > config.sample).select("n").distinct()
-        chosen = sizes.select("n", F.explode(positions_column(F.col("n"), config.sample, config.seed)).alias("at"))
-        cells = cells.join(chosen.withColumn("chosen", F.lit(True)), ["n", "at"], "left").where((F.col("n") <= config.sample) | F.col("chosen"))
-    return cells.groupBy("source_file", "col_no").agg(F.min("col_name").alias("col_name"), F.avg(is_point_like(F.col("cell")).cast("double")).alias("score"))
+    return _scored(cells, file_facts(cells, config), config)
 
 
-def choose_columns(named: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+def _chosen(cells: DataFrame, config: ExtractConfig) -> DataFrame:
+    """``source_file``, ``has_header``, ``col_no``, ``col_name`` of the label column."""
+    facts = file_facts(cells, config).withColumn("first", _preferred(config))
+    best = lambda scored: F.array_min(F.transform(scored, lambda x: F.struct((-x["score"]).alias("s"), x["col_no"], x["col_name"])))
+    if config.exact_sample:
+        open_ = facts.where("first is null")
+        scores = _scored(cells, open_, config).where(F.col("score") > config.min_score)
+        scores = scores.groupBy("source_file").agg(F.min(F.struct((-F.col("score")).alias("s"), "col_no", "col_name")).alias("best"))
+        files = facts.join(scores, "source_file", "left")
+    else:
+        usable = F.filter("columns", lambda x: (x["same"] == 1) & (x["filled"] > 0) & (x["likes"] / x["filled"] > config.min_score))
+        files = facts.withColumn("best", best(F.transform(usable, lambda x: F.struct((x["likes"] / x["filled"]).alias("score"), x["col_no"], x["col_name"]))))
+    named, scored = F.col("first"), F.col("best")
+    pick = lambda f: F.when(named.isNotNull(), named["x"][f]).otherwise(scored[f]).alias(f)
+    fits = F.coalesce(named["x"]["same"] == 1, scored.isNotNull())
+    return files.where(fits).select("source_file", "has_header", pick("col_no"), pick("col_name"))
+
+
+def choose_columns(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
     """``source_file``, ``col_no``, ``col_name`` of the label column: a preferred name, else the best score over the least.
 
     Files where neither is found, or whose preferred name stands over two columns, have no row.
     """
-    names = named.groupBy("source_file", "col_no").agg(F.min("col_name").alias("col_name"))
-    order = F.array(*map(F.lit, config.preferred))
-    rank = F.array_position(order, F.lower("col_name"))
-    best = Window.partitionBy("source_file").orderBy("rank", F.desc("col_no"))
-    preferred = names.withColumn("rank", rank).where("rank > 0").withColumn("place", F.row_number().over(best)).where("place = 1")
-    preferred = preferred.select("source_file", "col_no", "col_name")
-    same = names.groupBy("source_file", "col_name").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    usable = preferred.join(same, ["source_file", "col_name"], "left_anti")
-    by_score = Window.partitionBy("source_file").orderBy(F.desc("score"), "col_no")
-    scored = column_scores(named.join(preferred.select("source_file"), "source_file", "left_anti"), config)
-    scored = scored.withColumn("place", F.row_number().over(by_score)).where(F.expr("place = 1") & (F.col("score") > config.min_score))
-    return usable.select("source_file", "col_no", "col_name").unionByName(scored.select("source_file", "col_no", "col_name"))
+    return _chosen(cells, config).drop("has_header")
 
 
 def points_from_cells(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """The four columns of point records, and ``point_ord``, the place in the corpus (by file name, then row)."""
-    named = named_cells(cells, detect_headers(cells), config)
-    chosen = choose_columns(named, config)
-    files = chosen.select("source_file", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source_file")) - 1).alias("file_ord"))
-    rows = named.drop("col_name").join(chosen, ["source_file", "col_no"]).join(files, "source_file")
+    """The four columns of point records, and ``point_ord``, the place in the corpus (by file name, then row).
+
+    A file of 2**24 rows and more has no such places and fails the job.
+    """
+    chosen = _chosen(cells, config)
+    files = chosen.withColumn("file_ord", F.row_number().over(Window.orderBy("source_file")) - 1)  # a row for each file
+    rows = cells.join(files, ["source_file", "col_no"]).where("row_no >= cast(has_header as int)")
+    place = F.when(F.col("row_no") < _FILE_ROWS, F.col("file_ord").cast("long") * _FILE_ROWS + F.col("row_no"))
     return rows.select(
         building_id(F.col("source_file")).alias("building_id"),
         "source_file",
         F.coalesce("cell", F.lit(config.null_label)).alias("point_label"),
         F.col("col_name").alias("point_label_col"),
-        F.expr("file_ord * 16777216L + row_no").alias("point_ord"),
+        F.coalesce(place, F.raise_error(F.lit("a file has too many rows")).cast("long")).alias("point_ord"),
     )
 
 
@@ -100,6 +144,6 @@ def load_points(spark: SparkSession, directory: str, config: ExtractConfig = Ext
     files = read_files(spark, directory)
     cells = cell_table(files)
     points = points_from_cells(cells, config)
-    without = cells.select("source_file").distinct().join(points.select("source_file").distinct(), "source_file", "left_anti")
+    without = cells.select("source_file").distinct().join(_chosen(cells, config).select("source_file"), "source_file", "left_anti")
     rejects = rejected_files(files).unionByName(without.withColumn("reason", F.lit("no label column")))
     return Extraction(points, rejects)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.config import Vocabulary
-from tagloom.functions.labels import bio_tags, by_pattern, label_tokens, structured
+from tagloom.functions.labels import bio_tags, by_pattern, label_token, label_tokens, structured
 from tagloom.functions.text import tokenize
 
 PROVENANCE = ("building_id", "source_file", "point_label_col")
@@ -41,3 +41,9 @@ def label_by_lookup(tokens: DataFrame, lookup: DataFrame) -> DataFrame:
     terms = lookup.select(F.col("token").alias("_term"), F.col("category").alias("_category"))
     joined = tokens.join(terms, F.upper("token") == F.col("_term"), "left")
     return joined.withColumn("label", F.coalesce("_category", by_pattern(F.col("token")))).drop("_term", "_category")
+
+
+def label_counts(points: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``label`` and ``n``: tokens by category. Tokens are counted first, as the category depends on the token alone."""
+    tokens = points.select(F.explode(tokenize(F.col("point_label"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.groupBy(label_token(F.col("token"), vocabulary).alias("label")).agg(F.sum("n").alias("n"))

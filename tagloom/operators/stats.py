@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import is_digits, tokenize
+from tagloom.functions.text import is_number_token, tokenize
 
-UNKNOWN = "unknown"
 _PLACES = 1 << 20
 
 
 def explode_tokens(points: DataFrame) -> DataFrame:
     """One row per token: ``building_id``, ``pos``, ``token`` (upper case), ``next_is_number``, ``ord``; no shuffle.
 
-    Points without tokens have no rows. A null building is ``unknown``. ``ord`` is the token's place in the corpus if
-    there is a ``point_ord`` (below 2**43), else null.
+    Points without tokens have no rows. A null building is a building
+    of its own. ``ord`` is the token's place in the corpus if
+    there is a ``point_ord`` (below 2**43), else null; tokens of one label from the 2**20th on tie.
     """
     tokens = F.col("tokens")
     follows = F.transform(
         tokens,
         lambda t, i: F.struct(
-            i.alias("pos"), F.upper(t).alias("token"), F.coalesce(is_digits(F.get(tokens, i + 1)), F.lit(False)).alias("next_is_number")
+            i.alias("pos"), t.alias("token"), F.coalesce(is_number_token(F.get(tokens, i + 1)), F.lit(False)).alias("next_is_number")
         ),
     )
     ordinal = F.col("point_ord").cast("long") if "point_ord" in points.columns else F.lit(None).cast("long")
     return (
-        points.select(F.coalesce(F.col("building_id").cast("string"), F.lit(UNKNOWN)).alias("building_id"), tokenize(F.col("point_label")).alias("tokens"), ordinal.alias("o"))
+        points.select(F.col("building_id").cast("string").alias("building_id"), tokenize(F.col("point_label")).alias("tokens"), ordinal.alias("o"))
         .select("building_id", "o", F.inline(follows))
-        .select("building_id", "pos", "token", "next_is_number", (F.col("o") * _PLACES + F.least("pos", F.lit(_PLACES - 1))).alias("ord"))
+        .select("building_id", "pos", F.upper("token").alias("token"), "next_is_number", (F.col("o") * _PLACES + F.least("pos", F.lit(_PLACES - 1))).alias("ord"))
     )
 
 
@@ -45,12 +45,20 @@ def token_stats(points: DataFrame) -> DataFrame:
     Two hash aggregations, partial before each shuffle, so a token or building of a third of all rows is summed where it
     is read.
     """
-    return token_counts_by_building(points).groupBy("token").agg(
+    return stats_of_counts(token_counts_by_building(points))
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """``token_stats`` from counts by building."""
+    return counts.groupBy("token").agg(
         F.sum("freq").alias("freq"), F.count("*").alias("buildings"), F.sum("numid_bigrams").alias("numid_bigrams"), F.min("first_ord").alias("first_ord")
     )
 
 
+def corpus_of_counts(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.count_distinct("token").alias("num_tokens"), F.count_distinct(F.struct("building_id")).alias("num_buildings"))
+
+
 def corpus_stats(points: DataFrame) -> DataFrame:
     """One row: distinct tokens and buildings with a token."""
-    counts = explode_tokens(points).groupBy("token", "building_id").agg(F.count("*").alias("n"))
-    return counts.agg(F.count_distinct("token").alias("num_tokens"), F.count_distinct("building_id").alias("num_buildings"))
+    return corpus_of_counts(explode_tokens(points).groupBy("token", "building_id").agg(F.count("*").alias("n")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import VocabConfig
@@ -80,13 +80,19 @@ def bottom_equipment(classified: DataFrame, config: VocabConfig = VocabConfig())
 
 
 def trim(classified: DataFrame, config: VocabConfig = VocabConfig()) -> DataFrame:
-    """The terms that stay: the best equipment, other scored terms from their least score on, all IO types and vendors."""
+    """The terms that stay: the best equipment, other scored terms from their least score on, all IO types and vendors.
+
+    One pass: the rank is cut before the shuffle, as every term but equipment is ranked alone.
+    """
+    kind, score_ = F.col("category"), F.col("score")
     kept = classified.where(
-        F.col("category").isin("IO_TYPE", "VENDOR_TAG")
-        | (F.col("category") == "SUBCOMP") & (F.col("score") >= config.min_subcomp_score)
-        | (F.col("category") == "POINT_FUNC") & (F.col("score") >= config.min_point_func_score)
+        kind.isin("EQUIP", "IO_TYPE", "VENDOR_TAG")
+        | (kind == "SUBCOMP") & (score_ >= config.min_subcomp_score)
+        | (kind == "POINT_FUNC") & (score_ >= config.min_point_func_score)
     )
-    return kept.unionByName(top_equipment(classified, config))
+    alone = F.when(kind == "EQUIP", F.lit(None).cast("string")).otherwise(F.col("token"))
+    rank = F.row_number().over(Window.partitionBy(alone).orderBy(F.desc("score"), F.asc("first_ord"), F.asc("token")))
+    return kept.withColumn("_rank", rank).where(F.col("_rank") <= config.max_equip).drop("_rank")
 
 
 def vocabulary_rows(kept: DataFrame) -> DataFrame:

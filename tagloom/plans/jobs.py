@@ -4,54 +4,87 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig, VocabConfig
 from tagloom.operators.extract import POINT_COLUMNS, load_points
 from tagloom.operators.labelling import annotate
-from tagloom.operators.stats import corpus_stats, token_stats
+from tagloom.operators.sample import joined_sample, sample_one_per_building
+from tagloom.operators.stats import corpus_of_counts, stats_of_counts, token_counts_by_building
 from tagloom.operators.vocab import bottom_equipment, bundle, classify
-from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_vocabulary
+from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_text, write_vocabulary
 
 
 @dataclass(frozen=True)
 class JobReport:
+    """Rows written, what the job counted, and a table of details (rejected files; the bottom of the ranking)."""
+
     rows: int
+    counts: dict[str, int]
     details: DataFrame | None = None
 
+    def summary(self) -> str:
+        return ", ".join(f"{name}: {n}" for name, n in {"rows": self.rows, **self.counts}.items())
+
+
+def job_summary(points: DataFrame) -> DataFrame:
+    """One row: points, files and buildings."""
+    return points.agg(F.count("*").alias("points"), F.count_distinct("source_file").alias("files"), F.count_distinct("building_id").alias("buildings"))
+
 
-def in_corpus_order(points: DataFrame) -> DataFrame:
-    """Points read back from files, with ``point_ord`` by file and line as written."""
-    rows = points.withColumn("_at", F.monotonically_increasing_id())
-    order = Window.partitionBy("source_file").orderBy("_at")
-    files = points.select("source_file").distinct()
-    files = files.withColumn("_file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("source_file")) - 1)
-    rows = rows.withColumn("_row", F.row_number().over(order)).join(files, rows["source_file"].eqNullSafe(files["source_file"])).drop(files["source_file"])
-    return rows.withColumn("point_ord", F.expr("_file * 16777216L + _row")).drop("_at", "_row", "_file")
+def in_corpus_order(spark: SparkSession, path: str) -> DataFrame:
+    """Point records of a folder with ``point_ord``: by file as named, then line, however Spark splits them."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")
+    places = read_points(spark, path, at)
+    files = places.groupBy("source_file").agg(F.min("_at").alias("_first"))
+    files = files.select(F.col("source_file").alias("_name"), (F.row_number().over(Window.orderBy("_first")) - 1).alias("_file"))  # a row for each
+    rows = places.withColumn("_row", F.row_number().over(Window.partitionBy("source_file").orderBy("_at")))
+    rows = rows.join(files, F.col("source_file").eqNullSafe(F.col("_name")))
+    place = F.coalesce(F.when(F.col("_row") < 1 << 24, F.expr("_file * 16777216L + _row")), F.raise_error(F.lit("a file has too many rows")).cast("long"))
+    return rows.withColumn("point_ord", place).select(*POINT_COLUMNS, "point_ord")
 
 
-def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractConfig = ExtractConfig()) -> JobReport:
-    """CSV files to point records; fails if no file has points. The report lists rejected files."""
+def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractConfig = ExtractConfig(), sample_out: str | None = None) -> JobReport:
+    """CSV files to point records and, if wanted, one sampled label for each building.
+
+    Fails if no file has points, before anything is overwritten. The report lists rejected files.
+    """
     found = load_points(spark, directory, config)
+    if found.points.isEmpty():
+        raise RuntimeError("no file with point labels")
     seen = Observation()
     write_json(found.points.sort("point_ord").select(*POINT_COLUMNS).observe(seen, F.count("*").alias("rows")), out)
-    if not seen.get["rows"]:
-        raise RuntimeError("no file with point labels")
-    return JobReport(seen.get["rows"], found.rejects)
+    if sample_out is not None:
+        write_text(joined_sample(sample_one_per_building(in_corpus_order(spark, out), config.seed)), sample_out)
+    totals = job_summary(read_points(spark, out)).first()
+    rejected = found.rejects.persist(StorageLevel.DISK_ONLY)
+    return JobReport(seen.get["rows"], {"files": totals.files, "buildings": totals.buildings, "rejected files": rejected.count()}, rejected)
 
 
 def run_vocab(spark: SparkSession, points_path: str, out: str, config: VocabConfig = VocabConfig()) -> JobReport:
-    """Point records to a vocabulary file. The report lists the bottom of the equipment ranking."""
-    points = in_corpus_order(read_points(spark, points_path))
-    classified = classify(token_stats(points), config)
-    write_vocabulary(bundle(classified, corpus_stats(points), config), out)
-    return JobReport(classified.count(), bottom_equipment(classified, config))
+    """Point records to a vocabulary file. The report lists the bottom of the equipment ranking.
+
+    The corpus is read once: its counts by token and building are kept on the executors' disks for all that follows.
+    """
+    ordered = in_corpus_order(spark, points_path).select("point_label", "building_id", "source_file", "point_ord")
+    counts = token_counts_by_building(ordered).persist(StorageLevel.DISK_ONLY)
+    classified = classify(stats_of_counts(counts), config).persist(StorageLevel.DISK_ONLY)
+    corpus = corpus_of_counts(counts)
+    write_vocabulary(bundle(classified, corpus, config), out)
+    totals = corpus.first()
+    bottom = spark.createDataFrame(bottom_equipment(classified, config).collect(), classified.schema)  # as many as the parameter says
+    report = JobReport(totals.num_tokens, {"tokens": totals.num_tokens, "buildings": totals.num_buildings}, bottom)
+    classified.unpersist()
+    counts.unpersist()
+    return report
 
 
 def run_label(spark: SparkSession, points_path: str, vocabulary_path: str, out: str) -> JobReport:
     """Point records to annotated records, one for one."""
     seen = Observation()
     annotated = annotate(read_points(spark, points_path), read_vocabulary(spark, vocabulary_path))
-    write_json(annotated.observe(seen, F.count("*").alias("rows")), out)
-    return JobReport(seen.get["rows"])
+    counts = (F.count("*").alias("rows"), F.sum(F.size("tokens")).alias("tokens"), F.count_if(F.size("tokens") == 0).alias("empty"))
+    write_json(annotated.observe(seen, *counts), out)
+    return JobReport(seen.get["rows"], {"tokens": seen.get["tokens"] or 0, "without tokens": seen.get["empty"]})

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from tagloom.config import ExtractConfig, VocabConfig, Vocabulary
 from tagloom.functions.labels import FIELDS
 from tagloom.functions.text import building_id, is_point_like, tokenize
-from tagloom.operators.extract import choose_columns, column_scores, detect_headers, named_cells, points_from_cells
-from tagloom.operators.labelling import annotate, label_by_lookup, lookup_table
-from tagloom.operators.sample import joined_sample, sample_one_per_building
+from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
+from tagloom.operators.labelling import annotate, label_by_lookup, label_counts, lookup_table
+from tagloom.operators.sample import joined_sample, sample_one_per_building, sample_positions
 from tagloom.operators.stats import corpus_stats, explode_tokens, token_counts_by_building, token_stats
-from tagloom.operators.vocab import bottom_equipment, classify, is_io_type, is_vendor, passes_thresholds, top_equipment, trim, vocabulary_rows
+from tagloom.operators.vocab import bottom_equipment, bundle, classify, is_io_type, is_vendor, passes_thresholds, top_equipment, trim, vocabulary_rows
+from tagloom.plans.jobs import in_corpus_order, job_summary, run_extract, run_label, run_vocab
+from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_vocabulary
+from tagloom.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,12 @@ SOURCES = {
     "nations": ("nation", "n_nationkey", "n_name", "cast(n_regionkey as string)"),
     "documents": ("documents", "doc_id", "text", "source"),
 }
+#: Labels that reach every pattern and every field: label and building.
+LITERALS = (
+    ("Bldg44.fl7-RM210B zone 31C", "east"), ("FLOOR 9_rm8/2C3 COM", "east"), ("bldg2 Nation17 HTTPS-low", "west"), ("x9 K55 55k A123B", "west"),
+    ("brand brand CUSTOMER 4 5 6789", None), ("NET#ORG not URGENT", None), ("f12 F3x Fl08 rm77q", "west"), ("", "east"), ("._-/", "none"), (None, "east"),
+    ("page page 1a2 12345 012", "unknown"), ("Specified EXAMPLE nation 00 BLDG9 BLDG8 floor FL1", "east"),
+)
 CONFIG = VocabConfig(
     min_freq=5,
     max_equip=20,
@@ -55,6 +64,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    if source == "literals":
+        return spark.createDataFrame([(i, *row) for i, row in enumerate(LITERALS)], "point_ord long, point_label string, building_id string")
     name, key, label, building = SOURCES[source]
     return table(spark, sf_dir, name).select(
         F.expr(key).cast("long").alias("point_ord"), F.expr(label).alias("point_label"), F.expr(building).alias("building_id")
@@ -67,7 +78,13 @@ _SPACE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 _TOKEN = rf"[A-Za-z]+|\p{{Nd}}+|[^A-Za-z0-9 _./:\-{_SPACE}]"
 
 
+def _quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
 def _points_sql(source: str) -> str:
+    if source == "literals":
+        return "SELECT CAST(i AS BIGINT) AS id, label, building FROM (VALUES " + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(LITERALS)) + ") AS v(i, label, building)"
     name, key, label, building = SOURCES[source]
     building = building.replace("as string", "as varchar")
     return f"SELECT CAST({key} AS BIGINT) AS id, {label} AS label, {building} AS building FROM {name}"
@@ -78,7 +95,7 @@ def _tokens_sql(source: str) -> str:
     return f"""WITH points AS ({_points_sql(source)}),
 lists AS (SELECT id, building, label, regexp_extract_all(label, '{_TOKEN}') AS toks FROM points WHERE label IS NOT NULL),
 flat AS (SELECT id, building, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM lists),
-tokens AS (SELECT id, coalesce(building, 'unknown') AS building, pos, token, upper(replace(token, 'ß', 'SS')) AS up,
+tokens AS (SELECT id, building, pos, token, upper(replace(token, 'ß', 'SS')) AS up,
   lead(token) OVER (PARTITION BY id ORDER BY pos) AS nxt FROM flat)"""
 
 
@@ -86,7 +103,7 @@ def _stats_sql(source: str) -> str:
     return (
         _tokens_sql(source)
         + """,
-stats AS (SELECT up AS token, count(*) AS freq, count(DISTINCT building) AS buildings,
+stats AS (SELECT up AS token, count(*) AS freq, count(DISTINCT coalesce(building, chr(1))) AS buildings,
   count(*) FILTER (regexp_full_match(nxt, '[\\p{Nd}²³¹]+')) AS numid_bigrams, min(id * 1048576 + pos) AS first_ord FROM tokens GROUP BY up)"""
     )
 
@@ -223,7 +240,7 @@ _add(
 _add(
     "corpus_stats",
     lambda spark, d: corpus_stats(points(spark, d, "documents")),
-    _tokens_sql("documents") + " SELECT count(DISTINCT up) AS num_tokens, count(DISTINCT building) AS num_buildings FROM tokens",
+    _tokens_sql("documents") + " SELECT count(DISTINCT up) AS num_tokens, count(DISTINCT coalesce(building, chr(1))) AS num_buildings FROM tokens",
 )
 for _s in ("urls", "parts", "documents"):
     _add(
@@ -286,13 +303,13 @@ def _label_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_by_lookup(rows, lookup_table(terms)).select("id", "pos", "token", "label")
 
 
-def _flat_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _annotated(spark, sf_dir, "urls")
+def _flat_annotation(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    rows = _annotated(spark, sf_dir, source)
     joined = [F.array_join(c, "|").alias(c) for c in ("tokens", "token_labels", "bio_tags")]
     return rows.select(F.col("source_file").cast("long").alias("id"), "point_label", "building_id", "label_source", *joined, *(F.col(f"structured.{f}").alias(f) for f in FIELDS))
 
 
-for _s in ("urls", "customers", "priorities"):
+for _s in ("urls", "customers", "priorities", "literals"):
     _add(
         f"label_tokens_{_s}",
         lambda spark, d, s=_s: _token_rows(_annotated(spark, d, s), "token_labels", "label"),
@@ -301,7 +318,7 @@ for _s in ("urls", "customers", "priorities"):
 _add("label_by_lookup", _label_by_join, _labels_sql("brands") + " SELECT id, CAST(pos AS INTEGER) AS pos, token, label FROM labelled")
 _add(
     "label_histogram",
-    lambda spark, d: _token_rows(_annotated(spark, d, "documents"), "token_labels", "label").groupBy("label").agg(F.count("*").alias("n")),
+    lambda spark, d: label_counts(points(spark, d, "documents"), TERMS),
     _labels_sql("documents") + " SELECT label, count(*) AS n FROM labelled GROUP BY label",
 )
 _add(
@@ -314,12 +331,76 @@ _add(
     lambda spark, d: _annotated(spark, d, "priorities").select(F.col("source_file").cast("long").alias("id"), "structured.*"),
     _labels_sql("priorities") + "," + _VIEW + f" SELECT id, {', '.join(FIELDS)} FROM view",
 )
+_FLAT = (
+    f" SELECT p.id, p.label AS point_label, p.building AS building_id, 'rule' AS label_source, coalesce(tokens, '') AS tokens, "
+    f"coalesce(token_labels, '') AS token_labels, coalesce(bio_tags, '') AS bio_tags, {', '.join(FIELDS)} FROM points p LEFT JOIN view v ON p.id = v.id"
+)
+for _s in ("urls", "literals"):
+    _end = "" if _s == "urls" else f"_{_s}"
+    _add(f"annotate{_end}", lambda spark, d, s=_s: _flat_annotation(spark, d, s), _labels_sql(_s) + "," + _VIEW + _FLAT)
 _add(
-    "annotate",
-    _flat_annotation,
-    _labels_sql("urls") + "," + _VIEW
-    + f" SELECT p.id, p.label AS point_label, p.building AS building_id, 'rule' AS label_source, coalesce(tokens, '') AS tokens, coalesce(token_labels, '') AS token_labels, coalesce(bio_tags, '') AS bio_tags, {', '.join(FIELDS)} FROM points p LEFT JOIN view v ON p.id = v.id",
-)
+    "token_stats_null_buildings",
+    lambda spark, d: token_stats(points(spark, d, "literals")).select(*_stats_columns(), "first_ord"),
+    _stats_sql("literals") + f" SELECT {_STATS_OUT}, first_ord FROM stats",
+)
+_add(
+    "corpus_stats_null_buildings",
+    lambda spark, d: corpus_stats(points(spark, d, "literals")),
+    _tokens_sql("literals") + " SELECT count(DISTINCT up) AS num_tokens, count(DISTINCT coalesce(building, chr(1))) AS num_buildings FROM tokens",
+)
+
+
+# --- vocabulary bundles and files --------------------------------------------------------------------------------------
+
+
+def _flat_bundle(one: DataFrame) -> DataFrame:
+    lists = ("equip_vocab", "subcomp_vocab", "point_func_vocab", "io_type_vocab", "vendor_vocab")
+    entries = F.array_sort(F.transform(F.map_entries("frequency"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return one.select(F.array_join(entries, "|").alias("frequency"), *(F.array_join(c, "|").alias(c) for c in lists), "stats.num_tokens", "stats.num_buildings")
+
+
+def _bundle(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    return bundle(_classified(spark, sf_dir, source), corpus_stats(points(spark, sf_dir, source)), CONFIG)
+
+
+def _bundle_sql(source: str) -> str:
+    kinds = {"EQUIP": "equip_vocab", "SUBCOMP": "subcomp_vocab", "POINT_FUNC": "point_func_vocab", "IO_TYPE": "io_type_vocab", "VENDOR_TAG": "vendor_vocab"}
+    lists = ", ".join(f"coalesce((SELECT string_agg(token, '|' ORDER BY token) FROM kept WHERE category = '{k}'), '') AS {v}" for k, v in kinds.items())
+    return (
+        _trimmed_sql(source)
+        + f" SELECT (SELECT string_agg(token || '=' || freq, '|' ORDER BY token || '=' || freq) FROM stats) AS frequency, {lists},"
+        + " (SELECT count(*) FROM stats) AS num_tokens, (SELECT count(DISTINCT coalesce(building, chr(1))) FROM tokens) AS num_buildings"
+    )
+
+
+def _records(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """Point records in a folder, as text files of many parts, read back."""
+    path = scratch(spark, f"points-{source}")
+    rows = points(spark, sf_dir, source).select("building_id", F.col("building_id").alias("source_file"), "point_label", F.lit("col_0").alias("point_label_col"))
+    write_json(rows.repartition(3), path)
+    return read_points(spark, path)
+
+
+def _vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "vocabulary")
+    write_vocabulary(_bundle(spark, sf_dir, "urls"), path)
+    found = read_vocabulary(spark, path)
+    return spark.createDataFrame([(c, t) for c, ts in found.in_lookup_order() for t in ts], "category string, token string")
+
+
+for _s in ("urls", "documents", "literals"):
+    _add(f"vocab_bundle_{_s}", lambda spark, d, s=_s: _flat_bundle(_bundle(spark, d, s)), _bundle_sql(_s))
+_add(
+    "jsonl_round_trip",
+    lambda spark, d: _records(spark, d, "literals"),
+    f"SELECT building AS building_id, building AS source_file, label AS point_label, 'col_0' AS point_label_col FROM ({_points_sql('literals')})",
+)
+_add("vocabulary_file", _vocabulary_file, _trimmed_sql("urls") + " SELECT category, token FROM kept")
+_add(
+    "job_summary",
+    lambda spark, d: job_summary(_records(spark, d, "urls")),
+    f"SELECT count(*) AS points, count(DISTINCT building) AS files, count(DISTINCT building) AS buildings FROM ({_points_sql('urls')})",
+)
 
 # Cell tables from the string columns of two tables: customers headed by their column names, parts without a header.
 _CELLS = {
@@ -343,54 +424,174 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _cells_sql() -> str:
+#: Small files: a preferred name over a better column, the rule for two rows, null cells and headers, a name that stands twice.
+_FILES = {
+    "7_north.csv": (("Zone", "Bas_Raw"), ("PMP_3 CHW", "heat pump"), ("PMP_4 CHW", None), ("PMP_5 CHW", "N5-supply")),
+    "8-south.csv": (("kind", None), ("plain", "VFD7.SPD"), (None, "VFD8.SPD"), ("other", "VFD9.SPD")),
+    "east_wing.csv": (("points",), ("KW_11.HI",)),
+    "west.csv": (("one", "LABEL", "johnson controls name"), ("R2.D2", "plain words", "C3_PO"), ("R3.D3", "KIT9.CAR", "BB_8"), ("R4", "x", "y")),
+    "twice.csv": (("label", "label"), ("Q_11", "Q_12"), ("Q_13", "Q_14")),
+    "words.csv": (("none", "of"), ("these", "looks"), ("like", "one")),
+    "single.csv": (("LONE_1",),),
+    "tie.csv": (("T_1", "U_1"), ("T_2", "U_2"), ("T_3", "U_3")),
+}
+
+
+def literal_cells(spark: SparkSession) -> DataFrame:
+    rows = [(f, i, j, c) for f, lines in _FILES.items() for i, line in enumerate(lines) for j, c in enumerate(line)]
+    return spark.createDataFrame(rows, "source_file string, row_no int, col_no int, cell string")
+
+
+def _literal_cells_sql() -> str:
+    rows = [f"('{f}', {i}, {j}, {_quoted(c)})" for f, lines in _FILES.items() for i, line in enumerate(lines) for j, c in enumerate(line)]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS v(source_file, row_no, col_no, cell)"
+
+
+def _table_cells_sql() -> str:
     parts = []
     for file, (name, key, columns, header) in _CELLS.items():
         for i, c in enumerate(columns):
             parts.append(f"SELECT '{file}' AS source_file, {key} - (SELECT min({key}) FROM {name}) + {int(header)} AS row_no, {i} AS col_no, {c} AS cell FROM {name}")
             if header:
                 parts.append(f"SELECT '{file}', 0, {i}, '{c}'")
-    return f"""WITH cells AS ({" UNION ALL ".join(parts)}),
+    return " UNION ALL ".join(parts)
+
+
+def _sampled_sql(sizes: tuple[int, ...]) -> str:
+    """Positions that the seeded sample takes, for columns of these sizes; of others all cells count."""
+    return ", ".join(f"({n}, {at})" for n in sizes for at in sample_positions(n, ExtractConfig().sample))
+
+
+def _cells_sql(cells: str | None = None, sizes: tuple[int, ...] = ()) -> str:
+    sampled = "true"
+    if sizes:
+        sampled = f"n_filled <= {ExtractConfig().sample} OR (n_filled, place) IN (SELECT (a, b) FROM (VALUES {_sampled_sql(sizes)}) AS v(a, b))"
+    return f"""WITH cells AS ({cells or _table_cells_sql()}),
 likes AS (SELECT *, {_like_sql("cell")} AS lk FROM cells),
 cols AS (SELECT source_file, col_no, bool_or(row_no = 0 AND lk) AS b0, bool_or(row_no = 1 AND lk) AS b1, bool_or(row_no = 2 AND lk) AS b2,
   max(row_no) + 1 AS n FROM likes GROUP BY ALL),
 heads AS (SELECT source_file, (max(n) >= 3 AND bool_or(NOT b0 AND b1 AND b2)) OR (max(n) >= 2 AND count(*) FILTER (b0) = 0 AND count(*) FILTER (b1) > 0)
   AS has_header FROM cols GROUP BY source_file),
-named AS (SELECT l.source_file, l.row_no, l.col_no, l.cell, l.lk, CASE WHEN has_header THEN t.cell ELSE 'col_' || l.col_no END AS col_name
+named AS (SELECT l.source_file, l.row_no, l.col_no, l.cell, l.lk, CASE WHEN has_header THEN coalesce(t.cell, 'nan') ELSE 'col_' || l.col_no END AS col_name
   FROM likes l JOIN heads h USING (source_file) LEFT JOIN cells t ON t.source_file = l.source_file AND t.col_no = l.col_no AND t.row_no = 0
   WHERE l.row_no >= CAST(has_header AS INTEGER)),
-scores AS (SELECT source_file, col_no, min(col_name) AS col_name, avg(CAST(lk AS DOUBLE)) AS score FROM named WHERE cell IS NOT NULL GROUP BY ALL),
-chosen AS (SELECT source_file, col_no, col_name FROM scores WHERE score > 0.2
-  QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY score DESC, col_no) = 1)"""
+columns AS (SELECT source_file, col_no, min(col_name) AS col_name FROM named GROUP BY source_file, col_no),
+names AS (SELECT *, count(*) OVER (PARTITION BY source_file, col_name) AS same FROM columns),
+filled AS (SELECT named.*, count(*) OVER (PARTITION BY source_file, col_no) AS n_filled, row_number() OVER (PARTITION BY source_file, col_no ORDER BY row_no) - 1 AS place
+  FROM named JOIN names USING (source_file, col_no, col_name) WHERE cell IS NOT NULL AND same = 1),
+scores AS (SELECT source_file, col_no, min(col_name) AS col_name, avg(CAST(lk AS DOUBLE)) AS score FROM filled WHERE {sampled} GROUP BY source_file, col_no),
+preferred AS (SELECT *, list_position({list(ExtractConfig().preferred)}, lower(col_name)) AS rank FROM names WHERE rank > 0
+  QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY rank, col_no DESC) = 1),
+chosen AS (SELECT source_file, col_no, col_name FROM preferred WHERE same = 1 UNION ALL
+  (SELECT source_file, col_no, col_name FROM scores WHERE score > 0.2 AND source_file NOT IN (SELECT source_file FROM preferred)
+  QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY score DESC, col_no) = 1))"""
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cells(spark, sf_dir)
-    return named_cells(found, detect_headers(found), _FULL)
+_POINTS_OUT = """ SELECT regexp_replace(regexp_replace(source_file, '\\.[^.]+$', ''), '^[0-9]+[_\\-]*', '') AS building_id, source_file,
+  coalesce(cell, 'nan') AS point_label, col_name AS point_label_col FROM named JOIN chosen USING (source_file, col_no, col_name)"""
+_SCORES_OUT = " SELECT source_file, col_no, col_name, round(score, 9) AS score FROM scores"
+
+
+def _scores(frame: DataFrame) -> DataFrame:
+    return frame.select("source_file", "col_no", "col_name", F.round("score", 9).alias("score"))
 
 
 _add("header_detect", lambda spark, d: detect_headers(cells(spark, d)), _cells_sql() + " SELECT source_file, has_header FROM heads")
+_add("column_scores", lambda spark, d: _scores(column_scores(cells(spark, d), _FULL)), _cells_sql() + _SCORES_OUT)
+_add("choose_column", lambda spark, d: choose_columns(cells(spark, d), _FULL), _cells_sql() + " SELECT source_file, col_no, col_name FROM chosen")
+_add("extract_points", lambda spark, d: points_from_cells(cells(spark, d), _FULL).drop("point_ord"), _cells_sql() + _POINTS_OUT)
+_add("header_detect_literals", lambda spark, d: detect_headers(literal_cells(spark)), _cells_sql(_literal_cells_sql()) + " SELECT source_file, has_header FROM heads")
+_add("column_scores_literals", lambda spark, d: _scores(column_scores(literal_cells(spark))), _cells_sql(_literal_cells_sql()) + _SCORES_OUT)
+_add("choose_column_literals", lambda spark, d: choose_columns(literal_cells(spark)), _cells_sql(_literal_cells_sql()) + " SELECT source_file, col_no, col_name FROM chosen")
+_add("extract_points_literals", lambda spark, d: points_from_cells(literal_cells(spark)).drop("point_ord"), _cells_sql(_literal_cells_sql()) + _POINTS_OUT)
+
+
+# --- jobs over written folders -----------------------------------------------------------------------------------------
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Label, brand and size of the parts as CSV files without a header, with one file that is rejected."""
+    path = scratch(spark, "csv")
+    table(spark, sf_dir, "part").select("p_name", "p_brand", F.col("p_partkey").cast("string")).coalesce(1).write.csv(path, quoteAll=True)
+    return path
+
+
+def _csv_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_points(spark, _csv_folder(spark, sf_dir), _FULL).points.select("point_label", "point_label_col")
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "csv-rejects")
+    spark.createDataFrame([("A_1",), ("A_2,wider",)], "value string").coalesce(1).write.csv(path, escapeQuotes=False, quote="")
+    return load_points(spark, path).rejects.select("reason")
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three jobs, chained through folders; rows and what each counted."""
+    raw, base = _csv_folder(spark, sf_dir), scratch(spark, "jobs")
+    reports = {
+        "extract": run_extract(spark, raw, f"{base}/points", _FULL, f"{base}/sample"),
+        "vocab": run_vocab(spark, f"{base}/points", f"{base}/vocabulary", CONFIG),
+        "label": run_label(spark, f"{base}/points", f"{base}/vocabulary", f"{base}/labelled"),
+    }
+    rows = [(job, "rows", r.rows) for job, r in reports.items()]
+    rows += [(job, name, n) for job, r in reports.items() for name, n in r.counts.items()]
+    return spark.createDataFrame(rows, "job string, name string, n long")
+
+
+_BRANDS = "SELECT p_brand, regexp_extract_all(p_brand, '" + _TOKEN + "') AS toks FROM part"
+_add("csv_points", _csv_points, "SELECT p_brand AS point_label, 'col_1' AS point_label_col FROM part")
+_add("csv_rejects", _csv_rejects, "SELECT 'a row wider than the first' AS reason")
 _add(
-    "column_scores",
-    lambda spark, d: column_scores(_named(spark, d), _FULL).select("source_file", "col_no", "col_name", F.round("score", 9).alias("score")),
-    _cells_sql() + " SELECT source_file, col_no, col_name, round(score, 9) AS score FROM scores",
+    "jobs_chain",
+    _jobs,
+    f"""WITH b AS ({_BRANDS}), n AS (SELECT count(*) AS points, sum(len(toks)) AS tokens FROM b),
+distinct_ AS (SELECT count(DISTINCT upper(t)) AS n FROM (SELECT unnest(toks) AS t FROM b))
+SELECT job, name, CAST(n AS BIGINT) AS n FROM (
+SELECT 'extract' AS job, 'rows' AS name, points AS n FROM n UNION ALL SELECT 'extract', 'files', 1 UNION ALL SELECT 'extract', 'buildings', 1
+UNION ALL SELECT 'extract', 'rejected files', 0 UNION ALL SELECT 'vocab', 'rows', n FROM distinct_ UNION ALL SELECT 'vocab', 'tokens', n FROM distinct_
+UNION ALL SELECT 'vocab', 'buildings', 1 UNION ALL SELECT 'label', 'rows', points FROM n UNION ALL SELECT 'label', 'tokens', tokens FROM n
+UNION ALL SELECT 'label', 'without tokens', 0)""",
 )
-_add("choose_column", lambda spark, d: choose_columns(_named(spark, d), _FULL), _cells_sql() + " SELECT source_file, col_no, col_name FROM chosen")
 _add(
-    "extract_points",
-    lambda spark, d: points_from_cells(cells(spark, d), _FULL).drop("point_ord"),
-    _cells_sql()
-    + """ SELECT regexp_replace(regexp_replace(source_file, '\\.[^.]+$', ''), '^[0-9]+[_\\-]*', '') AS building_id, source_file,
-  coalesce(cell, 'nan') AS point_label, col_name AS point_label_col FROM named JOIN chosen USING (source_file, col_no, col_name)""",
+    "corpus_order",
+    lambda spark, d: _ordered_records(spark, d).select("point_ord", "point_label"),
+    "SELECT row_number() OVER (ORDER BY p_partkey) AS point_ord, p_name AS point_label FROM part",
 )
+
+
+def _ordered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "ordered")
+    rows = table(spark, sf_dir, "part").repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey")
+    write_json(rows.select(F.lit("b").alias("building_id"), F.lit("f.csv").alias("source_file"), F.col("p_name").alias("point_label"), F.lit("col_0").alias("point_label_col")), path)
+    return in_corpus_order(spark, path)
+
+
 _add(
     "building_ids",
     lambda spark, d: table(spark, d, "part").select("p_partkey", building_id(F.concat(F.col("p_partkey").cast("string"), F.lit("_-"), "p_brand", F.lit(".csv"))).alias("building_id")),
     "SELECT p_partkey, regexp_replace(regexp_replace(p_partkey || '_-' || p_brand || '.csv', '\\.[^.]+$', ''), '^[0-9]+[_\\-]*', '') AS building_id FROM part",
 )
-_add("sampled_column_scores", lambda spark, d: column_scores(_named(spark, d)))
-_add("sample_one_per_building", lambda spark, d: sample_one_per_building(points(spark, d, "customers")))
-_add("joined_sample", lambda spark, d: joined_sample(sample_one_per_building(points(spark, d, "customers"))))
+#: Sizes for which the oracles of the samples hold positions: groups of up to so many rows, and the columns' sizes at small scales.
+_MOST_GROUP = 400
+_COLUMN_SIZES = (200, 1500, 2000, 150, 20, 15_000, 20_000)
+
+
+def _one_each_sql() -> str:
+    places = ", ".join(f"({n}, {sample_positions(n, 1)[0]})" for n in range(1, _MOST_GROUP + 1))
+    return f"""WITH points AS ({_points_sql("customers")}), places AS (SELECT * FROM (VALUES {places}) AS v(n, place)),
+numbered AS (SELECT building, label, row_number() OVER (PARTITION BY building ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY building) AS n
+  FROM points WHERE building IS NOT NULL),
+picked AS (SELECT building AS building_id, label AS point_label FROM numbered JOIN places USING (n, place))"""
+
+
+_add("sampled_column_scores", lambda spark, d: _scores(column_scores(cells(spark, d))), _cells_sql(sizes=_COLUMN_SIZES) + _SCORES_OUT)
+_add("sample_one_per_building", lambda spark, d: sample_one_per_building(points(spark, d, "customers")), _one_each_sql() + " SELECT building_id, point_label FROM picked")
+_add(
+    "joined_sample",
+    lambda spark, d: joined_sample(sample_one_per_building(points(spark, d, "customers"))),
+    _one_each_sql() + " SELECT string_agg(point_label, chr(10) ORDER BY building_id) AS text FROM picked",
+)
 
 
 def queries() -> dict[str, Query]:

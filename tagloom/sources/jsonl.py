@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.config import Vocabulary
 
+UNKNOWN = "unknown"
 POINT_SCHEMA = "building_id string, source_file string, point_label string, point_label_col string"
 VOCAB_SCHEMA = (
     "frequency map<string,bigint>, equip_vocab array<string>, subcomp_vocab array<string>, point_func_vocab array<string>, "
@@ -16,9 +18,17 @@ VOCAB_SCHEMA = (
 _LISTS = {"equip": "equip_vocab", "subcomp": "subcomp_vocab", "point_func": "point_func_vocab", "io_type": "io_type_vocab", "vendor_tag": "vendor_vocab"}
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Point records; blank lines are skipped, a malformed line fails the job, missing keys are null."""
-    return spark.read.schema(POINT_SCHEMA).option("mode", "FAILFAST").json(path)
+def read_points(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """Point records; blank lines are skipped, a malformed line fails the job, missing keys are null.
+
+    A record without the key of the building belongs to the building ``unknown``; one whose building is null to none.
+    ``more``: further columns, of the file's metadata.
+    """
+    lines = spark.read.text(path).select("value", *more).where(~F.col("value").rlike(r"^\s*$"))
+    record = F.from_json("value", POINT_SCHEMA, {"mode": "FAILFAST"})
+    rows = lines.withColumn("_x", record).select("*", "_x.*").drop("_x")
+    missing = F.col("building_id").isNull() & ~F.array_contains(F.json_object_keys("value"), "building_id")
+    return rows.withColumn("building_id", F.when(missing, UNKNOWN).otherwise(F.col("building_id"))).drop("value")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -41,3 +51,8 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
     """The lists of a vocabulary file; a list that is not there is empty."""
     row = spark.read.option("multiLine", True).schema(VOCAB_SCHEMA).json(path).select(*_LISTS.values()).first()
     return Vocabulary(**{name: frozenset((row and row[column]) or ()) for name, column in _LISTS.items()})
+
+
+def write_text(text: DataFrame, path: str) -> None:
+    """A folder with the one line or text of ``text``."""
+    text.coalesce(1).write.mode("overwrite").text(path)

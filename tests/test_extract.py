@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig
 from tagloom.functions.text import is_point_like
-from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, named_cells
+from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
 from tagloom.operators.sample import joined_sample, sample_one_per_building, sample_positions
 
 
@@ -13,14 +13,14 @@ def cells(spark, **files):
 
 
 HEADERS = {
-    "a": ([["Label", "TagSet", "AssetType"], ["BLDG1_AHU1_SAT", "x", "y"], ["BLDG1_AHU2_SAT", "x", "y"]], True),
-    "b": ([["BLDG1_AHU1_SAT", "AHU1.SAT"], ["BLDG1_AHU2_SAT", "AHU2.SAT"], ["BLDG1_AHU3_SAT", "AHU3.SAT"]], False),
-    "c": ([["bas_raw", "haystack"], ["CMU/WEH/AHU-1/% Capacity", "x"], ["CMU/WEH/AHU-2/% Capacity", "x"]], True),
-    "d": ([["Label"], ["AHU1_SAT"]], True),
-    "e": ([["AHU1_SAT"], ["AHU2_SAT"]], False),
-    "f": ([["Label"]], False),
-    "g": ([["name"], ["AHU1_SAT"], ["plain"]], True),  # three rows that fall through to the rule for two
-    "h": ([["AHU1_SAT", None], ["plain", "AHU1_SAT"], ["plain", "x"]], False),
+    "top": ([["Meter", "unit"], ["KWM_1.ENRG", "kWh"], ["KWM_2.ENRG", "kWh"]], True),
+    "bare": ([["CT1_GPM", "P-1"], ["CT2_GPM", "P-2"], ["CT3_GPM", "P-3"]], False),
+    "slash": ([["path", "note"], ["DEPOT/B2/CT-1/% Load", "-"], ["DEPOT/B2/CT-2/% Load", "-"]], True),
+    "two": ([["Meter"], ["KWM_1"]], True),
+    "both": ([["KWM_1"], ["KWM_2"]], False),
+    "one": ([["Meter"]], False),
+    "third": ([["what"], ["KWM_1"], ["words"]], True),  # three rows that fall through to the rule for two
+    "mixed": ([["KWM_1", None], ["words", "KWM_1"], ["words", "u"]], False),
 }
 
 
@@ -30,34 +30,43 @@ def test_headers(spark):
 
 
 def chosen(spark, config=ExtractConfig(), **files):
-    table = cells(spark, **files)
-    return {r.source_file: r.col_name for r in choose_columns(named_cells(table, detect_headers(table)), config).collect()}
+    return {r.source_file: r.col_name for r in choose_columns(cells(spark, **files), config).collect()}
 
 
-def test_choice(spark):
-    point = [f"AHU{i}_SAT" for i in range(5)]
+@pytest.mark.parametrize("exact", [True, False])
+def test_choice(spark, exact):
+    point = [f"KWM{i}_GPM" for i in range(5)]
     assert chosen(
         spark,
-        pref=[["LABEL", "Other"], *[["plain", p] for p in point]],
-        score=[["c1", "c2"], *[["word", p] for p in point]],
+        ExtractConfig(exact_sample=exact),
+        pref=[["BAS_Raw", "More"], *[["words", p] for p in point]],
+        order=[["bas_raw", "label"], *[["words", p] for p in point]],
+        score=[["u", "v"], *[["words", p] for p in point]],
         ties=[[p, p] for p in point],
-        low=[["x", p if i == 0 else "plain"] for i, p in enumerate(point)],
-        empty=[["word", None] for _ in point],
+        low=[["x", p if i == 0 else "words"] for i, p in enumerate(point)],
+        empty=[["words", None] for _ in point],
         null=[[None, p] for p in point],
-        twice=[["bas_raw", "bas_raw", "z"], *[[p, p, p] for p in point]],
+        twice=[["label", "label", "z"], *[[p, p, p] for p in point]],
         same=[["q", "q", "z"], *[[p, p, p] for p in point]],
-    ) == {"pref": "LABEL", "score": "c2", "ties": "col_0", "null": "col_1", "same": "z"}
+    ) == {"pref": "BAS_Raw", "order": "label", "score": "v", "ties": "col_0", "null": "col_1", "same": "z"}
 
 
 def test_sampled_score(spark):
-    values = [f"AHU{i}_SAT" if i % 3 else "plain" for i in range(500)]
+    values = [f"KWM{i}_GPM" if i % 3 else None if i % 2 else "words" for i in range(500)]
     table = cells(spark, f=[[v] for v in values])
-    named = named_cells(table, detect_headers(table))
-    data = values[500 - named.count() :]
+    data = [v for v in values[int(detect_headers(table).first().has_header) :] if v]
     like = [r[0] for r in spark.createDataFrame([(v,) for v in data], "v string").select(is_point_like(F.col("v"))).collect()]
     picked = sample_positions(len(data), 200)
-    assert column_scores(named).first().score == pytest.approx(sum(like[i] for i in picked) / 200)
-    assert column_scores(named, ExtractConfig(exact_sample=False)).first().score == pytest.approx(sum(like) / len(like))
+    assert column_scores(table).first().score == pytest.approx(sum(like[i] for i in picked) / 200)
+    assert column_scores(table, ExtractConfig(exact_sample=False)).first().score == pytest.approx(sum(like) / len(like))
+
+
+def test_few_scans_and_shuffles(spark, tmp_path):
+    cells(spark, a=[["KWM_1"], ["KWM_2"]]).write.parquet(str(tmp_path / "cells"))
+    df = points_from_cells(spark.read.parquet(str(tmp_path / "cells")), ExtractConfig(exact_sample=False))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parquet") == 2 and physical.count("Exchange") <= 6
 
 
 @pytest.mark.parametrize("n, place", [(1, 0), (20, 0), (48, 27), (139, 135), (300, 203), (1048, 352)])
@@ -74,33 +83,33 @@ def test_one_per_building(spark):
 
 def test_directory(spark, tmp_path):
     files = {
-        "01_b3_ibm.csv": 'Label,Other\nBLDG1_AHU1_SAT,"x, y"\n"B ""q"" AHU_2",z\n',
-        "no_header.csv": "AHU1_SAT\n\n   \nAHU2_SAT\r\nAHU3_SAT\n",
-        "narrow.csv": "bas_raw,other\nAHU1_SAT,x\nNA\nAHU_2,q\n",
-        "lines.csv": 'AHU1_SAT,"two\nlines"\nAHU2_SAT,x\nAHU3_SAT,y\n',
-        "wide.csv": "AHU1_SAT\nAHU2_SAT,x\n",
-        "open.csv": 'AHU1_SAT\n"AHU2_SAT\n',
+        "31_mill-lane.csv": 'Label,Other\nKWM_1.ENRG,"x, y"\n"CT ""old"" 4",z\n',
+        "bare.csv": "KWM_7\n\n   \nKWM_8\r\nKWM_9\n",
+        "narrow.csv": "bas_raw,other\nKWM_1,x\nNA\nKWM_2,q\n",
+        "lines.csv": 'KWM_4,"two\nlines"\nKWM_5,x\nKWM_6,y\n',
+        "wide.csv": "KWM_1\nKWM_2,x\n",
+        "open.csv": 'KWM_1\n"KWM_2\n',
         "empty.csv": "\n \n",
         "words.csv": "some\nplain\nwords\n",
-        "other.txt": "AHU1_SAT\n",
+        "other.txt": "KWM_1\n",
     }
     for name, text in files.items():
         (tmp_path / name).write_text(text)
-    (tmp_path / "bad.csv").write_bytes(b"AHU1_SAT\n\xffA\n")
-    (tmp_path / "quotes.csv").write_text('AHU1_SAT\n"' + '""' * 100_000 + '"\nAHU2_SAT\nAHU3_SAT\n')
+    (tmp_path / "bad.csv").write_bytes(b"KWM_1\n\xffA\n")
+    (tmp_path / "quotes.csv").write_text('KWM_1\n"' + '""' * 100_000 + '"\nKWM_2\nKWM_3\n')
     found = load_points(spark, str(tmp_path))
     got = {}
     for r in found.points.orderBy("point_ord").collect():
         got.setdefault(r.source_file, []).append(r.point_label)
     assert got.pop("quotes.csv")[1] == '"' * 100_000
     assert got == {
-        "01_b3_ibm.csv": ["BLDG1_AHU1_SAT", 'B "q" AHU_2'],
-        "no_header.csv": ["AHU1_SAT", "AHU2_SAT", "AHU3_SAT"],
-        "narrow.csv": ["AHU1_SAT", "nan", "AHU_2"],
-        "lines.csv": ["AHU1_SAT", "AHU2_SAT", "AHU3_SAT"],
+        "31_mill-lane.csv": ["KWM_1.ENRG", 'CT "old" 4'],
+        "bare.csv": ["KWM_7", "KWM_8", "KWM_9"],
+        "narrow.csv": ["KWM_1", "nan", "KWM_2"],
+        "lines.csv": ["KWM_4", "KWM_5", "KWM_6"],
     }
-    row = found.points.where("source_file = '01_b3_ibm.csv'").first()
-    assert (row.building_id, row.point_label_col) == ("b3_ibm", "Label")
+    row = found.points.where("source_file = '31_mill-lane.csv'").first()
+    assert (row.building_id, row.point_label_col) == ("mill-lane", "Label")
     assert {r.source_file: r.reason for r in found.rejects.collect()} == {
         "wide.csv": "a row wider than the first", "open.csv": "open quote", "empty.csv": "empty", "words.csv": "no label column", "bad.csv": "not UTF-8",
     }

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 import pytest
 
-from tagloom.functions.text import building_id, is_digits, is_point_like, strip, tokenize
+from tagloom.functions.text import building_id, is_digits, is_number_token, is_point_like, strip, tokenize
 
 
 def values(spark, function, inputs):
@@ -11,14 +11,14 @@ def values(spark, function, inputs):
 
 def test_tokenize(spark):
     cases = {
-        "AHU-03.SAT_AI": ["AHU", "03", "SAT", "AI"],
-        "RM1203E": ["RM", "1203", "E"],
-        "ZONE.AHU01.RM3218:VLV1 COMD": ["ZONE", "AHU", "01", "RM", "3218", "VLV", "1", "COMD"],
+        "KWM-7.ENRG/kWh": ["KWM", "7", "ENRG", "kWh"],
+        "lab204b": ["lab", "204", "b"],
+        "N_WING.CT12:FAN3 Amps": ["N", "WING", "CT", "12", "FAN", "3", "Amps"],
         "": [],
         " _.-/:": [],
-        "a\tb c": ["a", "b", "c"],
-        "CO²%": ["CO", "²", "%"],
-        "é#&": ["é", "#", "&"],
+        "p\tq r": ["p", "q", "r"],
+        "m³/h%": ["m", "³", "h", "%"],
+        "ø#&": ["ø", "#", "&"],
         "T١٢x": ["T", "١٢", "x"],
         "😀1": ["😀", "1"],
     }
@@ -27,20 +27,22 @@ def test_tokenize(spark):
 
 
 def test_point_like(spark):
-    yes = ["BLDG1_FL03_AHU2_SAT_AI", "AHU-03.SAT", "Effective_RA_CO_dac_AV", "VAV12_CLG_CMD", "  KWH "]
-    no = ["bas_raw", "haystack", "Label", "TagSet", "name", "units", None, "A", "AB", "   ", "123"]
+    yes = ["KWM", "ct-04/fan", "Wet_Bulb", "lift4 B", "  GPM "]  # capitals; a separator and a digit; and a capital; a digit and a capital; blanks
+    no = ["wet_bulb", "remarks", "Remark", "CamelWord", "heat pump", None, "Q", "Q7", "   ", "456"]
     assert values(spark, is_point_like, yes) == [True] * len(yes)
     assert values(spark, is_point_like, no) == [False] * len(no)
 
 
-@pytest.mark.parametrize(
-    "name, expected",
-    [("01_office_singapore.csv", "office_singapore"), ("001-BLDG_A.csv", "BLDG_A"), ("ghc_cmu.csv", "ghc_cmu"), ("123.csv", ""), ("a.b.csv", "a.b")],
-)
+@pytest.mark.parametrize("name, expected", [("17_harbour_depot.csv", "harbour_depot"), ("4-_Mill.csv", "Mill"), ("annex.csv", "annex"), ("55.csv", ""), ("v1.2.csv", "v1.2")])
 def test_building_id(spark, name, expected):
     assert values(spark, building_id, [name]) == [expected]
 
 
+def test_number_tokens(spark):
+    tokens = ["12", "²", "١", "ab", "%", "é", "#", "①", "\u3007", ""]
+    assert values(spark, is_number_token, tokens) == values(spark, is_digits, tokens)
+
+
 def test_digits_and_strip(spark):
     assert values(spark, is_digits, ["12", "²", "١", "1a", ""]) == [True, True, True, False, False]
     assert values(spark, strip, ["  a b \x1c"]) == ["a b"]

@@ -18,35 +18,35 @@ def points(spark, rows):
 
 
 def test_token_stats(spark):
-    p = points(spark, [("AHU 01 ahu", "B1"), ("AHU-2", "B2"), ("AHU", None), ("._", "B9"), (None, "B8"), ("end 7", "B1")])
+    p = points(spark, [("CT 01 ct", "yard"), ("CT-2", "quay"), ("CT", None), ("._", "mill"), (None, "dock"), ("end 7", "yard"), ("ct", "unknown")])
     got = {r.token: (r.freq, r.buildings, r.numid_bigrams, r.first_ord) for r in token_stats(p).collect()}
-    assert got["AHU"] == (4, 3, 2, 0)
+    assert got["CT"] == (5, 4, 2, 0)  # a null building counts, and is not the one called unknown
     assert got["7"] == (1, 1, 0, (5 << 20) + 1)
     assert (got["END"][2], got["01"][2]) == (1, 0)
-    assert corpus_stats(p).first().asDict() == {"num_tokens": 5, "num_buildings": 3}
-    assert token_counts_by_building(p).where("token = 'AHU'").count() == 3
+    assert corpus_stats(p).first().asDict() == {"num_tokens": 5, "num_buildings": 4}
+    assert token_counts_by_building(p).where("token = 'CT'").count() == 4
     assert token_stats(p.limit(0)).count() == 0
 
 
 def test_io_and_vendor(spark):
-    rows = spark.createDataFrame([(x,) for x in "AI DO XYZ SIEMENS BACNET MYNET LONGNETNAME NOTVENDOR CABINET".split()], "t string")
+    rows = spark.createDataFrame([(x,) for x in "UO BV IO TRANE N2 LONNET PLANETNET CARINET GRANITE".split()], "t string")
     got = {r.t: (r.io, r.v) for r in rows.select("t", is_io_type(F.col("t")).alias("io"), is_vendor(F.col("t")).alias("v")).collect()}
-    assert [x for x, (io, _) in got.items() if io] == ["AI", "DO"]
-    assert [x for x, (_, v) in got.items() if v] == ["SIEMENS", "BACNET", "MYNET", "CABINET"]
+    assert [x for x, (io, _) in got.items() if io] == ["UO", "BV"]
+    assert [x for x, (_, v) in got.items() if v] == ["TRANE", "N2", "LONNET", "CARINET"]
 
 
 def test_classes(spark):
     assert kinds(
         spark,
-        [("AHU", 1, 1, 0), ("TEMP", 20, 3, 0), ("CMD", 20, 2, 0), ("STATUS", 20, 2, 0), ("ahu", 20, 3, 0), ("FLOW", 20, 3, 0), ("XYZ", 15, 2, 0),
-         ("QRS", 5, 2, 0), ("RETURN", 50, 9, 0), ("ABCDEFG", 50, 9, 0), ("HEAT", 50, 9, 0), ("HOT", 50, 9, 0), ("RET", 50, 9, 0), ("CABINET", 1, 1, 0)],
+        [("HHW", 1, 1, 0), ("HUMID", 12, 2, 0), ("ENBLD", 10, 2, 0), ("STATS", 10, 2, 0), ("boil", 40, 4, 0), ("LEVELS", 30, 2, 0), ("KLM", 10, 2, 0),
+         ("NOP", 9, 2, 0), ("OPQ", 90, 1, 0), ("SUPPLY", 60, 8, 0), ("GENERAL", 60, 8, 0), ("DUCT", 60, 8, 0), ("VENT", 60, 8, 0), ("DUCTNET", 1, 1, 0)],
     ) == {
-        "AHU": "EQUIP", "TEMP": "SUBCOMP", "CMD": "POINT_FUNC", "STATUS": "POINT_FUNC", "ahu": None, "FLOW": "SUBCOMP", "XYZ": "EQUIP", "QRS": None,
-        "RETURN": None, "ABCDEFG": None, "HEAT": "SUBCOMP", "HOT": "SUBCOMP", "RET": "SUBCOMP", "CABINET": "VENDOR_TAG",
+        "HHW": "EQUIP", "HUMID": "SUBCOMP", "ENBLD": "POINT_FUNC", "STATS": "POINT_FUNC", "boil": None, "LEVELS": "SUBCOMP", "KLM": "EQUIP", "NOP": None,
+        "OPQ": None, "SUPPLY": None, "GENERAL": None, "DUCT": "SUBCOMP", "VENT": "SUBCOMP", "DUCTNET": "VENDOR_TAG",
     }
-    assert kinds(spark, [("STATIC", 172, 29, 0)]) == {"STATIC": "POINT_FUNC"}
-    assert kinds(spark, [("STATIC", 3, 1, 0)]) == {"STATIC": "SUBCOMP"}
-    assert kinds(spark, [("AHU", 1, 1, 0)], VocabConfig(equip_blacklist=("AHU",))) == {"AHU": None}
+    assert kinds(spark, [("STATIC", 40, 5, 0)]) == {"STATIC": "POINT_FUNC"}
+    assert kinds(spark, [("STATIC", 2, 1, 0)]) == {"STATIC": "SUBCOMP"}
+    assert kinds(spark, [("MAU", 1, 1, 0)], VocabConfig(equip_blacklist=("MAU",))) == {"MAU": None}
 
 
 def test_scores_and_trim(spark):
@@ -61,11 +61,11 @@ def test_scores_and_trim(spark):
     assert [r.token for r in bottom_equipment(classified).collect()] == [r[0] for r in rows[-30:]]
 
 
-def test_small_vocabulary(spark):
-    p = points(spark, [("SIEMENS_AHU-01.SAT_AI_CMD", b) for b in ["B1"] * 6 + ["B2"] * 6])
+def test_bundle(spark):
+    p = points(spark, [("TRANE/CRAC-4:OAT.BV alarm", b) for b in ["yard"] * 5 + ["quay"] * 6])
     row = bundle(classify(token_stats(p)), corpus_stats(p)).first()
-    assert (row.io_type_vocab, row.vendor_vocab, row.equip_vocab, row.subcomp_vocab, row.point_func_vocab) == (["AI"], ["SIEMENS"], ["AHU"], ["SAT"], ["CMD"])
-    assert row.frequency["01"] == 12 and row.stats.num_tokens == 6 and row.stats.num_buildings == 2
+    assert (row.vendor_vocab, row.equip_vocab, row.subcomp_vocab, row.io_type_vocab, row.point_func_vocab) == (["TRANE"], ["CRAC"], ["OAT"], ["BV"], ["ALARM"])
+    assert row.frequency["4"] == 11 and list(row.frequency)[:2] == ["TRANE", "CRAC"] and row.stats.asDict() == {"num_tokens": 6, "num_buildings": 2}
 
 
 def test_plan_has_hash_aggregates_only(spark):
