@@ -3,12 +3,15 @@
 The tree builder closes elements as browsers do where an end tag may be left out (p, li, dt, dd, options, table parts),
 ignores stray end tags and closes what is open at the end. What stands in a table but in no cell or caption goes before
 the table, and a table directly in a table ends the outer one. Hidden are elements that are never shown (head, script,
-style, template ...), the ``hidden`` attribute, hidden inputs, closed dialogs, inline ``display:none`` and
-``visibility:hidden``, and elements that a page's own style rules hide by tag, class or id. Rules
-that hold under a condition (media queries with features, print, supports, containers) hide nothing.
+style, template ...), hidden inputs, and, unless a style shows them, the ``hidden`` attribute and closed dialogs. Of the
+page's own styles ``display`` and ``visibility`` count, by the cascade (important, inline, ids, classes, tags, order), for
+selectors of tags, classes and ids joined as descendants or children. What is inside a box that is not displayed is hidden;
+what is inside an invisible one may be made visible again. Rules that hold under a condition (media queries with features,
+print, supports, containers) hide nothing.
 
 Blocks are separated by a blank line where they have margins, else by a new line. List items get a dash or a number and
-are indented with their list; table cells are padded to columns. White space collapses outside ``pre``.
+are indented with their list; table cells are padded to columns, over several of which a cell may go. Tables nested more
+than ``_NESTED_TABLES`` deep are written as running text. White space collapses outside ``pre``.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.textlinear import mapped
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?\s*", re.I)
 #: Comments, strings and addresses of a style sheet, or a sign that ends something.
 _CSS = re.compile(r"(/\*.*?(?:\*/|\Z))|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|\burl\([^)]*\)?|([{};])", re.S | re.I)
 _AT_RULE = re.compile(r"@([\w-]+)(.*)", re.S)
 _NOT_A_SCREEN = re.compile(r"not\s+(?!(?:all|screen)\Z)[\w-]+")
-_SELECTOR = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+")
+#: Selectors of tags, classes and ids, joined as descendants or children; others hide nothing.
+_SIMPLE = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_PARTS_OF = re.compile(r"\s*(>)\s*|\s+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -42,7 +47,7 @@ def _set(names: str) -> frozenset[str]:
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style textarea title xmp iframe noembed noframes")
 NEVER_SHOWN = _set(
-    "head script style template noscript title meta link iframe noembed noframes datalist audio video canvas object svg math"
+    "head script style template noscript title meta link iframe noembed noframes datalist audio video canvas object desc metadata defs annotation annotation-xml"
 )
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table hr fieldset details dialog menu dir")
 BLOCKS = SPACED | _set(
@@ -89,6 +94,9 @@ class Node:
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
 
+    def classes(self) -> list[str]:
+        return self.attributes.get("class", "").split()
+
 
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
@@ -183,12 +191,40 @@ def on_screen(media: str) -> bool:
     return queries == [""] or any(q in ("all", "screen") or _NOT_A_SCREEN.fullmatch(q) for q in queries)
 
 
-def hiding_selectors(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) whose rules hide, but for rules in at-rules that hold under a condition."""
-    out: set[str] = set()
+@dataclass(frozen=True, slots=True)
+class Rule:
+    """A selector, last part first (tag, classes, ids, whether the next part is the parent), and what it declares."""
+
+    parts: tuple[tuple[str, frozenset[str], frozenset[str], bool], ...]
+    declared: tuple[tuple[str, str, bool], ...]
+    order: tuple[int, int, int, int]
+
+
+def declarations(text: str) -> tuple[tuple[str, str, bool], ...]:
+    """``display`` and ``visibility`` as declared, in order: name, value, whether important."""
+    found = (_DECLARATION.fullmatch(d) for d in text.split(";"))
+    return tuple((m[1].lower(), m[2].lower(), bool(m[3])) for m in found if m)
+
+
+def _selector(text: str) -> tuple[tuple[str, frozenset[str], frozenset[str], bool], ...] | None:
+    pieces = _PARTS_OF.split(text.strip())
+    out = []
+    for i in range(0, len(pieces), 2):
+        m = _SIMPLE.fullmatch(pieces[i])
+        if not m or not pieces[i]:
+            return None
+        names = re.findall(r"[.#][\w-]+", m[2])
+        own = (frozenset(x[1:] for x in names if x[0] == sign) for sign in ".#")
+        out.append((m[1].lower() if m[1] and m[1] != "*" else "", *own, i > 0 and pieces[i - 1] == ">"))
+    return tuple(reversed(out))
+
+
+def visibility_rules(styles: list[str]) -> list[Rule]:
+    """Rules on display and visibility, in the order of the cascade, but for rules in at-rules that hold under a condition."""
+    out: list[Rule] = []
     for sheet in styles:
         blocks: list[str | None] = []  # open ones: a rule's selectors, "" where rules count, None where nothing counts
-        parts, at = [], 0
+        parts, at, body = [], 0, []
         for m in _CSS.finditer(sheet):
             sign = m[2]
             parts.append(sheet[at : m.start() if m[1] or sign else m.end()])
@@ -205,23 +241,80 @@ def hiding_selectors(styles: list[str]) -> set[str]:
                     blocks.append("" if name == "layer" or name == "media" and on_screen(rule[2]) else None)
                 else:
                     blocks.append(text or None)
+                body = []
                 continue
-            if blocks and blocks[-1] and _HIDING.search(text):
-                out.update(s for x in blocks[-1].split(",") if _SELECTOR.fullmatch(s := x.strip()))
+            body.append(text)
             if sign == "}" and blocks:
+                if blocks[-1] and (declared := declarations(";".join(body))):
+                    for one in blocks[-1].split(","):
+                        if found := _selector(one):
+                            ids, classes, tags = (sum(f(p) for p in found) for f in (lambda p: len(p[2]), lambda p: len(p[1]), lambda p: bool(p[0])))
+                            out.append(Rule(found, declared, (ids, classes, tags, len(out))))
                 blocks.pop()
-    return out
+                body = []
+    return sorted(out, key=lambda r: r.order)
+
+
+class Rules:
+    """The rules of a page, found by the rarest name that the last part of their selector asks for."""
+
+    def __init__(self, rules: list[Rule]) -> None:
+        self.by_name: dict[str, list[Rule]] = {}
+        for r in rules:
+            tag, classes, ids, _ = r.parts[0]
+            name = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag
+            self.by_name.setdefault(name, []).append(r)
+
+    def of(self, node: Node, path: list[Node]) -> list[Rule]:
+        """Those that fit an element whose ancestors are ``path``, in the order of the cascade."""
+        if not self.by_name:
+            return []
+        names = ["", node.tag, *("." + c for c in set(node.classes())), "#" + node.attributes.get("id", "")]
+        found = [r for n in names for r in self.by_name.get(n, ()) if _fits(r, node, path)]
+        return sorted(found, key=lambda r: r.order)
+
+
+def _fits(rule: Rule, node: Node, path: list[Node]) -> bool:
+    def one(part: tuple[str, frozenset[str], frozenset[str], bool], n: Node) -> bool:
+        tag, classes, ids, _ = part
+        return (not tag or tag == n.tag) and classes <= set(n.classes()) and ids <= {n.attributes.get("id", "")}
+
+    if not one(rule.parts[0], node):
+        return False
+    places = {len(path)}  # where the part before may stand: above one of these
+    last_child = max((i for i, part in enumerate(rule.parts) if part[3]), default=-1)
+    for k, (before, part) in enumerate(zip(rule.parts, rule.parts[1:], strict=False)):
+        if before[3]:
+            places = {i - 1 for i in places if i > 0 and one(part, path[i - 1])}
+        else:
+            above = (i for i in range(max(places) - 1, -1, -1) if one(part, path[i]))
+            if k + 1 > last_child:  # only ancestors at any distance follow, so the nearest leaves most of them
+                nearest = next(above, None)
+                places = set() if nearest is None else {nearest}
+            else:
+                places = set(above)
+        if not places:
+            return False
+    return True
 
 
-def is_hidden(node: Node, selectors: set[str]) -> bool:
+def seen(node: Node, path: list[Node], rules: Rules, visible: bool) -> tuple[bool, bool]:
+    """Whether the element has a box, and whether its own text shows; ``visible`` is what it inherits."""
     a = node.attributes
-    if node.tag in NEVER_SHOWN or "hidden" in a or _HIDING.search(a.get("style", "")):
-        return True
-    if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
-        return True
-    return bool(selectors) and bool(
-        selectors & {node.tag, "#" + a.get("id", ""), *("." + c for c in a.get("class", "").split())}
-    )
+    if node.tag in NEVER_SHOWN or node.tag == "input" and a.get("type", "").lower() == "hidden":
+        return False, False
+    display, visibility = "none" if "hidden" in a or node.tag == "dialog" and "open" not in a else "", ""
+    listed = [d for r in rules.of(node, path) for d in r.declared] + list(declarations(a.get("style", "")))
+    for name, value, _ in [d for d in listed if not d[2]] + [d for d in listed if d[2]]:
+        if name == "display":
+            display = value
+        else:
+            visibility = value
+    if visibility in ("hidden", "collapse"):
+        visible = False
+    elif visibility in ("visible", "initial"):
+        visible = True
+    return display != "none", visible
 
 
 class _Page:
@@ -263,50 +356,103 @@ class _Page:
         self.gap = max(self.gap, 2 if spaced else 1)
 
 
-def _cells(table: Node, selectors: set[str]) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and rows of a table, not of tables inside it."""
-    captions, rows, waiting = [], [], [iter(table.children)]
+def _span(cell: Node, name: str, most: int) -> int:
+    text = cell.attributes.get(name, "").strip()
+    return min(max(1, int(text)), most) if re.fullmatch(r"[0-9]{1,9}", text) else 1
+
+
+def _cells(table: Node, path: list[Node], rules: Rules, visible: bool) -> tuple[list[tuple], list[list[tuple]]]:
+    """Captions and rows of a table, not of tables inside it: each cell with its ancestors and whether its text shows."""
+    captions: list[tuple] = []
+    rows: list[list[tuple]] = []
+    waiting = [(iter(table.children), [*path, table], visible)]
     while waiting:
-        child = next(waiting[-1], None)
+        children, above, shows = waiting[-1]
+        child = next(children, None)
         if child is None:
             waiting.pop()
-        elif isinstance(child, Node) and not is_hidden(child, selectors):
-            if child.tag == "caption":
-                captions.append(child)
-            elif child.tag in ("td", "th"):
-                (rows if rows else rows.append([]) or rows)[-1].append(child)
-            elif child.tag != "table":
-                if child.tag == "tr":
-                    rows.append([])
-                waiting.append(iter(child.children))
+            continue
+        if isinstance(child, str):
+            continue
+        boxed, own = seen(child, above, rules, shows)
+        if not boxed:
+            continue
+        if child.tag == "caption":
+            captions.append((child, above, own))
+        elif child.tag in ("td", "th"):
+            (rows if rows else rows.append([]) or rows)[-1].append((child, above, own))
+        else:
+            if child.tag == "tr":
+                rows.append([])
+            waiting.append((iter(child.children), [*above, child], own))
     return captions, [r for r in rows if r]
 
 
-def _table(table: Node, page: _Page, selectors: set[str], depth: int) -> None:
-    captions, rows = _cells(table, selectors)
-    for c in captions:
+def _table(table: Node, path: list[Node], page: _Page, rules: Rules, visible: bool, depth: int) -> None:
+    """Cells padded to columns; one over several columns or rows takes their places, and its text stands in the first."""
+    captions, rows = _cells(table, path, rules, visible)
+    for c, above, shows in captions:
         page.block(False)
-        page.add(_rendered(c, selectors, depth + 1))
-    texts = [[_rendered(c, selectors, depth + 1).split("\n") for c in r] for r in rows]
-    widths = [0] * max(map(len, texts), default=0)
-    for r in texts:
-        for i, lines in enumerate(r):
-            widths[i] = max(widths[i], max(map(len, lines)))
-    for r in texts:
-        for n in range(max(map(len, r))):
+        page.add(_rendered(c, above, rules, shows, depth + 1), keep=True)
+    widths: list[int] = []
+    placed: list[list[tuple[int, int, list[str]]]] = []  # of each row: first column, columns, lines
+    taken: dict[int, int] = {}  # rows that a column is still held for
+    wide = []
+    for r in rows:
+        line, at = [], 0
+        held = {c: n - 1 for c, n in taken.items() if n > 1}
+        for c, above, shows in r:
+            while at in taken:
+                at += 1
+            columns, down = _span(c, "colspan", 1000), _span(c, "rowspan", len(rows))
+            lines = _rendered(c, above, rules, shows, depth + 1).split("\n")
+            line.append((at, columns, lines))
+            need = max(map(len, lines))
+            if columns == 1:
+                widths += [0] * (at + 1 - len(widths))
+                widths[at] = max(widths[at], need)
+            else:
+                wide.append((at, columns, need))
+            if down > 1:
+                held.update((x, down - 1) for x in range(at, at + columns))
+            at += columns
+        taken = held
+        placed.append(line)
+    for at, columns, need in wide:  # what a wide cell needs beyond its columns goes to its first one
+        last = min(at + columns, max(len(widths), at + 1))
+        widths += [0] * (last - len(widths))
+        widths[at] += max(0, need - sum(widths[at:last]) - 3 * (last - at - 1))
+    start = [0]
+    for w in widths:
+        start.append(start[-1] + w + 3)
+    for line in placed:
+        for n in range(max(len(lines) for _, _, lines in line)):
             page.block(False)
-            page.text = " | ".join((c[n] if n < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False)).rstrip(" |") or ""
-
-
-def _rendered(root: Node, selectors: set[str], depth: int = 0) -> str:
+            text = ""
+            for at, _, lines in line:
+                if at:
+                    text = text.ljust(start[min(at, len(widths))] - 3) + " | "
+                text += lines[n] if n < len(lines) else ""
+            if any(n < len(lines) and lines[n] for *_, lines in line):
+                while text.endswith(" | "):  # empty cells at the end
+                    text = text[:-3].rstrip(" ")
+                page.text = text
+
+
+def _rendered(root: Node, path: list[Node], rules: Rules, visible: bool = True, depth: int = 0) -> str:
     page = _Page()
     counters: list[int | None] = []
     plain = 0
-    waiting: list[tuple[str, object]] = [("open", c) for c in reversed(root.children)]
+    above = [*path, root]
+    waiting: list[tuple[str, object, bool]] = [("open", c, visible) for c in reversed(root.children)]
     while waiting:
-        step, item = waiting.pop()
+        step, item, shows = waiting.pop()
+        if step == "left":
+            above.pop()
+            continue
         if step == "close":
             node, before = item
+            above.pop()
             page.block(node.tag in SPACED and not (node.tag in ("ul", "ol") and counters and len(counters) > 1))
             if node.tag in ("ul", "ol", "menu", "dir"):
                 counters.pop()
@@ -314,9 +460,11 @@ def _rendered(root: Node, selectors: set[str], depth: int = 0) -> str:
             page.indent, page.marker = before, ""
             continue
         if isinstance(item, str):
-            page.add(item, plain > 0)
+            if shows:
+                page.add(item, plain > 0)
             continue
-        if is_hidden(item, selectors):
+        boxed, own = seen(item, above, rules, shows)
+        if not boxed:
             continue
         tag = item.tag
         if tag == "br":
@@ -327,15 +475,17 @@ def _rendered(root: Node, selectors: set[str], depth: int = 0) -> str:
             continue
         if tag == "table" and depth < _NESTED_TABLES:
             page.block(True)
-            _table(item, page, selectors, depth)
+            _table(item, above, page, rules, own, depth)
             page.block(True)
             continue
         if tag in ("td", "th") and not page.text.endswith(" "):
             page.text += " "
         if tag not in BLOCKS:
-            if tag == "input" and item.attributes.get("type", "").lower() in ("submit", "button", "reset"):
+            if own and tag == "input" and item.attributes.get("type", "").lower() in ("submit", "button", "reset"):
                 page.add(item.attributes.get("value", ""))
-            waiting += [("open", c) for c in reversed(item.children)]
+            above.append(item)
+            waiting.append(("left", None, own))
+            waiting += [("open", c, own) for c in reversed(item.children)]
             continue
         page.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
         before = page.indent
@@ -352,8 +502,9 @@ def _rendered(root: Node, selectors: set[str], depth: int = 0) -> str:
         elif tag in ("dd", "blockquote"):
             page.indent += 2
         plain += tag == "pre"
-        waiting.append(("close", (item, before)))
-        waiting += [("open", c) for c in reversed(item.children)]
+        above.append(item)
+        waiting.append(("close", (item, before), own))
+        waiting += [("open", c, own) for c in reversed(item.children)]
     page.line()
     return "\n".join(page.lines)
 
@@ -363,7 +514,7 @@ def visible_text(page: str | None) -> str:
     if not page:
         return ""
     root, styles = parse(page)
-    return _rendered(root, hiding_selectors(styles))
+    return _rendered(root, [], Rules(visibility_rules(styles)))
 
 
 def extract_pages(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html") -> DataFrame:

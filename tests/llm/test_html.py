@@ -77,7 +77,7 @@ TABLE_CASES = {
     "<table><form><tr><td>a</form><td>b</table>": "a | b",
     "<table><div>d<tr><td>a<tr><div>e<td>b</table>": "d\ne\n\na\nb",
     "<table><caption>c<tr><td>a<td>b</table>": "c\na | b",
-    "<table><template><tr>x<td>y</td></tr></template><noscript><tr><td>n</td></tr></noscript><svg><tr>s</svg><tr><td>a</table>": "a",
+    "<table><template><tr>x<td>y</td></tr></template><noscript><tr><td>n</td></tr></noscript><svg><tr>s</svg><tr><td>a</table>": "s\n\na",
     "<table><input type=submit value=Go><tr><td>a</table>": "Go\n\na",
 }
 
@@ -118,3 +118,59 @@ def test_no_word_is_lost_in_parts_of_tables(parts):
 )
 def test_rules_under_a_condition_hide_nothing(style, hides):
     assert visible_text(style + "<nav class=menu>m</nav>t") == ("t" if hides else "m\nt")
+
+
+SEEN = {
+    "<style>.a{display:none}.a{display:block}</style><p class=a>x": "x",
+    "<style>#i{display:block}.a{display:none}p{display:none}</style><p class=a id=i>x": "x",
+    "<style>.a{display:none!important}</style><p class=a style='display:block'>x</p>y": "y",
+    "<style>.a{display:none}</style><p class=a style='display:block'>x": "x",
+    "<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>": "b",
+    "<style>.v{visibility:visible}</style><div style='visibility:hidden'>a<ul><li class=v>b</ul></div>": "- b",
+    "<div style='display:none'>a<b style='display:block;visibility:visible'>b</b></div>c": "c",
+    "<style>[hidden]{color:red}.s{display:block}</style><p hidden class=s>x</p><p hidden>y": "x",
+    "<style>div.x{display:none}</style><div class='x y'>a</div><p class=x>b": "b",
+    "<style>.a .b{display:none}</style><p class=b>x</p><div class=a><p><i class=b>y</i>z": "x\n\nz",
+    "<style>.a>.b{display:none}</style><div class=a><p><i class=b>y</i></p><i class=b>w</i></div>": "y",
+    "<style>.a .c>.b{display:none}</style><div class=a><div class=c><div><i class=b>k</i></div><i class=b>n</i></div></div>": "k",
+    "<style>.a:hover,.b::before,a[href]{display:none}</style><a href=x class='a b'>x</a>": "x",
+    "<style>*{color:red}</style><p>x": "x",
+    "a<!-->b<!--->c<!-- d --!>e": "abce",
+    "<svg><text>axis</text><title>no</title><desc>no</desc></svg><math><mi>x</mi><mo>+</mo></math>": "axisx+",
+    "<table><tr><td>a|<td>b |</table>": "a| | b |",
+    "<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>": "ab    | c\n1 | 2 | 3",
+    "<table><tr><td rowspan=2>r<td>1<tr><td>2<tr><td>s<td>3</table>": "r | 1\n  | 2\ns | 3",
+    "<table><tr><td colspan=3>a wide heading<tr><td>1<td>2<td>3</table>": "a wide heading\n1      | 2 | 3",
+    "<table><tr><td style='visibility:hidden'>q<td>w</table>": " | w",
+}
+
+
+@pytest.mark.parametrize("page", SEEN)
+def test_cascade_selectors_and_spans(page):
+    assert visible_text(page).strip() == SEEN[page].strip()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_words_show_where_their_ancestors_do(data):
+    """Nested elements with styles of all sorts against a walk over the same tree by the plain rules of CSS."""
+    styles = {"": None, "display:none": ("display", "none"), "display:block": ("display", "block"), "visibility:hidden": ("visibility", "hidden"), "visibility:visible": ("visibility", "visible")}
+    words, page = [], []
+
+    def grow(depth, displayed, visible):
+        for _ in range(data.draw(st.integers(0, 3))):
+            if depth == 0 or data.draw(st.booleans()):
+                page.append(f"w{len(words)}w ")
+                words.append(displayed and visible)
+                continue
+            tag, style, name = data.draw(st.sampled_from(["div", "b", "section"])), data.draw(st.sampled_from(list(styles))), data.draw(st.sampled_from(["", "gone", "ghost"]))
+            page.append(f"<{tag} class='{name}' style='{style}'>")
+            kind, value = styles[style] or ("", "")
+            box = value if kind == "display" else "none" if name == "gone" else ""
+            show = value if kind == "visibility" else "hidden" if name == "ghost" else ""
+            grow(depth - 1, displayed and box != "none", visible if not show else show == "visible")
+            page.append(f"</{tag}>")
+
+    grow(4, True, True)
+    text = visible_text("<style>div.gone,b.gone,section.gone{display:none}.ghost{visibility:hidden}</style>" + "".join(page))
+    assert [f"w{i}w" in text for i in range(len(words))] == words
