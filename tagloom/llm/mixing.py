@@ -111,7 +111,7 @@ def _running(rows: DataFrame, group: str, order: list[str], value: Column, out:
     base = sums.select(*keys, F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        rows.join(base, keys)
+        rows.join(base.hint("merge"), keys)
         .withColumn("nr", F.row_number().over(inside))
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("_base")
@@ -166,7 +166,7 @@ def mix_sources(
 
     placed = (
         _running(sized, "group", ["h", "doc_id", "size"], F.col("size"), "start")
-        .join(_spread(sized, shares), ["source_key", "group"])
+        .join(_spread(sized, shares).hint("merge"), ["source_key", "group"])
         .withColumn("passes", F.filter(F.transform(F.sequence(F.lit(0), F.lit(max(most, 1) - 1)), _span), lambda x: x["b"] > x["a"]))
     )
     blocks = (
