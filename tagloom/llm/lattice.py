@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
-from tagloom.llm.storage import staged
+from tagloom.llm.storage import dropped, staged
 from tagloom.llm.words import mixed
 
 LEAST_COSINE = 0.9
@@ -390,7 +390,8 @@ def near_duplicates(
     blocks, scale = cells_for(n)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / NODES_A_TASK))
 
-    members = staged(_members(staged(_grouped(nodes, blocks, scale), "vector-homes"), least, tasks), "vector-members")
+    homes = staged(_grouped(nodes, blocks, scale), "vector-homes")
+    members = staged(_members(homes, least, tasks), "vector-members")
     balls = members.groupBy("ball").agg(
         F.first("size").alias("size"), F.first("centre").alias("centre"), F.max("angle").alias("radius"), F.count("*").alias("vectors"), F.sum("copies").alias("weight")
     )
@@ -415,6 +416,7 @@ def near_duplicates(
         .select("node", "least_id", F.expr("weight - 1 + coalesce(beside, 0) + coalesce(others, 0)").alias("n_links"), F.coalesce("component", "ball").alias("c"))
     )
     own = staged(own, "vector-result")
+    dropped(nodes, homes, members, balls, met, pairs, checked)
     least_of = own.groupBy("c").agg(F.min("least_id").alias("component_id"))
     own = own.join(least_of, "c").select("node", "n_links", "component_id")
     out = found.withColumn("node", F.when(F.col("unit").isNotNull(), F.col("d1"))).select("vec_id", "node").join(own, "node", "left")

@@ -111,6 +111,7 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     rows = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("k"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"),
+        F.col(doc_id).cast("long").isNull().alias("none"),
     )
     seen = rows.agg(F.count("*").alias("n"), F.max("k").alias("top")).first()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(seen.n / 20_000), 1)
@@ -121,22 +122,22 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         tops = sorted({*tops, *(found.p if found else [])})
     bounds = np.array(tops, np.int64)  # a range holds the ids over the bound before it, up to its own
 
-    dealt_schema = "r long, ghost boolean, k long, t string"
-    dealt_arrow = pa.schema([("r", pa.int64()), ("ghost", pa.bool_()), ("k", pa.int64()), ("t", pa.string())])
+    dealt_schema = "r int, ghost boolean, k long, t string, none boolean"
+    dealt_arrow = pa.schema([("r", pa.int32()), ("ghost", pa.bool_()), ("k", pa.int64()), ("t", pa.string()), ("none", pa.bool_())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False)
-            r = np.searchsorted(bounds, k)
+            r = np.searchsorted(bounds, k).astype(np.int32)
             t = batch.column(1).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r), pa.array(np.zeros(len(k), bool)), batch.column(0), t], schema=dealt_arrow
+                [pa.array(r), pa.array(np.zeros(len(k), bool)), batch.column(0), t, batch.column(2)], schema=dealt_arrow
             )
             if len(top := np.flatnonzero(bounds[r] == k)):
                 take = pa.array(top)
-                after = (r[top] + 1) % len(bounds)
+                after = ((r[top] + 1) % len(bounds)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(after), pa.array(np.ones(len(top), bool)), batch.column(0).take(take), t.take(take)],
+                    [pa.array(after), pa.array(np.ones(len(top), bool)), batch.column(0).take(take), t.take(take), batch.column(2).take(take)],
                     schema=dealt_arrow,
                 )
 
@@ -150,24 +151,24 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         before = None  # range, id, text, sketch of the row that waits for its next
 
         def result(own: tuple, following: str, other: np.ndarray | None) -> tuple:
-            _, key, body, low = own
+            _, key, body, low, none = own
             edited = edited_text(body, following)
             changed = low if edited == body else sketch(shingle_hashes(edited))
             return (
-                None if key == lowest else key, len(body), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(),
+                None if none else key, len(body), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(),
                 packed(low), packed(changed), likeness(low, changed), likeness(low, other),
             )
 
         for batch in batches:
-            r, ghost, k, t = batch.columns
-            for r_, ghost_, k_, t_ in zip(r.to_pylist(), ghost.to_pylist(), k.to_pylist(), t, strict=True):
+            r, ghost, k, t, none = batch.columns
+            for r_, ghost_, k_, t_, none_ in zip(r.to_pylist(), ghost.to_pylist(), k.to_pylist(), t, none.to_pylist(), strict=True):
                 if ghost_ and (before is None or before[0] != r_):
                     continue  # rows of equal id after the one that was wanted
                 body = t_.as_py()
                 low = sketch(shingle_hashes(body))
                 if before is not None and before[0] == r_:
                     out.append(result(before, body, low))
-                before = None if ghost_ else (r_, k_, body, low)
+                before = None if ghost_ else (r_, k_, body, low, none_)
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=out_arrow)
                     out.clear()
@@ -178,7 +179,7 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
         return spark.createDataFrame([], RESULT_SCHEMA)
     return (
         rows.mapInArrow(deal, dealt_schema)
-        .repartition(ranges, "r")
-        .sortWithinPartitions("r", "ghost", F.desc("k"), "t")
+        .repartitionById(ranges, F.col("r"))  # a range is a partition, so none waits for another
+        .sortWithinPartitions("r", "ghost", F.desc("k"), "none", "t")
         .mapInArrow(compare, RESULT_SCHEMA)
     )

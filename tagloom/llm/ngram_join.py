@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
-from tagloom.llm.storage import staged
+from tagloom.llm.storage import dropped, staged
 from tagloom.llm.words import mixed, shingle_hashes
 
 GROUPS = 512
@@ -456,8 +456,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
             break
     placed, several = _open_blocks(shared, links)
     left = _tree_pairs(_cells(placed, several), points, tasks, False).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(rows, staged(left, "tree-pairs"), tasks)
-    found = components(links.union(staged(more, "tree-links")))
+    left = staged(left, "tree-pairs")
+    more = staged(_links(rows, left, tasks), "tree-links")
+    found = staged(components(links.union(more)), "components")
+    dropped(shared, doubles, placed, several, left, more)
     return (
         nodes.join(found.select("node", "component"), "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

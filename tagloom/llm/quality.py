@@ -6,6 +6,7 @@ construction. A text's expected grade and its probability of the top grades foll
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,29 @@ def _thresholds(x: np.ndarray) -> np.ndarray:
     return x[0] + np.concatenate([[0.0], np.cumsum(np.exp(x[1:]))])
 
 
+def gradient_of(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Of the weighted log loss, with the decay's, by weights, first threshold and logs of the steps to the next ones."""
+    width = x.shape[1]
+
+    def logistic(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def gradient(b: np.ndarray) -> np.ndarray:
+        t = np.concatenate([[-np.inf], _thresholds(b[width:]), [np.inf]])
+        s = x @ b[:width].astype(np.float32)
+        up, low = logistic(np.clip(t[y + 1], -500, 500) - s), logistic(np.clip(t[y], -500, 500) - s)
+        up, low = np.where(np.isinf(t[y + 1]), 1.0, up), np.where(np.isinf(t[y]), 0.0, low)
+        p = np.maximum(up - low, 1e-12)
+        d_up, d_low = -w * up * (1 - up) / p, w * low * (1 - low) / p  # of the loss by each threshold
+        by_cut = np.bincount(y, d_up, cuts + 1)[:-1] + np.bincount(y, d_low, cuts + 1)[1:]
+        d_s = -(d_up + d_low)
+        after = np.cumsum(by_cut[::-1])[::-1]
+        g_t = np.concatenate([after[:1], after[1:] * np.exp(b[width + 1 :])])
+        return np.concatenate([x.T @ d_s.astype(np.float32) + _DECAY * b[:width], g_t])
+
+    return gradient
+
+
 def fit(texts: list[str | None], ratings: list[int], weights: list[float]) -> Model:
     """With one grade or none the model is constant."""
     grades = tuple(sorted(set(ratings)))
@@ -58,23 +82,7 @@ def fit(texts: list[str | None], ratings: list[int], weights: list[float]) -> Mo
     first = np.log(share / (1 - share))
     start = np.concatenate([np.zeros(WIDTH), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
 
-    def logistic(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
-    def gradient(b: np.ndarray) -> np.ndarray:
-        t = np.concatenate([[-np.inf], _thresholds(b[WIDTH:]), [np.inf]])
-        s = x @ b[:WIDTH].astype(np.float32)
-        up, low = logistic(np.clip(t[y + 1], -500, 500) - s), logistic(np.clip(t[y], -500, 500) - s)
-        up, low = np.where(np.isinf(t[y + 1]), 1.0, up), np.where(np.isinf(t[y]), 0.0, low)
-        p = np.maximum(up - low, 1e-12)
-        d_up, d_low = -w * up * (1 - up) / p, w * low * (1 - low) / p  # of the loss by each threshold
-        by_cut = np.bincount(y, d_up, cuts + 1)[:-1] + np.bincount(y, d_low, cuts + 1)[1:]
-        d_s = -(d_up + d_low)
-        after = np.cumsum(by_cut[::-1])[::-1]
-        g_t = np.concatenate([after[:1], after[1:] * np.exp(b[WIDTH + 1 :])])
-        return np.concatenate([x.T @ d_s.astype(np.float32) + _DECAY * b[:WIDTH], g_t])
-
-    b = descend(gradient, start, _STEPS, _RATE)
+    b = descend(gradient_of(x, y, w, cuts), start, _STEPS, _RATE)
     return Model((b[:WIDTH] * scale)[:, None].astype(np.float32), _thresholds(b[WIDTH:]), grades)
 
 

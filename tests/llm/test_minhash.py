@@ -68,3 +68,11 @@ def test_against_brute_force(spark, n):
         got.setdefault(r.doc_id, []).append((r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next))
     want = expected(rows)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_least_id_is_no_null_id(spark):
+    least = -(1 << 63)
+    rows = [(least, "a b c d e f", None), (None, "g h i j k l", None), (5, "m n o p q r", None)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    sha = lambda a, b: hashlib.sha256(edited_text(a, b).encode()).hexdigest()
+    assert got == {5: sha(rows[2][1], rows[0][1]), least: sha(rows[0][1], rows[1][1]), None: sha(rows[1][1], rows[2][1])}

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -96,10 +98,48 @@ def test_quality(spark):
 
 
 def test_ordinal_gradient():
-    texts, ratings = [prose() for _ in range(30)], [int(x) for x in DRAW.integers(0, 4, 30)]
-    model = quality.fit(texts, ratings, [1.0] * 30)
-    above = model.above(0.3)
-    assert (np.diff(above) < 0).all() and model.grades == tuple(sorted(set(ratings)))
+    x = DRAW.random((40, 6)).astype(np.float32)
+    y, w = np.arange(40) % 4, DRAW.random(40) / 20
+
+    def loss(b):
+        t = np.concatenate([[-np.inf], b[6] + np.concatenate([[0.0], np.cumsum(np.exp(b[7:]))]), [np.inf]])
+        s = x.astype(np.float64) @ b[:6]
+        p = 1 / (1 + np.exp(s - t[y + 1])) - 1 / (1 + np.exp(s - t[y]))
+        return -(w * np.log(p)).sum() + quality._DECAY * (b[:6] ** 2).sum() / 2
+
+    at = DRAW.standard_normal(9) / 2
+    found = quality.gradient_of(x, y, w, 3)(at)
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-5
+        assert found[i] == pytest.approx((loss(at + step) - loss(at - step)) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_quality_against_brute_force(spark):
+    texts, ratings = [prose() for _ in range(60)], [i % 4 for i in range(60)]
+    model = quality.fit(texts, ratings, [1.0] * 60)
+    docs = frame(spark, texts + EDGES + texts[:3])  # repeated rows too
+    for r in quality.rate(docs, model).collect():
+        words = ((texts + EDGES + texts[:3])[r.doc_id] or "").split()
+        score = sum(float(model.weights[zlib.crc32(b[i : i + n]) % quality.WIDTH, 0]) for w in words for b in [b"\x02" + w.encode() + b"\x03"] for n in (1, 2, 3) for i in range(len(b) - n + 1))
+        score /= max(1, len(words))
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(above), abs=1e-4) and r.tail_probability == pytest.approx(above[-1], abs=1e-4)
+        assert r.selected == int(r.tail_probability >= 0.5)
+
+
+def test_toxicity_against_brute_force(spark):
+    texts = [insulted() if i % 3 == 0 else prose() for i in range(90)]
+    model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(90)], [1.0] * 90)
+    every = texts + EDGES + texts[:3]
+    for r in toxicity.score_toxicity(frame(spark, every), model).collect():
+        clean, best = 1.0, -1.0
+        for s in re.split(r"[.!?\n。।]+", (every[r.doc_id] or "").lower()):
+            if s.strip():
+                z = model.bias + sum(float(model.weights[f]) for w in set(s.split()) for f in toxicity.word_features(w))
+                clean *= 1 - 1 / (1 + math.exp(-z))
+                best = max(best, 1 / (1 + math.exp(-z)))
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and r.predicted == int(r.score >= 0.3)
+        assert not r.predicted or r.worst_score == pytest.approx(best, abs=1e-9)
 
 
 @pytest.mark.parametrize("lang, family", [("en", "germanic"), ("pt-BR", "romance"), ("zz", "other")])
