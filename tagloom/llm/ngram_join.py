@@ -202,25 +202,26 @@ def _mark(doc_id: np.ndarray, d1: np.ndarray) -> np.ndarray:
 def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) -> DataFrame:
     """The first shingles of each document, common ones last. ``skipped``: marks of copies, which have no rows.
 
-    ``salt`` is -1, or for a common shingle one of ``SALTS`` by id.
+    ``salt`` is -1, or for a common shingle one of ``SALTS`` by id. Without ``skipped`` rows have the text's digest as well.
     """
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((common, skipped))
-    arrow = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("rank", pa.int32()), ("doc_id", pa.int64())])
+    kinds = {"token": "long", "salt": "int", "n": "int", "rank": "int", "doc_id": "long"} | ({"d1": "long"} if skipped is None else {})
+    arrow = pa.schema([(name, pa.int64() if kind == "long" else pa.int32()) for name, kind in kinds.items()])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, copies = shared.value
         tokens: list[np.ndarray] = []
-        owners: list[tuple[int, int, int]] = []
+        owners: list[tuple[int, int, int, int]] = []
         held = 0
 
         def flat() -> pa.RecordBatch:
-            key, n, rows = np.array(owners, np.int64).T
+            key, n, rows, text = np.array(owners, np.int64).T
             ids, size = np.repeat(key, rows), np.repeat(n, rows).astype(np.int32)
             token = np.concatenate(tokens)
             salt = np.where(among(late, token), ids % SALTS, -1) if len(late) else np.full(len(token), -1)
             rank = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(rows) - rows).astype(np.int32), rows)
-            columns = [token.view(np.int64), salt.astype(np.int32), size, rank, ids]
+            columns = [token.view(np.int64), salt.astype(np.int32), size, rank, ids] + ([np.repeat(text, rows)] if copies is None else [])
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
         def among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -232,10 +233,9 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
                 h = shingle_hashes(text.as_py())
                 if key is None or not len(h):
                     continue
-                if copies is not None and len(copies):
-                    mark = _mark(np.array([key]), np.array([digest(h)[0]]))
-                    if among(copies, mark)[0]:
-                        continue
+                d1 = digest(h)[0]
+                if copies is not None and len(copies) and among(copies, _mark(np.array([key]), np.array([d1])))[0]:
+                    continue
                 n = len(h)
                 k = prefix_length(n)
                 if len(late):
@@ -244,7 +244,7 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
                 else:
                     h = h[:k]
                 tokens.append(h)
-                owners.append((key, n, len(h)))
+                owners.append((key, n, len(h), d1))
                 held += len(h)
                 if held >= 100_000:
                     yield flat()
@@ -254,7 +254,7 @@ def _blocks(rows: DataFrame, common: np.ndarray, skipped: np.ndarray | None) ->
         if owners:
             yield flat()
 
-    return rows.mapInArrow(task, "token long, salt int, n int, rank int, doc_id long")
+    return rows.mapInArrow(task, ", ".join(map(" ".join, kinds.items())))
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -437,7 +437,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         skipped = np.sort(_mark(marks.column(0).to_numpy(), marks.column(1).to_numpy()))
     blocks = _blocks(rows, common, skipped)
     if skipped is None:
-        blocks = blocks.join(doubles.select("doc_id"), "doc_id", "left_anti").select("token", "salt", "n", "rank", "doc_id")
+        blocks = blocks.join(doubles, ["doc_id", "d1"], "left_anti").select("token", "salt", "n", "rank", "doc_id")
 
     shared = staged(_shared(blocks, tasks), "blocks")
     points = own.where("n > 0 and doc_id is not null").select("doc_id", "n", "counts", "excess")

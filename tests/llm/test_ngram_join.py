@@ -77,6 +77,15 @@ def test_by_shuffle_where_broadcast_is_too_large(spark, monkeypatch):
     assert result(frame(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_an_id_with_a_copy_and_another_text(spark, monkeypatch, bound):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", bound)
+    near = [f"w{i}" for i in range(60)]
+    rows = [(7, "a b c d e f g"), (7, " ".join(near)), (2, "a b c d e f g"), (9, " ".join(near[:-1]))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect()}
+    assert got == {(7, 3, 2), (7, 56, 7), (2, 3, 2), (9, 55, 7)}
+
+
 def test_hub_whose_id_is_not_the_least(spark):
     base = [f"w{i}" for i in range(100)]
     copies = []
