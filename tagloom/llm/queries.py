@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import langid, quality, toxicity
+from tagloom.llm import langid, licenses, quality, toxicity
+from tagloom.llm.alignment import align_documents
 from tagloom.llm.html_layout import extract_pages
 from tagloom.llm.lattice import near_duplicates
+from tagloom.llm.lexical import search
 from tagloom.llm.minhash import fingerprint_documents
 from tagloom.llm.mixing import mix_sources
 from tagloom.llm.ngram_join import jaccard_components
@@ -19,6 +21,7 @@ from tagloom.llm.secrets import find_secrets
 from tagloom.llm.textlinear import fold, labels_without
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +75,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op6_lattice, op7_packing, op8_mixing, op9_html, op10_quality]
+    found = [op1_fingerprints, op2_secrets, op3_ngram_join, op4_toxicity, op5_language, op6_lattice, op7_packing, op8_mixing, op9_html, op10_quality, op11_licenses, op12_alignment, op13_lexical]
     return {f.__name__: f for f in found}
 
 
@@ -100,6 +115,22 @@ links AS (SELECT x.k AS a, y.k AS b FROM sized x JOIN sized y ON x.k <> y.k AND
 {_REACHED}
 SELECT k AS vec_id, CAST((SELECT count(*) FROM links WHERE a = k) AS BIGINT) AS n_links, component_id, k = component_id AS kept
 FROM nodes JOIN component USING (k)""",
+    "op11_licenses": licenses.oracle(),
+    "op13_lexical": """WITH items AS (SELECT row_number() OVER () AS q, item_id, text FROM benchmark),
+rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+own AS (SELECT r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM rows),
+counts AS (SELECT r, t, count(*) AS tf FROM own GROUP BY ALL),
+sized AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY r),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sized),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY t, docs),
+wanted AS (SELECT DISTINCT q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM items),
+impacts AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))) AS impact
+  FROM counts JOIN weights USING (t) JOIN sized USING (r), corpus),
+scores AS (SELECT q, r, CAST(sum(impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (t) GROUP BY ALL HAVING sum(impact) > 0),
+ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN rows USING (r))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 50""",
 }
 
 
