@@ -29,7 +29,7 @@ from tagloom.llm.packing import _SPELT
 from tagloom.llm.storage import staged
 
 BLOCK_PIECES = 2_000_000
-_KEPT = 300_000
+_KEPT = 600_000
 _LONG = 1 << 20
 #: A blank between two characters that no one takes for blanks: there a token of either kind begins.
 _CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
@@ -43,8 +43,24 @@ _BLOCKS = (
 _DOCUMENT, _GROUP, _PAIR = 0, 1, 2
 
 
+class _Numbered(dict):
+    """Numbers in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = out = len(self)
+        return out
+
+
+def _among(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among ``others``, both ascending and not empty."""
+    return others[np.minimum(np.searchsorted(others, x), len(others) - 1)] == x
+
+
 class PairEncoder:
-    """Tokens of pieces by both tokenizers, cut into groups; a piece is a text after a blank that both put before it."""
+    """Tokens of pieces by both tokenizers, cut into groups; a piece is a text after a blank that both put before it.
+
+    Pieces that are new go through the tokenizers in one text, as no token crosses from one to the next.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,66 +71,89 @@ class PairEncoder:
         self._a.encode_special_tokens = True  # their strings in a text are ordinary text
         self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {chr(c): b for b, c in ({x: x for x in range(256)} | _SPELT).items()}
-        self._bytes_a = {i: bytes(map(byte.__getitem__, t)) for t, i in self._a.get_vocab(with_added_tokens=False).items()}
+        spelt = {i: bytes(map(byte.__getitem__, t)) for t, i in self._a.get_vocab(with_added_tokens=False).items()}
         pieces = [(i, self._b.id_to_piece(i)) for i in range(self._b.get_piece_size())]
-        self._bytes_b = {i: bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
+        self._bytes_a = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+        self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
+        self._sizes = [np.array([len(t) for t in x]) for x in (self._bytes_a, self._bytes_b)]
+        written = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        self._written_a = [written(len(self._bytes_a), x) for x in ",|"]
+        self._written_b = [written(len(self._bytes_b), x) for x in ",;\n"]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self._odd: dict[str, int] = {}
-        self.groups: list[str] = []
+        self.written: list[str] = []
+        self.keys = _Numbered()
         self.counts = [array("q") for _ in _COUNTS]
+        self.start, self.members = array("q", [0]), array("q")
 
     def __len__(self) -> int:
-        return len(self.groups)
-
-    def _numbered(self, text: str, ids_a: list[int], ids_b: list[int]) -> int:
-        """The number of a piece with these tokens; ``_LOST`` if their bytes are not the text's."""
-        spelt_a, spelt_b = [self._bytes_a.get(i, b"") for i in ids_a], [self._bytes_b[i] for i in ids_b]
-        if not b"".join(spelt_a) == b"".join(spelt_b) == f" {text}".encode():
-            return _LOST
-        out, links, i, j = [], 0, 0, 0
-        while i < len(ids_a):
-            first_a, first_b, at, ahead = i, j, len(spelt_a[i]), len(spelt_b[j])
-            i, j = i + 1, j + 1
-            while at != ahead:
-                if at < ahead:
-                    at, i = at + len(spelt_a[i]), i + 1
-                else:
-                    ahead, j = ahead + len(spelt_b[j]), j + 1
-            out.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
-            links += (i - first_a) * (j - first_b)
-        self.groups.append(";".join(out))
-        for c, x in zip(self.counts, (len(ids_a), len(ids_b), len(out), links), strict=True):
-            c.append(x)
-        return len(self.groups) - 1
-
-    def _encoded(self, pieces: list[str], into: dict[str, int]) -> None:
-        for i in range(0, len(pieces), 10_000):
-            part = pieces[i : i + 10_000]
-            a = self._a.encode_batch([f" {p}" for p in part], add_special_tokens=False)
-            for p, x, y in zip(part, a, self._b.encode(part, num_threads=1), strict=True):
-                into[p] = self._numbered(p, x.ids, y)
+        return max(len(self.written), len(self.keys))
+
+    def _learn(self, pieces: list[str], into: dict[str, int]) -> None:
+        """Number pieces; those whose tokens do not give their bytes back are ``_LOST``."""
+        text = " ".join(pieces)
+        ids_a = self._a.encode(f" {text}", add_special_tokens=False).ids
+        ids_b = self._b.encode(text)
+        if not b"".join(map(self._bytes_a.__getitem__, ids_a)) == b"".join(map(self._bytes_b.__getitem__, ids_b)) == f" {text}".encode():
+            if len(pieces) == 1:
+                into[text] = _LOST
+                return
+            self._learn(pieces[: len(pieces) // 2], into)
+            self._learn(pieces[len(pieces) // 2 :], into)
+            return
+        ids_a, ids_b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = (np.cumsum(z[i]) for z, i in zip(self._sizes, (ids_a, ids_b), strict=True))
+        cut_a, cut_b = _among(ends_a, ends_b), _among(ends_b, ends_a)
+        cuts, ends = ends_a[cut_a], np.cumsum([len(p.encode()) + 1 for p in pieces])
+        owner = np.searchsorted(ends, cuts)  # the piece of each group
+        last = np.append(owner[1:] != owner[:-1], True)
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        signs_a = np.where(cut_a, self._written_a[1][ids_a], self._written_a[0][ids_a])
+        plain, end, final = (w[ids_b] for w in self._written_b)
+        signs_b = np.where(cut_b, np.where(last[group_b], final, end), plain)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = "".join(np.concatenate([signs_a, signs_b])[order].tolist())
+        into.update(zip(pieces, range(len(self.written), len(self.written) + len(pieces)), strict=True))
+        self.written += written.split("\n")[:-1]
+        self.members.extend(map(self.keys.__getitem__, written.replace("\n", ";").split(";")[:-1]))
+        n, in_a, in_b = len(pieces), np.bincount(group_a), np.bincount(group_b)
+        sums = [np.bincount(owner, w, n).astype(np.int64) for w in (in_a, in_b, np.ones(len(cuts)), in_a * in_b)]
+        for c, x in zip(self.counts, sums, strict=True):
+            c.frombytes(x.tobytes())
+        self.start.frombytes((self.start[-1] + np.cumsum(sums[2])).tobytes())
 
     def learn(self, pieces: set[str]) -> None:
         """Number pieces without blanks; one with a blank at its edge gets ``_ODD``, as its neighbours matter."""
-        plain = []
+        plain, held = [], 0
         for p in sorted(pieces):
             if not p or _EDGES(p) or _EDGES(p[-1]):
                 self.known[p] = _ODD
-            else:
-                plain.append(p)
-        self._encoded(plain, self.known)
-
-    def numbers(self, text: str, pieces: list[str]) -> list[int]:
-        """The numbers of a text's pieces, all of which were learnt; empty if the bytes of its tokens are not the text's."""
-        out = list(map(self.known.__getitem__, pieces))
-        if _ODD in out:
+                continue
+            plain.append(p)
+            held += len(p)
+            if held > _LONG:
+                self._learn(plain, self.known)
+                plain, held = [], 0
+        if plain:
+            self._learn(plain, self.known)
+
+    def numbers(self, text: str, pieces: list[str]) -> np.ndarray:
+        """The numbers of a text's pieces, all of which were learnt; empty if its tokens do not give its bytes back."""
+        out = np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
+        if (out == _ODD).any():
             pieces = _CUT.split(text)
-            self._encoded([p for p in dict.fromkeys(pieces) if self.known.get(p, _ODD) == _ODD and p not in self._odd], self._odd)
-            out = [n if (n := self.known.get(p, _ODD)) != _ODD else self._odd[p] for p in pieces]
-        return [] if _LOST in out else out
+            for p in pieces:
+                if self.known.get(p, _ODD) == _ODD and p not in self._odd:
+                    self._learn([p], self._odd)
+            out = np.array([n if (n := self.known.get(p, _ODD)) != _ODD else self._odd[p] for p in pieces], np.int32)
+        return out[:0] if (out == _LOST).any() else out
+
+    def line(self, numbers: np.ndarray) -> str:
+        """The groups of the pieces as they are written."""
+        return ";".join(map(self.written.__getitem__, numbers.tolist()))
 
 
 def _stretches(text: str) -> Iterator[str]:
@@ -133,6 +172,18 @@ def _expanded(owners: np.ndarray, items: np.ndarray, start: np.ndarray, members:
     return np.repeat(owners, sizes), members[first + np.arange(len(first))]
 
 
+def _distinct(owners: np.ndarray, members: np.ndarray, size: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Distinct pairs of owner and member (below ``size``), ascending, and how often each occurs."""
+    keys = owners * max(1, size) + members
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return np.divmod(keys[first], max(1, size)), np.diff(first, append=len(keys))
+
+
+def _view(x: array) -> np.ndarray:
+    return np.frombuffer(x, np.int64) if len(x) else np.empty(0, np.int64)
+
+
 class _Block:
     """Documents by piece numbers, until the block is full."""
 
@@ -161,30 +212,27 @@ class _Block:
         n = len(self.ids)
         pieces = np.concatenate(self.pieces)
         docs = np.repeat(np.arange(n), [len(x) for x in self.pieces])
-        counts = {c: np.bincount(docs, np.frombuffer(x, np.int64)[pieces], n).astype(np.int64) for c, x in zip(_COUNTS, words.counts, strict=True)} if len(pieces) else {c: np.zeros(n, np.int64) for c in _COUNTS}
-        # Pieces to groups, each distinct group numbered once.
-        distinct, pieces = np.unique(pieces, return_inverse=True)
-        place: dict[str, int] = {}
-        members = [[place.setdefault(g, len(place)) for g in words.groups[p].split(";")] for p in distinct.tolist()]
-        start = np.append(0, np.cumsum([len(m) for m in members], dtype=np.int64))
-        owners, groups = _expanded(docs, pieces, start, np.array([g for m in members for g in m], np.int64))
-        held, times = np.unique(owners * max(1, len(place)) + groups, return_counts=True)
-        owners, groups = np.divmod(held, max(1, len(place)))
+        counts = {c: np.bincount(docs, _view(x)[pieces], n).astype(np.int64) for c, x in zip(_COUNTS, words.counts, strict=True)}
+        held, times = _distinct(*_expanded(docs, pieces, _view(words.start), _view(words.members)), len(words.keys))
+        owners, groups = held
+        own = np.unique(groups)  # the block's dictionary
+        groups = np.searchsorted(own, groups)
+        names = list(words.keys)
+        keys = [names[g] for g in own.tolist()]
         offsets = pa.array(np.append(0, np.cumsum(np.bincount(owners, minlength=n))), pa.int32())
         lists = {k: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for k, v in (("groups", groups), ("times", times))}
         yield from rows(
             _DOCUMENT, n, place=pa.array(np.arange(n), pa.int64()), doc_id=pa.array(self.ids, pa.int64()),
             groups_sha256=pa.array(self.digests), **{c: pa.array(v) for c, v in counts.items()}, **lists,
         )
-        yield from rows(_GROUP, len(place), place=pa.array(np.arange(len(place)), pa.int64()), key=pa.array(list(place), pa.string()))
+        yield from rows(_GROUP, len(keys), place=pa.array(np.arange(len(keys)), pa.int64()), key=pa.array(keys, pa.string()))
         # Links of each distinct group once, then the documents of each pair.
-        pairs: dict[tuple[int, int], int] = {}
-        linked = [[pairs.setdefault(p, len(pairs)) for p in _pairs(key)] for key in place]
+        pairs = _Numbered()
+        linked = [[pairs[p] for p in _pairs(key)] for key in keys]
         start = np.append(0, np.cumsum([len(x) for x in linked], dtype=np.int64))
-        owners, found = _expanded(owners, groups, start, np.array([p for x in linked for p in x], np.int64))
-        seen = np.bincount(np.unique(owners * max(1, len(pairs)) + found) % max(1, len(pairs)), minlength=len(pairs))
+        (_, found), _ = _distinct(*_expanded(owners, groups, start, np.array([p for x in linked for p in x], np.int64)), len(pairs))
         ids = np.array(list(pairs), np.int32).reshape(-1, 2)
-        yield from rows(_PAIR, len(pairs), a=pa.array(ids[:, 0]), b=pa.array(ids[:, 1]), n=pa.array(seen, pa.int64()))
+        yield from rows(_PAIR, len(pairs), a=pa.array(ids[:, 0]), b=pa.array(ids[:, 1]), n=pa.array(np.bincount(found, minlength=len(pairs)), pa.int64()))
 
 
 def _pairs(key: str) -> set[tuple[int, int]]:
@@ -205,19 +253,19 @@ def align_blocks(docs: DataFrame, path_a: str, path_b: str, block_pieces: int =
             _WORKER[path_a, path_b] = PairEncoder(path_a, path_b)
         words, number, block = _WORKER[path_a, path_b], TaskContext.get().partitionId() << 32, _Block()
 
-        def read(texts: list[str]) -> list[list[int]]:
+        def read(texts: list[str]) -> list[np.ndarray]:
             pieces = [t.split(" ") for t in texts]
-            words.learn({p for x in pieces for p in x if p not in words.known})
+            words.learn(set().union(*pieces).difference(words.known))
             return [words.numbers(t, x) for t, x in zip(texts, pieces, strict=True)]
 
         def long(text: str) -> tuple[np.ndarray, str]:
             digest, out = hashlib.sha256(), []
             for i, part in enumerate(_stretches(text)):
                 own = read([part])[0]
-                if not own:
-                    return np.empty(0, np.int32), ""
-                digest.update((";" * (i > 0) + ";".join(map(words.groups.__getitem__, own))).encode())
-                out.append(np.array(own, np.int32))
+                if not len(own):
+                    return own, ""
+                digest.update((";" * (i > 0) + words.line(own)).encode())
+                out.append(own)
             return np.concatenate(out), digest.hexdigest()
 
         for batch in batches:
@@ -228,19 +276,17 @@ def align_blocks(docs: DataFrame, path_a: str, path_b: str, block_pieces: int =
                 for key, text, own in zip(part.column(0).to_pylist(), texts, read(short), strict=True):
                     if len(text) > _LONG:
                         block.add(key, *long(text))
-                    elif text and own:
-                        block.add(key, np.array(own, np.int32), hashlib.sha256(";".join(map(words.groups.__getitem__, own)).encode()).hexdigest())
+                    elif text and len(own):
+                        block.add(key, own, hashlib.sha256(words.line(own).encode()).hexdigest())
                     else:
                         block.add(key, np.empty(0, np.int32), "")
-                if block.size >= block_pieces:
+                if block.size >= block_pieces or len(words) > _KEPT:
                     yield from block.batches(number, words, schema)
                     number, block = number + 1, _Block()
                     if len(words) > _KEPT:
                         words.forget()
         if block.ids:
             yield from block.batches(number, words, schema)
-        if len(words) > _KEPT:
-            words.forget()
 
     return docs.mapInArrow(task, _BLOCKS)
 
