@@ -14,6 +14,7 @@ def parser() -> argparse.ArgumentParser:
     commands = out.add_subparsers(dest="command", required=True)
     extract = commands.add_parser("extract", help="CSV files to point records")
     extract.add_argument("--input", default="data", help="folder of CSV files")
+    extract.add_argument("--pattern", default="*.csv", help="which of its files")
     extract.add_argument("--points", default="out/points")
     extract.add_argument("--sample", default=None, help="folder for one label of each building")
     vocab = commands.add_parser("vocab", help="point records to a vocabulary")
@@ -29,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, arguments: list[str] | None = None) -> JobReport:
     a = parser().parse_args(arguments)
     if a.command == "extract":
-        report = run_extract(spark, a.input, a.points, sample_out=a.sample)
+        report = run_extract(spark, a.input, a.points, sample_out=a.sample, pattern=a.pattern)
     elif a.command == "vocab":
         report = run_vocab(spark, a.points, a.vocabulary)
     else:

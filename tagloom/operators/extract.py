@@ -1,4 +1,9 @@
-"""Points from cell tables: header detection, choice of the label column, projection."""
+"""Points from cell tables: header detection, choice of the label column, projection.
+
+Cells are read twice: once for facts about columns, once for the points. The first reading keeps, for each 64 rows of a
+column, which cells are filled and which of those are point-like as the bits of two numbers, so that a seeded sample is
+read from these numbers.
+"""
 
 from __future__ import annotations
 
@@ -10,26 +15,46 @@ from pyspark.sql import functions as F
 from tagloom.config import ExtractConfig
 from tagloom.functions.text import building_id, is_point_like
 from tagloom.operators.sample import positions_column
-from tagloom.sources.cells import cell_table, read_files, rejected_files
+from tagloom.sources.cells import cell_table, cell_value, read_records, sized
+from tagloom.sources.scratch import staged
 
-_FILE_ROWS = 1 << 24
 POINT_COLUMNS = ("building_id", "source_file", "point_label", "point_label_col")
+_WORD, _WORDS = 64, 1024
+
 
+def column_words(cells: DataFrame) -> DataFrame:
+    """A row for each 64 rows of a column: ``source_file``, ``col_no``, ``word``, ``last`` (row), bits ``filled`` and ``likes``.
 
-def file_facts(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """One row per file: ``source_file``, ``has_header`` and ``columns``, from one scan and two aggregations.
+    The first row of a file, which may be its header, is word -1 and gives its cell as ``top``. Sums of bits by hash, before
+    the shuffle too.
+    """
+    row, cell = F.col("row_no"), F.col("cell")
+    below = row > 0
+    bit = F.expr(f"shiftleft(1L, cast(pmod(row_no - 1, {_WORD}) as int))")
+    rows = cells.select(
+        "source_file", "col_no", row.cast("long").alias("row_no"), F.when(below, F.floor((row - 1) / _WORD)).otherwise(F.lit(-1)).cast("long").alias("word"),
+        F.when(~below, cell).alias("top"), F.when(cell.isNotNull(), F.when(below, bit).otherwise(F.lit(1))).cast("long").alias("bit"), is_point_like(cell).alias("like"),
+    )
+    none = F.lit(0).cast("long")
+    return rows.groupBy("source_file", "col_no", "word", "top").agg(
+        F.max("row_no").alias("last"), F.coalesce(F.bit_or("bit"), none).alias("filled"), F.coalesce(F.bit_or(F.when(F.col("like"), F.col("bit"))), none).alias("likes")
+    )
+
+
+def file_facts(words: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """One row per file of :func:`column_words`: ``source_file``, ``has_header`` and ``columns``.
 
     Header: with three rows and more, a column whose first cell is not point-like while the next two are. Else, and if none
     is: two rows and more, no point-like cell in the first and some in the second. A column is a struct: ``col_no``,
     ``col_name`` (the header's cell, or ``col_`` and the number), ``filled`` and ``likes`` (data cells that are not null,
     and that are point-like), ``same`` (columns of its name in the file).
     """
-    like, cell = is_point_like(F.col("cell")), F.col("cell")
-    first = [F.coalesce(F.max(F.when(F.col("row_no") == i, like)), F.lit(False)).alias(f"b{i}") for i in range(3)]
-    below = F.col("row_no") > 0
-    by_column = cells.groupBy("source_file", "col_no").agg(
-        *first, F.max(F.when(~below, cell)).alias("top"), (F.max("row_no") + 1).alias("n"), F.count(cell).alias("all"),
-        F.count_if(like).alias("all_likes"), F.count(F.when(below, cell)).alias("below"), F.count_if(below & like).alias("below_likes"),
+    below = F.col("word") >= 0
+    like = lambda word, bit: F.coalesce(F.max(F.when(F.col("word") == word, (F.bit_get("likes", F.lit(bit)) == 1))), F.lit(False))
+    bits = lambda c, where: F.coalesce(F.sum(F.when(where, F.bit_count(c))), F.lit(0))
+    by_column = words.groupBy("source_file", "col_no").agg(
+        like(-1, 0).alias("b0"), like(0, 0).alias("b1"), like(0, 1).alias("b2"), F.max("top").alias("top"), (F.max("last") + 1).alias("n"),
+        bits("filled", F.lit(True)).alias("all"), bits("likes", F.lit(True)).alias("all_likes"), bits("filled", below).alias("below"), bits("likes", below).alias("below_likes"),
     )
     header = F.expr("max(n) >= 3 and bool_or(not b0 and b1 and b2) or max(n) >= 2 and count_if(b0) = 0 and count_if(b1) > 0")
     facts = ("col_no", "top", "all", "all_likes", "below", "below_likes")
@@ -50,7 +75,7 @@ def file_facts(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> Dat
 
 def detect_headers(cells: DataFrame) -> DataFrame:
     """``source_file``, ``has_header``."""
-    return file_facts(cells).select("source_file", "has_header")
+    return file_facts(column_words(cells)).select("source_file", "has_header")
 
 
 def _preferred(config: ExtractConfig) -> Column:
@@ -60,23 +85,35 @@ def _preferred(config: ExtractConfig) -> Column:
     return F.array_min(F.filter(ranked, lambda r: r["rank"] > 0))
 
 
-def _sampled(cells: DataFrame, facts: DataFrame, config: ExtractConfig) -> DataFrame:
-    """``source_file``, ``col_no`` and ``hits``: point-like cells at the seeded positions, of columns with more cells than those."""
-    long = facts.select("source_file", F.col("has_header").cast("int").alias("skip"), F.inline("columns")).where(F.col("filled") > config.sample)
-    long = long.where("same = 1").select("source_file", "col_no", "skip", "filled")
-    own = Window.partitionBy("source_file", "col_no").orderBy("row_no")
-    rows = cells.where("cell is not null").join(long, ["source_file", "col_no"]).where("row_no >= skip").withColumn("at", F.row_number().over(own) - 1)
-    chosen = long.select("filled").distinct().select("filled", F.explode(positions_column(F.col("filled"), config.sample, config.seed)).alias("at"))
-    hit = F.count_if(is_point_like(F.col("cell"))).alias("hits")
-    return rows.join(chosen, ["filled", "at"]).groupBy("source_file", "col_no").agg(hit)
+def _sampled(words: DataFrame, facts: DataFrame, config: ExtractConfig) -> DataFrame:
+    """``source_file``, ``col_no`` and ``hits``: point-like cells at the seeded positions, of columns with more cells than those.
 
-
-def _scored(cells: DataFrame, facts: DataFrame, config: ExtractConfig) -> DataFrame:
+    A position counts filled cells. Filled cells are summed up by ``_WORDS`` words and then by word, so each window is over
+    counts, never over cells, and has at most ``_WORDS`` rows or one row for each 65,536 cells.
+    """
+    long = facts.select("source_file", F.col("has_header").cast("int").alias("skip"), F.inline("columns")).where((F.col("filled") > config.sample) & (F.col("same") == 1))
+    long = long.select("source_file", "col_no", "skip", F.col("filled").alias("of"))
+    rows = words.join(long, ["source_file", "col_no"]).where("word >= 0 or skip = 0")
+    rows = rows.select("source_file", "col_no", "of", "word", "filled", "likes", F.bit_count("filled").cast("long").alias("n"), F.floor(F.col("word") / _WORDS).alias("part"))
+    own = ["source_file", "col_no", "part"]
+    in_column, in_part = Window.partitionBy(*own[:2]).orderBy("part"), Window.partitionBy(*own).orderBy("word")
+    parts = rows.groupBy(*own, "of").agg(F.sum("n").alias("n")).withColumn("start", F.sum("n").over(in_column) - F.col("n"))
+    chosen = long.select("of").distinct().withColumn("at", positions_column(F.col("of"), config.sample, config.seed))
+    within = lambda start: lambda a: (a >= F.col(start)) & (a < F.col(start) + F.col("n"))
+    wanted = parts.join(chosen, "of").select(*own, F.transform(F.filter("at", within("start")), lambda a: a - F.col("start")).alias("at")).where(F.size("at") > 0)
+    rows = rows.join(wanted, own).withColumn("before", F.sum("n").over(in_part) - F.col("n"))
+    rows = rows.withColumn("at", F.filter("at", within("before"))).where(F.size("at") > 0)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda b: F.bit_get("filled", b) == 1)
+    hit = F.filter("at", lambda a: F.bit_get("likes", F.get("bits", (a - F.col("before")).cast("int"))) == 1)
+    return rows.withColumn("bits", bits).groupBy("source_file", "col_no").agg(F.sum(F.size(hit)).alias("hits"))
+
+
+def _scored(words: DataFrame, facts: DataFrame, config: ExtractConfig) -> DataFrame:
     """``source_file``, ``col_no``, ``col_name``, ``score`` of the columns of ``facts``."""
     found = facts.select("source_file", F.inline("columns")).where("same = 1 and filled > 0")
     if not config.exact_sample:
         return found.select("source_file", "col_no", "col_name", (F.col("likes") / F.col("filled")).alias("score"))
-    found = found.join(_sampled(cells, facts, config), ["source_file", "col_no"], "left")
+    found = found.join(_sampled(words, facts, config), ["source_file", "col_no"], "left")
     of = F.least("filled", F.lit(config.sample))
     return found.select("source_file", "col_no", "col_name", (F.coalesce("hits", F.when(F.col("filled") <= config.sample, F.col("likes")), F.lit(0)) / of).alias("score"))
 
@@ -86,21 +123,16 @@ def column_scores(cells: DataFrame, config: ExtractConfig = ExtractConfig()) ->
 
     Columns without such cells, and columns that share their name with another of the file, have no row.
     """
-    return _scored(cells, file_facts(cells, config), config)
+    words = staged(column_words(cells), "words")
+    return _scored(words, file_facts(words, config), config)
 
 
-def _chosen(cells: DataFrame, config: ExtractConfig) -> DataFrame:
+def _chosen(words: DataFrame, config: ExtractConfig) -> DataFrame:
     """``source_file``, ``has_header``, ``col_no``, ``col_name`` of the label column."""
-    facts = file_facts(cells, config).withColumn("first", _preferred(config))
-    best = lambda scored: F.array_min(F.transform(scored, lambda x: F.struct((-x["score"]).alias("s"), x["col_no"], x["col_name"])))
-    if config.exact_sample:
-        open_ = facts.where("first is null")
-        scores = _scored(cells, open_, config).where(F.col("score") > config.min_score)
-        scores = scores.groupBy("source_file").agg(F.min(F.struct((-F.col("score")).alias("s"), "col_no", "col_name")).alias("best"))
-        files = facts.join(scores, "source_file", "left")
-    else:
-        usable = F.filter("columns", lambda x: (x["same"] == 1) & (x["filled"] > 0) & (x["likes"] / x["filled"] > config.min_score))
-        files = facts.withColumn("best", best(F.transform(usable, lambda x: F.struct((x["likes"] / x["filled"]).alias("score"), x["col_no"], x["col_name"]))))
+    facts = file_facts(words, config).withColumn("first", _preferred(config))
+    scores = _scored(words, facts.where("first is null"), config).where(F.col("score") > config.min_score)
+    scores = scores.groupBy("source_file").agg(F.min_by(F.struct("col_no", "col_name"), F.struct(-F.col("score"), "col_no")).alias("best"))
+    files = facts.join(scores, "source_file", "left")
     named, scored = F.col("first"), F.col("best")
     pick = lambda f: F.when(named.isNotNull(), named["x"][f]).otherwise(scored[f]).alias(f)
     fits = F.coalesce(named["x"]["same"] == 1, scored.isNotNull())
@@ -112,38 +144,41 @@ def choose_columns(cells: DataFrame, config: ExtractConfig = ExtractConfig()) ->
 
     Files where neither is found, or whose preferred name stands over two columns, have no row.
     """
-    return _chosen(cells, config).drop("has_header")
+    return _chosen(staged(column_words(cells), "words"), config).drop("has_header")
 
 
-def points_from_cells(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """The four columns of point records, and ``point_ord``, the place in the corpus (by file name, then row).
-
-    A file of 2**24 rows and more has no such places and fails the job.
-    """
-    chosen = _chosen(cells, config)
-    files = chosen.withColumn("file_ord", F.row_number().over(Window.orderBy("source_file")) - 1)  # a row for each file
-    rows = cells.join(files, ["source_file", "col_no"]).where("row_no >= cast(has_header as int)")
-    place = F.when(F.col("row_no") < _FILE_ROWS, F.col("file_ord").cast("long") * _FILE_ROWS + F.col("row_no"))
-    return rows.select(
+def _points(rows: DataFrame, config: ExtractConfig) -> DataFrame:
+    """Point records from ``source_file``, ``row_no``, ``cell``, ``has_header`` and ``col_name``."""
+    return rows.where("row_no >= cast(has_header as int)").select(
         building_id(F.col("source_file")).alias("building_id"),
         "source_file",
         F.coalesce("cell", F.lit(config.null_label)).alias("point_label"),
         F.col("col_name").alias("point_label_col"),
-        F.coalesce(place, F.raise_error(F.lit("a file has too many rows")).cast("long")).alias("point_ord"),
+        F.col("row_no").cast("long").alias("row_no"),
     )
 
 
+def points_from_cells(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
+    """The four columns of point records, and ``row_no``: the corpus's order is by file name, then row."""
+    chosen = staged(_chosen(staged(column_words(cells), "words"), config), "chosen")
+    return _points(cells.join(sized(chosen), ["source_file", "col_no"]), config)
+
+
 @dataclass(frozen=True)
 class Extraction:
+    """``staged`` are tables that ``points`` and ``rejects`` read, to be dropped after them."""
+
     points: DataFrame
     rejects: DataFrame
-
-
-def load_points(spark: SparkSession, directory: str, config: ExtractConfig = ExtractConfig()) -> Extraction:
-    """Points of a directory's CSV files, and the files that gave none with the reason."""
-    files = read_files(spark, directory)
-    cells = cell_table(files)
-    points = points_from_cells(cells, config)
-    without = cells.select("source_file").distinct().join(_chosen(cells, config).select("source_file"), "source_file", "left_anti")
-    rejects = rejected_files(files).unionByName(without.withColumn("reason", F.lit("no label column")))
-    return Extraction(points, rejects)
+    staged: tuple[DataFrame, ...] = ()
+
+
+def load_points(spark: SparkSession, directory: str, config: ExtractConfig = ExtractConfig(), pattern: str = "*.csv") -> Extraction:
+    """Points of a directory's CSV files, and the files that gave none with the reason. The files are parsed once."""
+    records = read_records(spark, directory, pattern)
+    words = staged(column_words(cell_table(records.rows)), "words")
+    chosen = staged(_chosen(words, config), "chosen")
+    rows = records.rows.join(sized(chosen), "source_file").withColumn("cell", cell_value(F.col("fields"), F.col("col_no")))
+    without = words.select("source_file").distinct().join(chosen, "source_file", "left_anti")
+    rejects = records.rejects.unionByName(without.withColumn("reason", F.lit("no label column")))
+    return Extraction(_points(rows, config), rejects, (*records.staged, words, chosen))

@@ -7,42 +7,46 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import is_number_token, tokenize
 
-_PLACES = 1 << 20
+_PLACES = 1 << 31
 
 
-def explode_tokens(points: DataFrame) -> DataFrame:
-    """One row per token: ``building_id``, ``pos``, ``token`` (upper case), ``next_is_number``, ``ord``; no shuffle.
+def _occurrences(points: DataFrame) -> DataFrame:
+    """One row per token as written: ``building_id``, ``pos``, ``token``, ``next_is_number``, ``ord``.
 
-    Points without tokens have no rows. A null building is a building
-    of its own. ``ord`` is the token's place in the corpus if
-    there is a ``point_ord`` (below 2**43), else null; tokens of one label from the 2**20th on tie.
+    The outer form keeps Spark from tokenizing a second time to see whether there are tokens.
     """
-    tokens = F.col("tokens")
-    follows = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            i.alias("pos"), t.alias("token"), F.coalesce(is_number_token(F.get(tokens, i + 1)), F.lit(False)).alias("next_is_number")
-        ),
-    )
     ordinal = F.col("point_ord").cast("long") if "point_ord" in points.columns else F.lit(None).cast("long")
-    return (
-        points.select(F.col("building_id").cast("string").alias("building_id"), tokenize(F.col("point_label")).alias("tokens"), ordinal.alias("o"))
-        .select("building_id", "o", F.inline(follows))
-        .select("building_id", "pos", F.upper("token").alias("token"), "next_is_number", (F.col("o") * _PLACES + F.least("pos", F.lit(_PLACES - 1))).alias("ord"))
+    rows = points.select(
+        F.col("building_id").cast("string").alias("building_id"), tokenize(F.col("point_label")).alias("tokens"), (ordinal.cast("decimal(20,0)") * _PLACES).alias("o")
     )
+    placed = rows.select("building_id", "tokens", "o", F.posexplode_outer("tokens").alias("pos", "token")).where("pos is not null")
+    follows = F.coalesce(is_number_token(F.get("tokens", F.col("pos") + 1)), F.lit(False))
+    return placed.select("building_id", "pos", "token", follows.alias("next_is_number"), (F.col("o") + F.col("pos")).cast("decimal(38,0)").alias("ord"))
+
+
+def explode_tokens(points: DataFrame) -> DataFrame:
+    """One row per token: ``building_id``, ``pos``, ``token`` (upper case), ``next_is_number``, ``ord``; no shuffle.
+
+    Points without tokens have no rows. A null building is a building of its own. ``ord`` is the token's place in the
+    corpus, 2**31 times ``point_ord`` plus its place in the label, if there is a ``point_ord``, else null.
+    """
+    return _occurrences(points).withColumn("token", F.upper("token"))
 
 
 def token_counts_by_building(points: DataFrame) -> DataFrame:
-    """``token``, ``building_id``, ``freq``, ``numid_bigrams``, ``first_ord``."""
-    return explode_tokens(points).groupBy("token", "building_id").agg(
+    """``token``, ``building_id``, ``freq``, ``numid_bigrams``, ``first_ord``: tokens as written are counted, then upper-cased."""
+    written = _occurrences(points).groupBy("token", "building_id").agg(
         F.count("*").alias("freq"), F.count_if("next_is_number").alias("numid_bigrams"), F.min("ord").alias("first_ord")
     )
+    return written.groupBy(F.upper("token").alias("token"), "building_id").agg(
+        F.sum("freq").alias("freq"), F.sum("numid_bigrams").alias("numid_bigrams"), F.min("first_ord").alias("first_ord")
+    )
 
 
 def token_stats(points: DataFrame) -> DataFrame:
     """``token``, ``freq``, ``buildings``, ``numid_bigrams``, ``first_ord``: sums of the counts by building.
 
-    Two hash aggregations, partial before each shuffle, so a token or building of a third of all rows is summed where it
+    Hash aggregations, partial before each shuffle, so a token or building of a third of all rows is summed where it
     is read.
     """
     return stats_of_counts(token_counts_by_building(points))

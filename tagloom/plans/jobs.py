@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig, VocabConfig
 from tagloom.operators.extract import POINT_COLUMNS, load_points
 from tagloom.operators.labelling import annotate
-from tagloom.operators.sample import joined_sample, sample_one_per_building
+from tagloom.operators.sample import ordered_samples, sample_one_per_building
 from tagloom.operators.stats import corpus_of_counts, stats_of_counts, token_counts_by_building
 from tagloom.operators.vocab import bottom_equipment, bundle, classify
-from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_text, write_vocabulary
+from tagloom.sources.cells import sized
+from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_lines, write_vocabulary
+from tagloom.sources.scratch import dropped, staged
 
 
 @dataclass(frozen=True)
@@ -35,50 +36,51 @@ def job_summary(points: DataFrame) -> DataFrame:
 
 
 def in_corpus_order(spark: SparkSession, path: str) -> DataFrame:
-    """Point records of a folder with ``point_ord``: by file as named, then line, however Spark splits them."""
-    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")
-    places = read_points(spark, path, at)
-    files = places.groupBy("source_file").agg(F.min("_at").alias("_first"))
-    files = files.select(F.col("source_file").alias("_name"), (F.row_number().over(Window.orderBy("_first")) - 1).alias("_file"))  # a row for each
-    rows = places.withColumn("_row", F.row_number().over(Window.partitionBy("source_file").orderBy("_at")))
-    rows = rows.join(files, F.col("source_file").eqNullSafe(F.col("_name")))
-    place = F.coalesce(F.when(F.col("_row") < 1 << 24, F.expr("_file * 16777216L + _row")), F.raise_error(F.lit("a file has too many rows")).cast("long"))
-    return rows.withColumn("point_ord", place).select(*POINT_COLUMNS, "point_ord")
-
-
-def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractConfig = ExtractConfig(), sample_out: str | None = None) -> JobReport:
+    """Point records of a folder with ``point_ord``, from 1, ascending by file as named, then line, however Spark splits them.
+
+    Records are parsed once and written to the shared folder with their split. Numbers come from the splits' lengths, a
+    table of one row for each split; no window is over records.
+    """
+    at = (F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    places = staged(read_points(spark, path, *at), "points")
+    splits = places.groupBy("_path", "_split").agg(F.min("_at").alias("_first"), (F.max("_at") - F.min("_at") + 1).alias("_n"))
+    before = Window.orderBy("_path", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_path", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rows = places.join(sized(staged(starts, "splits")), ["_path", "_split"])
+    return rows.select(*POINT_COLUMNS, (F.col("_start") + F.col("_at") - F.col("_first") + 1).alias("point_ord"))
+
+
+def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractConfig = ExtractConfig(), sample_out: str | None = None, pattern: str = "*.csv") -> JobReport:
     """CSV files to point records and, if wanted, one sampled label for each building.
 
     Fails if no file has points, before anything is overwritten. The report lists rejected files.
     """
-    found = load_points(spark, directory, config)
+    found = load_points(spark, directory, config, pattern)
     if found.points.isEmpty():
         raise RuntimeError("no file with point labels")
     seen = Observation()
-    write_json(found.points.sort("point_ord").select(*POINT_COLUMNS).observe(seen, F.count("*").alias("rows")), out)
+    write_json(found.points.sort("source_file", "row_no").select(*POINT_COLUMNS).observe(seen, F.count("*").alias("rows")), out)
     if sample_out is not None:
-        write_text(joined_sample(sample_one_per_building(in_corpus_order(spark, out), config.seed)), sample_out)
+        write_lines(ordered_samples(sample_one_per_building(in_corpus_order(spark, out), config.seed)), sample_out)
     totals = job_summary(read_points(spark, out)).first()
-    rejected = found.rejects.persist(StorageLevel.DISK_ONLY)
+    rejected = staged(found.rejects, "rejects")
+    dropped(*found.staged)
     return JobReport(seen.get["rows"], {"files": totals.files, "buildings": totals.buildings, "rejected files": rejected.count()}, rejected)
 
 
 def run_vocab(spark: SparkSession, points_path: str, out: str, config: VocabConfig = VocabConfig()) -> JobReport:
     """Point records to a vocabulary file. The report lists the bottom of the equipment ranking.
 
-    The corpus is read once: its counts by token and building are kept on the executors' disks for all that follows.
+    The corpus is read once: its counts by token and building are written to the shared folder for all that follows.
     """
-    ordered = in_corpus_order(spark, points_path).select("point_label", "building_id", "source_file", "point_ord")
-    counts = token_counts_by_building(ordered).persist(StorageLevel.DISK_ONLY)
-    classified = classify(stats_of_counts(counts), config).persist(StorageLevel.DISK_ONLY)
+    counts = staged(token_counts_by_building(in_corpus_order(spark, points_path)), "counts")
+    classified = staged(classify(stats_of_counts(counts), config), "classified")
     corpus = corpus_of_counts(counts)
     write_vocabulary(bundle(classified, corpus, config), out)
     totals = corpus.first()
     bottom = spark.createDataFrame(bottom_equipment(classified, config).collect(), classified.schema)  # as many as the parameter says
-    report = JobReport(totals.num_tokens, {"tokens": totals.num_tokens, "buildings": totals.num_buildings}, bottom)
-    classified.unpersist()
-    counts.unpersist()
-    return report
+    dropped(classified, counts)
+    return JobReport(totals.num_tokens, {"tokens": totals.num_tokens, "buildings": totals.num_buildings}, bottom)
 
 
 def run_label(spark: SparkSession, points_path: str, vocabulary_path: str, out: str) -> JobReport:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig, VocabConfig, Vocabulary
-from tagloom.functions.labels import FIELDS
+from tagloom.__main__ import run as run_command
+from tagloom.functions.labels import FIELDS, bio_tags, label_tokens, structured
 from tagloom.functions.text import building_id, is_point_like, tokenize
 from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
 from tagloom.operators.labelling import annotate, label_by_lookup, label_counts, lookup_table
-from tagloom.operators.sample import joined_sample, sample_one_per_building, sample_positions
+from tagloom.operators.sample import ordered_samples, sample_one_per_building, sample_positions
 from tagloom.operators.stats import corpus_stats, explode_tokens, token_counts_by_building, token_stats
 from tagloom.operators.vocab import bottom_equipment, bundle, classify, is_io_type, is_vendor, passes_thresholds, top_equipment, trim, vocabulary_rows
-from tagloom.plans.jobs import in_corpus_order, job_summary, run_extract, run_label, run_vocab
-from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_vocabulary
+from tagloom.plans.jobs import JobReport, in_corpus_order, job_summary, run_extract
+from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_lines, write_vocabulary
 from tagloom.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +31,19 @@ SOURCES = {
     "priorities": ("orders", "o_orderkey", "o_orderpriority", "cast(o_custkey % 7 as string)"),
     "nations": ("nation", "n_nationkey", "n_name", "cast(n_regionkey as string)"),
     "documents": ("documents", "doc_id", "text", "source"),
-}
-#: Labels that reach every pattern and every field: label and building.
-LITERALS = (
-    ("Bldg44.fl7-RM210B zone 31C", "east"), ("FLOOR 9_rm8/2C3 COM", "east"), ("bldg2 Nation17 HTTPS-low", "west"), ("x9 K55 55k A123B", "west"),
-    ("brand brand CUSTOMER 4 5 6789", None), ("NET#ORG not URGENT", None), ("f12 F3x Fl08 rm77q", "west"), ("", "east"), ("._-/", "none"), (None, "east"),
-    ("page page 1a2 12345 012", "unknown"), ("Specified EXAMPLE nation 00 BLDG9 BLDG8 floor FL1", "east"),
-)
+    # Every field of the structured view but bldg, zones of several tokens, null and empty labels, null buildings.
+    "sites": (
+        "nation", "n_nationkey",
+        "case when n_nationkey = 3 then null when n_nationkey = 4 then '' when n_nationkey = 5 then '._-/' else concat('BLDG', n_nationkey, '.fl', n_regionkey, "
+        "'-RM', n_nationkey + 99, 'B zone ', n_nationkey, ' ', n_name, ' Customer floor#NET https-LOW urgent specified COM not') end",
+        "nullif(concat('r', n_regionkey), 'r2')",
+    ),
+    # What the jobs read in their folder: a file of parts and one of customers.
+    "job_files": (
+        "(select p_partkey as k, concat(p_brand, '_AHU-', p_size, '.TEMP') as label, 'parts' as building from part union all "
+        "select c_custkey + 1000000000, concat(c_name, '_AHU-', c_nationkey, '.TEMP CMD'), 'customers' from customer) as files", "k", "label", "building",
+    ),
+}
 CONFIG = VocabConfig(
     min_freq=5,
     max_equip=20,
@@ -64,8 +71,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    if source == "literals":
-        return spark.createDataFrame([(i, *row) for i, row in enumerate(LITERALS)], "point_ord long, point_label string, building_id string")
     name, key, label, building = SOURCES[source]
     return table(spark, sf_dir, name).select(
         F.expr(key).cast("long").alias("point_ord"), F.expr(label).alias("point_label"), F.expr(building).alias("building_id")
@@ -83,8 +88,6 @@ def _quoted(value: str | None) -> str:
 
 
 def _points_sql(source: str) -> str:
-    if source == "literals":
-        return "SELECT CAST(i AS BIGINT) AS id, label, building FROM (VALUES " + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(LITERALS)) + ") AS v(i, label, building)"
     name, key, label, building = SOURCES[source]
     building = building.replace("as string", "as varchar")
     return f"SELECT CAST({key} AS BIGINT) AS id, {label} AS label, {building} AS building FROM {name}"
@@ -145,12 +148,14 @@ _STATS_OUT = "token, CAST(freq AS BIGINT) AS freq, CAST(buildings AS BIGINT) AS
 _SCORED_OUT = _STATS_OUT + ", category, CAST(score AS BIGINT) AS score"
 
 
-def _labels_sql(source: str, v: Vocabulary = TERMS) -> str:
+def _lookups_sql(v: Vocabulary = TERMS) -> str:
+    return " ".join(f"WHEN {_in('up', terms)} THEN '{name}'" for name, terms in v.in_lookup_order() if terms)
+
+
+def _labelled_sql(lookups: str) -> str:
+    """CTEs ``labelled`` and ``tagged`` over ``tokens``."""
     letter = "[A-Za-z]"
-    lookups = " ".join(f"WHEN {_in('up', terms)} THEN '{name}'" for name, terms in v.in_lookup_order() if terms)
-    return (
-        _tokens_sql(source)
-        + f""",
+    return f""",
 labelled AS (SELECT *, CASE {lookups}
   WHEN regexp_full_match(token, '[Ff][Ll]?\\p{{Nd}}+|[Ff][Ll][Oo][Oo][Rr]') THEN 'FLOOR'
   WHEN regexp_full_match(token, '[Rr][Mm]\\p{{Nd}}+{letter}?|\\p{{Nd}}{{3,4}}{letter}?|\\p{{Nd}}{letter}{{1,3}}\\p{{Nd}}{{1,3}}') THEN 'ZONE'
@@ -158,7 +163,10 @@ labelled AS (SELECT *, CASE {lookups}
   WHEN regexp_full_match(token, '[Bb][Ll][Dd][Gg]\\p{{Nd}}+') THEN 'BLDG' ELSE 'MISC' END AS label FROM tokens),
 tagged AS (SELECT *, CASE WHEN label = 'MISC' THEN 'O' WHEN label = lag(label) OVER (PARTITION BY id ORDER BY pos) THEN 'I-' || label
   ELSE 'B-' || label END AS bio FROM labelled)"""
-    )
+
+
+def _labels_sql(source: str, v: Vocabulary = TERMS) -> str:
+    return _tokens_sql(source) + _labelled_sql(_lookups_sql(v))
 
 
 _VIEW = """
@@ -196,6 +204,11 @@ def _stats_columns() -> list[Column]:
     return [F.col(c) for c in ("token", "freq", "buildings", "numid_bigrams")]
 
 
+def _first() -> Column:
+    """A first occurrence as one number that Spark and SQL both have: 2**20 for each point."""
+    return F.expr("cast(first_ord div 2147483648 as bigint) * 1048576 + cast(first_ord % 2147483648 as bigint)").alias("first_ord")
+
+
 def _scored(frame: DataFrame) -> DataFrame:
     return frame.select(*_stats_columns(), "category", "score")
 
@@ -218,7 +231,7 @@ for _s in ("urls", "documents", "parts"):
     )
     _add(
         f"token_stats_{_s}",
-        lambda spark, d, s=_s: token_stats(points(spark, d, s)).select(*_stats_columns(), "first_ord"),
+        lambda spark, d, s=_s: token_stats(points(spark, d, s)).select(*_stats_columns(), _first()),
         _stats_sql(_s) + f" SELECT {_STATS_OUT}, first_ord FROM stats",
     )
 _add(
@@ -309,7 +322,7 @@ def _flat_annotation(spark: SparkSession, sf_dir: str, source: str) -> DataFrame
     return rows.select(F.col("source_file").cast("long").alias("id"), "point_label", "building_id", "label_source", *joined, *(F.col(f"structured.{f}").alias(f) for f in FIELDS))
 
 
-for _s in ("urls", "customers", "priorities", "literals"):
+for _s in ("urls", "customers", "priorities", "sites"):
     _add(
         f"label_tokens_{_s}",
         lambda spark, d, s=_s: _token_rows(_annotated(spark, d, s), "token_labels", "label"),
@@ -335,18 +348,39 @@ _FLAT = (
     f" SELECT p.id, p.label AS point_label, p.building AS building_id, 'rule' AS label_source, coalesce(tokens, '') AS tokens, "
     f"coalesce(token_labels, '') AS token_labels, coalesce(bio_tags, '') AS bio_tags, {', '.join(FIELDS)} FROM points p LEFT JOIN view v ON p.id = v.id"
 )
-for _s in ("urls", "literals"):
+for _s in ("urls", "sites"):
     _end = "" if _s == "urls" else f"_{_s}"
     _add(f"annotate{_end}", lambda spark, d, s=_s: _flat_annotation(spark, d, s), _labels_sql(_s) + "," + _VIEW + _FLAT)
+#: Tokens that no label is split into: floors, zones, buildings and equipment in one token each.
+_GIVEN = (
+    "concat('FL', n_regionkey)", "concat('f', n_nationkey)", "concat('BLDG', n_nationkey)", "concat('bldg', n_nationkey + 1)", "concat('RM', n_nationkey, 'e')", "concat(n_nationkey + 99, 'K')",
+    "concat('2SE', n_nationkey)", "concat('A', n_nationkey + 90, 'B')", "concat('a', n_nationkey + 10)", "cast(n_nationkey as varchar(9))", "'Floor'", "'brand'", "n_name",
+)
+
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(*map(F.expr, _GIVEN)).alias("tokens"))
+    rows = rows.withColumn("labels", label_tokens(F.col("tokens"), TERMS))
+    return rows.select("id", "tokens", "labels", bio_tags(F.col("labels")).alias("bio"), structured(F.col("tokens"), F.col("labels")).alias("structured"))
+
+
+_GIVEN_SQL = f"""WITH lists AS (SELECT CAST(n_nationkey AS BIGINT) AS id, [{", ".join(_GIVEN)}] AS toks FROM nation),
+tokens AS (SELECT *, upper(token) AS up FROM (SELECT id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM lists))""" + _labelled_sql(_lookups_sql())
+_add(
+    "label_given_tokens",
+    lambda spark, d: _given(spark, d).select("id", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("labels").alias("label"), "bio"))).select("id", "pos", "col.*"),
+    _GIVEN_SQL + " SELECT id, CAST(pos AS INTEGER) AS pos, token, label, bio FROM tagged",
+)
+_add("structured_given_tokens", lambda spark, d: _given(spark, d).select("id", "structured.*"), _GIVEN_SQL + "," + _VIEW + f" SELECT id, {', '.join(FIELDS)} FROM view")
 _add(
     "token_stats_null_buildings",
-    lambda spark, d: token_stats(points(spark, d, "literals")).select(*_stats_columns(), "first_ord"),
-    _stats_sql("literals") + f" SELECT {_STATS_OUT}, first_ord FROM stats",
+    lambda spark, d: token_stats(points(spark, d, "sites")).select(*_stats_columns(), _first()),
+    _stats_sql("sites") + f" SELECT {_STATS_OUT}, first_ord FROM stats",
 )
 _add(
     "corpus_stats_null_buildings",
-    lambda spark, d: corpus_stats(points(spark, d, "literals")),
-    _tokens_sql("literals") + " SELECT count(DISTINCT up) AS num_tokens, count(DISTINCT coalesce(building, chr(1))) AS num_buildings FROM tokens",
+    lambda spark, d: corpus_stats(points(spark, d, "sites")),
+    _tokens_sql("sites") + " SELECT count(DISTINCT up) AS num_tokens, count(DISTINCT coalesce(building, chr(1))) AS num_buildings FROM tokens",
 )
 
 
@@ -388,12 +422,12 @@ def _vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, t) for c, ts in found.in_lookup_order() for t in ts], "category string, token string")
 
 
-for _s in ("urls", "documents", "literals"):
+for _s in ("urls", "documents", "sites"):
     _add(f"vocab_bundle_{_s}", lambda spark, d, s=_s: _flat_bundle(_bundle(spark, d, s)), _bundle_sql(_s))
 _add(
     "jsonl_round_trip",
-    lambda spark, d: _records(spark, d, "literals"),
-    f"SELECT building AS building_id, building AS source_file, label AS point_label, 'col_0' AS point_label_col FROM ({_points_sql('literals')})",
+    lambda spark, d: _records(spark, d, "sites"),
+    f"SELECT building AS building_id, building AS source_file, label AS point_label, 'col_0' AS point_label_col FROM ({_points_sql('sites')})",
 )
 _add("vocabulary_file", _vocabulary_file, _trimmed_sql("urls") + " SELECT category, token FROM kept")
 _add(
@@ -402,10 +436,21 @@ _add(
     f"SELECT count(*) AS points, count(DISTINCT building) AS files, count(DISTINCT building) AS buildings FROM ({_points_sql('urls')})",
 )
 
-# Cell tables from the string columns of two tables: customers headed by their column names, parts without a header.
+# Cell tables from columns of given tables: table, key, cells of a row as expressions, and the cells of the header if there is one.
+# Customers headed by their column names, parts without a header; preferred names over better columns and in order of rank, the
+# rule for two rows, null cells and headers, a score of just the least, names that stand twice, words alone, ties.
 _CELLS = {
-    "01_customer.csv": ("customer", "c_custkey", ("c_name", "c_mktsegment"), True),
-    "2-part.csv": ("part", "p_partkey", ("p_name", "p_brand", "p_type"), False),
+    "01_customer.csv": ("customer", "c_custkey", ("c_name", "c_mktsegment"), ("c_name", "c_mktsegment")),
+    "2-part.csv": ("part", "p_partkey", ("p_name", "case when p_size > 20 then p_brand else lower(p_brand) end", "p_type"), None),
+    "3_region.csv": ("region", "r_regionkey", ("r_name", "nullif(concat('heat pump ', r_regionkey), 'heat pump 3')"), ("Zone", "Bas_Raw")),
+    "4-nation.csv": ("nation", "n_nationkey", ("n_name", "concat('plain ', lower(n_name))", "concat('C', n_nationkey, '_PO')"), ("one", "LABEL", "johnson controls name")),
+    "fallback.csv": ("region", "r_regionkey", ("case when r_regionkey in (1, 2) then lower(r_name) else concat('KW_', r_regionkey, '.HI') end",), ("points",)),
+    "null_header.csv": ("region", "r_regionkey", ("concat('kind ', r_regionkey)", "concat('VFD', r_regionkey, '.SPD')"), ("kind", None)),
+    "gaps.csv": ("nation", "n_nationkey", ("nullif(lower(n_name), 'nation_3')", "nullif(concat('G', n_nationkey, '.X'), 'G3.X')"), None),
+    "least.csv": ("region", "r_regionkey", ("case when r_regionkey = 4 then 'KW_1' else lower(r_name) end",), None),
+    "twice.csv": ("nation", "n_nationkey", ("concat('Q', n_nationkey)", "n_name"), ("label", "label")),
+    "words.csv": ("region", "r_regionkey", ("lower(r_name)",), None),
+    "tie.csv": ("nation", "n_nationkey", ("concat('T_', n_nationkey)", "concat('U_', n_nationkey)"), None),
 }
 _FULL = ExtractConfig(exact_sample=False)
 
@@ -414,46 +459,23 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for file, (name, key, columns, header) in _CELLS.items():
         rows = table(spark, sf_dir, name)
-        parts = [F.struct(F.lit(i).alias("col_no"), F.col(c).alias("cell")) for i, c in enumerate(columns)]
+        parts = [F.struct(F.lit(i).alias("col_no"), F.expr(c).cast("string").alias("cell")) for i, c in enumerate(columns)]
         least = rows.agg(F.min(key)).first()[0]
-        one = rows.select(F.lit(file).alias("source_file"), (F.col(key) - least + int(header)).cast("int").alias("row_no"), F.inline(F.array(*parts)))
+        one = rows.select(F.lit(file).alias("source_file"), (F.col(key) - least + int(header is not None)).cast("int").alias("row_no"), F.inline(F.array(*parts)))
         if header:
-            top = spark.createDataFrame([(file, 0, i, c) for i, c in enumerate(columns)], "source_file string, row_no int, col_no int, cell string")
+            top = spark.createDataFrame([(file, 0, i, c) for i, c in enumerate(header)], "source_file string, row_no int, col_no int, cell string")
             one = one.unionByName(top)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-#: Small files: a preferred name over a better column, the rule for two rows, null cells and headers, a name that stands twice.
-_FILES = {
-    "7_north.csv": (("Zone", "Bas_Raw"), ("PMP_3 CHW", "heat pump"), ("PMP_4 CHW", None), ("PMP_5 CHW", "N5-supply")),
-    "8-south.csv": (("kind", None), ("plain", "VFD7.SPD"), (None, "VFD8.SPD"), ("other", "VFD9.SPD")),
-    "east_wing.csv": (("points",), ("KW_11.HI",)),
-    "west.csv": (("one", "LABEL", "johnson controls name"), ("R2.D2", "plain words", "C3_PO"), ("R3.D3", "KIT9.CAR", "BB_8"), ("R4", "x", "y")),
-    "twice.csv": (("label", "label"), ("Q_11", "Q_12"), ("Q_13", "Q_14")),
-    "words.csv": (("none", "of"), ("these", "looks"), ("like", "one")),
-    "single.csv": (("LONE_1",),),
-    "tie.csv": (("T_1", "U_1"), ("T_2", "U_2"), ("T_3", "U_3")),
-}
-
-
-def literal_cells(spark: SparkSession) -> DataFrame:
-    rows = [(f, i, j, c) for f, lines in _FILES.items() for i, line in enumerate(lines) for j, c in enumerate(line)]
-    return spark.createDataFrame(rows, "source_file string, row_no int, col_no int, cell string")
-
-
-def _literal_cells_sql() -> str:
-    rows = [f"('{f}', {i}, {j}, {_quoted(c)})" for f, lines in _FILES.items() for i, line in enumerate(lines) for j, c in enumerate(line)]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") AS v(source_file, row_no, col_no, cell)"
-
-
 def _table_cells_sql() -> str:
     parts = []
     for file, (name, key, columns, header) in _CELLS.items():
         for i, c in enumerate(columns):
-            parts.append(f"SELECT '{file}' AS source_file, {key} - (SELECT min({key}) FROM {name}) + {int(header)} AS row_no, {i} AS col_no, {c} AS cell FROM {name}")
+            parts.append(f"SELECT '{file}' AS source_file, {key} - (SELECT min({key}) FROM {name}) + {int(header is not None)} AS row_no, {i} AS col_no, {c} AS cell FROM {name}")
             if header:
-                parts.append(f"SELECT '{file}', 0, {i}, '{c}'")
+                parts.append(f"SELECT '{file}', 0, {i}, {_quoted(header[i])}")
     return " UNION ALL ".join(parts)
 
 
@@ -462,11 +484,11 @@ def _sampled_sql(sizes: tuple[int, ...]) -> str:
     return ", ".join(f"({n}, {at})" for n in sizes for at in sample_positions(n, ExtractConfig().sample))
 
 
-def _cells_sql(cells: str | None = None, sizes: tuple[int, ...] = ()) -> str:
+def _cells_sql(sizes: tuple[int, ...] = ()) -> str:
     sampled = "true"
     if sizes:
         sampled = f"n_filled <= {ExtractConfig().sample} OR (n_filled, place) IN (SELECT (a, b) FROM (VALUES {_sampled_sql(sizes)}) AS v(a, b))"
-    return f"""WITH cells AS ({cells or _table_cells_sql()}),
+    return f"""WITH cells AS ({_table_cells_sql()}),
 likes AS (SELECT *, {_like_sql("cell")} AS lk FROM cells),
 cols AS (SELECT source_file, col_no, bool_or(row_no = 0 AND lk) AS b0, bool_or(row_no = 1 AND lk) AS b1, bool_or(row_no = 2 AND lk) AS b2,
   max(row_no) + 1 AS n FROM likes GROUP BY ALL),
@@ -496,62 +518,135 @@ def _scores(frame: DataFrame) -> DataFrame:
     return frame.select("source_file", "col_no", "col_name", F.round("score", 9).alias("score"))
 
 
+#: Sizes of columns, at small scales, for which the oracles of sampled scores hold positions.
+_COLUMN_SIZES = (200, 1500, 2000, 150, 20, 15_000, 20_000)
 _add("header_detect", lambda spark, d: detect_headers(cells(spark, d)), _cells_sql() + " SELECT source_file, has_header FROM heads")
-_add("column_scores", lambda spark, d: _scores(column_scores(cells(spark, d), _FULL)), _cells_sql() + _SCORES_OUT)
-_add("choose_column", lambda spark, d: choose_columns(cells(spark, d), _FULL), _cells_sql() + " SELECT source_file, col_no, col_name FROM chosen")
-_add("extract_points", lambda spark, d: points_from_cells(cells(spark, d), _FULL).drop("point_ord"), _cells_sql() + _POINTS_OUT)
-_add("header_detect_literals", lambda spark, d: detect_headers(literal_cells(spark)), _cells_sql(_literal_cells_sql()) + " SELECT source_file, has_header FROM heads")
-_add("column_scores_literals", lambda spark, d: _scores(column_scores(literal_cells(spark))), _cells_sql(_literal_cells_sql()) + _SCORES_OUT)
-_add("choose_column_literals", lambda spark, d: choose_columns(literal_cells(spark)), _cells_sql(_literal_cells_sql()) + " SELECT source_file, col_no, col_name FROM chosen")
-_add("extract_points_literals", lambda spark, d: points_from_cells(literal_cells(spark)).drop("point_ord"), _cells_sql(_literal_cells_sql()) + _POINTS_OUT)
+for _config, _sizes, _name in ((_FULL, (), "{}_all_cells"), (ExtractConfig(), _COLUMN_SIZES, "{}")):
+    _sql = _cells_sql(_sizes)
+    _add("sampled_column_scores" if _sizes else "column_scores", lambda spark, d, c=_config: _scores(column_scores(cells(spark, d), c)), _sql + _SCORES_OUT)
+    _add(_name.format("choose_column"), lambda spark, d, c=_config: choose_columns(cells(spark, d), c), _sql + " SELECT source_file, col_no, col_name FROM chosen")
+    _add(_name.format("extract_points"), lambda spark, d, c=_config: points_from_cells(cells(spark, d), c).drop("row_no"), _sql + _POINTS_OUT)
 
 
 # --- jobs over written folders -----------------------------------------------------------------------------------------
 
 
+def _text(rows: DataFrame, line: str, path: str) -> None:
+    """One file of lines, in the order of ``rows``, added to the folder."""
+    rows.select(F.expr(line).alias("value")).coalesce(1).write.mode("append").text(path, lineSep="\n")
+
+
+_PATTERN = "*.{csv,txt}"
+
+
 def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Label, brand and size of the parts as CSV files without a header, with one file that is rejected."""
-    path = scratch(spark, "csv")
-    table(spark, sf_dir, "part").select("p_name", "p_brand", F.col("p_partkey").cast("string")).coalesce(1).write.csv(path, quoteAll=True)
-    return path
+    """Name, brand and key of the parts, all quoted; customers whose quoted names go over two lines; nations in rows of one and two cells."""
+    folder = scratch(spark, "csv")
+    table(spark, sf_dir, "part").select("p_name", "p_brand", F.col("p_partkey").cast("string")).coalesce(1).write.csv(folder, quoteAll=True)
+    _text(table(spark, sf_dir, "customer"), "concat('\"', c_name, chr(10), '\"\"', c_mktsegment, '\"\"\",x')", folder)
+    _text(table(spark, sf_dir, "nation").sort("n_nationkey"), """case when n_nationkey = 0 then concat(n_name, ',"a, b"') when n_nationkey = 1 then 'NA' else n_name end""", folder)
+    return folder
+
+
+def _bad_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Files that are rejected, each for its reason: a wider row, an open quote, nothing but blanks, no column of points."""
+    folder, rows = scratch(spark, "rejects"), table(spark, sf_dir, "region").sort("r_regionkey")
+    for line in ("case when r_regionkey = 3 then concat(r_name, ',', r_name) else r_name end", "concat(case when r_regionkey = 4 then '\"' else '' end, r_name)", "repeat(' ', r_regionkey)", "lower(r_name)"):
+        _text(rows, line, folder)
+    return folder
 
 
 def _csv_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_points(spark, _csv_folder(spark, sf_dir), _FULL).points.select("point_label", "point_label_col")
+    return load_points(spark, _csv_folder(spark, sf_dir), pattern=_PATTERN).points.select("point_label", "point_label_col")
 
 
 def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "csv-rejects")
-    spark.createDataFrame([("A_1",), ("A_2,wider",)], "value string").coalesce(1).write.csv(path, escapeQuotes=False, quote="")
-    return load_points(spark, path).rejects.select("reason")
+    return load_points(spark, _bad_folder(spark, sf_dir), pattern=_PATTERN).rejects.select("reason")
+
+
+def _job_folders(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, JobReport]]:
+    """The three jobs as the command line runs them, chained through folders, over a file of parts and one of customers."""
+    base = scratch(spark, "jobs")
+    for name, label in (("part", "concat(p_brand, '_AHU-', p_size, '.TEMP')"), ("customer", "concat(c_name, '_AHU-', c_nationkey, '.TEMP CMD')")):
+        _text(table(spark, sf_dir, name), label, f"{base}/raw")
+    points, vocabulary = ["--points", f"{base}/points"], ["--vocabulary", f"{base}/vocabulary"]
+    commands = {
+        "extract": ["--input", f"{base}/raw", "--pattern", _PATTERN, "--sample", f"{base}/sample", *points],
+        "vocab": [*points, *vocabulary],
+        "label": [*points, *vocabulary, "--labelled", f"{base}/labelled"],
+    }
+    return base, {job: run_command(spark, [job, *arguments]) for job, arguments in commands.items()}
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three jobs, chained through folders; rows and what each counted."""
-    raw, base = _csv_folder(spark, sf_dir), scratch(spark, "jobs")
-    reports = {
-        "extract": run_extract(spark, raw, f"{base}/points", _FULL, f"{base}/sample"),
-        "vocab": run_vocab(spark, f"{base}/points", f"{base}/vocabulary", CONFIG),
-        "label": run_label(spark, f"{base}/points", f"{base}/vocabulary", f"{base}/labelled"),
-    }
+    """Rows of each job and what it counted."""
+    _, reports = _job_folders(spark, sf_dir)
     rows = [(job, "rows", r.rows) for job, r in reports.items()]
     rows += [(job, name, n) for job, r in reports.items() for name, n in r.counts.items()]
     return spark.createDataFrame(rows, "job string, name string, n long")
 
 
-_BRANDS = "SELECT p_brand, regexp_extract_all(p_brand, '" + _TOKEN + "') AS toks FROM part"
-_add("csv_points", _csv_points, "SELECT p_brand AS point_label, 'col_1' AS point_label_col FROM part")
-_add("csv_rejects", _csv_rejects, "SELECT 'a row wider than the first' AS reason")
+_WRITTEN = "point_label string, tokens array<string>, token_labels array<string>, bio_tags array<string>, label_source string, structured struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">"
+
+
+def _jobs_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotated records that the jobs have written."""
+    rows = spark.read.schema(_WRITTEN).json(f"{_job_folders(spark, sf_dir)[0]}/labelled")
+    joined = [F.array_join(c, "|").alias(c) for c in ("tokens", "token_labels", "bio_tags")]
+    return rows.select("point_label", "label_source", *joined, "structured.*")
+
+
+def _job_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stops a job: columns that are not there, and a folder without points, which leaves what was written before."""
+    rows = []
+    try:
+        sample_one_per_building(table(spark, sf_dir, "nation"))
+    except ValueError as e:
+        rows.append(("columns", str(e), table(spark, sf_dir, "nation").count()))
+    out = scratch(spark, "kept")
+    write_json(table(spark, sf_dir, "region"), out)
+    try:
+        run_extract(spark, _bad_folder(spark, sf_dir), out, pattern=_PATTERN)
+    except RuntimeError as e:
+        rows.append(("points", str(e), spark.read.text(out).count()))
+    return spark.createDataFrame(rows, "guard string, message string, n long")
+
+
+_add(
+    "csv_points",
+    _csv_points,
+    """SELECT p_brand AS point_label, 'col_1' AS point_label_col FROM part UNION ALL SELECT c_name || chr(10) || '"' || c_mktsegment || '"', 'col_0' FROM customer
+UNION ALL SELECT CASE WHEN n_nationkey = 1 THEN 'nan' ELSE n_name END, 'col_0' FROM nation""",
+)
+_add(
+    "csv_rejects",
+    _csv_rejects,
+    """SELECT 'a row wider than the first' AS reason FROM region WHERE r_regionkey = 3 UNION ALL SELECT 'open quote' FROM region WHERE r_regionkey = 4
+UNION ALL SELECT 'empty' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'no label column' FROM region WHERE r_regionkey = 0""",
+)
+_JOB_LOOKUPS = " ".join(f"WHEN up IN (SELECT token FROM kept WHERE category = '{c}') THEN '{c}'" for c, _ in Vocabulary().in_lookup_order())
+_JOB_SQL = _trimmed_sql("job_files", VocabConfig()) + _labelled_sql(_JOB_LOOKUPS)
 _add(
     "jobs_chain",
     _jobs,
-    f"""WITH b AS ({_BRANDS}), n AS (SELECT count(*) AS points, sum(len(toks)) AS tokens FROM b),
-distinct_ AS (SELECT count(DISTINCT upper(t)) AS n FROM (SELECT unnest(toks) AS t FROM b))
-SELECT job, name, CAST(n AS BIGINT) AS n FROM (
-SELECT 'extract' AS job, 'rows' AS name, points AS n FROM n UNION ALL SELECT 'extract', 'files', 1 UNION ALL SELECT 'extract', 'buildings', 1
-UNION ALL SELECT 'extract', 'rejected files', 0 UNION ALL SELECT 'vocab', 'rows', n FROM distinct_ UNION ALL SELECT 'vocab', 'tokens', n FROM distinct_
-UNION ALL SELECT 'vocab', 'buildings', 1 UNION ALL SELECT 'label', 'rows', points FROM n UNION ALL SELECT 'label', 'tokens', tokens FROM n
-UNION ALL SELECT 'label', 'without tokens', 0)""",
+    _JOB_SQL
+    + """, n AS (SELECT (SELECT count(*) FROM points) AS points, (SELECT count(*) FROM tokens) AS tokens, (SELECT count(*) FROM stats) AS distinct_)
+SELECT job, name, CAST(n AS BIGINT) AS n FROM (SELECT 'extract' AS job, 'rows' AS name, points AS n FROM n
+UNION ALL SELECT 'extract', 'files', (SELECT count(DISTINCT building) FROM points) UNION ALL SELECT 'extract', 'buildings', (SELECT count(DISTINCT building) FROM points)
+UNION ALL SELECT 'extract', 'rejected files', 0 UNION ALL SELECT 'vocab', 'rows', distinct_ FROM n UNION ALL SELECT 'vocab', 'tokens', distinct_ FROM n
+UNION ALL SELECT 'vocab', 'buildings', (SELECT count(DISTINCT building) FROM tokens) UNION ALL SELECT 'label', 'rows', points FROM n
+UNION ALL SELECT 'label', 'tokens', tokens FROM n UNION ALL SELECT 'label', 'without tokens', 0)""",
+)
+_add(
+    "jobs_annotated",
+    _jobs_annotated,
+    _JOB_SQL + "," + _VIEW + f" SELECT p.label AS point_label, 'rule' AS label_source, tokens, token_labels, bio_tags, {', '.join(FIELDS)} FROM points p JOIN view v ON p.id = v.id",
+)
+_add(
+    "job_guards",
+    _job_guards,
+    """SELECT 'columns' AS guard, 'missing columns: building_id, point_label, point_ord' AS message, count(*) AS n FROM nation
+UNION ALL SELECT 'points', 'no file with point labels', count(*) FROM region""",
 )
 _add(
     "corpus_order",
@@ -572,9 +667,8 @@ _add(
     lambda spark, d: table(spark, d, "part").select("p_partkey", building_id(F.concat(F.col("p_partkey").cast("string"), F.lit("_-"), "p_brand", F.lit(".csv"))).alias("building_id")),
     "SELECT p_partkey, regexp_replace(regexp_replace(p_partkey || '_-' || p_brand || '.csv', '\\.[^.]+$', ''), '^[0-9]+[_\\-]*', '') AS building_id FROM part",
 )
-#: Sizes for which the oracles of the samples hold positions: groups of up to so many rows, and the columns' sizes at small scales.
+#: Groups of up to so many rows have their positions in the oracles of the samples.
 _MOST_GROUP = 400
-_COLUMN_SIZES = (200, 1500, 2000, 150, 20, 15_000, 20_000)
 
 
 def _one_each_sql() -> str:
@@ -585,12 +679,21 @@ numbered AS (SELECT building, label, row_number() OVER (PARTITION BY building OR
 picked AS (SELECT building AS building_id, label AS point_label FROM numbered JOIN places USING (n, place))"""
 
 
-_add("sampled_column_scores", lambda spark, d: _scores(column_scores(cells(spark, d))), _cells_sql(sizes=_COLUMN_SIZES) + _SCORES_OUT)
 _add("sample_one_per_building", lambda spark, d: sample_one_per_building(points(spark, d, "customers")), _one_each_sql() + " SELECT building_id, point_label FROM picked")
+
+
+def _joined_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the written sample, numbered in the order of the folder's files."""
+    path = scratch(spark, "sample")
+    write_lines(ordered_samples(sample_one_per_building(points(spark, sf_dir, "customers"))), path)
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    return lines.select(F.row_number().over(Window.orderBy("at")).alias("line"), F.col("value").alias("text"))  # a line for each building
+
+
 _add(
     "joined_sample",
-    lambda spark, d: joined_sample(sample_one_per_building(points(spark, d, "customers"))),
-    _one_each_sql() + " SELECT string_agg(point_label, chr(10) ORDER BY building_id) AS text FROM picked",
+    _joined_sample,
+    _one_each_sql() + " SELECT CAST(row_number() OVER (ORDER BY building_id) AS INTEGER) AS line, point_label AS text FROM picked",
 )
 
 

@@ -53,6 +53,6 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary(**{name: frozenset((row and row[column]) or ()) for name, column in _LISTS.items()})
 
 
-def write_text(text: DataFrame, path: str) -> None:
-    """A folder with the one line or text of ``text``."""
-    text.coalesce(1).write.mode("overwrite").text(path)
+def write_lines(rows: DataFrame, path: str) -> None:
+    """A folder of text, a line for each row in the order of ``rows``; its parts in order of name are the whole text."""
+    rows.write.mode("overwrite").text(path)

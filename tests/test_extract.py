@@ -1,10 +1,17 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig
 from tagloom.functions.text import is_point_like
 from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
-from tagloom.operators.sample import joined_sample, sample_one_per_building, sample_positions
+from tagloom.operators import sample
+from tagloom.operators.extract import column_words
+from tagloom.operators.sample import ordered_samples, sample_one_per_building, sample_positions
+from tagloom.sources import cells as cell_source
+from tagloom.sources.cells import read_records
 
 
 def cells(spark, **files):
@@ -61,12 +68,28 @@ def test_sampled_score(spark):
     assert column_scores(table, ExtractConfig(exact_sample=False)).first().score == pytest.approx(sum(like) / len(like))
 
 
-def test_few_scans_and_shuffles(spark, tmp_path):
+@pytest.mark.parametrize("size", [199, 201, 5000])
+def test_sampled_score_over_words(spark, size, monkeypatch):
+    monkeypatch.setattr("tagloom.operators.extract._WORDS", 4)
+    values = [None if i % 5 == 2 else f"KWM{i}_GPM" if i % 7 < 3 else "words" for i in range(size)]
+    table = cells(spark, head=[["name"], *[[v] for v in values]], bare=[["KWM_1"], ["KWM_2"], *[[v] for v in values]])
+    scores = {r.source_file: r.score for r in column_scores(table.repartition(5)).collect()}
+    for file, data in (("head", values), ("bare", ["KWM_1", "KWM_2", *values])):
+        filled = [v for v in data if v]
+        picked = [filled[i] for i in sample_positions(len(filled), 200)]
+        assert scores[file] == pytest.approx(sum(v != "words" for v in picked) / len(picked))
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_cells_are_read_twice(spark, tmp_path, exact):
+    """Once for the words of the columns, which are written, and once for the points; the sample reads the words."""
     cells(spark, a=[["KWM_1"], ["KWM_2"]]).write.parquet(str(tmp_path / "cells"))
-    df = points_from_cells(spark.read.parquet(str(tmp_path / "cells")), ExtractConfig(exact_sample=False))
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    read = spark.read.parquet(str(tmp_path / "cells"))
+    assert column_words(read)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    df = points_from_cells(read, ExtractConfig(exact_sample=exact))
+    assert df.count() == 2
     physical = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("parquet") == 2 and physical.count("Exchange") <= 6
+    assert physical.count(str(tmp_path / "cells")) == 1 and physical.count("Exchange") <= 1  # the broadcast of the files
 
 
 @pytest.mark.parametrize("n, place", [(1, 0), (20, 0), (48, 27), (139, 135), (300, 203), (1048, 352)])
@@ -78,7 +101,22 @@ def test_one_per_building(spark):
     rows = [(i, f"P{i}", "A" if i < 48 else "B" if i < 187 else None) for i in range(200)]
     picked = sample_one_per_building(spark.createDataFrame(rows, "point_ord long, point_label string, building_id string"))
     assert {r.building_id: r.point_label for r in picked.collect()} == {"A": "P27", "B": "P183"}
-    assert joined_sample(picked).first().text == "P27\nP183"
+    assert [r.point_label for r in ordered_samples(picked).collect()] == ["P27", "P183"]
+
+
+def test_one_per_building_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sample, "_STRETCH", 8)
+    rows = [(i * 3 + 1, f"P{i}", "AB"[i % 3 > 0]) for i in range(500)]
+    picked = sample_one_per_building(spark.createDataFrame(rows, "point_ord long, point_label string, building_id string").repartition(3))
+    own = {b: [p for _, p, x in rows if x == b] for b in "AB"}
+    assert {r.building_id: r.point_label for r in picked.collect()} == {b: p[sample_positions(len(p), 1)[0]] for b, p in own.items()}
+
+
+@pytest.mark.parametrize("n", [5000, 8192, 8193, 65537, 300_001, 1_000_003])
+def test_traced_positions(n):
+    for k, seed in ((1, 42), (200, 42), (3, 7)):
+        want = np.random.RandomState(seed).permutation(n)[:k].tolist()
+        assert sample._traced(n, k, seed) == want == sample_positions(n, k, seed)
 
 
 def test_directory(spark, tmp_path):
@@ -99,7 +137,7 @@ def test_directory(spark, tmp_path):
     (tmp_path / "quotes.csv").write_text('KWM_1\n"' + '""' * 100_000 + '"\nKWM_2\nKWM_3\n')
     found = load_points(spark, str(tmp_path))
     got = {}
-    for r in found.points.orderBy("point_ord").collect():
+    for r in found.points.orderBy("source_file", "row_no").collect():
         got.setdefault(r.source_file, []).append(r.point_label)
     assert got.pop("quotes.csv")[1] == '"' * 100_000
     assert got == {
@@ -113,3 +151,39 @@ def test_directory(spark, tmp_path):
     assert {r.source_file: r.reason for r in found.rejects.collect()} == {
         "wide.csv": "a row wider than the first", "open.csv": "open quote", "empty.csv": "empty", "words.csv": "no label column", "bad.csv": "not UTF-8",
     }
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    rows = [f'KWM_{i}.GPM,"x, {i}"' for i in range(30_000)]
+    (tmp_path / "1 large+%file.csv").write_bytes(b"\xef\xbb\xbf" + "\r\n".join(rows).encode())
+    (tmp_path / "lines [x] {y}*.csv").write_text('KWM_4,"two\nlines"\nKWM_5,x\nKWM_6,y\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        found = load_points(spark, str(tmp_path))
+        got = [(r.source_file, r.row_no, r.point_label) for r in found.points.orderBy("source_file", "row_no").collect()]
+        records = read_records(spark, str(tmp_path))
+        assert records.staged[1].where("source_file = '1 large+%file.csv'").count() > 5  # splits
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("1 large+%file.csv", i, f"KWM_{i}.GPM") for i in range(30_000)] + [("lines [x] {y}*.csv", i, f"KWM_{i + 4}") for i in range(3)]
+
+
+def test_too_long_for_quotes_over_lines(spark, tmp_path):
+    (tmp_path / "lines.csv").write_text('KWM_4,"two\nlines"\nKWM_5,x\nKWM_6,y\n')
+    (tmp_path / "good.csv").write_text("KWM_4\nKWM_5\n" * 50)
+    found = read_records(spark, str(tmp_path), whole_bytes=20)
+    assert [tuple(r) for r in found.rejects.collect()] == [("lines.csv", "quotes over lines in too long a file")]
+    assert found.rows.count() == 100
+
+
+def test_lines_give_the_records_of_whole_files(spark, tmp_path):
+    draw = random.Random(4)
+    for i in range(60):
+        fields = ["a", "b c", '"q"', '"q, r"', '"d ""e"" f"', 'x"y', "", " ", '"t" u', "NA", 'z""'] + (['"two\nlines"', '"open'] if i % 4 == 0 else [])
+        rows = [",".join(draw.choices(fields, k=3 if draw.random() < 0.9 else 2)) for _ in range(draw.randrange(1, 12))]
+        (tmp_path / f"f{i}.csv").write_text(draw.choice(["\n", "\r\n", "\r"]).join([*rows, draw.choice(["", "  ", "end,x,y"])]))
+    found = read_records(spark, str(tmp_path))
+    whole = cell_source._checked(cell_source.read_files(spark, str(tmp_path)))
+    want = {(r.source_file, i): list(f) for r in whole.where("reason is null").collect() for i, f in enumerate(r.records)}
+    assert {(r.source_file, r.row_no): list(r.fields) for r in found.rows.collect()} == want
+    assert {tuple(r) for r in found.rejects.collect()} == {(r.source_file, r.reason) for r in whole.where("reason is not null").collect()}

@@ -21,7 +21,7 @@ def test_token_stats(spark):
     p = points(spark, [("CT 01 ct", "yard"), ("CT-2", "quay"), ("CT", None), ("._", "mill"), (None, "dock"), ("end 7", "yard"), ("ct", "unknown")])
     got = {r.token: (r.freq, r.buildings, r.numid_bigrams, r.first_ord) for r in token_stats(p).collect()}
     assert got["CT"] == (5, 4, 2, 0)  # a null building counts, and is not the one called unknown
-    assert got["7"] == (1, 1, 0, (5 << 20) + 1)
+    assert got["7"] == (1, 1, 0, (5 << 31) + 1)
     assert (got["END"][2], got["01"][2]) == (1, 0)
     assert corpus_stats(p).first().asDict() == {"num_tokens": 5, "num_buildings": 4}
     assert token_counts_by_building(p).where("token = 'CT'").count() == 4
