@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.config import VocabConfig
 from tagloom.functions.text import is_upper
+from tagloom.sources.jsonl import CATEGORY_LISTS
 
 
 def is_io_type(token: Column, config: VocabConfig = VocabConfig()) -> Column:
@@ -119,3 +120,34 @@ def bundle(classified: DataFrame, corpus: DataFrame, config: VocabConfig = Vocab
     frequency = classified.agg(F.map_from_entries(entries).alias("frequency"), F.lit(1).alias("one"))
     counts = corpus.select(F.struct("num_tokens", "num_buildings").alias("stats"), F.lit(1).alias("one"))
     return frequency.join(lists, "one").join(counts, "one").drop("one")
+
+
+def document_lines(classified: DataFrame, corpus: DataFrame, config: VocabConfig = VocabConfig()) -> DataFrame:
+    """``line``: the lines of the vocabulary as one JSON document, in order, by ranges; no row or task holds all tokens.
+
+    The document has a line for each token, frequencies in order of first occurrence and lists in order of term. Only the
+    first entry of each section, which has no comma before it, and the two counts pass through the driver.
+    """
+    spark = classified.sparkSession
+    kept = trim(classified, config).select("category", "token")
+    text = lambda x: F.expr(f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    least = classified.agg(F.min(F.struct("first_ord", "token")).alias("x")).first().x
+    leasts = {r.category: r.t for r in kept.groupBy("category").agg(F.min("token").alias("t")).collect()}
+    counts = corpus.first()
+    fixed, entries = [(0, '{"frequency": {')], []
+
+    def section(rows: DataFrame, number: int, place: Column, first: str | None, value: Column) -> None:
+        comma = F.when(F.col("token").eqNullSafe(F.lit(first)), "").otherwise(", ")
+        entries.append(rows.select(F.lit(number).alias("section"), place.cast("decimal(38,0)").alias("place"), "token", F.concat(comma, value).alias("line")))
+
+    section(classified, 1, F.col("first_ord"), least and least.token, F.concat(text("token"), F.lit(": "), F.col("freq").cast("string")))
+    before = "}"
+    for i, (category, name) in enumerate(CATEGORY_LISTS):
+        fixed.append((2 + 2 * i, f'{before}, "{name}": ['))
+        section(kept.where(F.col("category") == category), 3 + 2 * i, F.lit(None), leasts.get(category), text("token"))
+        before = "]"
+    fixed.append((2 + 2 * len(CATEGORY_LISTS), f'{before}, "stats": {{"num_tokens": {counts.num_tokens}, "num_buildings": {counts.num_buildings}}}}}'))
+    out = spark.createDataFrame([(n, None, None, line) for n, line in fixed], "section int, place decimal(38,0), token string, line string")
+    for e in entries:
+        out = out.unionByName(e)
+    return out.sort("section", "place", "token").select("line")

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig, VocabConfig
 from tagloom.operators.extract import POINT_COLUMNS, load_points
-from tagloom.operators.labelling import annotate
+from tagloom.operators.labelling import LITERAL_TERMS, annotate, annotate_by_lookup, lookup_table
 from tagloom.operators.sample import ordered_samples, sample_one_per_building
 from tagloom.operators.stats import corpus_of_counts, stats_of_counts, token_counts_by_building
-from tagloom.operators.vocab import bottom_equipment, bundle, classify
-from tagloom.sources.cells import sized
-from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_lines, write_vocabulary
+from tagloom.operators.vocab import bottom_equipment, classify, document_lines
+from tagloom.sources.jsonl import read_points, read_vocabulary, vocabulary_terms, with_places, write_document, write_json, write_lines
 from tagloom.sources.scratch import dropped, staged
 
 
@@ -41,13 +40,8 @@ def in_corpus_order(spark: SparkSession, path: str) -> DataFrame:
     Records are parsed once and written to the shared folder with their split. Numbers come from the splits' lengths, a
     table of one row for each split; no window is over records.
     """
-    at = (F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
-    places = staged(read_points(spark, path, *at), "points")
-    splits = places.groupBy("_path", "_split").agg(F.min("_at").alias("_first"), (F.max("_at") - F.min("_at") + 1).alias("_n"))
-    before = Window.orderBy("_path", "_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("_path", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rows = places.join(sized(staged(starts, "splits")), ["_path", "_split"])
-    return rows.select(*POINT_COLUMNS, (F.col("_start") + F.col("_at") - F.col("_first") + 1).alias("point_ord"))
+    at = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return with_places(staged(read_points(spark, path, *at), "points"), "point_ord").select(*POINT_COLUMNS, "point_ord")
 
 
 def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractConfig = ExtractConfig(), sample_out: str | None = None, pattern: str = "*.csv") -> JobReport:
@@ -76,17 +70,25 @@ def run_vocab(spark: SparkSession, points_path: str, out: str, config: VocabConf
     counts = staged(token_counts_by_building(in_corpus_order(spark, points_path)), "counts")
     classified = staged(classify(stats_of_counts(counts), config), "classified")
     corpus = corpus_of_counts(counts)
-    write_vocabulary(bundle(classified, corpus, config), out)
+    write_document(document_lines(classified, corpus, config), out)
     totals = corpus.first()
     bottom = spark.createDataFrame(bottom_equipment(classified, config).collect(), classified.schema)  # as many as the parameter says
     dropped(classified, counts)
     return JobReport(totals.num_tokens, {"tokens": totals.num_tokens, "buildings": totals.num_buildings}, bottom)
 
 
-def run_label(spark: SparkSession, points_path: str, vocabulary_path: str, out: str) -> JobReport:
-    """Point records to annotated records, one for one."""
+def run_label(spark: SparkSession, points_path: str, vocabulary_path: str, out: str, literal_terms: int = LITERAL_TERMS) -> JobReport:
+    """Point records to annotated records, one for one.
+
+    Up to ``literal_terms`` terms go into the expressions, and no record is shuffled; a larger vocabulary is joined.
+    """
     seen = Observation()
-    annotated = annotate(read_points(spark, points_path), read_vocabulary(spark, vocabulary_path))
+    terms = staged(vocabulary_terms(spark, vocabulary_path), "terms")
+    if terms.count() <= literal_terms:
+        annotated = annotate(read_points(spark, points_path), read_vocabulary(spark, vocabulary_path))
+    else:
+        annotated = annotate_by_lookup(in_corpus_order(spark, points_path), lookup_table(terms)).sort("point_ord").drop("point_ord")
     counts = (F.count("*").alias("rows"), F.sum(F.size("tokens")).alias("tokens"), F.count_if(F.size("tokens") == 0).alias("empty"))
     write_json(annotated.observe(seen, *counts), out)
+    dropped(terms)
     return JobReport(seen.get["rows"], {"tokens": seen.get["tokens"] or 0, "without tokens": seen.get["empty"]})

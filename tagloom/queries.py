@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig, VocabConfig, Vocabulary
@@ -12,12 +13,14 @@ from tagloom.__main__ import run as run_command
 from tagloom.functions.labels import FIELDS, bio_tags, label_tokens, structured
 from tagloom.functions.text import building_id, is_point_like, tokenize
 from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
-from tagloom.operators.labelling import annotate, label_by_lookup, label_counts, lookup_table
+from tagloom.operators.labelling import annotate, annotate_by_lookup, label_by_lookup, label_counts, lookup_table
 from tagloom.operators.sample import ordered_samples, sample_one_per_building, sample_positions
 from tagloom.operators.stats import corpus_stats, explode_tokens, token_counts_by_building, token_stats
-from tagloom.operators.vocab import bottom_equipment, bundle, classify, is_io_type, is_vendor, passes_thresholds, top_equipment, trim, vocabulary_rows
+from tagloom.operators.vocab import bottom_equipment, bundle, classify, document_lines, is_io_type, is_vendor, passes_thresholds, top_equipment, trim, vocabulary_rows
 from tagloom.plans.jobs import JobReport, in_corpus_order, job_summary, run_extract
-from tagloom.sources.jsonl import read_points, read_vocabulary, write_json, write_lines, write_vocabulary
+from tagloom.sources.jsonl import (
+    CATEGORY_LISTS, numbered_lines, read_points, read_vocabulary, vocabulary_terms, write_document, write_json, write_lines, write_vocabulary,
+)
 from tagloom.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,12 +41,12 @@ SOURCES = {
         "'-RM', n_nationkey + 99, 'B zone ', n_nationkey, ' ', n_name, ' Customer floor#NET https-LOW urgent specified COM not') end",
         "nullif(concat('r', n_regionkey), 'r2')",
     ),
-    # What the jobs read in their folder: a file of parts and one of customers.
-    "job_files": (
-        "(select p_partkey as k, concat(p_brand, '_AHU-', p_size, '.TEMP') as label, 'parts' as building from part union all "
-        "select c_custkey + 1000000000, concat(c_name, '_AHU-', c_nationkey, '.TEMP CMD'), 'customers' from customer) as files", "k", "label", "building",
-    ),
 }
+#: What the jobs read in their folder: a file of parts and one of customers.
+JOB_FILES = {
+    "part": ("part", "p_partkey", "concat(p_brand, '_AHU-', p_size, '.TEMP')", "'parts'"),
+    "customer": ("customer", "c_custkey + 1000000000", "concat(c_name, '_AHU-', c_nationkey, '.TEMP CMD')", "'customers'"),
+}
 CONFIG = VocabConfig(
     min_freq=5,
     max_equip=20,
@@ -71,10 +74,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    name, key, label, building = SOURCES[source]
-    return table(spark, sf_dir, name).select(
-        F.expr(key).cast("long").alias("point_ord"), F.expr(label).alias("point_label"), F.expr(building).alias("building_id")
-    )
+    parts = [
+        table(spark, sf_dir, name).select(F.expr(key).cast("long").alias("point_ord"), F.expr(label).alias("point_label"), F.expr(building).alias("building_id"))
+        for name, key, label, building in (JOB_FILES.values() if source == "job_files" else [SOURCES[source]])
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 # --- the same in SQL ---------------------------------------------------------------------------------------------------
@@ -88,9 +92,10 @@ def _quoted(value: str | None) -> str:
 
 
 def _points_sql(source: str) -> str:
-    name, key, label, building = SOURCES[source]
-    building = building.replace("as string", "as varchar")
-    return f"SELECT CAST({key} AS BIGINT) AS id, {label} AS label, {building} AS building FROM {name}"
+    return " UNION ALL ".join(
+        f"SELECT CAST({key} AS BIGINT) AS id, {label} AS label, {building.replace('as string', 'as varchar')} AS building FROM {name}"
+        for name, key, label, building in (JOB_FILES.values() if source == "job_files" else [SOURCES[source]])
+    )
 
 
 def _tokens_sql(source: str) -> str:
@@ -328,6 +333,25 @@ for _s in ("urls", "customers", "priorities", "sites"):
         lambda spark, d, s=_s: _token_rows(_annotated(spark, d, s), "token_labels", "label"),
         _labels_sql(_s) + " SELECT id, CAST(pos AS INTEGER) AS pos, token, label FROM labelled",
     )
+
+
+def _annotated_by_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with every part name and country of customers as a term: a vocabulary that grows with the tables."""
+    names = table(spark, sf_dir, "part").select(F.lit("EQUIP").alias("category"), F.explode(F.split(F.upper("p_name"), " ")).alias("token"))
+    numbers = table(spark, sf_dir, "customer").select(F.lit("VENDOR_TAG").alias("category"), F.substring("c_name", 10, 9).alias("token"))
+    rows = annotate_by_lookup(points(spark, sf_dir, "job_files"), lookup_table(names.unionByName(numbers)), frequent_rows=20)
+    joined = [F.array_join(c, "|").alias(c) for c in ("tokens", "token_labels", "bio_tags")]
+    return rows.select(F.col("point_ord").alias("id"), "point_label", *joined, "structured.*")
+
+
+_add(
+    "annotate_by_lookup",
+    _annotated_by_lookup,
+    _tokens_sql("job_files")
+    + ", terms AS (SELECT 'EQUIP' AS category, unnest(string_split(upper(p_name), ' ')) AS term FROM part UNION SELECT 'VENDOR_TAG', substring(c_name, 10, 9) FROM customer)"
+    + _labelled_sql(" ".join(f"WHEN up IN (SELECT term FROM terms WHERE category = '{c}') THEN '{c}'" for c in ("VENDOR_TAG", "EQUIP")))
+    + "," + _VIEW + f" SELECT p.id, p.label AS point_label, tokens, token_labels, bio_tags, {', '.join(FIELDS)} FROM points p JOIN view v ON p.id = v.id",
+)
 _add("label_by_lookup", _label_by_join, _labels_sql("brands") + " SELECT id, CAST(pos AS INTEGER) AS pos, token, label FROM labelled")
 _add(
     "label_histogram",
@@ -422,6 +446,29 @@ def _vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, t) for c, ts in found.in_lookup_order() for t in ts], "category string, token string")
 
 
+def _document(spark: SparkSession, sf_dir: str, source: str) -> str:
+    """The vocabulary as a document of many parts."""
+    path = scratch(spark, "document")
+    write_document(document_lines(_classified(spark, sf_dir, source), corpus_stats(points(spark, sf_dir, source)), CONFIG), path)
+    return path
+
+
+def _document_sql(source: str) -> str:
+    parts = [
+        "SELECT 0 AS section, NULL AS place, NULL AS token, '{\"frequency\": {' AS line",
+        "SELECT 1, first_ord, token, CASE WHEN row_number() OVER (ORDER BY first_ord, token) > 1 THEN ', ' ELSE '' END || CAST(to_json(token) AS VARCHAR) || ': ' || freq FROM stats",
+    ]
+    for i, (category, name) in enumerate(CATEGORY_LISTS):
+        parts.append(f"SELECT {2 + 2 * i}, NULL, NULL, '{']' if i else '}'}, \"{name}\": ['")
+        parts.append(f"SELECT {3 + 2 * i}, NULL, token, CASE WHEN row_number() OVER (ORDER BY token) > 1 THEN ', ' ELSE '' END || CAST(to_json(token) AS VARCHAR) FROM kept WHERE category = '{category}'")
+    stats = "'], \"stats\": {\"num_tokens\": ' || (SELECT count(*) FROM stats) || ', \"num_buildings\": ' || (SELECT count(DISTINCT coalesce(building, chr(1))) FROM tokens) || '}}'"
+    parts.append(f"SELECT {2 + 2 * len(CATEGORY_LISTS)}, NULL, NULL, {stats}")
+    return _trimmed_sql(source) + f" SELECT row_number() OVER (ORDER BY section, place, token) AS line, line AS value FROM ({' UNION ALL '.join(parts)})"
+
+
+for _s in ("documents", "sites"):
+    _add(f"vocabulary_document_{_s}", lambda spark, d, s=_s: numbered_lines(spark, _document(spark, d, s)), _document_sql(_s))
+_add("vocabulary_terms", lambda spark, d: vocabulary_terms(spark, _document(spark, d, "documents")), _trimmed_sql("documents") + " SELECT category, token FROM kept")
 for _s in ("urls", "documents", "sites"):
     _add(f"vocab_bundle_{_s}", lambda spark, d, s=_s: _flat_bundle(_bundle(spark, d, s)), _bundle_sql(_s))
 _add(
@@ -567,7 +614,7 @@ def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _job_folders(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, JobReport]]:
     """The three jobs as the command line runs them, chained through folders, over a file of parts and one of customers."""
     base = scratch(spark, "jobs")
-    for name, label in (("part", "concat(p_brand, '_AHU-', p_size, '.TEMP')"), ("customer", "concat(c_name, '_AHU-', c_nationkey, '.TEMP CMD')")):
+    for name, _, label, _ in JOB_FILES.values():
         _text(table(spark, sf_dir, name), label, f"{base}/raw")
     points, vocabulary = ["--points", f"{base}/points"], ["--vocabulary", f"{base}/vocabulary"]
     commands = {
@@ -686,14 +733,13 @@ def _joined_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the written sample, numbered in the order of the folder's files."""
     path = scratch(spark, "sample")
     write_lines(ordered_samples(sample_one_per_building(points(spark, sf_dir, "customers"))), path)
-    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
-    return lines.select(F.row_number().over(Window.orderBy("at")).alias("line"), F.col("value").alias("text"))  # a line for each building
+    return numbered_lines(spark, path).select("line", F.col("value").alias("text"))
 
 
 _add(
     "joined_sample",
     _joined_sample,
-    _one_each_sql() + " SELECT CAST(row_number() OVER (ORDER BY building_id) AS INTEGER) AS line, point_label AS text FROM picked",
+    _one_each_sql() + " SELECT row_number() OVER (ORDER BY building_id) AS line, point_label AS text FROM picked",
 )
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.config import Vocabulary
+from tagloom.sources.cells import sized
+from tagloom.sources.scratch import staged
 
 UNKNOWN = "unknown"
 POINT_SCHEMA = "building_id string, source_file string, point_label string, point_label_col string"
@@ -15,7 +19,7 @@ VOCAB_SCHEMA = (
     "frequency map<string,bigint>, equip_vocab array<string>, subcomp_vocab array<string>, point_func_vocab array<string>, "
     "io_type_vocab array<string>, vendor_vocab array<string>, stats struct<num_tokens: bigint, num_buildings: bigint>"
 )
-_LISTS = {"equip": "equip_vocab", "subcomp": "subcomp_vocab", "point_func": "point_func_vocab", "io_type": "io_type_vocab", "vendor_tag": "vendor_vocab"}
+CATEGORY_LISTS = (("EQUIP", "equip_vocab"), ("SUBCOMP", "subcomp_vocab"), ("POINT_FUNC", "point_func_vocab"), ("IO_TYPE", "io_type_vocab"), ("VENDOR_TAG", "vendor_vocab"))
 
 
 def read_points(spark: SparkSession, path: str, *more: Column) -> DataFrame:
@@ -44,13 +48,54 @@ def write_vocabulary(bundle: DataFrame, path: str) -> None:
 def save_vocabulary(bundle: DataFrame, path: str) -> None:
     """One indented local file; the row is as large as the vocabulary."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(json.loads(bundle.toJSON().first()), f, indent=2)
+        json.dump(json.loads(bundle.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]), f, indent=2)  # toJSON loses the map's order
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` and ``value``: the lines of a folder's files in order of name, numbered from 1 by way of the splits' lengths."""
+    at = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = staged(spark.read.text(path).select("value", *at), "text-lines")
+    return with_places(lines, "line").select("line", "value")
+
+
+def with_places(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with ``path``, ``split`` and ``at`` and their place over all files, from 1. One row for each split is put in order, no others."""
+    splits = rows.groupBy("path", "split").agg(F.min("at").alias("_first"), (F.max("at") - F.min("at") + 1).alias("_n"))
+    before = Window.orderBy("path", "split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = rows.join(sized(staged(starts, "splits")), ["path", "split"])
+    return placed.withColumn(name, F.col("_start") + F.col("at") - F.col("_first") + 1).drop("_start", "_first")
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """The lines of :func:`~tagloom.operators.vocab.document_lines` in a folder of text; its parts in order of name are the document."""
+    write_lines(lines, path)
+
+
+def vocabulary_terms(spark: SparkSession, path: str) -> DataFrame:
+    """``category`` and ``token`` of a vocabulary written by lines or as one JSON file. Lists are known by the line they start with."""
+    kinds = {column: category for category, column in CATEGORY_LISTS}
+    lines = numbered_lines(spark, path)
+    heads = lines.where(F.col("value").rlike(r'^[]}]?, "[a-z_]+": [\[{]') | (F.col("value") == '{"frequency": {')).select("line", "value").orderBy("line").collect()
+    if not heads or heads[0].value != '{"frequency": {':
+        row = spark.read.option("multiLine", True).schema(VOCAB_SCHEMA).json(path)
+        parts = [row.select(F.lit(category).alias("category"), F.explode(column).alias("token")) for column, category in kinds.items()]
+        return reduce(DataFrame.union, parts).where("token is not null").distinct()
+    section = F.lit(None).cast("string")
+    for head in heads:
+        name = re.search('"([a-z_]+)"', head.value)[1]
+        section = F.when(F.col("line") > head.line, F.lit(kinds.get(name))).otherwise(section)
+    token = F.get(F.from_json(F.concat(F.lit("["), F.regexp_replace("value", "^, ", ""), F.lit("]")), "array<string>"), F.lit(0))
+    terms = lines.where(~F.col("line").isin([h.line for h in heads])).select(section.alias("category"), token.alias("token"))
+    return terms.where("category is not null").distinct()
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
-    """The lists of a vocabulary file; a list that is not there is empty."""
-    row = spark.read.option("multiLine", True).schema(VOCAB_SCHEMA).json(path).select(*_LISTS.values()).first()
-    return Vocabulary(**{name: frozenset((row and row[column]) or ()) for name, column in _LISTS.items()})
+    """The lists of a vocabulary as sets in the driver; a list that is not there is empty."""
+    found: dict[str, set[str]] = {category: set() for category, _ in CATEGORY_LISTS}
+    for r in vocabulary_terms(spark, path).collect():
+        found[r.category].add(r.token)
+    return Vocabulary(**{category.lower(): frozenset(terms) for category, terms in found.items()})
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

@@ -22,7 +22,7 @@ def cells(spark, **files):
 HEADERS = {
     "top": ([["Meter", "unit"], ["KWM_1.ENRG", "kWh"], ["KWM_2.ENRG", "kWh"]], True),
     "bare": ([["CT1_GPM", "P-1"], ["CT2_GPM", "P-2"], ["CT3_GPM", "P-3"]], False),
-    "slash": ([["path", "note"], ["DEPOT/B2/CT-1/% Load", "-"], ["DEPOT/B2/CT-2/% Load", "-"]], True),
+    "late": ([["u", None, "w"], ["x", "u", "9:CT-1 (GPM)"], ["y", None, "8:CT-2 (GPM)"], ["z", "w", "plain"]], True),  # the last column decides
     "two": ([["Meter"], ["KWM_1"]], True),
     "both": ([["KWM_1"], ["KWM_2"]], False),
     "one": ([["Meter"]], False),

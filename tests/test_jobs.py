@@ -5,10 +5,10 @@ import pytest
 from tagloom.config import VocabConfig
 from tagloom.__main__ import run
 from tagloom.operators.sample import sample_positions
-from tagloom.plans.jobs import in_corpus_order, run_extract
+from tagloom.plans.jobs import in_corpus_order, run_extract, run_label
 from tagloom.operators.stats import corpus_stats, token_stats
-from tagloom.operators.vocab import bundle, classify
-from tagloom.sources.jsonl import read_points, read_vocabulary, save_vocabulary
+from tagloom.operators.vocab import bundle, classify, document_lines
+from tagloom.sources.jsonl import read_points, read_vocabulary, save_vocabulary, vocabulary_terms, write_document
 from tagloom.streaming.labels import label_stream, read_point_stream
 
 
@@ -34,6 +34,10 @@ def test_jobs_chain(spark, tmp_path, capsys):
     assert (vocabulary.equip, vocabulary.io_type, vocabulary.vendor_tag) == ({"CRAC"}, {"BV"}, {"TRANE"})
     assert run(spark, ["label", "--points", at["points"], "--vocabulary", at["vocab"], "--labelled", at["labelled"]]).rows == 14
     assert "rows: 14, tokens: 84, without tokens: 0" in capsys.readouterr().out
+    joined = run_label(spark, at["points"], at["vocab"], str(tmp_path / "joined"), literal_terms=0)
+    assert joined.counts == {"tokens": 84, "without tokens": 0} and lines(tmp_path / "joined") == lines(tmp_path / "labelled")
+    document = json.loads("".join(f.read_text() for f in sorted((tmp_path / "vocab").glob("part-*"))))
+    assert list(document)[0] == "frequency" and document["frequency"]["TRANE"] == 14 and document["stats"] == {"num_tokens": 12, "num_buildings": 2}
     record = lines(tmp_path / "labelled")[0]
     assert record["token_labels"] == ["VENDOR_TAG", "EQUIP", "EQUIP_ID", "SUBCOMP", "IO_TYPE", "POINT_FUNC"]
     assert record["structured"]["zone"] is None and list(record)[0] == "point_label"
@@ -78,3 +82,20 @@ def test_lines_and_vocabulary_files(spark, tmp_path):
     (tmp_path / "w.json").write_text('{"equip_vocab": ["A", "A"]}')
     part = read_vocabulary(spark, str(tmp_path / "w.json"))
     assert part.equip == {"A"} and part.vendor_tag == frozenset()
+
+
+def test_document_is_the_bundle(spark, tmp_path):
+    labels = ['say "AI" \\ BV', "PUMP 3 {x} é", "]", "SAT", "PUMP"]
+    rows = spark.createDataFrame([(i, t, "b") for i, t in enumerate(labels)], "point_ord long, point_label string, building_id string")
+    for name, kept in (("full", rows), ("none", rows.limit(0))):
+        classified, corpus = classify(token_stats(kept), VocabConfig()), corpus_stats(kept)
+        write_document(document_lines(classified, corpus), str(tmp_path / name))
+        text = "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")))
+        found = json.loads(text)
+        if name == "full":
+            save_vocabulary(bundle(classified, corpus), str(tmp_path / "one.json"))
+            one = json.loads((tmp_path / "one.json").read_text())
+            assert found == one and list(found["frequency"])[:3] == list(one["frequency"])[:3] == ["SAY", '"', "AI"]
+            assert sorted(vocabulary_terms(spark, str(tmp_path / "one.json")).collect()) == sorted(vocabulary_terms(spark, str(tmp_path / name)).collect())
+        else:
+            assert found["frequency"] == {} and found["equip_vocab"] == [] and vocabulary_terms(spark, str(tmp_path / name)).count() == 0

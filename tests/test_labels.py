@@ -3,7 +3,7 @@ import pytest
 
 from tagloom.config import Vocabulary
 from tagloom.functions.labels import bio_tags, label_token, label_tokens, structured
-from tagloom.operators.labelling import annotate, label_by_lookup, label_counts, lookup_table
+from tagloom.operators.labelling import annotate, annotate_by_lookup, label_by_lookup, label_counts, lookup_table
 
 SMALL = Vocabulary(
     equip=frozenset({"CHILLER", "LIFT"}), subcomp=frozenset({"GPM", "VALVE"}), point_func=frozenset({"TRIP"}), io_type=frozenset({"BI"}), vendor_tag=frozenset({"ACME"})
@@ -74,3 +74,16 @@ def test_annotate(spark):
     assert "Exchange" not in annotate(rows, SMALL)._jdf.queryExecution().executedPlan().toString()
     counts = {r.label: r.n for r in label_counts(rows.union(rows), SMALL).collect()}
     assert counts == {"EQUIP": 2, "EQUIP_ID": 2, "SUBCOMP": 2, "IO_TYPE": 2}
+
+
+def test_annotate_by_lookup_is_annotate(spark):
+    labels = ["CHILLER-3.VALVE bi", "acme LIFT lift fl Floor", None, "", "._-", "904b x Trip GPM GPM", "CHILLER-3.VALVE bi"]
+    rows = spark.createDataFrame([(i, t, "b", None) for i, t in enumerate(labels)], "point_ord long, point_label string, building_id string, x string").repartition(3)
+    terms = lookup_table(spark.createDataFrame([(c, t) for c, ts in SMALL.in_lookup_order() for t in ts], "category string, token string"))
+    want = sorted(map(str, annotate(rows, SMALL).collect()))
+    for most in (1, 3, 1000):
+        got = annotate_by_lookup(rows, terms, frequent_rows=most)
+        assert got.columns[-1] == "point_ord" and sorted(map(str, got.drop("point_ord").collect())) == want
+    plan = annotate_by_lookup(rows, terms)._jdf.queryExecution().toString()
+    assert "CHILLER" not in plan and "INSET" not in plan.upper()
+    assert annotate_by_lookup(rows.limit(0), terms).count() == 0

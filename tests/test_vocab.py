@@ -61,11 +61,14 @@ def test_scores_and_trim(spark):
     assert [r.token for r in bottom_equipment(classified).collect()] == [r[0] for r in rows[-30:]]
 
 
-def test_bundle(spark):
-    p = points(spark, [("TRANE/CRAC-4:OAT.BV alarm", b) for b in ["yard"] * 5 + ["quay"] * 6])
-    row = bundle(classify(token_stats(p)), corpus_stats(p)).withColumn("order", F.map_keys("frequency")).first()
-    assert (row.vendor_vocab, row.equip_vocab, row.subcomp_vocab, row.io_type_vocab, row.point_func_vocab) == (["TRANE"], ["CRAC"], ["OAT"], ["BV"], ["ALARM"])
-    assert row.frequency["4"] == 11 and row.order[:2] == ["TRANE", "CRAC"] and row.stats.asDict() == {"num_tokens": 6, "num_buildings": 2}
+def test_bundle_orders_and_trims(spark):
+    """Frequencies in order of first occurrence, terms in order of name, and scored terms only from their least score on."""
+    labels = [("zeta", "north"), ("DI PUMP", "north"), ("PUMP 7 zeta", "south"), *[("SPEED", b) for b in ("north", "south", None) * 4], ("DAT", "south"), ("AI", None)]
+    row = bundle(classify(token_stats(points(spark, labels))), corpus_stats(points(spark, labels))).withColumn("order", F.map_keys("frequency")).first()
+    assert row.order == ["ZETA", "DI", "PUMP", "7", "SPEED", "DAT", "AI"]
+    assert (row.frequency["SPEED"], row.frequency["ZETA"], row.stats.num_tokens, row.stats.num_buildings) == (12, 2, 7, 3)
+    assert (row.io_type_vocab, row.equip_vocab, row.vendor_vocab, row.point_func_vocab) == (["AI", "DI"], ["PUMP"], [], [])
+    assert row.subcomp_vocab == ["SPEED"]  # 12 + 2 * 3; DAT has 1 + 2 * 1 and goes
 
 
 def test_plan_has_hash_aggregates_only(spark):
