@@ -22,7 +22,6 @@ SAMPLE = 1000
 MOST_ROWS = 4000
 _STEPS, _RATE, _DECAY = 120, 0.02, 1e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
 #: The families of common language codes. Others form one family.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -41,6 +40,11 @@ def family(code: str) -> str:
     return _FAMILY.get(re.split("[-_]", code.lower())[0], "other")
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; signs for numbers (``½``, ``Ⅷ``, ``①``) are none."""
+    return any(map(str.isalpha, text))
+
+
 def chunks(text: str) -> list[str]:
     return text.lower().split()
 
@@ -83,6 +87,8 @@ def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], langs: list[str]) -> Model:
+    if not texts:
+        return Model(np.zeros((WIDTH, 0), np.float32), np.zeros(0), (), {}, ())
     codes = sorted(set(langs))
     families = tuple(sorted({family(c) for c in codes}))
     languages = {f: tuple(c for c in codes if family(c) == f) for f in families}
@@ -96,7 +102,7 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
     for a, b in pairs:
         among = np.isin(own, (a, b))
         machines.append(_machine(x[among], np.where(own[among] == a, 1.0, -1.0)))
-    stacked = np.stack(machines, axis=1) if machines else np.zeros((WIDTH + 1, 0))
+    stacked = np.stack(machines, axis=1)
     return Model((stacked[:-1] * scale[:, None]).astype(np.float32), stacked[-1], families, languages, pairs)
 
 
@@ -121,7 +127,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(m.weights, SIZES, chunks)
 
         def row(doc_id: int | None, text: str | None) -> tuple:
-            if not text or not m.families or not _LETTER(text):
+            if not text or not m.families or not has_letter(text):
                 return doc_id, UNKNOWN, 0.0
             return doc_id, *m.decide(scorer.mean(text) + m.bias)
 

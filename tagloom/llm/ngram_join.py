@@ -412,12 +412,32 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
 
     A text with fewer than five words has one shingle, all of it; one without words (null, empty) has none and is linked
-    with nothing. Rows of equal text are linked if they have a word. Of rows that repeat an id each gets the component of
-    its own text. A row with a null id gets a null component and links nothing. Extra columns are ignored. An empty table gives no rows.
+    with nothing. Rows of equal text are linked if they have a word. Texts that share an id are documents of their own, each
+    with the least id of its own component. A row with a null id gets a null component and links nothing. Extra columns
+    are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     profiles = staged(_profiles(rows), "profiles")
+    by_id = profiles.where("n is not null and doc_id is not null").groupBy("doc_id")
+    shared = staged(by_id.agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        dropped(shared)
+        return _components(rows, profiles)
+    dropped(profiles)
+    # A text under a shared id goes by a hash of both.
+    named = rows.join(shared.select("doc_id", F.lit(True).alias("several")), "doc_id", "left")
+    node = F.when(F.col("several"), F.xxhash64("doc_id", F.md5(F.coalesce("t", F.lit(""))))).otherwise(F.col("doc_id"))
+    named = named.withColumn("node", node)
+    names = staged(named.where("several").select(F.col("node").alias("doc_id"), F.col("doc_id").alias("own")).distinct(), "names")
+    apart = named.select(F.col("node").alias("doc_id"), "t")
+    found = staged(_components(apart, staged(_profiles(apart), "profiles")).join(names, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")), "found")
+    least = found.groupBy("component_id").agg(F.min("own").alias("least"))
+    return found.join(least, "component_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _components(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` where rows of one id have one set."""
+    spark = rows.sparkSession
     own = profiles.where("n is not null").select("doc_id", "n", "d1", "d2", "counts", "excess")
     seen = own.agg(F.sum(F.expr("n - ceil(0.8 * n) + 1")).alias("tokens")).first()
     often = profiles.where("n is null").groupBy("token").agg(F.sum("seen").alias("seen"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import langid, licenses, quality, toxicity
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(parts: int, held: int) -> Column:
+    """Whether the id's fold is the one that nothing is learnt from; a row without an id is in none."""
+    return F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False))
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -43,13 +48,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels_without(labels, "toxic", 4, 2)))
-    return scored.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    return scored.withColumn("held_out", held_out(4, 2)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, langid.train(docs.where(fold(F.col("doc_id"), 3) != 1)))
-    return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    found = langid.identify(docs, langid.train(docs.where(~held_out(3, 1) & F.col("doc_id").isNotNull())))
+    return found.withColumn("held_out", held_out(3, 1)
 
 
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +77,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rated = quality.rate(docs, quality.train(docs, labels_without(labels, "quality", 4, 2)))
-    return rated.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    return rated.withColumn("held_out", held_out(4, 2)
 
 
 def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

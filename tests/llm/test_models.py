@@ -80,6 +80,46 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text, letter", [("½", False), ("²", False), ("Ⅷ", False), ("①", False), ("٣ 4", False), ("\u0301", False), ("_-", False), ("ª", True), ("ʰ", True), ("字", True), ("1é", True), ("ǅ", True)])
+def test_letters(text, letter):
+    assert langid.has_letter(text) == letter
+
+
+def test_language_votes_against_brute_force(spark):
+    """Features, margins, votes and the score, worked out text by text from the model's numbers; ties of votes by margin."""
+    langs = [["de", "en", "nl", "fr", "es"][i % 5] for i in range(200)]
+    texts = [prose(x if x in SYLLABLES else "xx", 1) for x in langs]
+    docs = frame(spark, texts + texts[:3] + ["½ Ⅷ"], lang=langs + langs[:3] + ["en"])
+    model = langid.train(docs)
+    rows = sorted(langid.identify(docs, model).collect())
+    for r in rows[:203]:
+        text = (texts + texts[:3])[r.doc_id]
+        counts, words = np.zeros(langid.WIDTH), text.lower().split()
+        for w in words:
+            body = b"\x02" + w.encode() + b"\x03"
+            for size in (1, 2, 3):
+                for i in range(len(body) - size + 1):
+                    counts[zlib.crc32(body[i : i + size]) % langid.WIDTH] += 1 / len(words)
+        margins = counts @ model.weights.astype(float) + model.bias
+        ranked = sorted(zip(margins[: len(model.families)], model.families, strict=True), reverse=True)
+        group = model.languages[ranked[0][1]]
+        duels = {p: m for p, m in zip(model.pairs, margins[len(model.families) :], strict=True) if p[0] in group}
+        votes = {c: (sum((m > 0) if c == a else (-m > 0) for (a, b), m in duels.items() if c in (a, b)), sum(m if c == a else -m for (a, b), m in duels.items() if c in (a, b))) for c in group}
+        best = max(group, key=lambda c: (votes[c], c))
+        certain = min([(ranked[0][0] - ranked[1][0]) / 2] + [m if best == a else -m for (a, b), m in duels.items() if best in (a, b)])
+        assert r.lang_pred == best and r.score == pytest.approx(1 / (1 + math.exp(-4 * certain)), abs=1e-4)
+    assert rows[-1].lang_pred == "und"
+    tied = langid.Model(np.zeros((1, 6)), np.zeros(6), ("germanic",), {"germanic": ("de", "en", "nl")}, (("de", "en"), ("de", "nl"), ("en", "nl")))
+    assert tied.decide(np.array([0.0, 3.0, -1.0, 2.0]))[0] == "de"  # each has one vote: de 3 - 1, en 2 - 3, nl 1 - 2
+
+
+@pytest.mark.filterwarnings("error::RuntimeWarning")
+def test_language_without_labels(spark):
+    docs = frame(spark, ["some words", None], lang=[None, "en"])
+    model = langid.train(docs)
+    assert [(r.lang_pred, r.score) for r in langid.identify(docs, model).collect()] == [("und", 0.0)] * 2
+
+
 def test_quality(spark):
     marks = ["", "%% ", "@@## "]
     grades = [i % 3 for i in range(450)]

@@ -190,3 +190,14 @@ def test_texts_that_repeat_an_id_are_documents_of_their_own(spark):
     both = [(5, near), (5, copy), (6, copy)]  # near copies under one id: one of them stays
     first = {tuple(r) for r in without_near_copies(frame(spark, both)).collect()}
     assert len(first) == 1 and first == {tuple(r) for r in without_near_copies(frame(spark, both[::-1])).collect()}
+
+
+def test_components_of_texts_that_share_an_id(spark):
+    """Each text has the least id of its own component, whichever of its ids is less."""
+    words = [f"w{i}" for i in range(100)]
+    a, near_a, b = " ".join(words), " ".join([*words, "z"]), "m n o p q r s"
+    for x, y in ((7, 9), (9, 7)):
+        rows = [(3, near_a), (x, a), (x, b), (y, b), (x, a), (5, None), (5, "h i j k l"), (None, b), (11, "one two")]
+        found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect())
+        want = [(3, 97, 3), (x, 96, 3), (x, 3, 7), (y, 3, 7), (x, 96, 3), (5, 0, 5), (5, 1, 5), (None, 3, None), (11, 1, 11)]
+        assert found == Counter(want), (x, y)
