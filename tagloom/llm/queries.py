@@ -48,13 +48,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels_without(labels, "toxic", 4, 2)))
-    return scored.withColumn("held_out", held_out(4, 2)
+    return scored.withColumn("held_out", held_out(4, 2))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs.where(~held_out(3, 1) & F.col("doc_id").isNotNull())))
-    return found.withColumn("held_out", held_out(3, 1)
+    return found.withColumn("held_out", held_out(3, 1))
 
 
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rated = quality.rate(docs, quality.train(docs, labels_without(labels, "quality", 4, 2)))
-    return rated.withColumn("held_out", held_out(4, 2)
+    return rated.withColumn("held_out", held_out(4, 2))
 
 
 def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
