@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -47,12 +48,12 @@ def _set(names: str) -> frozenset[str]:
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style textarea title xmp iframe noembed noframes")
 NEVER_SHOWN = _set(
-    "head script style template noscript title meta link iframe noembed noframes datalist audio video canvas object desc metadata defs annotation annotation-xml"
+    "head script style template noscript title meta link iframe noembed noframes datalist audio video canvas object desc metadata defs annotation annotation-xml rp"
 )
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table hr fieldset details dialog menu dir")
 BLOCKS = SPACED | _set(
     "address article aside body center dd div dt fieldset figcaption footer form header hgroup html legend li main nav option "
-    "optgroup search section summary tr td th thead tbody tfoot caption"
+    "optgroup plaintext search section summary tr td th thead tbody tfoot caption"
 )
 ENDS_P = BLOCKS - _set("body html option optgroup td th tr thead tbody tfoot caption")
 #: An opening tag closes these, up to the elements that bound the search.
@@ -83,9 +84,8 @@ _PART_HOLDERS = _set("table thead tbody tfoot tr colgroup")
 _OWN_CONTENT = _set("template noscript svg math")
 #: If the innermost of these is a table, the place is in a table but in no cell.
 _TABLE_MODE = _OWN_CONTENT | _set("table td th caption")
-_NESTED_TABLES = 8
-#: Columns of indentation; text at any depth is kept, but not pushed further to the right.
-_MOST_INDENT = 1024
+#: Columns of indentation by default; text at any depth is kept, but not pushed further to the right.
+MOST_INDENT = 1024
 
 
 @dataclass(slots=True)
@@ -172,7 +172,10 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 cut(max(i, innermost(_PARTS[tag])) + 1 if tag in _PARTS else i)
         node = Node(tag, _attributes(m[3]) if m[3].strip() else {})
         put(node)
-        if tag in RAW:
+        if tag == "plaintext":
+            node.children.append(page[at:])
+            at = len(page)
+        elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             body = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
@@ -320,7 +323,8 @@ def seen(node: Node, path: list[Node], rules: Rules, visible: bool) -> tuple[boo
 class _Page:
     """Lines being written: text collects in the current line, breaks are remembered until more text comes."""
 
-    def __init__(self) -> None:
+    def __init__(self, most_indent: int) -> None:
+        self.most_indent = most_indent
         self.lines: list[str] = []
         self.text = ""
         self.gap = 0
@@ -333,7 +337,7 @@ class _Page:
             for i, part in enumerate(parts):
                 if i:
                     self.line()
-                    self.lines.append(" " * min(self.indent, _MOST_INDENT)) if not part and i < len(parts) - 1 else None
+                    self.lines.append(" " * min(self.indent, self.most_indent)) if not part and i < len(parts) - 1 else None
                 self.text += part
             return
         text = _SPACE.sub(" ", text)
@@ -347,7 +351,7 @@ class _Page:
         if self.lines and self.gap > 1:
             self.lines.append("")
         self.gap = 0
-        head = " " * (min(self.indent, _MOST_INDENT) - len(self.marker)) + self.marker
+        head = " " * (min(self.indent, self.most_indent) - len(self.marker)) + self.marker
         self.marker = ""
         self.lines.append(head + body)
 
@@ -388,12 +392,12 @@ def _cells(table: Node, path: list[Node], rules: Rules, visible: bool) -> tuple[
     return captions, [r for r in rows if r]
 
 
-def _table(table: Node, path: list[Node], page: _Page, rules: Rules, visible: bool, depth: int) -> None:
+def _table(table: Node, path: list[Node], page: _Page, rules: Rules, visible: bool) -> _Step:
     """Cells padded to columns; one over several columns or rows takes their places, and its text stands in the first."""
     captions, rows = _cells(table, path, rules, visible)
     for c, above, shows in captions:
         page.block(False)
-        page.add(_rendered(c, above, rules, shows, depth + 1), keep=True)
+        page.add((yield _rendered(c, above, rules, page.most_indent, shows)), keep=True)
     widths: list[int] = []
     placed: list[list[tuple[int, int, list[str]]]] = []  # of each row: first column, columns, lines
     taken: dict[int, int] = {}  # rows that a column is still held for
@@ -405,7 +409,7 @@ def _table(table: Node, path: list[Node], page: _Page, rules: Rules, visible: bo
             while at in taken:
                 at += 1
             columns, down = _span(c, "colspan", 1000), _span(c, "rowspan", len(rows))
-            lines = _rendered(c, above, rules, shows, depth + 1).split("\n")
+            lines = (yield _rendered(c, above, rules, page.most_indent, shows)).split("\n")
             line.append((at, columns, lines))
             need = max(map(len, lines))
             if columns == 1:
@@ -439,8 +443,31 @@ def _table(table: Node, path: list[Node], page: _Page, rules: Rules, visible: bo
                 page.text = text
 
 
-def _rendered(root: Node, path: list[Node], rules: Rules, visible: bool = True, depth: int = 0) -> str:
-    page = _Page()
+def _shown(node: Node) -> list[Node | str]:
+    """The children of an element; of details that are not open only their first summary."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
+
+
+#: Rendering goes on where it was when the text that it has yielded is rendered, so tables nest to any depth.
+_Step = Generator["_Step", str | None, str | None]
+
+
+def _finished(step: _Step) -> str | None:
+    steps, value = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(value))
+            value = None
+        except StopIteration as done:
+            steps.pop()
+            value = done.value
+    return value
+
+
+def _rendered(root: Node, path: list[Node], rules: Rules, most_indent: int, visible: bool = True) -> _Step:
+    page = _Page(most_indent)
     counters: list[int | None] = []
     plain = 0
     above = [*path, root]
@@ -456,7 +483,7 @@ def _rendered(root: Node, path: list[Node], rules: Rules, visible: bool = True,
             page.block(node.tag in SPACED and not (node.tag in ("ul", "ol") and counters and len(counters) > 1))
             if node.tag in ("ul", "ol", "menu", "dir"):
                 counters.pop()
-            plain -= node.tag == "pre"
+            plain -= node.tag in ("pre", "plaintext")
             page.indent, page.marker = before, ""
             continue
         if isinstance(item, str):
@@ -473,9 +500,9 @@ def _rendered(root: Node, path: list[Node], rules: Rules, visible: bool = True,
             else:
                 page.gap = 2
             continue
-        if tag == "table" and depth < _NESTED_TABLES:
+        if tag == "table":
             page.block(True)
-            _table(item, above, page, rules, own, depth)
+            yield _table(item, above, page, rules, own)
             page.block(True)
             continue
         if tag in ("td", "th") and not page.text.endswith(" "):
@@ -485,7 +512,7 @@ def _rendered(root: Node, path: list[Node], rules: Rules, visible: bool = True,
                 page.add(item.attributes.get("value", ""))
             above.append(item)
             waiting.append(("left", None, own))
-            waiting += [("open", c, own) for c in reversed(item.children)]
+            waiting += [("open", c, own) for c in reversed(_shown(item))]
             continue
         page.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
         before = page.indent
@@ -501,23 +528,23 @@ def _rendered(root: Node, path: list[Node], rules: Rules, visible: bool = True,
             page.indent += len(page.marker)
         elif tag in ("dd", "blockquote"):
             page.indent += 2
-        plain += tag == "pre"
+        plain += tag in ("pre", "plaintext")
         above.append(item)
         waiting.append(("close", (item, before), own))
-        waiting += [("open", c, own) for c in reversed(item.children)]
+        waiting += [("open", c, own) for c in reversed(_shown(item))]
     page.line()
     return "\n".join(page.lines)
 
 
-def visible_text(page: str | None) -> str:
+def visible_text(page: str | None, most_indent: int = MOST_INDENT) -> str:
     """All visible text of a page, laid out; empty for null."""
     if not page:
         return ""
     root, styles = parse(page)
-    return _rendered(root, [], Rules(visibility_rules(styles)))
+    return _finished(_rendered(root, [], Rules(visibility_rules(styles)), most_indent))
 
 
-def extract_pages(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, *, page_id: str = "page_id", html_column: str = "html", most_indent: int = MOST_INDENT) -> DataFrame:
     """``page_id``, ``text`` and ``n_chars`` of every row.
 
     Null and empty pages give an empty text. Repeated rows give repeated rows. Extra columns are ignored. An empty table
@@ -526,7 +553,7 @@ def extract_pages(pages: DataFrame, *, page_id: str = "page_id", html_column: st
 
     def start():
         def row(key: int | None, page: str | None) -> tuple:
-            text = visible_text(page)
+            text = visible_text(page, most_indent)
             return key, text, len(text)
 
         return row

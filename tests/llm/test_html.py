@@ -145,6 +145,16 @@ SEEN = {
 }
 
 
+SEEN |= {
+    "<details>a<summary>s</summary>b<p>c</details>d": "s\n\nd",
+    "<details open>a<summary>s</summary>b</details>d": "a\ns\nb\n\nd",
+    "<details><p>a</details>d": "d",
+    "<details><details open><summary>in</summary>x</details><summary>s</summary><summary>t</details>": "s",
+    "<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>": "kr",
+    "a<plaintext>b</plaintext> <b>c\n d": "a\nb</plaintext> <b>c\n d",
+}
+
+
 @pytest.mark.parametrize("page", SEEN)
 def test_cascade_selectors_and_spans(page):
     assert visible_text(page).strip() == SEEN[page].strip()
@@ -174,3 +184,49 @@ def test_words_show_where_their_ancestors_do(data):
     grow(4, True, True)
     text = visible_text("<style>div.gone,b.gone,section.gone{display:none}.ghost{visibility:hidden}</style>" + "".join(page))
     assert [f"w{i}w" in text for i in range(len(words))] == words
+
+
+def test_tables_in_tables_are_aligned_at_any_depth():
+    text, page = "a  | b\ncc | d", "<table><tr><td>a<td>b<tr><td>cc<td>d</table>"
+    for depth in range(40):
+        page = f"<table><tr><td>{page}<td>{depth}</table>"
+        first, *rest = text.split("\n")
+        width = max(map(len, [first, *rest]))
+        text = "\n".join([f"{first.ljust(width)} | {depth}", *rest])
+        assert visible_text(page) == text, depth
+    assert [visible_text("<blockquote>" * 9 + "x", most_indent=n) for n in (4, 1024)] == [" " * 4 + "x", " " * 18 + "x"]
+
+
+def test_a_page_of_megabytes():
+    rows = "".join(f"<tr><td>{i}<td>{'é' * (i % 50)}<td><p>x<p>y</tr>" for i in range(20_000))
+    text = visible_text(f"<div>{'word ' * 400_000}</div><table>{rows}</table>")
+    assert text.count("word") == 400_000 and text.count("y") == 20_000
+
+
+NAMES = st.text("abcde", min_size=1, max_size=9)
+LISTS = st.recursive(NAMES, lambda x: st.tuples(st.booleans(), st.lists(st.tuples(NAMES, st.one_of(st.none(), x.filter(lambda v: not isinstance(v, str)))), min_size=1, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(LISTS.filter(lambda x: not isinstance(x, str)))
+def test_lists_against_a_plain_renderer(tree):
+    def page(t):
+        tag = "ol" if t[0] else "ul"
+        return f"<{tag}>" + "".join(f"<li>{name}{page(inner) if inner else ''}</li>" for name, inner in t[1]) + f"</{tag}>"
+
+    def lines(t, indent):
+        for i, (name, inner) in enumerate(t[1]):
+            marker = f"{i + 1}. " if t[0] else "- "
+            yield " " * indent + marker + name
+            if inner:
+                yield from lines(inner, indent + len(marker))
+
+    assert visible_text(page(tree)) == "\n".join(lines(tree, 0))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(NAMES, min_size=n, max_size=n), min_size=1, max_size=6)))
+def test_tables_against_a_plain_renderer(rows):
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+    widths = [max(len(r[i]) for r in rows) for i in range(len(rows[0]))]
+    assert visible_text(page) == "\n".join(" | ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)
