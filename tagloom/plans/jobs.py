@@ -11,7 +11,7 @@ from tagloom.config import ExtractConfig, VocabConfig
 from tagloom.operators.extract import POINT_COLUMNS, load_points
 from tagloom.operators.labelling import LITERAL_TERMS, annotate, annotate_by_lookup, lookup_table
 from tagloom.operators.sample import ordered_samples, sample_one_per_building
-from tagloom.operators.stats import corpus_of_counts, stats_of_counts, token_counts_by_building
+from tagloom.operators.stats import corpus_of_supports, stats_of_supports, token_supports
 from tagloom.operators.vocab import bottom_equipment, classify, document_lines
 from tagloom.sources.jsonl import read_points, read_vocabulary, vocabulary_terms, with_places, write_document, write_json, write_lines
 from tagloom.sources.scratch import dropped, staged
@@ -65,11 +65,11 @@ def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractCo
 def run_vocab(spark: SparkSession, points_path: str, out: str, config: VocabConfig = VocabConfig()) -> JobReport:
     """Point records to a vocabulary file. The report lists the bottom of the equipment ranking.
 
-    The corpus is read once: its counts by token and building are written to the shared folder for all that follows.
+    The corpus is read once: its counts by token and buildings are written to the shared folder for all that follows.
     """
-    counts = staged(token_counts_by_building(in_corpus_order(spark, points_path)), "counts")
-    classified = staged(classify(stats_of_counts(counts), config), "classified")
-    corpus = corpus_of_counts(counts)
+    counts = staged(token_supports(in_corpus_order(spark, points_path)), "counts")
+    classified = staged(classify(stats_of_supports(counts), config), "classified")
+    corpus = corpus_of_supports(counts)
     write_document(document_lines(classified, corpus, config), out)
     totals = corpus.first()
     bottom = spark.createDataFrame(bottom_equipment(classified, config).collect(), classified.schema)  # as many as the parameter says

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tagloom.config import VocabConfig
-from tagloom.operators.stats import corpus_stats, token_counts_by_building, token_stats
+from tagloom.operators.stats import corpus_stats, numbered_buildings, token_counts_by_building, token_stats
 from tagloom.operators.vocab import bottom_equipment, bundle, classify, is_io_type, is_vendor, top_equipment, trim
 
 
@@ -28,6 +28,21 @@ def test_token_stats(spark):
     assert token_stats(p.limit(0)).count() == 0
 
 
+def test_supports_over_many_buildings(spark):
+    rows = [(f"AHU {i % 7}" if i % 3 else "vav x", None if i % 150 == 149 else f"b{i % 150}") for i in range(900)]
+    p = points(spark, rows).repartition(5)
+    numbers = sorted(r.building for r in numbered_buildings(p).collect())
+    assert numbers == list(range(150))
+    want = {}
+    for label, b in rows:
+        for t in label.upper().split():
+            want.setdefault(t, set()).add(b)
+    assert {r.token: r.buildings for r in token_stats(p).collect()} == {t: len(b) for t, b in want.items()}
+    assert {r.token: r.n for r in token_counts_by_building(p).groupBy("token").agg(F.count("*").alias("n")).collect()} == {t: len(b) for t, b in want.items()}
+    assert corpus_stats(p).first().asDict() == {"num_tokens": len(want), "num_buildings": 150}
+    assert corpus_stats(p.limit(0)).first().asDict() == {"num_tokens": 0, "num_buildings": 0}
+
+
 def test_io_and_vendor(spark):
     rows = spark.createDataFrame([(x,) for x in "UO BV IO TRANE N2 LONNET PLANETNET CARINET GRANITE".split()], "t string")
     got = {r.t: (r.io, r.v) for r in rows.select("t", is_io_type(F.col("t")).alias("io"), is_vendor(F.col("t")).alias("v")).collect()}
