@@ -1,3 +1,4 @@
+import base64
 import hashlib
 
 import numpy as np
@@ -39,6 +40,39 @@ def test_likeness_is_near_jaccard():
     assert np.abs(errors).max() < 0.15 and abs(np.mean(errors)) < 0.02
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 300, 5000])
+@pytest.mark.parametrize(("bins", "bits"), [(512, 4), (64, 2), (8, 1)])
+def test_sketch_against_bin_by_bin(n, bins, bits):
+    """Bins filled one hash at a time; an empty bin looks through its own fixed order of all bins, drawn as the module states."""
+    hashes = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
+    least = {}
+    for h in hashes.tolist():
+        place, value = h % bins, h // bins
+        least[place] = min(value, least.get(place, value))
+    draws = np.random.default_rng(20_240_229).random((bins, bins)).tolist()
+    want = []
+    for i in range(bins):
+        order = sorted(range(bins), key=lambda b: draws[i][b])
+        assert sorted(order) == list(range(bins))
+        source = i if i in least else next(b for b in order if b in least)
+        want.append(least[source] % 2**bits)
+    got = sketch(hashes, bins, bits)
+    assert got.tolist() == want
+    text_ = "".join(f"{x:0{bits}b}" for x in want)
+    assert base64.b64decode(packed(got, bits)) == bytes(int(text_[k : k + 8], 2) for k in range(0, len(text_), 8))
+
+
+def test_densified_bins_agree_as_often_as_the_sets_do():
+    """Few shingles in many bins: agreement of the sketches, without the bias, is the sets' similarity on average."""
+    draw, found, real = np.random.default_rng(12), [], []
+    for _ in range(300):
+        pool = draw.integers(0, 1 << 64, 60, dtype=np.uint64, endpoint=False)
+        a, b = np.sort(pool[:50]), np.sort(pool[10:])
+        found.append((np.mean(sketch(a) == sketch(b)) - 1 / 16) / (1 - 1 / 16))
+        real.append(40 / 60)
+    assert abs(np.mean(found) - np.mean(real)) < 0.02
+
+
 def test_packing_round_trip():
     low = sketch(shingle_hashes(text(1, 100)))
     assert (unpacked(packed(low)) == low).all() and packed(None) == "" and unpacked("") is None
