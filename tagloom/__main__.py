@@ -27,14 +27,19 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def run(spark: SparkSession, arguments: list[str] | None = None) -> JobReport:
+def job(spark: SparkSession, arguments: list[str] | None = None) -> JobReport:
+    """The job that the arguments name."""
     a = parser().parse_args(arguments)
     if a.command == "extract":
-        report = run_extract(spark, a.input, a.points, sample_out=a.sample, pattern=a.pattern)
-    elif a.command == "vocab":
-        report = run_vocab(spark, a.points, a.vocabulary)
-    else:
-        report = run_label(spark, a.points, a.vocabulary, a.labelled)
+        return run_extract(spark, a.input, a.points, sample_out=a.sample, pattern=a.pattern)
+    if a.command == "vocab":
+        return run_vocab(spark, a.points, a.vocabulary)
+    return run_label(spark, a.points, a.vocabulary, a.labelled)
+
+
+def run(spark: SparkSession, arguments: list[str] | None = None) -> JobReport:
+    """The same, and its summary and details printed."""
+    report = job(spark, arguments)
     print(report.summary())
     if report.details is not None:
         report.details.show(100, truncate=False)

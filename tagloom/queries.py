@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.config import ExtractConfig, VocabConfig, Vocabulary
-from tagloom.__main__ import run as run_command
+from tagloom.__main__ import job as run_job
 from tagloom.functions.labels import FIELDS, bio_tags, label_tokens, structured
 from tagloom.functions.text import building_id, is_point_like, tokenize
 from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
@@ -622,7 +622,7 @@ def _job_folders(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, JobRe
         "vocab": [*points, *vocabulary],
         "label": [*points, *vocabulary, "--labelled", f"{base}/labelled"],
     }
-    return base, {job: run_command(spark, [job, *arguments]) for job, arguments in commands.items()}
+    return base, {job: run_job(spark, [job, *arguments]) for job, arguments in commands.items()}
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
