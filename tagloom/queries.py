@@ -503,16 +503,17 @@ _FULL = ExtractConfig(exact_sample=False)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for file, (name, key, columns, header) in _CELLS.items():
+    """One scan of each table, whatever the files made of it, and the headers."""
+    schema = "source_file string, row_no long, col_no int, cell string"
+    out = spark.createDataFrame([(f, 0, i, c) for f, (*_, header) in _CELLS.items() for i, c in enumerate(header or ())], schema)
+    for name, key in sorted({(name, key) for name, key, *_ in _CELLS.values()}):
         rows = table(spark, sf_dir, name)
-        parts = [F.struct(F.lit(i).alias("col_no"), F.expr(c).cast("string").alias("cell")) for i, c in enumerate(columns)]
         least = rows.agg(F.min(key)).first()[0]
-        one = rows.select(F.lit(file).alias("source_file"), (F.col(key) - least + int(header is not None)).cast("int").alias("row_no"), F.inline(F.array(*parts)))
-        if header:
-            top = spark.createDataFrame([(file, 0, i, c) for i, c in enumerate(header)], "source_file string, row_no int, col_no int, cell string")
-            one = one.unionByName(top)
-        out = one if out is None else out.unionByName(one)
+        parts = [
+            F.struct(F.lit(file).alias("source_file"), (F.col(key) - least + int(header is not None)).cast("long").alias("row_no"), F.lit(i).alias("col_no"), F.expr(c).cast("string").alias("cell"))
+            for file, (own, _, columns, header) in _CELLS.items() if own == name for i, c in enumerate(columns)
+        ]
+        out = out.unionByName(rows.select(F.inline(F.array(*parts))))
     return out
 
 
