@@ -350,4 +350,5 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
     values = _valued(blocks, pair_counts(blocks)).withColumn("is_doc", F.lit(False))
     own = blocks.where(F.col("kind") == _DOCUMENT).select("block", "place", "doc_id", *_COUNTS, "groups_sha256", "groups", "times").withColumn("is_doc", F.lit(True))
     both = values.unionByName(own, allowMissingColumns=True)
-    return _summed(both.repartition("block").sortWithinPartitions("block", "is_doc", "place"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.where("place = 0").count())  # about a block each
+    return _summed(both.repartition(tasks, "block").sortWithinPartitions("block", "is_doc", "place"))
