@@ -87,3 +87,11 @@ def test_annotate_by_lookup_is_annotate(spark):
     plan = annotate_by_lookup(rows, terms)._jdf.queryExecution().toString()
     assert "CHILLER" not in plan and "INSET" not in plan.upper()
     assert annotate_by_lookup(rows.limit(0), terms).count() == 0
+
+
+def test_a_million_terms(spark):
+    terms = spark.range(1_000_000).selectExpr("'VENDOR_TAG' as category", "cast(id * 3 as string) as token").unionByName(spark.range(1).selectExpr("'EQUIP'", "'UNIT'").toDF("category", "token"))
+    rows = spark.range(500).selectExpr("id as point_ord", "concat('unit ', id * 5000, ' x') as point_label", "'b' as building_id")
+    found = {r.point_ord: r.token_labels for r in annotate_by_lookup(rows, lookup_table(terms), frequent_rows=10).collect()}
+    other = {1: "EQUIP_ID", 2: "EQUIP_ID", 3: "ZONE", 4: "ZONE"}
+    assert found == {i: ["EQUIP", "VENDOR_TAG" if i * 5000 % 3 == 0 else other.get(len(str(i * 5000)), "EQUIP_ID"), "MISC"] for i in range(500)}
