@@ -14,8 +14,9 @@ Work does not grow with the square of a group of copies. Equal sets are one node
 tree of one of its blocks, and the tree proposes as many pairs as it has points: in each leaf the point nearest to the
 leaf's mean with the others, in each inner node the two of its halves. What is linked becomes a cluster, and rounds go on,
 over blocks that hold several clusters, while they find much. Then the trees of all blocks that still hold several
-clusters are joined with themselves by the bound, but for nodes of one cluster. Every pair that could still connect two
-clusters is tried, so the components are exact.
+clusters are joined with themselves by the bound, but for nodes of one cluster: first for the nearest pair of each two
+clusters, so that what stands beside a large cluster meets one of its points and not all of them, then for all that
+still could connect two clusters, so the components are exact. A pair that shares many blocks is proposed by one of them.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ LEAF = 32
 #: Rounds go on while the links that one finds are at least such a share of the documents that took part.
 FRUITFUL = 0.05
 _PARTNERS = 1000
+#: Orders of blocks, each by the name's bits turned by a constant; a document knows its first open block in each.
+_HOMES = np.array([i * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(1, 9)], np.uint64).view(np.int64)
 
 
 def linked(overlap: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -75,8 +78,9 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
 class CountTree:
     """Points bulk-loaded into a binary R-tree by halving along the widest coordinate."""
 
-    def __init__(self, counts: np.ndarray, excess: np.ndarray, sizes: np.ndarray, clusters: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, excess: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, homes: np.ndarray | None = None, block: int = 0) -> None:
         self.counts, self.excess, self.sizes, self.clusters = counts, excess, sizes, clusters
+        self.homes, self.here = homes, block ^ _HOMES
         self.nodes: list[tuple] = []
         self._build(np.arange(len(sizes)))
 
@@ -100,8 +104,37 @@ class CountTree:
 
     def may_link(self, x: int | np.ndarray, other: CountTree, y: np.ndarray) -> np.ndarray:
         """Whether the bound leaves the pairs of points."""
-        most = np.minimum(self.counts[x], other.counts[y]).sum(axis=-1, dtype=np.int64) + np.minimum(self.excess[x], other.excess[y])
-        return linked(most, self.sizes[x], other.sizes[y])
+        return linked(self.bound(x, other, y), self.sizes[x], other.sizes[y])
+
+    def bound(self, x: int | np.ndarray, other: CountTree, y: np.ndarray) -> np.ndarray:
+        """What the pairs of points share at most."""
+        return np.minimum(self.counts[x], other.counts[y]).sum(axis=-1, dtype=np.int64) + np.minimum(self.excess[x], other.excess[y])
+
+    def nearest(self, other: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the pairs that :func:`tree_pairs` finds, for each two clusters the one of the highest bound."""
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for x, y in tree_pairs(self, other):
+            own, theirs = int(self.clusters[x[0]]), other.clusters[y]
+            share = self.bound(x[0], other, y) / (self.sizes[x[0]] + other.sizes[y])
+            order = np.lexsort((share, theirs))
+            for k in order[np.append(theirs[order][1:] != theirs[order][:-1], True)].tolist():
+                both = min(own, int(theirs[k])), max(own, int(theirs[k]))
+                if both not in best or share[k] > best[both][0]:
+                    best[both] = float(share[k]), int(x[0]), int(y[k])
+            if len(best) >= 200_000:
+                yield tuple(np.array([p[i] for p in best.values()]) for i in (1, 2))
+                best.clear()
+        if best:
+            yield tuple(np.array([p[i] for p in best.values()]) for i in (1, 2))
+
+    def is_home(self, x: int, other: CountTree, y: np.ndarray) -> np.ndarray:
+        """Whether this block is the one of the blocks of both points that proposes them; several may if they agree in no order.
+
+        Two documents with the same first block in an order are both in it, so all their other blocks can leave them out.
+        """
+        same = other.homes[y] == self.homes[x]
+        first = same.argmax(axis=1)
+        return ~same.any(axis=1) | (self.homes[x][first] == self.here[first])
 
     def spanning(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs, fewer than points, that would connect all points: those of different clusters that the bound leaves."""
@@ -147,6 +180,8 @@ def tree_pairs(left: CountTree, right: CountTree) -> Iterator[tuple[np.ndarray,
             for n, x in enumerate(ids_i):
                 y = ids_j[n + 1 :] if own else ids_j
                 y = y[right.clusters[y] != left.clusters[x]]
+                if len(y) and left.homes is not None:
+                    y = y[left.is_home(x, right, y)]
                 if len(y):
                     y = y[left.may_link(x, right, y)]
                     if len(y):
@@ -335,16 +370,32 @@ def _cells(placed: DataFrame, several: DataFrame) -> DataFrame:
     )
 
 
-def _tree_pairs(cells: DataFrame, points: DataFrame, tasks: int, spanning: bool) -> DataFrame:
-    """Pairs ``a < b`` of different clusters in one block that the bound leaves: those that span its tree, or all."""
+def _homes(placed: DataFrame, several: DataFrame) -> DataFrame:
+    """``doc_id`` and its first open block in each order."""
+    least = [F.min(F.col("block").bitwiseXOR(F.lit(h))).alias(f"home{k}") for k, h in enumerate(_HOMES.tolist())]
+    return placed.join(several.select("block"), "block", "left_semi").groupBy("doc_id").agg(*least)
+
+
+def _tree_pairs(cells: DataFrame, points: DataFrame, tasks: int, which: str) -> DataFrame:
+    """Pairs ``a < b`` of different clusters in one block that the bound leaves: ``spanning`` its tree, ``nearest`` ones of each two clusters, or ``all``.
+
+    Of the blocks that two documents share one proposes the pair, but for ``spanning``; ``points`` then have their homes.
+    """
+    spanning = which == "spanning"
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    wanted = cells.join(points, "doc_id").select("block", "i", "j", "part", "doc_id", "n", "cluster", "excess", "counts")
+    known = [] if spanning else [f"home{k}" for k in range(len(_HOMES))]
+    wanted = cells.join(points, "doc_id").select("block", "i", "j", "part", "doc_id", "n", "cluster", "excess", "counts", *known)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[*(c.to_numpy() for c in b.columns[:8]), np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, GROUPS)] for b in batches if b.num_rows]
+        got = [
+            [*(c.to_numpy() for c in b.columns[:8]), np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(-1, GROUPS), *(c.to_numpy() for c in b.columns[9:])]
+            for b in batches
+            if b.num_rows
+        ]
         if not got:
             return
-        *columns, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+        whole = [np.concatenate(x) for x in zip(*got, strict=True)]
+        columns, counts, homes = whole[:8], whole[8], None if spanning else np.stack(whole[9:], axis=1)
         got.clear()
         order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
         block, i, j, part, doc, n, cluster, excess = (x[order] for x in columns)
@@ -354,7 +405,7 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, tasks: int, spanning: bool)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=arrow)
 
         def tree(s: int, e: int) -> CountTree:
-            return CountTree(counts[order[s:e]], excess[s:e], n[s:e], cluster[s:e])
+            return CountTree(counts[order[s:e]], excess[s:e], n[s:e], cluster[s:e], None if spanning else homes[order[s:e]], block[s])
 
         starts = _starts(block, i, j)
         for s, e in zip(starts, np.append(starts[1:], len(block)), strict=True):
@@ -366,7 +417,7 @@ def _tree_pairs(cells: DataFrame, points: DataFrame, tasks: int, spanning: bool)
             right = tree(cut, e)
             left = right if cut == s else tree(s, cut)
             base = cut if left is right else s
-            for x, y in [right.spanning()] if spanning else tree_pairs(left, right):
+            for x, y in [right.spanning()] if spanning else left.nearest(right) if which == "nearest" else tree_pairs(left, right):
                 found.update((min(p, q), max(p, q)) for p, q in zip(doc[base + x].tolist(), doc[cut + y].tolist(), strict=True) if p != q)
                 if len(found) >= 200_000:
                     yield batch()
@@ -466,7 +517,7 @@ def _components(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     while True:
         placed, several = _open_blocks(shared, links)
         chosen = staged(_one_block(placed, several, turn), "one-block")
-        pairs = _tree_pairs(chosen, points, tasks, True).distinct()
+        pairs = _tree_pairs(chosen, points, tasks, "spanning").distinct()
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "spanning-pairs")
         more = staged(_links(rows, pairs, tasks), "spanning-links")
         tried = pairs if tried is None else tried.union(pairs)
@@ -474,12 +525,15 @@ def _components(rows: DataFrame, profiles: DataFrame) -> DataFrame:
         turn += 1
         if more.count() <= FRUITFUL * chosen.count():
             break
-    placed, several = _open_blocks(shared, links)
-    left = _tree_pairs(_cells(placed, several), points, tasks, False).distinct().join(tried, ["a", "b"], "left_anti")
-    left = staged(left, "tree-pairs")
-    more = staged(_links(rows, left, tasks), "tree-links")
-    found = staged(components(links.union(more)), "components")
-    dropped(shared, doubles, placed, several, left, more)
+    for which in ("nearest", "all"):
+        placed, several = _open_blocks(shared, links)
+        homes = staged(_homes(placed, several), "homes")
+        pairs = _tree_pairs(_cells(placed, several), points.join(homes, "doc_id"), tasks, which).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "tree-pairs")
+        more = staged(_links(rows, pairs, tasks), "tree-links")
+        tried, links = tried.union(pairs), links.union(more)
+    found = staged(components(links), "components")
+    dropped(shared, doubles, placed, several, homes, pairs, more)
     return (
         nodes.join(found.select("node", "component"), "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

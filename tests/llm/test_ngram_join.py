@@ -201,3 +201,27 @@ def test_components_of_texts_that_share_an_id(spark):
         found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect())
         want = [(3, 97, 3), (x, 96, 3), (x, 3, 7), (y, 3, 7), (x, 96, 3), (5, 0, 5), (5, 1, 5), (None, 3, None), (11, 1, 11)]
         assert found == Counter(want), (x, y)
+
+
+def test_pairs_beside_a_large_cluster_grow_with_its_size(spark, monkeypatch):
+    """What did not meet the cluster's middle meets its nearest point, in one of the blocks that both share."""
+    made = []
+    real = ngram_join._tree_pairs
+
+    def counted(*args):
+        found = real(*args)
+        if args[-1] not in (True, "spanning"):
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_tree_pairs", counted)
+    draw = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(300):
+        copy = list(base)
+        for at in draw.choice(300, int(draw.integers(1, 4)) if k % 10 else 5, replace=False):
+            copy[at] = f"e{draw.integers(10**9)}"
+        rows.append((k, " ".join(copy)))
+    assert result(frame(spark, rows)) == brute(rows)
+    assert sum(made) <= 2 * len(rows)
