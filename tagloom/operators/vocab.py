@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.config import VocabConfig
 from tagloom.functions.text import is_upper
 from tagloom.sources.jsonl import CATEGORY_LISTS
+from tagloom.sources.scratch import staged
 
 
 def is_io_type(token: Column, config: VocabConfig = VocabConfig()) -> Column:
@@ -129,7 +130,7 @@ def document_lines(classified: DataFrame, corpus: DataFrame, config: VocabConfig
     first entry of each section, which has no comma before it, and the two counts pass through the driver.
     """
     spark = classified.sparkSession
-    kept = trim(classified, config).select("category", "token")
+    kept = staged(trim(classified, config).select("category", "token"), "kept")
     text = lambda x: F.expr(f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
     least = classified.agg(F.min(F.struct("first_ord", "token")).alias("x")).first().x
     leasts = {r.category: r.t for r in kept.groupBy("category").agg(F.min("token").alias("t")).collect()}

@@ -15,13 +15,13 @@ from tagloom.functions.text import building_id, is_point_like, tokenize
 from tagloom.operators.extract import choose_columns, column_scores, detect_headers, load_points, points_from_cells
 from tagloom.operators.labelling import annotate, annotate_by_lookup, label_by_lookup, label_counts, lookup_table
 from tagloom.operators.sample import ordered_samples, sample_one_per_building, sample_positions
-from tagloom.operators.stats import corpus_stats, explode_tokens, token_counts_by_building, token_stats
+from tagloom.operators.stats import corpus_of_supports, corpus_stats, explode_tokens, stats_of_supports, token_counts_by_building, token_stats, token_supports
 from tagloom.operators.vocab import bottom_equipment, bundle, classify, document_lines, is_io_type, is_vendor, passes_thresholds, top_equipment, trim, vocabulary_rows
 from tagloom.plans.jobs import JobReport, in_corpus_order, job_summary, run_extract
 from tagloom.sources.jsonl import (
     CATEGORY_LISTS, numbered_lines, read_points, read_vocabulary, vocabulary_terms, write_document, write_json, write_lines, write_vocabulary,
 )
-from tagloom.sources.scratch import scratch
+from tagloom.sources.scratch import scratch, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -417,6 +417,12 @@ def _flat_bundle(one: DataFrame) -> DataFrame:
     return one.select(F.array_join(entries, "|").alias("frequency"), *(F.array_join(c, "|").alias(c) for c in lists), "stats.num_tokens", "stats.num_buildings")
 
 
+def _counted(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Classified tokens and the corpus's counts, written once as in the vocabulary job: labels are tokenized once, whatever reads them."""
+    counts = staged(token_supports(points(spark, sf_dir, source)), "counts")
+    return staged(classify(stats_of_supports(counts), CONFIG), "classified"), corpus_of_supports(counts)
+
+
 def _bundle(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return bundle(_classified(spark, sf_dir, source), corpus_stats(points(spark, sf_dir, source)), CONFIG)
 
@@ -449,7 +455,7 @@ def _vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _document(spark: SparkSession, sf_dir: str, source: str) -> str:
     """The vocabulary as a document of many parts."""
     path = scratch(spark, "document")
-    write_document(document_lines(_classified(spark, sf_dir, source), corpus_stats(points(spark, sf_dir, source)), CONFIG), path)
+    write_document(document_lines(*_counted(spark, sf_dir, source), CONFIG), path)
     return path
 
 

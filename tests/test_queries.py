@@ -49,3 +49,14 @@ def test_entry_survives_without_the_subpackage(tmp_path):
     shutil.copytree(root / "tagloom", tmp_path / "tagloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["vocabulary_document_documents"])
+def test_vocabularies_are_made_from_written_counts(spark, monkeypatch, name):
+    """The texts are not tokenized again for each list and count."""
+    seen = []
+    for f in ("document_lines", "bundle"):
+        monkeypatch.setattr(own, f, lambda *args, real=getattr(own, f): seen.extend(args[:2]) or real(*args))
+    own.queries()[name](spark, str(TABLES))
+    assert len(seen) == 2 and not any(path.endswith("documents.parquet") for t in seen for path in t.inputFiles())
