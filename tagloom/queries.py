@@ -424,7 +424,7 @@ def _counted(spark: SparkSession, sf_dir: str, source: str) -> tuple[DataFrame,
 
 
 def _bundle(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    return bundle(_classified(spark, sf_dir, source), corpus_stats(points(spark, sf_dir, source)), CONFIG)
+    return bundle(*_counted(spark, sf_dir, source), CONFIG)
 
 
 def _bundle_sql(source: str) -> str:

@@ -52,7 +52,7 @@ def test_entry_survives_without_the_subpackage(tmp_path):
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["vocabulary_document_documents"])
+@pytest.mark.parametrize("name", ["vocabulary_document_documents", "vocab_bundle_documents"])
 def test_vocabularies_are_made_from_written_counts(spark, monkeypatch, name):
     """The texts are not tokenized again for each list and count."""
     seen = []
