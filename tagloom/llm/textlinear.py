@@ -1,20 +1,22 @@
 """Linear scores of whole texts: hashed character n-grams of each chunk between blanks, averaged over the chunks.
 
 Models are fitted in the driver on a bounded sample of labelled rows. A fitted model scores a text as the mean of its
-chunks' vectors, and a worker remembers the vectors of the chunks it has met (bounded), so whole texts cost little.
+chunks' vectors. The n-grams of a text are hashed and counted all at once over its bytes, so new words cost as much as known ones.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KEPT = 300_000
+#: Bytes of a text that are hashed at once.
+_PIECE = 1 << 18
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -63,20 +65,44 @@ def features(chunk: str, sizes: tuple[int, ...], width: int) -> list[int]:
     return [crc(g) & mask for g in grams(chunk, sizes)]
 
 
+@cache
+def _bytewise(size: int, width: int) -> tuple[np.ndarray, ...]:
+    """The crc32 of ``size`` bytes, modulo ``width``, as tables for each byte's place: their exclusive or is the checksum.
+
+    A checksum is linear in the bits of its bytes but for that of zeros. The blank, which stands between chunks and in none,
+    sets a bit above ``width`` in every table.
+    """
+    zeros, mask = zlib.crc32(bytes(size)), width - 1
+    at = lambda i, x: zlib.crc32(bytes(i) + bytes([x]) + bytes(size - 1 - i)) ^ (0 if i == 0 else zeros)
+    tables = np.array([[at(i, x) & mask for x in range(256)] for i in range(size)], np.int64)
+    tables[:, 0x20] = width
+    return tuple(tables)
+
+
+def counts(words: list[str], sizes: tuple[int, ...], width: int) -> np.ndarray:
+    """How often each hash of :func:`features` occurs in chunks without blanks, of ``sizes`` below five; memory beside the text is bounded."""
+    body = b"\x02" + "\x03 \x02".join(words).encode("utf-8", "replace") + b"\x03"
+    total = np.zeros(width, np.int64)
+    for start in range(0, len(body), _PIECE):
+        part = np.frombuffer(body[start : start + _PIECE + max(sizes) - 1], np.uint8)
+        for size in sizes:
+            n = min(_PIECE, len(part) - size + 1)
+            if n > 0:
+                tables = _bytewise(size, width)
+                hashed = tables[0][part[:n]]
+                for i in range(1, size):
+                    hashed ^= tables[i][part[i : i + n]]
+                total += np.bincount(hashed, minlength=2 * width)[:width]
+    return total
+
+
 def matrix(texts: Iterable[str | None], sizes: tuple[int, ...], width: int, chunks: Callable[[str], list[str]]) -> np.ndarray:
     """Rows of mean feature counts (float32)."""
-    known: dict[str, list[int]] = {}
     out = []
     for text in texts:
-        ids: list[int] = []
         words = chunks(text or "")
-        for w in words:
-            if (f := known.get(w)) is None:
-                f = features(w, sizes, width)
-                if len(known) < _KEPT:
-                    known[w] = f
-            ids += f
-        out.append((np.bincount(np.array(ids, np.int64), minlength=width) / max(1, len(words))).astype(np.float32))
+        found = counts(words, sizes, width) if words else np.zeros(width)
+        out.append((found / max(1, len(words))).astype(np.float32))
     return np.stack(out) if out else np.zeros((0, width), np.float32)
 
 
@@ -85,30 +111,14 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, sizes: tuple[int, ...], chunks: Callable[[str], list[str]]) -> None:
         self.weights, self.sizes, self.chunks = weights, sizes, chunks
-        self.rows = np.zeros((_KEPT, weights.shape[1]), np.float32)
-        self.place: dict[str, int] = {}
-
-    def vector(self, chunk: str) -> np.ndarray:
-        return self.weights[features(chunk, self.sizes, len(self.weights))].sum(axis=0)
 
     def mean(self, text: str) -> np.ndarray:
         words = self.chunks(text)
-        total = np.zeros(self.weights.shape[1])
         if not words:
-            return total
-        place, found = self.place, []
-        for w in words:
-            at = place.get(w)
-            if at is None:
-                v = self.vector(w)
-                if len(place) < _KEPT:
-                    at = place[w] = len(place)
-                    self.rows[at] = v
-                else:
-                    total += v
-                    continue
-            found.append(at)
-        return (total + self.rows[found].sum(axis=0, dtype=np.float64)) / len(words)
+            return np.zeros(self.weights.shape[1])
+        found = counts(words, self.sizes, len(self.weights))
+        at = np.flatnonzero(found)
+        return (found[at, None] * self.weights[at].astype(np.float64)).sum(axis=0) / len(words)
 
 
 def descend(

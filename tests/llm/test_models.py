@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import langid, quality, toxicity
+from tagloom.llm import textlinear
 from tagloom.llm.textlinear import bounded_sample, fold, labels_without
 
 DRAW = np.random.default_rng(3)
@@ -137,6 +139,30 @@ def test_quality(spark):
     assert quality.rate(docs, flat).where("selected = 1").count() == 456
 
 
+@pytest.mark.parametrize("piece", [7, 1 << 18])
+def test_counts_against_features(monkeypatch, piece):
+    """Hashes of a whole text's bytes against each word's n-grams, words that spell out the marks between words too."""
+    monkeypatch.setattr(textlinear, "_PIECE", piece)
+    for text in (prose("fr"), "a", "\x03 \x02 \x03\x02", "né 字\x00 \ud800x", "x" * 300):
+        words, width = text.split(), 1 << 12
+        found = np.bincount([f for w in words for f in textlinear.features(w, (1, 2, 3), width)], minlength=width)
+        assert (textlinear.counts(words, (1, 2, 3), width) == found).all()
+
+
+def test_new_words_cost_no_more_than_known_ones():
+    scorer = textlinear.Scorer(np.ones((quality.WIDTH, 1), np.float32), quality.SIZES, quality.chunks)
+
+    def seconds(text):
+        start = time.process_time()
+        scorer.mean(text)
+        return time.process_time() - start
+
+    scorer.mean("some words")
+    known = min(seconds("abcdefg " * 40_000) for _ in range(3))
+    new = min(seconds(" ".join(f"{k}{i:06}" for i in range(40_000))) for k in range(3))
+    assert new < 4 * known
+
+
 def test_ordinal_gradient():
     x = DRAW.random((40, 6)).astype(np.float32)
     y, w = np.arange(40) % 4, DRAW.random(40) / 20
