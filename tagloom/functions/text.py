@@ -24,7 +24,9 @@ def tokenize(label: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    visible = lambda c: c.between("!", "~")
+    bare = visible(F.substring(text, 1, 1)) & visible(F.substring(text, -1, 1))
+    return F.when(bare, text).otherwise(F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", ""))
 
 
 def is_digits(token: Column) -> Column:
@@ -47,8 +49,8 @@ def is_point_like(text: Column) -> Column:
     letters = F.regexp_count(s, F.lit(r"\p{L}"))
     capitals = F.regexp_count(s, F.lit(r"[\p{L}&&\p{IsUppercase}]"))
     mostly = F.coalesce(capitals / F.nullif(letters, F.lit(0)) >= UPPER_RATIO, F.lit(False))
-    separator, digit, upper = s.rlike("[_.-]"), s.rlike(f"[{DIGIT}]"), s.rlike(r"\p{IsUppercase}")
-    like = (F.length(s) >= MIN_LENGTH) & (mostly | separator & (digit | upper) | digit & upper)
+    separator, digit, upper = s.contains("_") | s.contains(".") | s.contains("-"), s.rlike(f"[{DIGIT}]"), s.rlike(r"\p{IsUppercase}")
+    like = (F.length(s) >= MIN_LENGTH) & (separator & (digit | upper) | digit & upper | mostly)  # letters are counted last
     return F.coalesce(like, F.lit(False))
 
 

@@ -147,10 +147,15 @@ def choose_columns(cells: DataFrame, config: ExtractConfig = ExtractConfig()) ->
     return _chosen(staged(column_words(cells), "words"), config).drop("has_header")
 
 
+def _with_buildings(chosen: DataFrame) -> DataFrame:
+    """Files with their building, found once for each file, to be joined with rows."""
+    return sized(chosen.withColumn("building_id", building_id(F.col("source_file"))))
+
+
 def _points(rows: DataFrame, config: ExtractConfig) -> DataFrame:
-    """Point records from ``source_file``, ``row_no``, ``cell``, ``has_header`` and ``col_name``."""
+    """Point records from ``building_id``, ``source_file``, ``row_no``, ``cell``, ``has_header`` and ``col_name``."""
     return rows.where("row_no >= cast(has_header as int)").select(
-        building_id(F.col("source_file")).alias("building_id"),
+        "building_id",
         "source_file",
         F.coalesce("cell", F.lit(config.null_label)).alias("point_label"),
         F.col("col_name").alias("point_label_col"),
@@ -161,7 +166,7 @@ def _points(rows: DataFrame, config: ExtractConfig) -> DataFrame:
 def points_from_cells(cells: DataFrame, config: ExtractConfig = ExtractConfig()) -> DataFrame:
     """The four columns of point records, and ``row_no``: the corpus's order is by file name, then row."""
     chosen = staged(_chosen(staged(column_words(cells), "words"), config), "chosen")
-    return _points(cells.join(sized(chosen), ["source_file", "col_no"]), config)
+    return _points(cells.join(_with_buildings(chosen), ["source_file", "col_no"]), config)
 
 
 @dataclass(frozen=True)
@@ -178,7 +183,7 @@ def load_points(spark: SparkSession, directory: str, config: ExtractConfig = Ext
     records = read_records(spark, directory, pattern)
     words = staged(column_words(cell_table(records.rows)), "words")
     chosen = staged(_chosen(words, config), "chosen")
-    rows = records.rows.join(sized(chosen), "source_file").withColumn("cell", cell_value(F.col("fields"), F.col("col_no")))
+    rows = records.rows.join(_with_buildings(chosen), "source_file").withColumn("cell", cell_value(F.col("fields"), F.col("col_no")))
     without = words.select("source_file").distinct().join(chosen, "source_file", "left_anti")
     rejects = records.rejects.unionByName(without.withColumn("reason", F.lit("no label column")))
     return Extraction(_points(rows, config), rejects, (*records.staged, words, chosen))

@@ -80,13 +80,16 @@ def sample_positions(n: int, k: int, seed: int = 42) -> list[int]:
 
 
 def positions_column(n, k: int, seed: int = 42):
-    """``sample_positions`` as an Arrow function of a column; meant for distinct values of ``n``."""
+    """``sample_positions`` as an Arrow function of a column; meant for distinct values of ``n``.
+
+    It is marked so that Spark does not copy it into conditions below the ``distinct``, where it would run for every row.
+    """
 
     @F.pandas_udf("array<bigint>")
     def positions(sizes: pd.Series) -> pd.Series:
         return sizes.map(lambda size: sample_positions(int(size), k, seed))
 
-    return positions(n)
+    return positions.asNondeterministic()(n)
 
 
 def sample_one_per_building(points: DataFrame, seed: int = 42) -> DataFrame:

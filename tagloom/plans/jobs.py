@@ -56,7 +56,7 @@ def run_extract(spark: SparkSession, directory: str, out: str, config: ExtractCo
     write_json(found.points.sort("source_file", "row_no").select(*POINT_COLUMNS).observe(seen, F.count("*").alias("rows")), out)
     if sample_out is not None:
         write_lines(ordered_samples(sample_one_per_building(in_corpus_order(spark, out), config.seed)), sample_out)
-    totals = job_summary(read_points(spark, out)).first()
+    totals = job_summary(found.points).first()
     rejected = staged(found.rejects, "rejects")
     dropped(*found.staged)
     return JobReport(seen.get["rows"], {"files": totals.files, "buildings": totals.buildings, "rejected files": rejected.count()}, rejected)

@@ -51,6 +51,12 @@ def _file_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)$", 1)
 
 
+def _decoded_name(path: Column) -> Column:
+    """The file's name from its address as an URI; only names with escapes are decoded."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(name.contains("%"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+
+
 def listed_files(spark: SparkSession, directory: str, pattern: str = "*.csv") -> DataFrame:
     """``source_file``, ``path`` and ``length`` of the directory's own files; no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
@@ -71,7 +77,7 @@ def read_lines(spark: SparkSession, directory: str, pattern: str = "*.csv") -> D
     text, quoted = F.col("value"), F.col("value").contains('"')
     parts = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(_NEXT), F.lit(1))
     rows = lines.select(
-        _file_name(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))).alias("source_file"), "split", "at", F.is_valid_utf8("value").alias("valid"),
+        _decoded_name(F.col("path")).alias("source_file"), "split", "at", F.is_valid_utf8("value").alias("valid"),
         F.when(quoted, parts).otherwise(F.split(text, ",", -1)).alias("fields"), quoted.alias("quoted"),
     )
     open_ = F.when(F.col("quoted"), F.exists("fields", lambda f: f.rlike(_OPEN))).otherwise(False)

@@ -11,7 +11,7 @@ from tagloom.operators import sample
 from tagloom.operators.extract import column_words
 from tagloom.operators.sample import ordered_samples, sample_one_per_building, sample_positions
 from tagloom.sources import cells as cell_source
-from tagloom.sources.cells import read_records
+from tagloom.sources.cells import _decoded_name, read_records
 
 
 def cells(spark, **files):
@@ -112,6 +112,19 @@ def test_one_per_building_over_stretches(spark, monkeypatch):
     assert {r.building_id: r.point_label for r in picked.collect()} == {b: p[sample_positions(len(p), 1)[0]] for b, p in own.items()}
 
 
+def test_positions_are_found_once_for_each_size(spark):
+    """Not for each stretch of a building, which made a run over n points cost n times n / 65,536."""
+    rows = spark.range(10).selectExpr("id as point_ord", "'P' as point_label", "'A' as building_id")
+    plan = sample_one_per_building(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("positions(") == 1
+
+
+def test_names_from_addresses(spark):
+    paths = ["file:/a%20b/c/x.csv", "file:/a/1%20+%25.csv", "s3a://b/a+b.csv"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r[0] for r in rows.select(_decoded_name(F.col("path"))).collect()] == ["x.csv", "1 +%.csv", "a+b.csv"]
+
+
 @pytest.mark.parametrize("n", [5000, 8192, 8193, 65537, 300_001, 1_000_003])
 def test_traced_positions(n):
     for k, seed in ((1, 42), (200, 42), (3, 7)):
