@@ -24,9 +24,12 @@ FIELDS = ("bldg", "floor", "zone", "equip", "equip_id", "subcomp", "point_func",
 
 
 def by_pattern(token: Column) -> Column:
-    out = F.when(~token.rlike(_ANY), "MISC")
-    for category, patterns in PATTERNS:
-        out = out.when(token.rlike("(?d)^(?:" + "|".join(patterns) + ")$"), category)
+    """The category of the first pattern that fits. What no pattern starts with is MISC, and what starts with a digit fits few of them."""
+    fits = {category: token.rlike("(?d)^(?:" + "|".join(patterns) + ")$") for category, patterns in PATTERNS}
+    number = F.when(fits["ZONE"], "ZONE").when(fits["EQUIP_ID"], "EQUIP_ID").otherwise("MISC")
+    out = F.when(token < "0", "MISC").when(token < ":", number).when(~token.rlike(_ANY), "MISC")
+    for category, _ in PATTERNS:
+        out = out.when(fits[category], category)
     return out.otherwise("MISC")
 
 
@@ -61,14 +64,16 @@ def structured(tokens: Column, categories: Column) -> Column:
 
     Arrays of unequal length are read as far as the shorter goes.
     """
-    zipped = F.arrays_zip(tokens.alias("t"), categories.alias("c"))
-    zipped = F.slice(zipped, 1, F.least(F.size(tokens), F.size(categories)))
-
-    def of(category: str) -> Column:
-        return F.transform(F.filter(zipped, lambda x: x["c"] == category), lambda x: x["t"])
-
-    zone = of("ZONE")
-    values = {"zone": F.when(F.size(zone) > 0, F.array_join(zone, " "))}
-    values |= {name: F.get(of(category), F.lit(0)) for name, category in FIRST.items()}
-    values |= {name: F.try_element_at(of(category), F.lit(-1)) for name, category in LAST.items()}
+    n = F.least(F.array_size(tokens), F.array_size(categories))
+    known = F.when(F.array_size(tokens) == F.array_size(categories), categories).otherwise(F.slice(categories, 1, n))
+    back = F.reverse(known)
+
+    def last(category: str) -> Column:
+        place = F.array_position(back, category)
+        return F.when(place > 0, F.get(tokens, n - place.cast("int")))
+
+    zone = F.filter(tokens, lambda _, i: F.get(known, i) == "ZONE")
+    values = {"zone": F.when(F.array_contains(known, "ZONE"), F.array_join(zone, " "))}
+    values |= {name: F.get(tokens, F.array_position(known, category).cast("int") - 1) for name, category in FIRST.items()}
+    values |= {name: last(category) for name, category in LAST.items()}
     return F.struct(*(values[name].alias(name) for name in FIELDS))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -62,6 +64,22 @@ def test_structured(spark):
     assert set(view(spark, [], []).values()) == {None}
 
 
+def test_structured_reads_a_label_once(spark):
+    """A filter for zones alone; there was one for each field, each over all tokens zipped anew. Nulls and unequal lengths too."""
+    rows = spark.createDataFrame([(["a", "b"], ["EQUIP"])], "t array<string>, c array<string>")
+    plan = rows.select(structured(F.col("t"), F.col("c")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 1 and "arrays_zip" not in plan
+    names = dict(zip(("bldg", "floor", "equip", "equip_id"), ("BLDG", "FLOOR", "EQUIP", "EQUIP_ID"))) | {"subcomp": "SUBCOMP", "point_func": "POINT_FUNC", "io_type": "IO_TYPE", "vendor": "VENDOR_TAG"}
+    draw = random.Random(5)
+    kinds = ["ZONE", None, "MISC", *names.values()]
+    for _ in range(25):
+        tokens, found = ([f"t{i}" for i in range(draw.randrange(9))], [draw.choice(kinds[: draw.choice((3, 6, 11))]) for _ in range(draw.randrange(9))])
+        of = lambda kind: [t for t, c in zip(tokens, found) if c == kind]
+        want = {n: (of(k) or [None])[0 if n in ("bldg", "floor", "equip", "equip_id") else -1] for n, k in names.items()} | {"zone": " ".join(of("ZONE")) or None}
+        assert view(spark, tokens, found) == want
+    assert set(view(spark, None, ["EQUIP"]).values()) == set(view(spark, ["a"], None).values()) == {None}
+
+
 def test_annotate(spark):
     rows = spark.createDataFrame([("Lift 9/GPM:bi", "yard"), ("_", "quay"), (None, None)], "point_label string, building_id string")
     first, second, third = annotate(rows, SMALL).collect()
